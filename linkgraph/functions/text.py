@@ -252,7 +252,7 @@ def featured_names(title: ColumnLike, word_boundary: bool = False) -> Column:
         *[F.regexp_extract_all(raw, F.lit("(?iU)" + p), F.lit(1)) for p in GUEST_PATTERNS]
     )
     pieces = F.flatten(F.transform(clauses, lambda c: F.split(c, separator)))
-    return F.filter(F.transform(pieces, F.trim), lambda n: n != "")
+    return F.filter(F.transform(pieces, lambda n: F.trim(n)), lambda n: n != "")
 
 
 def json_list(text: ColumnLike) -> Column:
@@ -275,3 +275,29 @@ def cache_key(identifier: ColumnLike) -> Column:
 def same_name(left: ColumnLike, right: ColumnLike) -> Column:
     """Case-insensitive equality after trimming."""
     return F.lower(F.trim(as_column(left))) == F.lower(F.trim(as_column(right)))
+
+
+# What an embed page carries, and the code of the 300 px cover.
+EMBED_MARKER = "__NEXT_DATA__"
+EMBED_AUDIO = r'"audioPreview"\s*:\s*\{\s*"url"\s*:\s*"([^"]+)"'
+EMBED_YEAR = r'"releaseDate"\s*:\s*\{\s*"isoString"\s*:\s*"(\d{4})'
+EMBED_ARTWORK = r"https://(?:i\.scdn\.co|[a-z0-9-]+\.spotifycdn\.com)/image/[a-z0-9]+"
+EMBED_COVER_CODE = "00001e02"
+
+
+def embed_fields(html: ColumnLike) -> dict[str, Column]:
+    """Audio link, cover, year and outcome of one embed page.
+
+    Without the page marker or a usable audio link all fields are NULL.
+    """
+    page = as_column(html)
+    marked = F.contains(page, F.lit(EMBED_MARKER))
+    audio = F.when(marked, first_group(page, EMBED_AUDIO))
+    return {
+        "audio_url": audio.alias("audio_url"),
+        "artwork_url": F.when(
+            audio.isNotNull(), preferred_of(page, EMBED_ARTWORK, EMBED_COVER_CODE)
+        ).alias("artwork_url"),
+        "year": F.when(audio.isNotNull(), first_group(page, EMBED_YEAR).cast("int")).alias("year"),
+        "status": F.when(~marked, "no_marker").when(audio.isNull(), "null").otherwise("hit").alias("status"),
+    }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from linkgraph.functions._columns import ColumnLike, as_column
 from linkgraph.functions.text import fold_name
 from linkgraph.operators.projection import canonical_pair
+from linkgraph.session import materialize
 
 # Cache lifetime and request window.
 CACHE_DAYS = 7
@@ -73,25 +74,32 @@ def fresh_entries(entries: DataFrame, key: str, stamp: str, as_of: ColumnLike, d
 
 
 def numbered_batches(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """Assign consecutive rows in ``key`` order to batches of ``size``.
+    """Assign consecutive rows in order of the unique ``key`` to batches.
 
-    A range partitioning numbers rows within partitions; the offsets of the
-    partitions are the only thing summed up across them.
+    Rows are range partitioned and numbered within their partition; only the
+    partition sizes, a few rows, are summed up in one place.
     """
-    spread = rows.repartitionByRange(F.col(key)).withColumn("part", F.spark_partition_id())
-    local = spread.withColumn(
-        "local", F.row_number().over(Window.partitionBy("part").orderBy(key))
+    numbered = materialize(
+        rows.repartitionByRange(F.col(key))
+        .sortWithinPartitions(key)
+        .withColumn("row_id", F.monotonically_increasing_id()),
+        "numbered",
+    ).select(
+        "*",
+        F.shiftright("row_id", 33).alias("part"),
+        F.col("row_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("within"),
     )
-    counts = local.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    earlier = counts.select(F.col("part").alias("before"), "n")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        counts.select("part")
-        .join(earlier, F.col("before") < F.col("part"), "left")
-        .groupBy("part")
-        .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("offset"))
+        numbered.groupBy("part")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
+    )
+    return (
+        numbered.join(offsets, "part")
+        .withColumn("batch", F.floor((F.col("offset") + F.col("within")) / size))
+        .drop("part", "row_id", "within", "offset")
     )
-    position = F.col("offset") + F.col("local") - 1
-    return local.join(offsets, "part").withColumn("batch", F.floor(position / size)).drop("part", "local", "offset")
 
 
 def trailing_rate(
