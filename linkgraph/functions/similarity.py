@@ -12,7 +12,7 @@ pairs without losing a single qualifying pair.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkgraph.functions._columns import ColumnLike, as_column
@@ -27,7 +27,7 @@ _RARE_FIRST = "zqxjkvbpygfwmucldrhsnioate "
 
 def sorted_tokens(folded: ColumnLike) -> Column:
     """The folded text with its words in alphabetical order."""
-    return F.array_join(F.array_sort(F.split(as_column(folded), " ")), " ")
+    return F.array_join(F.sort_array(F.split(as_column(folded), " ")), " ")
 
 
 def lcs_length(left: str, right: str) -> int:
@@ -52,68 +52,76 @@ def _scores(left: pd.Series, right: pd.Series) -> pd.Series:
 
 
 def sequence_score(left: ColumnLike, right: ColumnLike) -> Column:
-    """Arrow-batched ``200 * LCS / (m + n)`` of two text columns."""
+    """Arrow-batched ``200 * LCS / (m + n)`` of two token-sorted texts."""
     return F.pandas_udf(_scores, "double")(as_column(left), as_column(right))
 
 
-def token_sort_ratio(left: ColumnLike, right: ColumnLike) -> Column:
-    """Similarity 0-100 of two folded texts, blind to word order."""
-    return sequence_score(sorted_tokens(left), sorted_tokens(right))
-
-
 def edit_score(left: ColumnLike, right: ColumnLike) -> Column:
     """``100 * (1 - levenshtein / longer length)``, evaluated in the JVM."""
-    a, b = sorted_tokens(left), sorted_tokens(right)
+    a, b = as_column(left), as_column(right)
     longest = F.greatest(F.length(a), F.length(b))
     return F.when(longest == 0, F.lit(100.0)).otherwise(
         100.0 * (longest - F.levenshtein(a, b)) / longest
     )
 
 
-def char_tokens(text: ColumnLike) -> Column:
-    """The bag of characters as distinct ``char#occurrence`` tokens.
+def with_char_tokens(df: DataFrame, text: str, tokens: str) -> DataFrame:
+    """Add the bag of characters as distinct ``char#occurrence`` tokens.
 
     Tokens come in one global order: higher occurrences first, then rare
-    letters.
+    letters.  The steps are separate columns because a lambda evaluates an
+    expression it captures once per element.
     """
-    ordered = F.array_sort(F.split(as_column(text), ""))
+    ordered = F.sort_array(F.split(F.col(text), ""))
 
     def token(char: Column, index: Column) -> Column:
-        occurrence = (index + 1 - F.array_position(ordered, char) + 1).cast("int")
+        occurrence = (index + 1 - F.array_position("_chars", char) + 1).cast("int")
         return F.struct(
             (-occurrence).alias("rarer"),
             F.instr(F.lit(_RARE_FIRST), char).alias("letter"),
             char.alias("char"),
         )
 
-    tokens = F.array_sort(F.transform(ordered, token))
-    return F.transform(tokens, lambda t: F.concat(t["char"], F.lit("#"), (-t["rarer"]).cast("string")))
+    return (
+        df.withColumn("_chars", ordered)
+        .withColumn("_tokens", F.sort_array(F.transform("_chars", token)))
+        .withColumn(
+            tokens,
+            F.transform("_tokens", lambda t: F.concat(t["char"], F.lit("#"), (-t["rarer"]).cast("string"))),
+        )
+        .drop("_chars", "_tokens")
+    )
 
 
-def signature(text: ColumnLike) -> Column:
-    """Keys of which any two strings scoring at least 72 share one.
+def with_signature(df: DataFrame, text: str, key: str) -> DataFrame:
+    """One row per signature key; any two texts scoring at least the cutoff
+    share a key.
 
-    A partner of a string of length m shares at least ``9m/16`` tokens, so
-    pairs of the first ``m - ceil(9m/16) + 2`` tokens suffice.  One-letter
-    strings can only match themselves.
+    A partner of a text of length m shares at least ``9m/16`` tokens, so pairs
+    of the first ``m - ceil(9m/16) + 2`` tokens suffice.  One-letter texts can
+    only match themselves.
     """
-    tokens = char_tokens(text)
-    size = F.size(tokens)
+    size = F.size("_bag")
     needed = F.floor((size * 9 + 15) / 16).cast("int")
-    prefix = F.slice(tokens, F.lit(1), F.least(size, size - needed + 2))
     pairs = F.flatten(
         F.transform(
-            prefix,
+            "_prefix",
             lambda t, i: F.transform(
-                F.slice(prefix, i + 2, F.size(prefix)), lambda u: F.concat(t, F.lit("|"), u)
+                F.slice("_prefix", i + 2, F.size("_prefix")), lambda u: F.concat(t, F.lit("|"), u)
             ),
         )
     )
-    return F.when(size <= 1, tokens).otherwise(pairs)
+    return (
+        with_char_tokens(df, text, "_bag")
+        .withColumn("_prefix", F.slice("_bag", F.lit(1), F.least(size, size - needed + 2)))
+        .withColumn(key, F.explode(F.when(size <= 1, F.col("_bag")).otherwise(pairs)))
+        .drop("_bag", "_prefix")
+    )
 
 
-def may_score(left: ColumnLike, right: ColumnLike) -> Column:
-    """Cheap necessary condition for a score of 72: enough common tokens."""
-    a, b = char_tokens(left), char_tokens(right)
-    shared = F.size(F.array_intersect(a, b))
-    return shared * 100 >= (F.size(a) + F.size(b)) * (SCORE_CUTOFF // 2)
+def may_score(pairs: DataFrame, left: str, right: str) -> DataFrame:
+    """Keep pairs with enough common character tokens for the cutoff."""
+    bagged = with_char_tokens(with_char_tokens(pairs, left, "_left"), right, "_right")
+    shared = F.size(F.array_intersect("_left", "_right"))
+    enough = shared * 100 >= (F.size("_left") + F.size("_right")) * (SCORE_CUTOFF // 2)
+    return bagged.filter(enough).drop("_left", "_right")

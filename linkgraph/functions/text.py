@@ -80,21 +80,11 @@ class FoldTables:
                     singles[char] = kept
                 else:
                     expansions[char] = kept
-        self.singles = singles
+        # ``translate`` deletes characters beyond the end of the replacement.
+        self.from_chars = "".join(singles) + "".join(vanishing)
+        self.to_chars = "".join(singles.values())
         self.expansions = expansions
-        self.drop_class = _char_class(vanishing)
-        self.expand_class = _char_class(expansions)
-
-
-def _char_class(chars) -> str:
-    """The body of a Java character class covering ``chars`` as ranges."""
-    ranges: list[list[int]] = []
-    for code in sorted(ord(c) for c in chars):
-        if ranges and code == ranges[-1][1] + 1:
-            ranges[-1][1] = code
-        else:
-            ranges.append([code, code])
-    return "".join(f"\\x{{{lo:x}}}-\\x{{{hi:x}}}" for lo, hi in ranges)
+        self.wide_chars = "".join(expansions)
 
 
 @lru_cache(maxsize=1)
@@ -120,9 +110,10 @@ def fold_name(text: ColumnLike) -> Column:
         ),
         "",
     )
-    wide = F.when(raw.rlike(f"[{tables.expand_class}]"), spelled_out).otherwise(raw)
-    plain = F.translate(wide, "".join(tables.singles), "".join(tables.singles.values()))
-    plain = F.regexp_replace(plain, f"[{tables.drop_class}]", "")
+    # Hash lookups per character; a regex class of this many ranges is far slower.
+    has_wide = F.length(F.translate(raw, tables.wide_chars, "")) < F.length(raw)
+    narrow = F.when(has_wide, spelled_out).otherwise(raw)
+    plain = F.translate(narrow, tables.from_chars, tables.to_chars)
     unaccented = F.when(raw.rlike(r"[^\x00-\x7F]"), plain).otherwise(raw)
     key = F.regexp_replace(F.lower(unaccented), "[.']", "")
     key = F.trim(F.regexp_replace(key, "[^a-z0-9]+", " "))

@@ -12,10 +12,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkgraph.functions.similarity import SCORE_CUTOFF, edit_score, may_score, signature, token_sort_ratio
+from linkgraph.functions.similarity import (
+    SCORE_CUTOFF,
+    edit_score,
+    may_score,
+    sequence_score,
+    sorted_tokens,
+    with_signature,
+)
 from linkgraph.functions.text import fold_name, same_name
 from linkgraph.operators.containment import substring_pairs
 from linkgraph.operators.ranking import label_candidates, promote_prominent, rank_by, with_prominence
+from linkgraph.session import materialize
 
 # Defaults of the search.
 DEFAULT_LIMIT = 10
@@ -23,6 +31,9 @@ SERVICE_LIMIT = 8
 FUZZY_MIN_RESULTS = 3
 MIN_QUERY_CHARS = 2
 
+# Scores of token-sorted texts: subsequence ratio (default) or edit distance.
+SCORERS = {"token_sort": sequence_score, "edit": edit_score}
+
 _ENTITY = ["id", "name", "popularity", "degree", "primary", "secondary"]
 
 
@@ -69,20 +80,18 @@ def similar_texts(needles: DataFrame, texts: DataFrame, scorer: str = "token_sor
     An equi-join on the signature finds every qualifying pair; the bag bound
     removes most others before the score is computed.
     """
-    if scorer not in ("token_sort", "edit"):
+    if scorer not in SCORERS:
         raise ValueError(f"unknown scorer {scorer!r}")
-    from linkgraph.functions.similarity import sorted_tokens
-
-    left = needles.select("folded", F.explode(signature(sorted_tokens("folded"))).alias("key"))
-    right = texts.select("text", F.explode(signature(sorted_tokens("text"))).alias("key"))
+    asked_for = needles.select("folded", sorted_tokens("folded").alias("left"))
+    stored = texts.select("text", sorted_tokens("text").alias("right"))
     near = (
-        left.join(right, "key")
-        .select("folded", "text")
+        with_signature(asked_for, "left", "key")
+        .join(with_signature(stored, "right", "key"), "key")
+        .select("folded", "text", "left", "right")
         .distinct()
-        .filter(may_score(sorted_tokens("folded"), sorted_tokens("text")))
     )
-    score = token_sort_ratio if scorer == "token_sort" else edit_score
-    return near.withColumn("score", score("folded", "text")).filter(F.col("score") >= SCORE_CUTOFF)
+    scored = may_score(near, "left", "right").withColumn("score", SCORERS[scorer]("left", "right"))
+    return scored.filter(F.col("score") >= SCORE_CUTOFF).select("folded", "text", "score")
 
 
 def fuzzy_candidates(
@@ -114,9 +123,11 @@ def resolve(
     ``aliases(entity_id, alias)``.  ``scorer=None`` leaves out similar names.
     """
     ranked_entities = with_prominence(entities)
-    wanted = asked(queries)
+    wanted = materialize(asked(queries), "asked")
     hits = tier_hits(wanted, ranked_entities, aliases, limit)
     if scorer is not None:
+        # Read three times below: to find thin queries, to merge, to exclude.
+        hits = materialize(hits, "hits")
         counts = hits.groupBy("query").agg(F.count(F.lit(1)).alias("hits"))
         thin = (
             wanted.join(counts, "query", "left")

@@ -268,7 +268,7 @@ def collaborators(spark, sf):
     )
     titles = ti.dedup_titles(ti.pair_titles(spokes, credited, _group_titles(spark, sf)), ["src", "dst"])
     listed = titles.groupBy("src", "dst").agg(
-        F.array_join(F.array_sort(F.collect_list(F.struct("rank", "title")))["title"], "; ").alias("titles")
+        F.array_join(F.sort_array(F.collect_list(F.struct("rank", "title")))["title"], "; ").alias("titles")
     )
     named = spokes.join(ro.entities(spark, sf).select("id", "name"), "id")
     return named.join(listed, ["src", "dst"]).select("id", "name", "titles")
@@ -360,7 +360,7 @@ USING (src, dst, title)""")
 def build(spark, sf):
     graph = _built(spark, sf)
     lineup = graph.lineups.groupBy("src", "dst", "title").agg(
-        F.array_join(F.array_sort(F.collect_list(F.struct("name", "entity_id")))["name"], ", ").alias("lineup")
+        F.array_join(F.sort_array(F.collect_list(F.struct("name", "entity_id")))["name"], ", ").alias("lineup")
     )
     return graph.titles.join(lineup, ["src", "dst", "title"]).select("src", "dst", "title", "rank", "lineup")
 

@@ -138,7 +138,7 @@ def disambiguate_labels(spark, sf):
     return rk.label_candidates(rs.resolve(*_inputs(spark, sf), limit=10, scorer=None)).select("query", "id", "label")
 
 
-_SERVED = _hits(8).replace("FROM queries) WHERE folded <> ''", "FROM queries) WHERE folded <> '' AND length(trim(query)) >= 2")
+_SERVED = _hits(8).replace("FROM queries) WHERE folded <> ''", "FROM (SELECT DISTINCT trim(query) AS query FROM queries)) WHERE folded <> '' AND length(query) >= 2")
 
 
 @query("search_result", _SERVED + _OVERRIDE + _LABELS + """
