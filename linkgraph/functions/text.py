@@ -114,9 +114,9 @@ def fold_name(text: ColumnLike) -> Column:
     has_wide = F.length(F.translate(raw, tables.wide_chars, "")) < F.length(raw)
     narrow = F.when(has_wide, spelled_out).otherwise(raw)
     plain = F.translate(narrow, tables.from_chars, tables.to_chars)
-    unaccented = F.when(raw.rlike(r"[^\x00-\x7F]"), plain).otherwise(raw)
-    key = F.regexp_replace(F.lower(unaccented), "[.']", "")
-    key = F.trim(F.regexp_replace(key, "[^a-z0-9]+", " "))
+    # Only ASCII text has as many bytes as characters.
+    unaccented = F.when(F.octet_length(raw) > F.length(raw), plain).otherwise(raw)
+    key = _squeeze(F.translate(F.lower(unaccented), ".'", ""))
     return F.when(key != "", key).otherwise(F.trim(F.lower(raw)))
 
 
@@ -127,8 +127,8 @@ def is_variant_title(title: ColumnLike) -> Column:
 
 
 def _squeeze(text: Column) -> Column:
-    """Keep ASCII letters, digits and single spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, "[^a-z0-9 ]", " "), " +", " "))
+    """Keep lower-case ASCII letters and digits, separated by single spaces."""
+    return F.trim(F.regexp_replace(text, "[^a-z0-9]+", " "))
 
 
 def _drop_brackets(text: Column) -> Column:
@@ -139,6 +139,14 @@ def _drop_guests(text: Column) -> Column:
     return F.regexp_replace(text, r"(?diU)\b(" + "|".join(GUEST_WORDS) + r")\b.*", " ")
 
 
+def _has_any(text: Column, *parts: str) -> Column:
+    """Plain substring tests, far cheaper than the patterns they guard."""
+    found = F.contains(text, F.lit(parts[0]))
+    for part in parts[1:]:
+        found = found | F.contains(text, F.lit(part))
+    return found
+
+
 def base_title(title: ColumnLike, unicode_fallback: bool = False) -> Column:
     """Key shared by all versions of one title.
 
@@ -147,16 +155,22 @@ def base_title(title: ColumnLike, unicode_fallback: bool = False) -> Column:
     ``unicode_fallback`` keys them on their trimmed lower-case form.
     """
     raw = F.coalesce(as_column(title), F.lit(""))
+    lowered = F.lower(raw)
     no_suffix = F.regexp_replace(_drop_brackets(raw), r"(?dU)\s-\s.*$", " ")
-    key = _squeeze(F.lower(_drop_guests(no_suffix)))
+    stripped = _squeeze(F.lower(_drop_guests(no_suffix)))
+    marked = _has_any(lowered, "(", "[", "-", "feat", "ft", "with")
+    key = F.when(marked, stripped).otherwise(_squeeze(lowered))
     if unicode_fallback:
-        key = F.when(key != "", key).otherwise(F.trim(F.lower(raw)))
+        key = F.when(key != "", key).otherwise(F.trim(lowered))
     return key
 
 
 def loose_text(text: ColumnLike) -> Column:
     """Comparison key for catalog matching; keeps a `` - suffix``."""
-    return _squeeze(_drop_guests(_drop_brackets(F.lower(as_column(text)))))
+    lowered = F.lower(as_column(text))
+    stripped = _squeeze(_drop_guests(_drop_brackets(lowered)))
+    marked = _has_any(lowered, "(", "[", "feat", "ft", "with")
+    return F.when(marked, stripped).otherwise(_squeeze(lowered))
 
 
 def titles_match(wanted: ColumnLike, found: ColumnLike) -> Column:

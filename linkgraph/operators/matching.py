@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from linkgraph.functions.text import MIN_ARTIST_KEY, loose_text, search_term, search_url, year_from
 from linkgraph.operators.containment import substring_pairs
+from linkgraph.session import materialize
 
 # Fixed value: "looked, found nothing", as opposed to NULL, "not looked yet".
 NO_MATCH = "none"
@@ -44,19 +45,30 @@ def best_candidates(
     and ``by`` value (for example per provider).  The candidate's columns come
     back as the struct ``best``.
     """
-    payload = [F.col(c) for c in candidates.columns]
     ranked = candidates.select(
         *by,
-        loose_text("cand_title").alias("ck_title"),
-        loose_text("cand_artist").alias("ck_artist"),
-        F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.struct(*payload).alias("row")).alias("cand"),
+        "cand_title",
+        "cand_artist",
+        F.struct(
+            *[o.alias(f"o{i}") for i, o in enumerate(order)],
+            F.struct(*[F.col(c) for c in candidates.columns]).alias("row"),
+        ).alias("cand"),
     )
-    best_per_key = ranked.groupBy(*by, "ck_title", "ck_artist").agg(F.min("cand").alias("cand"))
+    # Repeated texts collapse before their keys are computed.
+    by_text = ranked.groupBy(*by, "cand_title", "cand_artist").agg(F.min("cand").alias("cand"))
+    keyed = by_text.select(
+        *by, loose_text("cand_title").alias("ck_title"), loose_text("cand_artist").alias("ck_artist"), "cand"
+    )
+    credited = songs.select("song_id", "title", F.explode("artists").alias("artist"))
+    texts = credited.select("title", "artist").distinct()
+    song_keys = texts.withColumn("sk_title", loose_text("title")).withColumn("sk_artist", loose_text("artist"))
 
-    credited = songs.select(
-        "song_id", loose_text("title").alias("sk_title"), F.explode("artists").alias("artist")
-    ).select("song_id", "sk_title", loose_text("artist").alias("sk_artist"))
-    wanted = credited.filter(F.length("sk_artist") >= MIN_ARTIST_KEY).select("sk_title", "sk_artist").distinct()
+    # Both key tables are read several times below.
+    best_per_key = materialize(
+        keyed.groupBy(*by, "ck_title", "ck_artist").agg(F.min("cand").alias("cand")), "candidate-keys"
+    )
+    song_keys = materialize(song_keys.filter(F.length("sk_artist") >= MIN_ARTIST_KEY), "song-keys")
+    wanted = song_keys.select("sk_title", "sk_artist").distinct()
 
     title_pairs = _either_way(wanted, "sk_title", best_per_key, "ck_title")
     artist_pairs = _either_way(wanted, "sk_artist", best_per_key, "ck_artist")
@@ -67,8 +79,9 @@ def best_candidates(
         .groupBy(*by, "sk_title", "sk_artist")
         .agg(F.min("cand").alias("cand"))
     )
+    per_text = song_keys.join(per_wanted, ["sk_title", "sk_artist"]).select("title", "artist", *by, "cand")
     return (
-        credited.join(per_wanted, ["sk_title", "sk_artist"])
+        credited.join(per_text, ["title", "artist"])
         .groupBy("song_id", *by)
         .agg(F.min("cand")["row"].alias("best"))
     )

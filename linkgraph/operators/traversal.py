@@ -62,10 +62,10 @@ def distances(
 ) -> Reached:
     """Hop distances from each seed, with the smallest parent one hop closer.
 
+    ``members`` is scanned in every round, so pass a written table.
     ``seeds(root, node)``.  Stops at ``max_depth``, at an empty level, or once
     every ``targets(root, node)`` row has been reached.
     """
-    members = materialize(members.select("group_id", "entity_id"), "members")
     node_type = members.schema["entity_id"].dataType
     start = seeds.select(
         "root",
@@ -104,7 +104,6 @@ def resume(
     Only nodes on the stored outer ring are expanded; everything closer has
     been expanded before.
     """
-    members = materialize(members.select("group_id", "entity_id"), "members")
     stored = materialize(stored.select(*LEVEL_COLUMNS), "stored")
     ring = stored.agg(F.max("dist").alias("outer")).first()["outer"]
     levels = [stored]
@@ -132,7 +131,6 @@ def beam(members: DataFrame, degrees: DataFrame, seeds: DataFrame, depth: int, w
     The seed level is expanded whole; of each later level the nodes with the
     highest degree go on (smallest id on ties).  All discovered nodes count.
     """
-    members = materialize(members.select("group_id", "entity_id"), "members")
     ranked = degrees.select(F.col("id").alias("node"), "degree")
     levels = [
         materialize(seeds.select("root", "node", F.lit(0).cast("bigint").alias("dist")), "beam")

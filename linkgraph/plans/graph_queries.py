@@ -100,7 +100,7 @@ def member_groups(spark, sf):
 WITH RECURSIVE {ro.SQL_HUB}, near AS (SELECT dst AS id FROM adj WHERE src = (SELECT id FROM hub))
 SELECT src AS center, dst AS neighbor FROM adj WHERE src IN (SELECT id FROM near)""")
 def neighbors(spark, sf):
-    credited = ro.members(spark, sf)
+    credited = ro.written_members(spark, sf)
     centers = ro.hub(credited).withColumnRenamed("id", "entity_id")
     near = pr.star_edges(credited, centers).select(F.col("neighbor").alias("entity_id"))
     return pr.star_edges(credited, near)
@@ -190,7 +190,7 @@ WITH RECURSIVE {ro.SQL_EDGES},{ro.SQL_ITEMS},{ro.SQL_DEDUP_GROUP}, pairs AS (SEL
 {ro.SQL_PAIR_TITLES}
 SELECT src, dst, title, CAST(rank AS INTEGER) AS rank FROM pair_titles""")
 def edge_titles(spark, sf):
-    credited = ro.members(spark, sf)
+    credited = ro.written_members(spark, sf)
     pairs = pr.co_members(credited)
     return ti.dedup_titles(ti.pair_titles(pairs, credited, _group_titles(spark, sf)), ["src", "dst"])
 
@@ -199,7 +199,7 @@ def edge_titles(spark, sf):
 WITH RECURSIVE {ro.SQL_HUB},{ro.SQL_ITEMS},{ro.SQL_DEDUP_GROUP},{_HUB_PAIRS},{ro.SQL_PAIR_TITLES}
 SELECT src, dst, title, CAST(rank AS INTEGER) AS rank FROM pair_titles WHERE rank <= 3""")
 def topk_titles(spark, sf):
-    credited = ro.members(spark, sf)
+    credited = ro.written_members(spark, sf)
     titles = ti.pair_titles(_hub_pairs(spark, sf, credited), credited, _group_titles(spark, sf))
     return ti.dedup_titles(titles, ["src", "dst"], cap=3)
 
@@ -225,7 +225,7 @@ def title_lineup(spark, sf):
 
 
 def _hub_lineup(spark, sf):
-    credited = ro.members(spark, sf)
+    credited = ro.written_members(spark, sf)
     titled = ti.pair_titles(_hub_pairs(spark, sf, credited), credited, _group_titles(spark, sf))
     kept = titled.join(ti.dedup_titles(titled, ["src", "dst"]), ["src", "dst", "title"], "left_semi")
     lineup = ti.title_lineup(kept, credited)
@@ -262,7 +262,7 @@ SELECT p_partkey AS id, p_name AS name, string_agg(title, '; ' ORDER BY rank) AS
 FROM pair_titles JOIN part ON p_partkey = CASE WHEN src = (SELECT id FROM hub) THEN dst ELSE src END
 GROUP BY p_partkey, p_name""")
 def collaborators(spark, sf):
-    credited = ro.members(spark, sf)
+    credited = ro.written_members(spark, sf)
     spokes = pr.star_edges(credited, ro.hub(credited).withColumnRenamed("id", "entity_id")).select(
         F.col("neighbor").alias("id"), *pr.canonical_pair("center", "neighbor")
     )
@@ -280,7 +280,7 @@ SELECT t.src, t.dst, title, greatest(a.degree, b.degree) AS best_degree
 FROM pair_titles t JOIN degrees a ON a.id = t.src JOIN degrees b ON b.id = t.dst
 WHERE greatest(a.degree, b.degree) >= 8 ORDER BY t.src, t.dst, title LIMIT 50""")
 def min_degree_titles(spark, sf):
-    credited = ro.members(spark, sf)
+    credited = ro.written_members(spark, sf)
     titles = ti.dedup_titles(
         ti.pair_titles(_hub_pairs(spark, sf, credited), credited, _group_titles(spark, sf)), ["src", "dst"]
     ).drop("rank")
@@ -295,7 +295,7 @@ def min_degree_titles(spark, sf):
 WITH RECURSIVE {ro.sql_dist(3)}
 SELECT src, dst FROM edges JOIN reached a ON a.node = src JOIN reached b ON b.node = dst WHERE least(a.dist, b.dist) < 3""")
 def ball_edges(spark, sf):
-    credited = ro.members(spark, sf)
+    credited = ro.written_members(spark, sf)
     reached = tr.distances(credited, ro.hub_seed(credited), max_depth=3)
     return tr.ball_edges(credited, reached.table, 3)
 
@@ -304,7 +304,7 @@ def ball_edges(spark, sf):
 WITH RECURSIVE {ro.sql_dist(3)}
 SELECT src, dst FROM edges WHERE src IN (SELECT node FROM reached) AND dst IN (SELECT node FROM reached)""")
 def induced_edges(spark, sf):
-    credited = ro.members(spark, sf)
+    credited = ro.written_members(spark, sf)
     reached = tr.distances(credited, ro.hub_seed(credited), max_depth=3).table
     # Restricting the membership first keeps the projection to reached nodes.
     inside = credited.join(reached.select(F.col("node").alias("entity_id")), "entity_id", "left_semi")

@@ -262,7 +262,7 @@ SELECT r.src, r.dst, coalesce(h.title, f.title) AS song, CASE WHEN h.url IS NOT
     'https://music.apple.com/us/search?term=' || replace(replace(replace(replace(f.title || ' ' || lead, '#', '%23'), '(', '%28'), ')', '%29'), ' ', '+') END AS fallback_url
 FROM requests r LEFT JOIN first_hit h ON h.src = r.src AND h.dst = r.dst LEFT JOIN first_title f ON f.src = r.src AND f.dst = r.dst""")
 def edge_first_match(spark, sf):
-    credited = materialize(ro.members(spark, sf), "credited")
+    credited = ro.written_members(spark, sf)
     center = ro.hub(credited)
     requests = table(spark, sf, "part").select(
         *pr.canonical_pair(F.col("p_partkey"), center.scalar())

@@ -18,7 +18,7 @@ from linkgraph.session import materialize
 
 
 def _from_hub(spark, sf, max_depth=None):
-    credited = materialize(ro.members(spark, sf), "credited")
+    credited = ro.written_members(spark, sf)
     return credited, tr.distances(credited, ro.hub_seed(credited), max_depth=max_depth)
 
 
@@ -61,7 +61,7 @@ l3 AS (SELECT DISTINCT dst AS node FROM adj WHERE src IN (SELECT node FROM b2)
 SELECT id AS node, CAST(0 AS BIGINT) AS dist FROM hub UNION ALL SELECT node, 1 FROM l1
 UNION ALL SELECT node, 2 FROM l2 UNION ALL SELECT node, 3 FROM l3""")
 def beam_bfs(spark, sf):
-    credited = materialize(ro.members(spark, sf), "credited")
+    credited = ro.written_members(spark, sf)
     degrees = materialize(pr.degrees(credited), "degrees")
     return tr.beam(credited, degrees, ro.hub_seed(credited), depth=3, width=4).select("node", "dist")
 
@@ -91,7 +91,7 @@ def path_pairs(spark, sf):
     ends = table(spark, sf, "part").groupBy("p_brand").agg(
         F.min("p_partkey").alias("root"), F.max("p_partkey").alias("node")
     )
-    reached = tr.distances(ro.members(spark, sf), tr.seeds_of(ends, "root"), targets=ends)
+    reached = tr.distances(ro.written_members(spark, sf), tr.seeds_of(ends, "root"), targets=ends)
     found = reached.table.select("root", "node", F.col("dist").alias("degrees"))
     return ends.join(found, ["root", "node"], "left").select("p_brand", "root", "node", "degrees")
 

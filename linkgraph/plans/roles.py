@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from linkgraph.operators.eligibility import multi_member
 from linkgraph.operators.projection import degrees
 from linkgraph.functions.text import VARIANT_MARKERS
+from linkgraph.session import materialize
 
 BULK = 40
 
@@ -100,6 +101,11 @@ def members(spark: SparkSession, sf: str) -> DataFrame:
     return multi_member(lines.select(F.col("l_orderkey").alias("group_id"), F.col("l_partkey").alias("entity_id")))
 
 
+def written_members(spark: SparkSession, sf: str) -> DataFrame:
+    """The membership as a written table, for plans that scan it repeatedly."""
+    return materialize(members(spark, sf), "credited")
+
+
 def hub(credited: DataFrame) -> DataFrame:
     """The entity credited by most groups, smallest id on ties."""
     counts = credited.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from linkgraph.session import path_exists
+
 TABLES = ("nodes", "aliases", "edges", "titles", "lineups")
 
 
@@ -43,12 +44,7 @@ def save_graph(graph: Graph, path: str) -> None:
 
 def load_graph(spark: SparkSession, paths: Sequence[str]) -> Graph:
     """The first location that holds a graph: explicit, primary, legacy."""
-    for path in paths:
-        if not path:
-            continue
-        try:
+    for path in filter(None, paths):
+        if path_exists(spark, f"{path}/{TABLES[0]}"):
             return Graph(**{name: spark.read.parquet(f"{path}/{name}") for name in TABLES})
-        except AnalysisException as problem:
-            if problem.getCondition() != "PATH_NOT_FOUND":
-                raise
     raise GraphNotFound(f"no graph in {[p for p in paths if p]}")

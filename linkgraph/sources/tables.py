@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from typing import Mapping, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkgraph.functions._columns import union_all
+from linkgraph.session import path_exists
 
 NULL_MARKER = "\\N"
 
@@ -54,12 +54,9 @@ def scan_ragged(
 
 def optional_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
     """The table at ``path``, or an empty one when it was never staged."""
-    try:
-        return spark.read.schema(schema).format(fmt).load(path)
-    except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise
+    if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).format(fmt).load(path)
 
 
 def conform(df: DataFrame, schema: T.StructType, defaults: Mapping[str, object] | None = None) -> DataFrame:

@@ -6,7 +6,6 @@ batch replayed after a failure replaces its first attempt.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,19 +13,16 @@ from pyspark.sql.streaming import StreamingQuery
 from linkgraph.operators.enrichment import enrich_prominence
 from linkgraph.operators.incremental import RATE_SECONDS
 from linkgraph.operators.projection import canonical_pair
-from linkgraph.session import materialize
+from linkgraph.session import materialize, path_exists
 
 BATCH = "batch"
 
 
 def _earlier(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataFrame:
     """Rows written by batches before ``batch_id``."""
-    try:
-        table = spark.read.schema(f"{schema}, {BATCH} bigint").parquet(path)
-    except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise
+    if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
+    table = spark.read.schema(f"{schema}, {BATCH} bigint").parquet(path)
     return table.filter(F.col(BATCH) < batch_id).drop(BATCH)
 
 
