@@ -128,7 +128,7 @@ lines AS (
 SELECT n.node,
   CASE WHEN n = 0 THEN first_name || ' IS ' || last_name || '!'
        ELSE first_name || ' → ' || last_name || ': ' || n || CASE WHEN n = 1 THEN ' degree' ELSE ' degrees' END END AS headline,
-  concat_ws(' ', first_name, coalesce(line, '')) AS line
+  concat_ws(' ', first_name, line) AS line
 FROM names n LEFT JOIN lines l ON l.node = n.node""")
 def path_text(spark, sf):
     credited, reached = _from_hub(spark, sf)
