@@ -106,9 +106,21 @@ def trailing_rate(
     events: DataFrame, key: str, stamp: str, seconds: int = RATE_SECONDS, limit: int = RATE_LIMIT
 ) -> DataFrame:
     """Events of the same key in the trailing window, and whether that is more
-    than ``limit``."""
-    micros = F.unix_micros(F.col(stamp).cast("timestamp"))
-    window = Window.partitionBy(key).orderBy(micros).rangeBetween(-seconds * 1_000_000, 0)
-    return events.withColumn("recent", F.count(F.lit(1)).over(window)).withColumn(
-        "exceeds", F.col("recent") > limit
+    than ``limit``.
+
+    Time is cut into slots as long as the window.  An event counts in its own
+    slot and, as history, in the next one, so a trailing window always lies
+    within one (key, slot) and a key with most of the rows spreads over as
+    many tasks as it has slots.
+    """
+    length = seconds * 1_000_000
+    timed = events.withColumn("_at", F.unix_micros(F.col(stamp).cast("timestamp")))
+    slot = F.floor(F.col("_at") / length)
+    copies = timed.withColumn("_slot", F.explode(F.array(slot, slot + 1))).withColumn("_own", F.col("_slot") == slot)
+    window = Window.partitionBy(key, "_slot").orderBy("_at").rangeBetween(-length, 0)
+    counted = copies.withColumn("recent", F.count(F.lit(1)).over(window))
+    return (
+        counted.filter("_own")
+        .withColumn("exceeds", F.col("recent") > limit)
+        .drop("_at", "_slot", "_own")
     )

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from linkgraph.functions.text import MIN_ARTIST_KEY, loose_text, search_term, search_url, year_from
 from linkgraph.operators.containment import substring_pairs
+from linkgraph.operators.titles import first_rows
 from linkgraph.session import materialize
 
 # Fixed value: "looked, found nothing", as opposed to NULL, "not looked yet".
@@ -36,12 +37,12 @@ def _either_way(asked: DataFrame, a: str, stored: DataFrame, s: str) -> DataFram
 
 
 def best_candidates(
-    songs: DataFrame, candidates: DataFrame, order: list[Column], by: tuple[str, ...] = ()
+    credits: DataFrame, candidates: DataFrame, order: list[Column], by: tuple[str, ...] = ()
 ) -> DataFrame:
-    """The first accepted candidate of each song.
+    """The first accepted candidate of each song that has one.
 
-    ``songs(song_id, title, artists)``; ``candidates(cand_title, cand_artist,
-    ...)``; ``order`` ranks candidates.  With ``by``, the first one per song
+    ``credits(song_id, title, artist)``, one row per credited name, so a song
+    may have any number of them; ``candidates(cand_title, cand_artist, ...)``; ``order`` ranks candidates.  With ``by``, the first one per song
     and ``by`` value (for example per provider).  The candidate's columns come
     back as the struct ``best``.
     """
@@ -59,7 +60,7 @@ def best_candidates(
     keyed = by_text.select(
         *by, loose_text("cand_title").alias("ck_title"), loose_text("cand_artist").alias("ck_artist"), "cand"
     )
-    credited = songs.select("song_id", "title", F.explode("artists").alias("artist"))
+    credited = credits.select("song_id", "title", "artist")
     texts = credited.select("title", "artist").distinct()
     song_keys = texts.withColumn("sk_title", loose_text("title")).withColumn("sk_artist", loose_text("artist"))
 
@@ -88,21 +89,24 @@ def best_candidates(
 
 
 def resolve_first_accepted(
-    songs: DataFrame, candidates: DataFrame, order: list[Column], id_column: str
+    songs: DataFrame, credits: DataFrame, candidates: DataFrame, order: list[Column], id_column: str
 ) -> DataFrame:
     """Every song with the first accepted candidate's id, or the sentinel."""
     usable = candidates.filter(F.col(id_column).isNotNull() & (F.col(id_column).cast("string") != ""))
-    best = best_candidates(songs, usable, order)
+    best = best_candidates(credits, usable, order)
     return songs.join(best, "song_id", "left").select(
         "song_id",
         F.coalesce(F.col("best")[id_column].cast("string"), F.lit(NO_MATCH)).alias("track_id"),
     )
 
 
-def provider_waterfall(songs: DataFrame, embeds: DataFrame, candidates: DataFrame, order: list[Column]) -> DataFrame:
+def provider_waterfall(
+    songs: DataFrame, credits: DataFrame, embeds: DataFrame, candidates: DataFrame, order: list[Column]
+) -> DataFrame:
     """The first provider with a playable preview for each song.
 
-    ``songs(song_id, title, artists, track_id)``; ``embeds(track_id,
+    ``songs(song_id, title, lead, track_id)`` with the first credited name as
+    ``lead``; ``credits(song_id, title, artist)``; ``embeds(track_id,
     audio_url, artwork_url, embed_year)`` is looked up by track id;
     ``candidates(provider, cand_title, cand_artist, audio_url, store_url,
     artwork_url, album, release_date)`` are matched.  Candidates without an
@@ -110,7 +114,7 @@ def provider_waterfall(songs: DataFrame, embeds: DataFrame, candidates: DataFram
     year, from the second provider.
     """
     playable = candidates.filter(F.col("audio_url").isNotNull() & (F.col("audio_url") != ""))
-    matched = best_candidates(songs, playable, order, by=("provider",))
+    matched = best_candidates(credits, playable, order, by=("provider",))
     per_song = matched.groupBy("song_id").agg(
         *[
             F.min(F.when(F.col("provider") == p, F.col("best"))).alias(p)
@@ -142,7 +146,7 @@ def provider_waterfall(songs: DataFrame, embeds: DataFrame, candidates: DataFram
         pick(F.col("embed.audio_url"), "audio_url").alias("audio_url"),
         pick(F.col("embed.artwork_url"), "artwork_url").alias("artwork_url"),
         pick(F.col("title"), "cand_title").alias("matched_title"),
-        pick(F.try_element_at("artists", F.lit(1)), "cand_artist").alias("matched_artist"),
+        pick(F.col("lead"), "cand_artist").alias("matched_artist"),
         pick(F.concat(F.lit(TRACK_PAGE), F.col("track_id").cast("string")), "store_url").alias("store_url"),
         pick(itunes["album"], "album").alias("album"),
         F.when(F.col("embed").isNotNull(), F.coalesce(F.col("embed.embed_year"), year_from(itunes["release_date"])))
@@ -154,13 +158,13 @@ def provider_waterfall(songs: DataFrame, embeds: DataFrame, candidates: DataFram
 def edge_first_match(requests: DataFrame, titles: DataFrame, previews: DataFrame) -> DataFrame:
     """First playable title of each requested edge, else a search link.
 
-    ``requests(src, dst)``; ``titles(src, dst, song_id, title, artists, rank,
+    ``requests(src, dst)``; ``titles(src, dst, song_id, title, lead, rank,
     preview_source)``; ``previews(song_id, source, audio_url)``.  Titles
     already marked "none" are skipped; a pair without titles yields NULLs.
     """
     by_rank = titles.join(requests.distinct(), ["src", "dst"], "left_semi")
     first = by_rank.groupBy("src", "dst").agg(
-        F.min(F.struct("rank", "title", "artists")).alias("first")
+        F.min(F.struct("rank", "title", "lead")).alias("first")
     )
     tried = by_rank.filter(F.coalesce("preview_source", F.lit("")) != NO_MATCH)
     hits = (
@@ -169,8 +173,7 @@ def edge_first_match(requests: DataFrame, titles: DataFrame, previews: DataFrame
         .agg(F.min(F.struct("rank", "title", "source", "audio_url")).alias("hit"))
     )
     joined = requests.distinct().join(first, ["src", "dst"], "left").join(hits, ["src", "dst"], "left")
-    lead = F.coalesce(F.try_element_at("first.artists", F.lit(1)), F.lit(""))
-    term = F.trim(F.concat_ws(" ", "first.title", lead))
+    term = F.trim(F.concat_ws(" ", "first.title", "first.lead"))
     return joined.select(
         "src",
         "dst",
@@ -192,17 +195,15 @@ def mark_checked(titles: DataFrame, previews: DataFrame) -> DataFrame:
     ).drop("won")
 
 
-def any_hit_coverage(songs: DataFrame, known: DataFrame, tried: int = 4) -> DataFrame:
+def any_hit_coverage(songs: DataFrame, credits: DataFrame, known: DataFrame, tried: int = 4) -> DataFrame:
     """Share of songs for which any of the first distinct credited names and
     the title are known to a catalog, with the decision band.
 
-    ``songs(song_id, title, artists)``; ``known(artist, title)``.
+    ``songs(song_id)``; ``credits(song_id, title, artist, pos)`` in credit
+    order; ``known(artist, title)``.
     """
-    probes = songs.select(
-        "song_id",
-        "title",
-        F.explode(F.slice(F.array_distinct(F.filter("artists", lambda a: a != "")), 1, tried)).alias("artist"),
-    )
+    named = credits.filter("artist <> ''").groupBy("song_id", "title", "artist").agg(F.min("pos").alias("pos"))
+    probes = first_rows(named, ["song_id"], ["pos", "artist"], tried)
     catalog = known.select("artist", "title").distinct().withColumn("hit", F.lit(1))
     hits = probes.join(catalog, ["artist", "title"], "left").groupBy("song_id").agg(
         F.max(F.coalesce("hit", F.lit(0))).alias("hit"), F.count(F.lit(1)).alias("probes")

@@ -150,7 +150,8 @@ def refresh_degrees(nodes: DataFrame, counted: DataFrame) -> DataFrame:
 def adjacency(edges: DataFrame, chunk: ColumnLike) -> DataFrame:
     """Neighbour lists, split by ``chunk`` so that no row grows without bound.
 
-    ``chunk`` is an expression over ``dst``, for example a hash modulo.
+    ``chunk`` is an expression over ``dst`` that maps few ids to each chunk,
+    for example ``id >> 10`` for at most 1024 neighbours per row.
     """
     return (
         symmetric(edges)
@@ -160,8 +161,25 @@ def adjacency(edges: DataFrame, chunk: ColumnLike) -> DataFrame:
 
 
 def shared_groups(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """The groups both nodes of each ``(src, dst)`` pair belong to."""
-    wanted = pairs.select("src", "dst").distinct()
-    of_src = members.select("group_id", F.col("entity_id").alias("src"))
-    of_dst = members.select("group_id", F.col("entity_id").alias("dst"))
-    return wanted.join(of_src, "src").join(of_dst, ["group_id", "dst"]).select("src", "dst", "group_id")
+    """The groups both nodes of each ``(src, dst)`` pair belong to.
+
+    Each pair is looked up from the endpoint with fewer memberships, so the
+    edges of a hub cost their other ends' memberships, not the hub's.
+    """
+    counts = members.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
+    wanted = (
+        pairs.select("src", "dst")
+        .distinct()
+        .join(counts.select(F.col("entity_id").alias("src"), F.col("n").alias("src_n")), "src")
+        .join(counts.select(F.col("entity_id").alias("dst"), F.col("n").alias("dst_n")), "dst")
+    )
+    rarer_first = F.col("src_n") <= F.col("dst_n")
+    sided = wanted.select(
+        "src",
+        "dst",
+        F.when(rarer_first, F.col("src")).otherwise(F.col("dst")).alias("rarer"),
+        F.when(rarer_first, F.col("dst")).otherwise(F.col("src")).alias("other"),
+    )
+    of_rarer = members.select("group_id", F.col("entity_id").alias("rarer"))
+    of_other = members.select("group_id", F.col("entity_id").alias("other"))
+    return sided.join(of_rarer, "rarer").join(of_other, ["group_id", "other"]).select("src", "dst", "group_id")

@@ -132,10 +132,10 @@ def refresh_degree(spark, sf):
 
 
 @query("adjacency", f"""
-WITH {ro.SQL_EDGES} SELECT src, dst & 15 AS chunk, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS neighbors
-FROM adj GROUP BY src, dst & 15""")
+WITH {ro.SQL_EDGES} SELECT src, dst >> 10 AS chunk, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS neighbors
+FROM adj GROUP BY src, dst >> 10""")
 def adjacency(spark, sf):
-    chunked = pr.adjacency(pr.co_members(ro.members(spark, sf)), F.col("dst").bitwiseAND(F.lit(15).cast("bigint")))
+    chunked = pr.adjacency(pr.co_members(ro.members(spark, sf)), F.shiftright("dst", 10))
     return chunked.withColumn("neighbors", F.array_join(F.col("neighbors").cast("array<string>"), ","))
 
 
@@ -350,19 +350,16 @@ def _built(spark, sf):
 
 
 @query("build_graph", _BUILD + """
-SELECT b.src, b.dst, title, CAST(rank AS INTEGER) AS rank, lineup FROM ball b JOIN pair_titles t USING (src, dst)
-JOIN (SELECT src, dst, title, string_agg(name, ', ' ORDER BY name, entity_id) AS lineup FROM (
-  SELECT DISTINCT t.src, t.dst, t.title, m.entity_id, p_name AS name
-  FROM pair_titles t JOIN multi a ON a.entity_id = t.src JOIN multi c ON c.entity_id = t.dst AND c.group_id = a.group_id
-  JOIN group_titles g ON g.group_id = a.group_id AND g.title = t.title
-  JOIN multi m ON m.group_id = a.group_id JOIN part ON p_partkey = m.entity_id) GROUP BY src, dst, title)
-USING (src, dst, title)""")
+SELECT DISTINCT b.src, b.dst, t.title, CAST(t.rank AS INTEGER) AS rank, m.entity_id, p_name AS name
+FROM ball b JOIN pair_titles t USING (src, dst)
+JOIN multi a ON a.entity_id = b.src JOIN multi c ON c.entity_id = b.dst AND c.group_id = a.group_id
+JOIN group_titles g ON g.group_id = a.group_id AND g.title = t.title
+JOIN multi m ON m.group_id = a.group_id JOIN part ON p_partkey = m.entity_id""")
 def build(spark, sf):
     graph = _built(spark, sf)
-    lineup = graph.lineups.groupBy("src", "dst", "title").agg(
-        F.array_join(F.sort_array(F.collect_list(F.struct("name", "entity_id")))["name"], ", ").alias("lineup")
+    return graph.titles.join(graph.lineups, ["src", "dst", "title"]).select(
+        "src", "dst", "title", "rank", "entity_id", "name"
     )
-    return graph.titles.join(lineup, ["src", "dst", "title"]).select("src", "dst", "title", "rank", "lineup")
 
 
 @query("build_nodes", _BUILD + """,

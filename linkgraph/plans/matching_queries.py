@@ -59,10 +59,19 @@ per_provider AS (
 _CAND_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cand_title"]
 
 
-def _songs(spark, sf):
+def _names(spark, sf):
+    """Distinct part names per order: the credited artists of its songs."""
     lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("group_id"), F.col("l_partkey").alias("p_partkey"))
-    names = lines.join(table(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey")
-    artists = names.groupBy("group_id").agg(F.sort_array(F.collect_set("p_name")).alias("artists"))
+    names = lines.join(table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("artist")), "p_partkey")
+    return names.select("group_id", "artist").distinct()
+
+
+def _credits(spark, sf, songs):
+    return songs.select("song_id", "group_id", "title").join(_names(spark, sf), "group_id").drop("group_id")
+
+
+def _songs(spark, sf):
+    leads = _names(spark, sf).groupBy("group_id").agg(F.min("artist").alias("lead"))
     titles = ro.items(spark, sf).select("group_id", "title").distinct()
     orders = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("group_id"), "o_orderpriority", "o_orderstatus"
@@ -70,11 +79,11 @@ def _songs(spark, sf):
     track = F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(F.lit("T"), F.col("group_id").cast("string"))).when(
         F.col("o_orderpriority") == "2-HIGH", ma.NO_MATCH
     )
-    return titles.join(artists, "group_id").join(orders, "group_id").select(
+    return titles.join(leads, "group_id").join(orders, "group_id").select(
         F.concat_ws("|", F.col("group_id").cast("string"), "title").alias("song_id"),
         "group_id",
         "title",
-        "artists",
+        "lead",
         track.alias("track_id"),
         "o_orderpriority",
         "o_orderstatus",
@@ -118,7 +127,7 @@ SELECT song_id, audio_url AS best_url FROM (SELECT song_id, min(place) AS place
 JOIN candidates USING (place)""")
 def catalog_match(spark, sf):
     playable = _candidates(spark, sf).filter("audio_url IS NOT NULL")
-    best = ma.best_candidates(_songs(spark, sf), playable, _order())
+    best = ma.best_candidates(_credits(spark, sf, _songs(spark, sf)), playable, _order())
     return best.select("song_id", F.col("best.audio_url").alias("best_url"))
 
 
@@ -129,7 +138,8 @@ FROM songs s LEFT JOIN (SELECT song_id, min(place) AS place FROM per_provider WH
 LEFT JOIN candidates USING (place)""")
 def resolve_first_accepted(spark, sf):
     deezer = _candidates(spark, sf).filter("provider = 'deezer'")
-    return ma.resolve_first_accepted(_songs(spark, sf), deezer, _order(), "audio_url")
+    songs = _songs(spark, sf)
+    return ma.resolve_first_accepted(songs, _credits(spark, sf, songs), deezer, _order(), "audio_url")
 
 
 _EMBED_PAGES = """
@@ -175,7 +185,10 @@ previews AS (
 
 
 def _previews(spark, sf):
-    return ma.provider_waterfall(_songs(spark, sf), _embeds(spark, sf), _candidates(spark, sf), _order())
+    songs = _songs(spark, sf)
+    return ma.provider_waterfall(
+        songs, _credits(spark, sf, songs), _embeds(spark, sf), _candidates(spark, sf), _order()
+    )
 
 
 @query("provider_waterfall", _WATERFALL + " SELECT song_id, source, audio_url FROM previews")
@@ -212,7 +225,10 @@ def enrich_track_ids(spark, sf):
         "song_id",
         F.when(F.col("o_orderstatus") == "O", "ok").when(F.col("o_orderstatus") == "F", "error").otherwise("aborted").alias("status"),
     )
-    matches = ma.resolve_first_accepted(pending(songs, "track_id"), _candidates(spark, sf), _order(), "audio_url")
+    waiting = pending(songs, "track_id")
+    matches = ma.resolve_first_accepted(
+        waiting, _credits(spark, sf, waiting), _candidates(spark, sf), _order(), "audio_url"
+    )
     return en.enrich_track_ids(songs, outcomes, matches)
 
 
@@ -231,7 +247,9 @@ WITH {_SONGS}
 SELECT song_id, trim(title || ' ' || names) AS term
 FROM songs JOIN (SELECT group_id, string_agg(artist, ' ' ORDER BY artist) AS names FROM credits GROUP BY group_id) USING (group_id)""")
 def song_terms(spark, sf):
-    return ma.song_terms(_songs(spark, sf))
+    # A search term lists every name, so this one does gather them per order.
+    names = _names(spark, sf).groupBy("group_id").agg(F.sort_array(F.collect_set("artist")).alias("artists"))
+    return ma.song_terms(_songs(spark, sf).join(names, "group_id"))
 
 
 @query("edge_first_match", f"""
@@ -269,15 +287,14 @@ def edge_first_match(spark, sf):
     ).filter("src <> dst")
     titled = ti.pair_titles(_hub_pairs(spark, sf, credited), credited, _group_titles(spark, sf))
     ranked = ti.dedup_titles(titled, ["src", "dst"])
-    artists = _hub_lineup(spark, sf).groupBy("src", "dst", "title").agg(
-        F.sort_array(F.collect_set("name")).alias("artists")
-    )
+    lineup = materialize(_hub_lineup(spark, sf), "lineup")
+    leads = lineup.groupBy("src", "dst", "title").agg(F.min("name").alias("lead"))
+    song_id = F.concat_ws("|", F.col("src").cast("string"), F.col("dst").cast("string"), "title")
     # Live versions count as checked before, unless their title carries a 1.
     checked = F.contains("title", F.lit("Live")) & ~F.contains("title", F.lit("1"))
     titles = materialize(
-        ranked.join(artists, ["src", "dst", "title"]).select(
-            "src", "dst", "title", "rank", "artists",
-            F.concat_ws("|", F.col("src").cast("string"), F.col("dst").cast("string"), "title").alias("song_id"),
+        ranked.join(leads, ["src", "dst", "title"]).select(
+            "src", "dst", "title", "rank", "lead", song_id.alias("song_id"),
             F.when(checked, ma.NO_MATCH).alias("preview_source"),
         ),
         "titles",
@@ -293,7 +310,8 @@ def edge_first_match(spark, sf):
         F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey")]),
     )
     candidates = raw.select(F.col("s_name").alias("cand_title"), F.col("p_name").alias("cand_artist"), link.alias("audio_url"))
-    best = ma.best_candidates(titles, candidates, [F.col("audio_url")])
+    credits = lineup.select(song_id.alias("song_id"), "title", F.col("name").alias("artist"))
+    best = ma.best_candidates(credits, candidates, [F.col("audio_url")])
     previews = best.select("song_id", F.lit("deezer").alias("source"), F.col("best.audio_url").alias("audio_url"))
     return ma.edge_first_match(requests, titles, previews)
 
@@ -316,7 +334,9 @@ def any_hit_coverage(spark, sf):
         .join(table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("artist")), "p_partkey")
         .join(table(spark, sf, "supplier").select("s_suppkey", F.col("s_name").alias("title")), "s_suppkey")
     )
-    return ma.any_hit_coverage(_songs(spark, sf), known)
+    songs = _songs(spark, sf)
+    credits = _credits(spark, sf, songs).withColumn("pos", F.lit(0))
+    return ma.any_hit_coverage(songs, credits, known)
 
 
 @query("outcome_tally", f"""

@@ -96,64 +96,65 @@ def graph_roundtrip(spark, sf):
     return graph.edges.join(degrees, "src").select("src", "dst", "name", "degree")
 
 
-_RECORD = "o_orderkey"
+def _named_lines(spark, sf):
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    suppliers = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
+    return lines.join(parts, "l_partkey").join(suppliers, "l_suppkey")
 
 
-@query("parse_nested_credits", """
-WITH lines AS (
-  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p_name, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS pos
-  FROM lineitem JOIN part ON p_partkey = l_partkey)
-SELECT l_orderkey AS o_orderkey, 'Order ' || l_orderkey AS title, CAST(l_partkey AS VARCHAR) AS entity_id, p_name AS name, CAST(min(pos) AS INTEGER) AS pos
-FROM lines WHERE p_name NOT LIKE 'cold%' GROUP BY ALL""")
+_LINE_ID = "l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey"
+
+
+@query("parse_nested_credits", f"""
+WITH lines AS (SELECT DISTINCT {_LINE_ID} AS record, l_partkey, l_suppkey, p_name, s_name
+  FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey)
+SELECT record, 'Line ' || record AS title, 'P' || l_partkey AS entity_id, p_name AS name, 0 AS pos FROM lines WHERE p_name NOT LIKE 'cold%'
+UNION ALL SELECT record, 'Line ' || record, 'S' || l_suppkey, s_name, 1 FROM lines""")
 def parse_nested_credits(spark, sf):
-    lines = table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias(_RECORD), "l_linenumber", "l_partkey", "l_suppkey"
-    ).join(table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
-    entry = F.struct(
-        "l_linenumber",
-        "l_partkey",
-        "l_suppkey",
-        F.struct(
-            F.struct(
-                F.col("l_partkey").cast("string").alias("id"),
-                F.when(~F.startswith("p_name", F.lit("cold")), F.col("p_name")).alias("name"),
-            ).alias("artist"),
-            F.lit(" & ").alias("joinphrase"),
-        ).alias("entry"),
-    )
-    documents = lines.groupBy(_RECORD).agg(F.sort_array(F.collect_list(entry))["entry"].alias("entries")).select(
-        _RECORD,
-        F.to_json(
-            F.struct(F.concat(F.lit("Order "), F.col(_RECORD).cast("string")).alias("title"), F.col("entries").alias("artist-credit"))
-        ).alias("document"),
+    def credit(id_text, name):
+        return F.struct(F.struct(id_text.alias("id"), name.alias("name")).alias("artist"), F.lit(" & ").alias("joinphrase"))
+
+    record = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+    part_id = F.concat(F.lit("P"), F.col("l_partkey").cast("string"))
+    part_name = F.when(~F.startswith("p_name", F.lit("cold")), F.col("p_name"))
+    supplier = credit(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")), F.col("s_name"))
+    # The part is credited twice, parts without a name are skipped.
+    entries = F.array(credit(part_id, part_name), supplier, credit(part_id, part_name))
+    documents = _named_lines(spark, sf).select(
+        record.alias("record"),
+        F.to_json(F.struct(F.concat(F.lit("Line "), record).alias("title"), entries.alias("artist-credit"))).alias("document"),
     )
-    return records.parse_credits(documents, _RECORD, "document")
+    return records.parse_credits(documents, "record", "document")
 
 
 @query("flatten_nested", """
-SELECT CAST(l_orderkey AS VARCHAR) AS album_id, CAST(l_linenumber AS VARCHAR) AS track_id, p_name AS track_name, s_name AS artist_name
-FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey
-JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'P'""")
+SELECT CAST(l_orderkey AS VARCHAR) AS album_id, CAST(l_linenumber AS VARCHAR) || t AS track_id, p_name AS track_name, pos,
+  CASE WHEN pos = 0 THEN s_name ELSE p_name END AS artist_name
+FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey,
+  (SELECT unnest(['a', 'b']) AS t), (SELECT unnest([0, 1]) AS pos)
+WHERE l_returnflag <> 'A' AND (t = 'a' OR pos = 0)""")
 def flatten_nested(spark, sf):
-    lines = (
-        table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-        .join(table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
-        .join(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name"), "l_suppkey")
-        .join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus"), "l_orderkey")
-    )
-    track = F.struct(
-        F.col("l_linenumber").cast("string").alias("id"),
-        F.col("p_name").alias("name"),
-        F.array(F.struct(F.col("l_suppkey").cast("string").alias("id"), F.col("s_name").alias("name"))).alias("artists"),
-    )
-    albums = lines.groupBy("l_orderkey", "o_orderstatus").agg(F.collect_list(track).alias("tracks"))
+    def artist(key, name):
+        return F.struct(F.col(key).cast("string").alias("id"), F.col(name).alias("name"))
+
+    def track(suffix, *artists):
+        return F.struct(
+            F.concat(F.col("l_linenumber").cast("string"), F.lit(suffix)).alias("id"),
+            F.col("p_name").alias("name"),
+            F.array(*artists).alias("artists"),
+        )
+
+    supplier, part = artist("l_suppkey", "s_name"), artist("l_partkey", "p_name")
     album = F.struct(
-        F.col("l_orderkey").cast("string").alias("id"), F.concat(F.lit("Album "), F.col("l_orderkey").cast("string")).alias("name"), "tracks"
+        F.col("l_orderkey").cast("string").alias("id"),
+        F.lit("Album").alias("name"),
+        F.array(track("a", supplier, part), track("b", supplier)).alias("tracks"),
     )
     # The service answers some albums with null.
-    text = F.when(F.col("o_orderstatus") == "P", "[null]").otherwise(F.to_json(F.array(album)))
-    flat = records.flatten_albums(albums.select(text.alias("document")), "document")
-    return flat.select("album_id", "track_id", "track_name", "artist_name")
+    text = F.when(F.col("l_returnflag") == "A", "[null]").otherwise(F.to_json(F.array(album)))
+    flat = records.flatten_albums(_named_lines(spark, sf).select(text.alias("document")), "document")
+    return flat.select("album_id", "track_id", "track_name", "pos", "artist_name")
 
 
 @query("lookup_by_id", "SELECT o_orderkey AS id, p_name AS name, p_partkey IS NOT NULL AS known FROM orders LEFT JOIN part ON p_partkey = o_orderkey")

@@ -17,7 +17,7 @@ from linkgraph.sources import records
 from linkgraph.sources import tables as src
 from linkgraph.streaming import incremental as stream
 
-SONGS = "song_id string, title string, artists array<string>, track_id string"
+SONGS = "song_id string, title string, artists array<string>, track_id string, lead string"
 CANDS = "provider string, cand_title string, cand_artist string, audio_url string, store_url string, artwork_url string, album string, release_date string, pos int"
 
 
@@ -29,16 +29,21 @@ def rows(df):
 def songs(spark):
     return spark.createDataFrame(
         [
-            ("s1", "Night Drive", ["Ana Bo", "Cee Dee"], "T1"),
-            ("s2", "Really Now (Remix)", ["Ana Bo"], None),
-            ("s3", "No Match", ["Ana Bo"], "none"),
-            ("s4", "Night Drive", ["Xy"], None),
-            ("s5", "Deep Cut", ["Cee Dee"], "T5"),
+            ("s1", "Night Drive", ["Ana Bo", "Cee Dee"], "T1", "Ana Bo"),
+            ("s2", "Really Now (Remix)", ["Ana Bo"], None, "Ana Bo"),
+            ("s3", "No Match", ["Ana Bo"], "none", "Ana Bo"),
+            ("s4", "Night Drive", ["Xy"], None, "Xy"),
+            ("s5", "Deep Cut", ["Cee Dee"], "T5", "Cee Dee"),
         ],
         SONGS,
     )
 
 
+@pytest.fixture(scope="module")
+def credits(songs):
+    return songs.select("song_id", "title", F.posexplode("artists").alias("pos", "artist"))
+
+
 @pytest.fixture(scope="module")
 def candidates(spark):
     return spark.createDataFrame(
@@ -54,8 +59,8 @@ def candidates(spark):
     )
 
 
-def test_best_candidates_agrees_with_the_predicate(spark, songs, candidates):
-    best = ma.best_candidates(songs, candidates, [F.col("pos")])
+def test_best_candidates_agrees_with_the_predicate(songs, credits, candidates):
+    best = ma.best_candidates(credits, candidates, [F.col("pos")])
     got = {r["song_id"]: r["best"]["pos"] for r in best.collect()}
     # Every pair against the plain predicate, on a fixture this small.
     pairs = songs.join(candidates, tx.accepts("title", "artists", "cand_title", "cand_artist"))
@@ -63,17 +68,17 @@ def test_best_candidates_agrees_with_the_predicate(spark, songs, candidates):
     assert got == {"s1": 1, "s2": 2, "s5": 5}
 
 
-def test_first_accepted_or_sentinel(songs, candidates):
-    got = ma.resolve_first_accepted(songs, candidates, [F.col("pos")], "audio_url")
+def test_first_accepted_or_sentinel(songs, credits, candidates):
+    got = ma.resolve_first_accepted(songs, credits, candidates, [F.col("pos")], "audio_url")
     assert rows(got) == [("s1", "u1"), ("s2", "u3"), ("s3", "none"), ("s4", "none"), ("s5", "u5")]
 
 
-def test_waterfall_order_links_and_backfill(spark, songs, candidates):
+def test_waterfall_order_links_and_backfill(spark, songs, credits, candidates):
     embeds = spark.createDataFrame(
         [("T1", "e1", "art", None), ("T5", None, None, None), ("none", "never", None, None)],
         "track_id string, audio_url string, artwork_url string, embed_year int",
     )
-    got = {r["song_id"]: r for r in ma.provider_waterfall(songs, embeds, candidates, [F.col("pos")]).collect()}
+    got = {r["song_id"]: r for r in ma.provider_waterfall(songs, credits, embeds, candidates, [F.col("pos")]).collect()}
     first = got["s1"]
     assert (first["source"], first["audio_url"], first["album"], first["year"]) == ("embed", "e1", "Album One", 2005)
     assert (first["matched_title"], first["matched_artist"], first["store_url"]) == ("Night Drive", "Ana Bo", ma.TRACK_PAGE + "T1")
@@ -81,17 +86,17 @@ def test_waterfall_order_links_and_backfill(spark, songs, candidates):
     assert (got["s5"]["source"], got["s3"]["source"], got["s4"]["source"]) == ("deezer", None, None)
 
     titles = songs.select("song_id", F.when(F.col("song_id") == "s2", "itunes").alias("preview_source"))
-    marked = dict(rows(ma.mark_checked(titles, ma.provider_waterfall(songs, embeds, candidates, [F.col("pos")])).select("song_id", "preview_source")))
+    marked = dict(rows(ma.mark_checked(titles, ma.provider_waterfall(songs, credits, embeds, candidates, [F.col("pos")])).select("song_id", "preview_source")))
     assert marked == {"s1": "embed", "s2": "itunes", "s3": "none", "s4": "none", "s5": "deezer"}
 
 
 def test_edge_first_match(spark):
     titles = spark.createDataFrame(
         [
-            ("a", "b", "x1", "First", ["Ana"], 1, None), ("a", "b", "x2", "Second", ["Ana"], 2, None),
-            ("a", "c", "x3", "Only & One", ["Bo"], 1, None), ("a", "d", "x4", "Checked", ["Cy"], 1, "none"),
+            ("a", "b", "x1", "First", "Ana", 1, None), ("a", "b", "x2", "Second", "Ana", 2, None),
+            ("a", "c", "x3", "Only & One", "Bo", 1, None), ("a", "d", "x4", "Checked", "Cy", 1, "none"),
         ],
-        "src string, dst string, song_id string, title string, artists array<string>, rank int, preview_source string",
+        "src string, dst string, song_id string, title string, lead string, rank int, preview_source string",
     )
     previews = spark.createDataFrame(
         [("x1", None, None), ("x2", "itunes", "u2"), ("x4", "itunes", "u4")], "song_id string, source string, audio_url string"
@@ -106,9 +111,9 @@ def test_edge_first_match(spark):
     }
 
 
-def test_coverage_and_tally(spark, songs):
+def test_coverage_and_tally(spark, songs, credits):
     known = spark.createDataFrame([("Cee Dee", "Night Drive"), ("Cee Dee", "Deep Cut")], "artist string, title string")
-    assert tuple(ma.any_hit_coverage(songs, known).first()) == (5, 2, 6, 40.0, "judgment")
+    assert tuple(ma.any_hit_coverage(songs, credits, known).first()) == (5, 2, 6, 40.0, "judgment")
     attempts = spark.createDataFrame([("hit",), ("hit",), ("null",), (None,)], "status string")
     row = ma.outcome_tally(attempts, "status").first()
     assert (row["tried"], row["n_hit"], row["overall_rate"], row["verdict"]) == (3, 2, 50.0, "GO")
