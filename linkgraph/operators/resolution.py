@@ -22,7 +22,13 @@ from linkgraph.functions.similarity import (
 )
 from linkgraph.functions.text import fold_name, same_name
 from linkgraph.operators.containment import substring_pairs
-from linkgraph.operators.ranking import label_candidates, promote_prominent, rank_by, with_prominence
+from linkgraph.operators.ranking import (
+    exact_lookup,
+    label_candidates,
+    promote_prominent,
+    rank_by,
+    with_prominence,
+)
 from linkgraph.session import materialize
 
 # Defaults of the search.
@@ -159,6 +165,19 @@ def search(
     return found.withColumn("matches_query", same_name("name", "query"))
 
 
+def identify(
+    queries: DataFrame, entities: DataFrame, aliases: DataFrame, scorer: str | None = "token_sort"
+) -> DataFrame:
+    """One entity per query: the exact name, else the exact alias, else the
+    first search hit.  Queries that find nothing are absent."""
+    exact = materialize(exact_lookup(queries, entities, aliases), "exact")
+    rest = exact.filter("id IS NULL").select("query")
+    searched = resolve(rest, entities, aliases, limit=1, scorer=scorer).select(
+        "query", "id", "name", F.lit("search").alias("matched_by")
+    )
+    return exact.filter("id IS NOT NULL").unionByName(searched)
+
+
 def submit(results: DataFrame) -> DataFrame:
     """What a submitted query resolves to, and a notice if the name differs."""
     return results.filter("rank = 1").select(

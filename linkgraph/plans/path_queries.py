@@ -10,10 +10,12 @@ from linkgraph.operators import reports as rp
 from linkgraph.operators import titles as ti
 from linkgraph.operators import traversal as tr
 from linkgraph.operators.ranking import exact_lookup
+from linkgraph.operators.resolution import identify
 from linkgraph.plans import roles as ro
 from linkgraph.plans.graph_queries import _group_titles
 from linkgraph.plans.registry import query
 from linkgraph.plans.roles import table
+from linkgraph.plans.search_queries import search_hits, similar_hits
 from linkgraph.session import materialize
 
 
@@ -215,20 +217,27 @@ def growth_vs_baseline(spark, sf):
     return rp.growth(deep, shallow)
 
 
-@query("connect_by_name", _NAMED + """,
+_EXACT = _NAMED.split(ro.SQL_QUERIES)[1]
+_REACHED = ro.sql_dist(ro.FAR).split(ro.SQL_EDGES)[1]
+
+
+@query("connect_by_name", search_hits(1) + similar_hits(1) + _REACHED + _EXACT + """,
 parents AS (
   SELECT v.node, v.dist, min(u.node) AS parent FROM reached v LEFT JOIN adj a ON a.src = v.node
-  LEFT JOIN reached u ON u.node = a.dst AND u.dist = v.dist - 1 GROUP BY v.node, v.dist)
-SELECT query, x.id, matched_by, dist AS degrees, parent AS first_step FROM exact x LEFT JOIN parents ON node = x.id WHERE x.id IS NOT NULL""")
+  LEFT JOIN reached u ON u.node = a.dst AND u.dist = v.dist - 1 GROUP BY v.node, v.dist),
+chosen AS (
+  SELECT x.query, coalesce(x.id, h.id, n.id) AS id,
+         CASE WHEN x.id IS NOT NULL THEN matched_by ELSE 'search' END AS matched_by
+  FROM exact x LEFT JOIN hits h ON h.query = x.query LEFT JOIN near n ON n.query = x.query)
+SELECT query, id, matched_by, dist AS degrees, parent AS first_step FROM chosen LEFT JOIN parents ON node = id WHERE id IS NOT NULL""")
 def connect_by_name(spark, sf):
     _, reached = _from_hub(spark, sf)
-    found = exact_lookup(ro.search_queries(spark, sf), ro.ranked_entities(spark, sf), ro.aliases(spark, sf))
+    ranked = materialize(ro.ranked_entities(spark, sf), "entities")
+    found = identify(ro.search_queries(spark, sf), ranked, ro.aliases(spark, sf), scorer="edit")
     tree = reached.table.select(
         F.col("node").alias("id"), F.col("dist").alias("degrees"), F.col("parent").alias("first_step")
     )
-    return found.filter("id IS NOT NULL").join(tree, "id", "left").select(
-        "query", "id", "matched_by", "degrees", "first_step"
-    )
+    return found.join(tree, "id", "left").select("query", "id", "matched_by", "degrees", "first_step")
 
 
 @query("watchlist_flags", _HOPS + """,

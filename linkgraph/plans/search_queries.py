@@ -22,7 +22,7 @@ def _inputs(spark, sf):
 _ORDER = "tier, prim DESC, sec DESC, name, id"
 
 
-def _hits(limit: int) -> str:
+def search_hits(limit: int) -> str:
     """Ranked prefix/substring hits per query."""
     return f"""
 WITH RECURSIVE {ro.SQL_RANKED},{ro.SQL_ALIASES},{ro.SQL_QUERIES},
@@ -41,7 +41,7 @@ hits AS (
     FROM best b JOIN ranked r USING (id)) WHERE rank <= {limit})"""
 
 
-def _similar(limit: int) -> str:
+def similar_hits(limit: int) -> str:
     """Similar names (edit score) of queries with fewer than three hits."""
     return f""",
 thin AS (SELECT a.query, folded FROM asked a LEFT JOIN hits h ON h.query = a.query GROUP BY a.query, folded HAVING count(h.id) < 3),
@@ -78,7 +78,7 @@ results AS (
          lower(trim(name)) = lower(trim(query)) AS matches_query FROM labelled)"""
 
 
-@query("resolve_sql_tiers", _hits(10) + """
+@query("resolve_sql_tiers", search_hits(10) + """
 SELECT query, CAST(rank AS INTEGER) AS rank, id, name, popularity, degree, tier FROM hits""")
 def resolve_sql_tiers(spark, sf):
     asked, ranked, aliases = _inputs(spark, sf)
@@ -86,15 +86,15 @@ def resolve_sql_tiers(spark, sf):
     return hits.select("query", "rank", "id", "name", "popularity", "degree", "tier")
 
 
-@query("cross_tier_override", _hits(10) + _OVERRIDE + """
+@query("cross_tier_override", search_hits(10) + _OVERRIDE + """
 SELECT query, CAST(place AS INTEGER) AS rank, id, tier FROM final""")
 def cross_tier_override(spark, sf):
     asked, ranked, aliases = _inputs(spark, sf)
     return rs.resolve(asked, ranked, aliases, 10, scorer=None).select("query", "rank", "id", "tier")
 
 
-@query("resolve_entities", _hits(10).replace("hits AS (", "tier_hits AS (")
-       + _similar(10).replace("JOIN hits h", "JOIN tier_hits h") + f""",
+@query("resolve_entities", search_hits(10).replace("hits AS (", "tier_hits AS (")
+       + similar_hits(10).replace("JOIN hits h", "JOIN tier_hits h") + f""",
 hits AS (
   SELECT * FROM (
     SELECT query, tier, id, name, popularity, degree, prim, sec, row_number() OVER (PARTITION BY query ORDER BY arrival) AS rank
@@ -114,7 +114,7 @@ def resolve_token_sort(spark, sf):
     return rs.resolve(*_inputs(spark, sf), limit=10)
 
 
-@query("fuzzy_candidates", _hits(10) + _similar(10) + """
+@query("fuzzy_candidates", search_hits(10) + similar_hits(10) + """
 SELECT query, id, name, CAST(score AS DOUBLE) AS score, CAST(rank AS INTEGER) AS rank FROM near""")
 def fuzzy_candidates(spark, sf):
     asked, ranked, aliases = _inputs(spark, sf)
@@ -133,12 +133,12 @@ def fuzzy_token_sort(spark, sf):
     return found.select("query", "id", "name", "score", "rank")
 
 
-@query("disambiguate_labels", _hits(10) + _OVERRIDE + _LABELS + " SELECT query, id, label FROM results")
+@query("disambiguate_labels", search_hits(10) + _OVERRIDE + _LABELS + " SELECT query, id, label FROM results")
 def disambiguate_labels(spark, sf):
     return rk.label_candidates(rs.resolve(*_inputs(spark, sf), limit=10, scorer=None)).select("query", "id", "label")
 
 
-_SERVED = _hits(8).replace("FROM queries) WHERE folded <> ''", "FROM (SELECT DISTINCT trim(query) AS query FROM queries)) WHERE folded <> '' AND length(query) >= 2")
+_SERVED = search_hits(8).replace("FROM queries) WHERE folded <> ''", "FROM (SELECT DISTINCT trim(query) AS query FROM queries)) WHERE folded <> '' AND length(query) >= 2")
 
 
 @query("search_result", _SERVED + _OVERRIDE + _LABELS + """

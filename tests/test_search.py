@@ -179,3 +179,10 @@ def test_search_and_submit(spark):
 
 def test_coverage_of_an_empty_table(spark):
     assert rk.coverage_fraction(entities(spark).limit(0), "enriched").first()["coverage"] == 0.0
+
+
+def test_identify_falls_back_to_search(spark):
+    got = rs.identify(ask(spark, "the gang", "Karim West", "Kendr Lowel", "Tayla", "qqqq"), entities(spark), aliases(spark))
+    assert {r["query"]: (r["id"], r["matched_by"]) for r in got.collect()} == {
+        "the gang": ("g1", "name"), "Karim West": ("yo", "alias"), "Kendr Lowel": ("kl", "search"), "Tayla": ("ts", "search"),
+    }
