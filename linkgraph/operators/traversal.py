@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from linkgraph.functions._columns import union_all
 from linkgraph.operators.projection import canonical_pair
-from linkgraph.session import materialize, write_counted
+from linkgraph.session import Written, materialize, write_counted
 
 LEVEL_COLUMNS = ("root", "node", "dist", "parent")
 
@@ -54,6 +54,19 @@ def _expand(frontier: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
+def _next_level(last_two: list[DataFrame], members: DataFrame, depth: int) -> Written:
+    """Write the nodes at ``depth``, given the two levels before it.
+
+    Sharing a group is symmetric, so a neighbour of a node at distance d is at
+    distance d - 1, d or d + 1: only the last two levels can come up again.
+    """
+    recent = union_all([level.select("root", "node") for level in last_two])
+    fresh = _expand(last_two[-1].select("root", "node"), members).join(recent, ["root", "node"], "left_anti")
+    return write_counted(
+        fresh.select("root", "node", F.lit(depth).cast("bigint").alias("dist"), "parent"), "level"
+    )
+
+
 def distances(
     members: DataFrame,
     seeds: DataFrame,
@@ -82,13 +95,7 @@ def distances(
             if left.rows == 0:
                 break
             waiting = left.table
-        visited = union_all([level.select("root", "node") for level in levels])
-        fresh = _expand(levels[-1].select("root", "node"), members).join(
-            visited, ["root", "node"], "left_anti"
-        )
-        level = write_counted(
-            fresh.select("root", "node", F.lit(depth + 1).cast("bigint").alias("dist"), "parent"), "level"
-        )
+        level = _next_level(levels[-2:], members, depth + 1)
         if level.rows == 0:
             break
         levels.append(level.table)
@@ -105,22 +112,15 @@ def resume(
     been expanded before.
     """
     stored = materialize(stored.select(*LEVEL_COLUMNS), "stored")
-    ring = stored.agg(F.max("dist").alias("outer")).first()["outer"]
+    depth = stored.agg(F.max("dist").alias("outer")).first()["outer"]
+    recent = [stored.filter(F.col("dist") == depth - 1), stored.filter(F.col("dist") == depth)]
     levels = [stored]
-    frontier = stored.filter(F.col("dist") == ring)
-    depth = ring
     while max_depth is None or depth < max_depth:
-        visited = union_all([level.select("root", "node") for level in levels])
-        fresh = _expand(frontier.select("root", "node"), members).join(
-            visited, ["root", "node"], "left_anti"
-        )
-        level = write_counted(
-            fresh.select("root", "node", F.lit(depth + 1).cast("bigint").alias("dist"), "parent"), "level"
-        )
+        level = _next_level(recent, members, depth + 1)
         if level.rows == 0:
             break
         levels.append(level.table)
-        frontier = level.table
+        recent = [recent[-1], level.table]
         depth += 1
     return Reached(union_all(levels), depth)
 

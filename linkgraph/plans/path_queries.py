@@ -251,10 +251,11 @@ title_hits AS (
 SELECT * FROM node_hits UNION ALL SELECT * FROM title_hits""")
 def watchlist_flags(spark, sf):
     credited, reached = _from_hub(spark, sf)
-    paths = tr.walk_back(_requests(spark, sf, reached), reached)
+    paths = materialize(tr.walk_back(_requests(spark, sf, reached), reached), "paths")
     nodes = pa.with_name(pa.path_nodes(paths, ["node"]), ro.entities(spark, sf), "id", "name")
     hops = pa.path_hops(paths, ["node"])
-    titles = hops.join(pa.hop_titles(hops, credited, _group_titles(spark, sf)), ["src", "dst"])
+    kept = materialize(pa.hop_titles(hops, credited, _group_titles(spark, sf)), "hop-titles")
+    titles = hops.join(kept, ["src", "dst"])
     node_hints = table(spark, sf, "part").select(F.col("p_type").alias("hint"))
     title_hints = table(spark, sf, "supplier").filter("s_acctbal < 0").select(
         F.concat("s_name", F.lit(" - Live")).alias("hint")
@@ -277,7 +278,7 @@ def displayed_titles(spark, sf):
     credited, reached = _from_hub(spark, sf)
     paths = tr.walk_back(_requests(spark, sf, reached), reached)
     hops = pa.path_hops(paths, ["node"]).select("src", "dst").distinct()
-    titled = ti.pair_titles(hops, credited, _group_titles(spark, sf))
+    titled = materialize(ti.pair_titles(hops, credited, _group_titles(spark, sf)), "titled")
     shown = ti.dedup_titles(titled, ["src", "dst"]).filter("rank <= 3").drop("rank")
     lineup = ti.title_lineup(titled.join(shown, ["src", "dst", "title"], "left_semi"), credited)
     named = pa.with_name(lineup, ro.entities(spark, sf), "entity_id", "name")
