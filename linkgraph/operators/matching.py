@@ -80,11 +80,20 @@ def best_candidates(
         .groupBy(*by, "sk_title", "sk_artist")
         .agg(F.min("cand").alias("cand"))
     )
-    per_text = song_keys.join(per_wanted, ["sk_title", "sk_artist"]).select("title", "artist", *by, "cand")
-    return (
-        credited.join(per_text, ["title", "artist"])
-        .groupBy("song_id", *by)
-        .agg(F.min("cand")["row"].alias("best"))
+    per_text = materialize(
+        song_keys.join(per_wanted, ["sk_title", "sk_artist"]).select("title", "artist", *by, "cand"), "accepted"
+    )
+    # Songs are compared by the candidates' order alone; the winner's columns
+    # are fetched once per song.
+    order_keys = [f"o{i}" for i in range(len(order))]
+    ranks = per_text.select("title", "artist", *by, *[F.col(f"cand.{o}").alias(o) for o in order_keys])
+    winners = (
+        credited.join(ranks, ["title", "artist"])
+        .groupBy("song_id", "title", *by)
+        .agg(F.min(F.struct(*order_keys, "artist"))["artist"].alias("artist"))
+    )
+    return winners.join(per_text, ["title", "artist", *by]).select(
+        "song_id", *by, F.col("cand.row").alias("best")
     )
 
 
