@@ -10,8 +10,6 @@ nothing extra.
 
 from __future__ import annotations
 
-from typing import Mapping
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -259,15 +257,3 @@ def outcome_tally(attempts: DataFrame, status: str) -> DataFrame:
 def song_terms(songs: DataFrame) -> DataFrame:
     """The text a song would be searched by."""
     return songs.select("song_id", search_term("title", "artists").alias("term"))
-
-
-PROVIDER_FIELDS: Mapping[str, str] = {
-    "provider": "string",
-    "cand_title": "string",
-    "cand_artist": "string",
-    "audio_url": "string",
-    "store_url": "string",
-    "artwork_url": "string",
-    "album": "string",
-    "release_date": "string",
-}
