@@ -1,25 +1,61 @@
-"""documents, cleaned, deduplicated, mixed and packed."""
+"""documents, filtered, cleaned of common lines, de-duplicated, mixed and packed.
+
+Each stage takes all that its predecessor kept; all but the last return the
+columns of ``documents``.  ``n_chars`` stays what it was in the input.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkgraph.llm import line_dedup, mixing, quality_rules
+from linkgraph.llm import jaccard_join, line_dedup, mixing, packing, quality_rules
+from linkgraph.llm.queries import tokenizer_file
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return quality_rules.keep_good(docs).select(*COLUMNS)
+    return quality_rules.keep_good(docs.select(*COLUMNS))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that stand in many documents go from all but one."""
+    return line_dedup.clean_lines(docs).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked ones stays."""
+    return jaccard_join.one_of_each(docs).select(*COLUMNS)
 
 
-STAGES = [("quality rules", quality)]
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents stand as often as the mix of sources takes them."""
+    return mixing.mixed(docs).select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences; the copies of a document are packed each."""
+    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), with_ids=False)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near_duplicates),
+    ("mixing sources to target weights", mixture),
+    ("packing", packed),
+]
+#: SQL has neither the joins' components nor the rounding's coins nor a tokenizer.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of the whole corpus of ``sf_dir``; every stage is written and read again."""
+    from linkgraph.llm.common import Scratch
+
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = scratch.write(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,8 @@ be taken.  The whole part is taken; of the fractional parts a rounding makes
 whole copies: two documents at a time, words are moved from the one's
 probability to the other's until one of them is 0 or 1, with a coin whose odds
 keep every document's expectation.  What a source takes in words never changes
-by a move, so only its last document is off.
+by a move, so only its last document is off.  Long documents go first: the
+short ones after them settle them, and the last one is short.
 
 Documents are dealt by hash into groups of a source; a group rounds all but
 one document, the residuals of ``FAN_IN`` groups form a group of the next
@@ -22,15 +23,13 @@ carried along.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from linkgraph.llm.common import Scratch, words_of
+from linkgraph.llm.common import Scratch, text_key, words_of
 
 WEIGHTS = (5, 2, 1)  # by source in code point order, repeating
 SHARE = 1.5  # of all words
@@ -98,7 +97,7 @@ def _round_group(size: np.ndarray, p: np.ndarray, coin: np.ndarray) -> int:
 
 
 def _round_rows(groups: pa.Table) -> pa.Table:
-    groups = groups.combine_chunks().sort_by([("_order", "ascending"), ("size", "ascending"), ("_row", "ascending")])
+    groups = groups.combine_chunks().sort_by([("size", "descending"), ("_order", "ascending"), ("_row", "ascending")])
     p = groups["_p"].to_numpy().copy()
     at = _round_group(groups["size"].to_numpy().astype(float), p, groups["_coin"].to_numpy())
     open_ = np.zeros(len(p), bool)
@@ -114,8 +113,6 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
 
     ``docs`` needs doc_id, source and text.
     """
-    from linkgraph.llm.common import text_key
-
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
     key = text_key(F.col("text"))
@@ -172,8 +169,6 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
     Rows alike in id, source and text share their copies out among them: the
     copies of all of them are added up and made from one.
     """
-    from linkgraph.llm.common import text_key
-
     taken = mix(docs, **settings).groupBy("doc_id", "source", "_text_key").agg(F.sum("copies").alias("_copies"))
     taken = taken.where("_copies > 0").select(*(F.col(c).alias(f"_t_{c.strip('_')}") for c in taken.columns))
     return (

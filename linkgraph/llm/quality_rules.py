@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from linkgraph.llm.common import SPACE, Scratch, let, words_of
+from linkgraph.llm.common import Scratch, let, text_key, words_of
 
 MIN_WORDS = 50
 MAX_REPEATED = 50  # hundredths of the words
@@ -162,8 +162,6 @@ def keep_good(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
     Counts depend on text, language and source only, so rows that agree in
     these and in ``doc_id`` have one verdict: the rejected keys are anti-joined.
     """
-    from linkgraph.llm.common import text_key
-
     spark = docs.sparkSession
     keyed = docs.select("doc_id", "text", "lang", "source", text_key(F.col("text")).alias("_text_key"))
     rated = Scratch(spark, "quality").write(rate_documents(keyed), "rated")

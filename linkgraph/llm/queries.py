@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkgraph.llm import line_dedup, mixing, quality_rules, sharding, topk_search, url_filters
+from linkgraph.llm import (
+    jaccard_join,
+    license_scan,
+    line_dedup,
+    mixing,
+    packing,
+    quality_rules,
+    sharding,
+    token_counts,
+    topk_search,
+    url_filters,
+)
 from linkgraph.llm.common import table
 from linkgraph.llm.sql import ORACLES
 
@@ -17,6 +28,22 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *BASE, "base_failed", "kept", F.array_join("failed_rates", ",").alias("failed_rates"))
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file is on this driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), with_ids=False)
+
+
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return line_dedup.clean_lines(docs).select(
@@ -38,6 +65,16 @@ def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, tokenizer_file("byte_bpe_50k.json"))
+
+
+def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return jaccard_join.linked(docs).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_topk_search(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
     return topk_search.top_k(vectors, F.col("vec_id") % 50 == 0)
@@ -58,6 +95,17 @@ def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op4_line_dedup, op5_sharding, op8_topk_search, op9_mixing, op10_url_filters)
+    for f in (
+        op1_quality_rules,
+        op2_packing,
+        op3_license_scan,
+        op4_line_dedup,
+        op5_sharding,
+        op6_token_counts,
+        op7_jaccard_join,
+        op8_topk_search,
+        op9_mixing,
+        op10_url_filters,
+    )
 }
 __all__ = ["ORACLES", "QUERIES"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from linkgraph.llm.license_scan import BLOCK, PHRASES, SEPARATORS, STRIDE, TEMPLATES, needed, template_words
 from linkgraph.llm.quality_rules import MAX_REPEATED, MIN_WORDS, SLACK, SPREAD
 
 _RATE_SQL = {
@@ -78,6 +79,43 @@ cleaned AS (
   FROM marked GROUP BY rid, doc_id)"""
 
 
+def _list(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+_SETS = [(label, template_words(text)) for label, text in TEMPLATES]
+_TEMPLATE_ROWS = ", ".join(
+    f"({i}, '{label}', {_list(ws)}, {len(ws)}, {needed(len(ws))})" for i, (label, ws) in enumerate(_SETS)
+)
+_PHRASE_ROWS = ", ".join(f"('{label}', {_list(phrase.split())})" for label, phrase in PHRASES.items())
+_LICENSES = rf"""
+WITH templates(template, label, ws, n, least) AS (VALUES {_TEMPLATE_ROWS}),
+phrases(label, ps) AS (VALUES {_PHRASE_ROWS}),
+docs AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+worded AS (SELECT *, list_filter(string_split_regex(t, '{SEPARATORS}'), lambda x: x <> '') AS ws FROM docs),
+placed AS (
+  SELECT rid, label, unnest(range(0, len(ws))) AS i, unnest(list_transform(range(0, len(ws)),
+         lambda i: list_slice(ws, i + 1, i + len(ps)) = ps)) AS fits FROM worded, phrases),
+base AS (
+  SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list(DISTINCT label)) AS ls
+  FROM placed WHERE fits GROUP BY rid),
+lines AS (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM docs),
+line_words AS (SELECT rid, list_filter(string_split_regex(line, '{SEPARATORS}'), lambda x: x <> '') AS ws FROM lines),
+blocks AS (
+  SELECT rid, list_distinct(list_slice(ws, k * {STRIDE} + 1, k * {STRIDE} + {BLOCK})) AS b FROM (
+    SELECT rid, ws, unnest(range(0, greatest(0, ceil((len(ws) - {BLOCK}) / {STRIDE}))::BIGINT + 1)) AS k FROM line_words)),
+met AS (
+  SELECT rid, label, len(list_intersect(b, templates.ws))::DOUBLE / n AS score
+  FROM blocks, templates WHERE len(list_intersect(b, templates.ws)) >= least),
+found AS (SELECT rid, list(DISTINCT label) AS fs, max(score) AS score FROM met GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,
+       coalesce(array_to_string(ls, ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(ls, []), coalesce(fs, [])))), ','), '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(score, 0.0)::DOUBLE END AS score
+FROM worded LEFT JOIN base USING (rid) LEFT JOIN found USING (rid)"""
+
 _HOST = r"translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = r"regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2)"
 
@@ -85,6 +123,7 @@ ORACLES = {
     "op1_quality_rules": f"""WITH {quality_sql()}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND len(failed_rates) = 0 AS kept, array_to_string(failed_rates, ',') AS failed_rates FROM judged""",
+    "op3_license_scan": _LICENSES,
     "op4_line_dedup": f"""WITH {line_sql()}
 SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM cleaned""",
     "op8_topk_search": """
