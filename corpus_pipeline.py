@@ -1,14 +1,16 @@
 """documents, filtered, cleaned of common lines, de-duplicated, mixed and packed.
 
 Each stage takes all that its predecessor kept; all but the last return the
-columns of ``documents``.  ``n_chars`` stays what it was in the input.
+columns of ``documents``, with ``n_chars`` as the text then is.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from linkgraph.llm import jaccard_join, line_dedup, mixing, packing, quality_rules
+from linkgraph.llm.common import Scratch
 from linkgraph.llm.queries import tokenizer_file
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -21,7 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that stand in many documents go from all but one."""
-    return line_dedup.clean_lines(docs).select(*COLUMNS)
+    cleaned = line_dedup.clean_lines(docs)
+    return cleaned.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +55,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of the whole corpus of ``sf_dir``; every stage is written and read again."""
-    from linkgraph.llm.common import Scratch
-
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
