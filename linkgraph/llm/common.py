@@ -57,6 +57,8 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
+        """Remove tables, and let the driver's JVM notice which shuffles nobody refers to any more: their files go too."""
+        self.spark._jvm.System.gc()
         for name in names:
             for path in self.paths.pop(name, []):
                 location = self.spark._jvm.org.apache.hadoop.fs.Path(path)

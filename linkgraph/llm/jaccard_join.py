@@ -40,11 +40,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkgraph.llm.common import Scratch, text_key
+from linkgraph.llm.common import NO_ID, Scratch, text_key
 from linkgraph.llm.components import components
 
 PERCENT = 90
@@ -52,38 +51,79 @@ SHINGLE = 3
 SLACK = 8
 RARE = 32
 PAIR_PREFIX = 48  # the longest a(s) for which frequent tokens are paired
-CACHED_WORDS, CACHED_BYTES = 500_000, 48
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+BATCH_BYTES = 1 << 20  # of text hashed at once
+CHUNK = 256  # classes whose sets are compared in one group, on either side
 
+#: Random but fixed: a 64-bit number for each byte, A-Z having those of a-z, and an odd base.
+_rng = np.random.default_rng(7)
+_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
+_BYTE[65:91] = _BYTE[97:123]
+_IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BASE = int(_rng.integers(2**62, 2**63)) | 1
+_ODD = _rng.integers(2**62, 2**63, 8, dtype=np.uint64) | np.uint64(1)
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= CACHED_BYTES:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[word] = value
-        return value
 
+def _powers_to(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64, at least n of each."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.cumprod(steps, dtype=np.uint64)
+    return _powers
 
-_hashes = _WordHashes()
 
+def _word_hashes(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, hash) of each word in ``data``, texts end to end that begin at ``begins``.
 
-def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """The distinct shingles of ``text`` as sorted 64-bit hashes; fewer words than ``size`` are one shingle."""
-    words = (text or "").encode().lower().split()  # of bytes: A-Z and ASCII white space only
-    if not words:
-        return np.empty(0, np.int64)
-    each = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    width = min(size, len(words))
-    mixed = np.full(len(words) - width + 1, np.uint64(width), np.uint64)
+    A word's hash is a polynomial of its bytes: a difference of prefix sums.
+    """
+    word = ~_IS_SPACE[data]
+    new = np.zeros(len(data) + 1, bool)
+    new[begins] = True
+    before, after = np.ones(len(data), bool), np.ones(len(data), bool)
+    before[1:], after[:-1] = ~word[:-1], ~word[1:]
+    firsts = np.flatnonzero(word & (before | new[:-1]))
+    lasts = np.flatnonzero(word & (after | new[1:]))
+    power, inverse = _powers_to(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * power[: len(data)], out=sums[1:])
+    return firsts, (sums[lasts + 1] - sums[firsts]) * inverse[firsts] + (lasts - firsts).astype(np.uint64)
+
+
+def _mixed(words: list[np.ndarray]) -> np.ndarray:
+    out = np.full(len(words[0]), np.uint64(len(words)), np.uint64)
+    for k, each in enumerate(words):
+        out = (out ^ each) * _ODD[k % len(_ODD)]
+        out ^= out >> np.uint64(29)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    return (out ^ (out >> np.uint64(32))).view(np.int64)
+
+
+def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
+    """The distinct shingles of each text as sorted 64-bit hashes; fewer words than ``size`` are one shingle."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)
+    buffer = texts.buffers()[2]
+    data = np.frombuffer(buffer, np.uint8) if buffer is not None else np.empty(0, np.uint8)
+    first = 0
     with np.errstate(over="ignore"):
-        for k in range(width):
-            mixed = (mixed ^ each[k : len(words) - width + 1 + k]) * _ODD[k % len(_ODD)]
-            mixed ^= mixed >> np.uint64(29)
-        mixed *= np.uint64(0xBF58476D1CE4E5B9)
-        mixed ^= mixed >> np.uint64(32)
-    return np.unique(mixed.view(np.int64))
+        while first < len(texts):
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + BATCH_BYTES, "right")) - 1)
+            begins = offsets[first : last + 1] - offsets[first]
+            firsts, words = _word_hashes(data[offsets[first] : offsets[last]], begins)
+            edges = np.searchsorted(firsts, begins)
+            count = max(0, len(words) - size + 1)
+            windows = _mixed([words[k : k + count] for k in range(size)])
+            for a, b in zip(edges, edges[1:]):
+                if b - a >= size:
+                    yield np.unique(windows[a : b - size + 1])
+                elif b > a:
+                    yield _mixed([words[i : i + 1] for i in range(a, b)])
+                else:
+                    yield np.empty(0, np.int64)
+            first = last
 
 
 def _missing(n: int, percent: int) -> int:
@@ -96,8 +136,7 @@ def _lister(percent: int, size: int, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ns, s1, s2, lists, ends = [], [], [], [], [0]
-            for text in batch["text"].to_pylist():
-                tokens = shingle_set(text, size)
+            for tokens in shingle_sets(batch["text"], size):
                 a, b = np.frombuffer(hashlib.md5(tokens.tobytes()).digest(), np.int64)
                 ns.append(len(tokens))
                 s1.append(a)
@@ -143,24 +182,54 @@ def _pairs(members: Column) -> Column:
 
 
 def _bucket_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of the classes under one key; ``rows``: (key, cid, n), at most ``RARE`` a key.
+    """(u, v, block): pairs of the classes under one key; ``rows``: (key, cid, n), at most ``RARE`` a key.
 
-    Keys with the same classes are one.
+    Keys with the same classes are one.  The smallest class under the key is the pairs' block.
     """
-    members = F.array_sort(F.collect_set(F.struct("n", "cid")))
+    members = F.array_sort(F.collect_set(F.struct("cid", "n")))
     lists = rows.groupBy("key").agg(members.alias("m")).where(F.size("m") > 1).select("m").distinct()
-    pairs = lists.select(F.inline(_pairs(F.col("m"))))
-    return pairs.where(_sizes_fit(F.col("nu"), F.col("nv"), percent)).select("u", "v")
+    pairs = lists.select(F.col("m")[0]["cid"].alias("block"), F.inline(_pairs(F.col("m"))))
+    fit = pairs.where(_sizes_fit(F.col("nu"), F.col("nv"), percent))
+    return fit.groupBy("u", "v").agg(F.min("block").alias("block"))
+
+
+def _comparer(percent: int):
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        tokens = dict(zip(sets["cid"].to_pylist(), (x.values.to_numpy() for x in sets["tokens"])))
+        found = []
+        for u, v in zip(pairs["u"].to_pylist(), pairs["v"].to_pylist()):
+            a, b = tokens[u], tokens[v]
+            shared = len(np.intersect1d(a, b, assume_unique=True))
+            if 100 * shared >= percent * (len(a) + len(b) - shared):
+                found.append((u, v))
+        return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
+
+    return run
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs (u, v, block) whose sets are alike enough; ``sets``: (cid, tokens).
+
+    Pairs of a block share their classes, so a set is sent once to a block and not once for each pair.
+    A large block is cut into squares of ``CHUNK`` classes on either side.
+    """
+    pairs = scratch.write(pairs.groupBy("u", "v").agg(F.min("block").alias("block")), "pairs")
+    ends = pairs.select("block", F.col("u").alias("cid")).unionByName(pairs.select("block", F.col("v").alias("cid")))
+    cuts = ends.distinct().groupBy("block").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("long").alias("cuts"))
 
+    def cut(cid: str) -> Column:
+        return F.pmod(F.xxhash64(cid), F.col("cuts"))
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets are alike enough; ``sets``: (cid, tokens)."""
-    left = sets.select(F.col("cid").alias("u"), F.col("tokens").alias("tu"))
-    right = sets.select(F.col("cid").alias("v"), F.col("tokens").alias("tv"))
-    both = pairs.distinct().join(left, "u").join(right, "v")
-    shared = F.size(F.array_intersect("tu", "tv"))
-    found = both.select("u", "v", shared.alias("i"), (F.size("tu") + F.size("tv")).alias("s"))
-    return found.where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("u", "v")
+    placed = scratch.write(pairs.join(cuts, "block").select("u", "v", "block", cut("u").alias("i"), cut("v").alias("j")), "placed_pairs")
+    sent = placed.select("block", "i", "j", F.col("u").alias("cid")).unionByName(
+        placed.select("block", "i", "j", F.col("v").alias("cid"))
+    )
+    sent = sent.distinct().join(sets, "cid").select(
+        F.col("block").alias("b_block"), F.col("i").alias("b_i"), F.col("j").alias("b_j"), "cid", "tokens"
+    )
+    return placed.groupBy("block", "i", "j").cogroup(sent.groupBy("b_block", "b_i", "b_j")).applyInArrow(
+        _comparer(percent), "u long, v long"
+    )
 
 
 def _heavy_keys(sets: DataFrame, percent: int) -> DataFrame:
@@ -214,27 +283,34 @@ def linked(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> Data
     scratch = Scratch(spark, "jaccard")
     keyed = docs.select("doc_id", text_key(F.col("text")).alias("_key"), "text")
     sets = scratch.write(_sets(keyed, percent, size, whole=False), "sets")
-    classes = scratch.write(
+    listing = scratch.write(
         sets.where("n > 0")
         .groupBy("n", "s1", "s2")
         .agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"), F.min(F.struct("doc_id", "_key")).alias("row"))
         .withColumn("cid", F.monotonically_increasing_id()),
-        "classes",
+        "listing",
     )
+    rows = scratch.write(sets.drop("tokens"), "rows")
+    classes = scratch.write(listing.drop("tokens"), "classes")
+    scratch.drop("sets")
     # A set below this size is linked with no other set: one token more or less is too much.
     smallest = -(-percent // (100 - percent)) if percent < 100 else 2**62
-    listed = classes.where(F.col("n") >= smallest).select("cid", "n", F.explode("tokens").alias("token"))
+    listed = listing.where(F.col("n") >= smallest).select("cid", F.explode("tokens").alias("token"))
     counts = scratch.write(
         listed.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "counts"
     )
+    scratch.drop()
     shared = scratch.write(listed.join(counts, "token"), "shared")
-    rare = shared.where(F.col("c") <= RARE).select(F.col("token").alias("key"), "cid", "n")
-    first = scratch.write(_bucket_pairs(rare, percent).distinct(), "first")
+    scratch.drop("listing", "counts")
+    sized = classes.select("cid", "n")
+    rare = shared.where(F.col("c") <= RARE).select(F.col("token").alias("key"), "cid").join(sized, "cid")
+    first = scratch.write(_bucket_pairs(rare, percent), "first")
     fewest = F.ceil(F.col("n") * percent / F.lit(100)).cast("long")
     heavy = (
         shared.where(F.col("c") > RARE)
-        .groupBy("cid", "n")
+        .groupBy("cid")
         .agg(F.count(F.lit(1)).alias("h"))
+        .join(sized, "cid")
         .where(F.col("h") >= F.least(_a(fewest, percent) + SLACK, fewest))
         .select("cid", F.lit(True).alias("heavy"))
     )
@@ -247,18 +323,16 @@ def linked(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> Data
     )
     # One text of each class that is needed gives its whole set again.
     wanted = scratch.write(
-        needed.join(classes.select("cid", F.col("row.doc_id").alias("w_doc"), F.col("row._key").alias("w_key")), "cid"),
+        needed.join(classes, "cid").select(
+            "cid", "heavy", F.coalesce("row.doc_id", F.lit(NO_ID)).alias("_id"), F.col("row._key").alias("_key")
+        ),
         "wanted",
     )
-    scratch.drop("counts")
-    texts = keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("_key") == F.col("w_key")))
-    whole = scratch.write(
-        _sets(texts.select("cid", "heavy", "text"), percent, size, whole=True)
-        .groupBy("cid", "heavy", "n")
-        .agg(F.first("tokens").alias("tokens")),
-        "whole",
-    )
     scratch.drop("shared")
+    texts = keyed.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), "_key", "text")
+    texts = texts.join(wanted, ["_id", "_key"]).dropDuplicates(["_id", "_key"])
+    whole = scratch.write(_sets(texts.select("cid", "heavy", "text"), percent, size, whole=True), "whole")
+    scratch.drop("wanted")
 
     keys = scratch.write(_heavy_keys(whole.where("heavy").select("cid", "n", "tokens"), percent), "keys")
     second = _bucket_pairs(keys.where("kind = 'rare'").select("key", "cid", "n"), percent)
@@ -284,7 +358,9 @@ def linked(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> Data
         .select("u", F.col("cid").alias("v"))
     )
     plain = whole.select("cid", "tokens")
-    links = scratch.write(_verified(first.unionByName(second).unionByName(stars), plain, percent), "links")
+    candidates = first.unionByName(second).unionByName(stars.withColumn("block", F.col("u")))
+    links = scratch.write(_verified(candidates, plain, percent, scratch), "links")
+    scratch.drop("first", "pairs", "placed_pairs")
     roots = scratch.write(components(links, scratch), "roots")
 
     # What a key's centre did not reach is compared with the key's classes outside its own component.
@@ -307,10 +383,10 @@ def linked(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> Data
             & ((F.col("cid") < F.col("v")) | (F.col("other_root") == F.col("other_centre")))
             & may_link("n", "own", "nv", "ov")
         )
-        .select(F.least("cid", "v").alias("u"), F.greatest("cid", "v").alias("v"))
-        .distinct()
+        .select(F.least("cid", "v").alias("u"), F.greatest("cid", "v").alias("v"), F.col("centre").alias("block"))
     )
-    more = scratch.write(_verified(rest, plain, percent), "more")
+    more = scratch.write(_verified(rest, plain, percent, scratch), "more")
+    scratch.drop("keys", "placed", "whole")
     if not more.isEmpty():
         roots = scratch.write(components(links.unionByName(more), scratch), "roots_again")
     of_class = classes.select("cid", "n", "s1", "s2", "rep").join(
@@ -323,7 +399,7 @@ def linked(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> Data
         ),
         "named",
     )
-    rows = sets.select("doc_id", "_key", "n", "s1", "s2").join(
+    rows = rows.join(
         named_classes, (F.col("n") == F.col("_n")) & (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")), "left"
     )
     return rows.select(
@@ -341,11 +417,13 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) ->
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "_key"))
     stay = rows.where(F.col("_root").isNotNull()).groupBy("_root").agg(first.alias("x"))
     stay = stay.select(F.col("x.doc_id").alias("_stay_doc"), F.col("x._key").alias("_stay_key"))
-    named = docs.withColumn("_key", text_key(F.col("text")))
-    wordless = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    named = docs.select(
+        F.struct(*docs.columns).alias("whole"), "doc_id", text_key(F.col("text")).alias("_key"),
+        F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]").alias("worded"),
+    )
     kept = (
-        named.where(~wordless)
+        named.where("worded")
         .join(stay, F.col("doc_id").eqNullSafe(F.col("_stay_doc")) & (F.col("_key") == F.col("_stay_key")), "left_semi")
         .dropDuplicates(["doc_id", "_key"])
     )
-    return kept.unionByName(named.where(wordless)).select(*docs.columns)
+    return kept.unionByName(named.where("NOT worded")).select("whole.*")

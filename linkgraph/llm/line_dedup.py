@@ -61,10 +61,11 @@ def dropped_positions(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
 
 def clean_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with cleaned ``text``, and ``n_lines`` (before) and ``n_dropped``."""
-    gone = dropped_positions(docs, min_docs, min_chars)
-    others = [F.col(c) for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
+    gone = dropped_positions(docs.select("doc_id", "text"), min_docs, min_chars)
+    # Other columns travel as one, so that none of their names meets one made here.
+    others = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
     keyed = docs.select(
-        *others, "text",
+        F.struct(*others).alias("others"), "text",
         F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), text_key(F.col("text")).alias("_key"),
     )
     joined = keyed.join(gone, ["_id", "_key"], "left")
@@ -79,7 +80,7 @@ def clean_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
         )
 
     return joined.select(
-        *others,
-        let(F.split(text, "\n"), rebuilt).alias("_new"),
+        "others",
+        let(F.split(text, "\n"), rebuilt).alias("new"),
         F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
-    ).select(*others, "_new.text", "_new.n_lines", "n_dropped")
+    ).select("others.*", "new.text", "new.n_lines", "n_dropped")

@@ -171,15 +171,15 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
     """
     taken = mix(docs, **settings).groupBy("doc_id", "source", "_text_key").agg(F.sum("copies").alias("_copies"))
     taken = taken.where("_copies > 0").select(*(F.col(c).alias(f"_t_{c.strip('_')}") for c in taken.columns))
+    named = docs.select(F.struct(*docs.columns).alias("whole"), "doc_id", "source", text_key(F.col("text")).alias("_k"))
     return (
-        docs.withColumn("_k", text_key(F.col("text")))
-        .dropDuplicates(["doc_id", "source", "_k"])
+        named.dropDuplicates(["doc_id", "source", "_k"])
         .join(
             taken,
             F.col("doc_id").eqNullSafe(F.col("_t_doc_id"))
             & F.col("source").eqNullSafe(F.col("_t_source"))
             & (F.col("_k") == F.col("_t_text_key")),
         )
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_t_copies"))))
-        .select(*docs.columns)
+        .select("whole", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_t_copies"))))
+        .select("whole.*")
     )

@@ -171,11 +171,14 @@ def keep_good(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
         .select(*(F.col(c).alias(f"_bad_{c}") for c in ("doc_id", "_text_key", "lang", "source")))
         .distinct()
     )
-    return docs.join(
+    named = docs.select(
+        F.struct(*docs.columns).alias("whole"), "doc_id", "lang", "source", text_key(F.col("text")).alias("_text_key")
+    )
+    return named.join(
         bad,
         F.col("doc_id").eqNullSafe(F.col("_bad_doc_id"))
-        & (text_key(F.col("text")) == F.col("_bad__text_key"))
+        & (F.col("_text_key") == F.col("_bad__text_key"))
         & F.col("lang").eqNullSafe(F.col("_bad_lang"))
         & F.col("source").eqNullSafe(F.col("_bad_source")),
         "left_anti",
-    )
+    ).select("whole.*")

@@ -30,6 +30,7 @@ from linkgraph.llm.common import Scratch, let
 
 SHARDS = 16
 SEED = 20
+SPREAD_LEVEL = 5  # of the tree, from which its nodes are dealt to tasks
 
 
 def _uniform(*parts: Column) -> Column:
@@ -41,51 +42,58 @@ def hypergeometric(total: Column, good: Column, drawn: Column, u: Column) -> Col
     """How many of ``good`` among ``total`` are in a sample of ``drawn``: the inverse of the distribution at ``u``.
 
     The weights come from the ratio of neighbouring probabilities, outwards
-    from the mode.  Twelve standard deviations on both sides leave out less
-    than a double can hold.
+    from the mode, up first.  Ten standard deviations on both sides leave out
+    less than a double can hold.
     """
     total, good, drawn = (c.cast("double") for c in (total, good, drawn))
     lowest, highest = F.greatest(F.lit(0.0), drawn + good - total), F.least(good, drawn)
     mode = F.greatest(lowest, F.least(highest, F.floor((drawn + 1) * (good + 1) / (total + 2)).cast("double")))
     share = good / total
-    reach = F.ceil(12 * F.sqrt(drawn * share * (1 - share)) + 12).cast("double")
+    reach = F.ceil(10 * F.sqrt(drawn * share * (1 - share)) + 20).cast("double")
 
     def drawn_from(x: Column) -> Column:
-        first, last = F.greatest(x["lowest"], x["mode"] - x["reach"]), F.least(x["highest"], x["mode"] + x["reach"])
-
-        def step(acc: Column, k: Column) -> Column:  # from k - 1 to k
-            w = acc["w"] * (x["good"] - k + 1) * (x["drawn"] - k + 1) / (k * (x["total"] - x["good"] - x["drawn"] + k))
-            return F.struct(w.alias("w"), F.concat(acc["all"], F.array(F.struct(w.alias("w"), k.alias("k")))).alias("all"))
-
-        def back(acc: Column, k: Column) -> Column:  # from k + 1 to k
-            w = acc["w"] * ((k + 1) * (x["total"] - x["good"] - x["drawn"] + k + 1)) / ((x["good"] - k) * (x["drawn"] - k))
-            return F.struct(w.alias("w"), F.concat(acc["all"], F.array(F.struct(w.alias("w"), k.alias("k")))).alias("all"))
-
-        def ladder(a: Column, b: Column, by: int) -> Column:
-            n = ((b - a) * by).cast("int")
-            return F.when(n < 0, F.array().cast("array<double>")).otherwise(
-                F.transform(F.sequence(F.lit(0), n), lambda i: a + by * i.cast("double"))
-            )
-
-        one = F.struct(F.lit(1.0).alias("w"), F.array(F.struct(F.lit(1.0).alias("w"), x["mode"].alias("k"))).alias("all"))
-        none = F.struct(
-            F.lit(1.0).alias("w"), F.array().cast("array<struct<w:double,k:double>>").alias("all")
-        )
-        up = F.aggregate(ladder(x["mode"] + 1, last, 1), one, step)["all"]
-        down = F.aggregate(ladder(x["mode"] - 1, first, -1), none, back)["all"]
-
-        def picked(weights: Column) -> Column:
-            goal = x["u"] * F.aggregate(weights, F.lit(0.0), lambda s, y: s + y["w"])
-            found = F.aggregate(
-                weights,
-                F.struct(F.lit(0.0).alias("s"), x["mode"].alias("k")),
-                lambda acc, y: F.struct(
-                    (acc["s"] + y["w"]).alias("s"), F.when(acc["s"] <= goal, y["k"]).otherwise(acc["k"]).alias("k")
+        above = F.least(x["highest"], x["mode"] + x["reach"]) - x["mode"]
+        below = x["mode"] - F.greatest(x["lowest"], x["mode"] - x["reach"])
+
+        def steps(n: Column) -> Column:
+            return F.when(n < 1, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), n.cast("int")))
+
+        def ratio(i: Column, up: bool) -> Column:
+            """The weight at the i-th step from the mode, over the one before."""
+            k = x["mode"] + i if up else x["mode"] - i + 1  # the larger of the two
+            rise = (x["good"] - k + 1) * (x["drawn"] - k + 1), k * (x["total"] - x["good"] - x["drawn"] + k)
+            return rise[0] / rise[1] if up else rise[1] / rise[0]
+
+        def mass(n: Column, up: bool) -> Column:
+            start = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("s"))
+            return F.aggregate(
+                steps(n), start,
+                lambda acc, i: let(acc["w"] * ratio(i, up), lambda w: F.struct(w.alias("w"), (acc["s"] + w).alias("s"))),
+            )["s"]
+
+        def walk(n: Column, up: bool, goal: Column) -> Column:
+            """The first step at which the weights add up to ``goal``, or the last."""
+            start = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("s"), F.lit(0).alias("at"))
+            return F.aggregate(
+                steps(n), start,
+                lambda acc, i: let(
+                    acc["w"] * ratio(i, up),
+                    lambda w: F.struct(
+                        w.alias("w"), (acc["s"] + w).alias("s"), F.when(acc["s"] < goal, i).otherwise(acc["at"]).alias("at")
+                    ),
                 ),
+            )["at"]
+
+        def picked(m: Column) -> Column:
+            goal = x["u"] * (1 + m["up"] + m["down"])
+            return (
+                F.when(goal <= 1, x["mode"])
+                .when(goal <= 1 + m["up"], x["mode"] + walk(above, True, goal - 1))
+                .otherwise(x["mode"] - walk(below, False, goal - 1 - m["up"]))
+                .cast("long")
             )
-            return found["k"].cast("long")
 
-        return let(F.concat(up, down), picked)
+        return let(F.struct(mass(above, True).alias("up"), mass(below, False).alias("down")), picked)
 
     drawn_or_none = let(
         F.struct(
@@ -132,6 +140,8 @@ def communication_matrix(sizes: DataFrame, shards: int, depth: int, seed: int) -
     )
     nodes = root.select(F.lit(1).alias("node"), "n", caps.alias("caps"))
     for level in range(depth, 0, -1):
+        if depth - level == SPREAD_LEVEL:
+            nodes = nodes.repartition("node")
         half = 2 ** (level - 1)
         left, right = F.slice("n", 1, half), F.slice("n", half + 1, half)
         split = nodes.select(
@@ -165,8 +175,9 @@ def shard(
     spark = df.sparkSession
     if depth is None:
         depth = max(4, math.ceil(math.log2(int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    keys = [F.col(c) for c in key]
-    dealt = df.withColumn("_h1", F.xxhash64(F.lit(seed), *keys)).withColumn("_h2", F.xxhash64(F.lit(-seed - 1), *keys))
+    keys = [F.col(f"whole.`{c}`") for c in key]
+    carried = df.select(F.struct(*(c for c in df.columns if c not in ("shard", "slot"))).alias("whole"))
+    dealt = carried.withColumns({"_h1": F.xxhash64(F.lit(seed), *keys), "_h2": F.xxhash64(F.lit(-seed - 1), *keys)})
     dealt = dealt.withColumn("_part", F.pmod("_h1", F.lit(2**depth)).cast("int"))
     scratch = Scratch(spark, "shard")
     local = Window.partitionBy("_part").orderBy("_h2", *keys)
@@ -193,6 +204,4 @@ def shard(
     inside = Window.partitionBy("shard", "_range").orderBy("_h3", *keys)
     ranked = sent.withColumn("_slot", F.row_number().over(inside) - 1)
     placed = ranked.join(starts, ["shard", "_range"])
-    return placed.withColumn("slot", (F.col("_start") + F.col("_slot")).cast("long")).drop(
-        "_h1", "_h2", "_h3", "_range", "_start", "_slot"
-    )
+    return placed.select("whole.*", "shard", (F.col("_start") + F.col("_slot")).cast("long").alias("slot"))

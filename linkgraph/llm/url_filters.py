@@ -14,7 +14,7 @@ sweep holds open rules only.
 
 Defined cases: a null url or one without ``://`` has an empty host and path,
 fits no rule and gets the default verdict; empty labels are labels; repeated
-urls are judged one by one; of rules alike in text the blocking one wins; an
+urls are judged one by one; of rules of one length the one with the longer host wins, of rules alike the blocking one; an
 empty table gives none; other columns are carried along.
 """
 
@@ -68,7 +68,7 @@ def _best(stack: list[tuple[str, dict, set]], path: str) -> tuple[str | None, st
         for n in lengths:
             if n <= len(path) and (verdict := rules.get(path[:n])):
                 rule = ".".join(reversed(key[:-1].split("."))) + path[:n]
-                if best is None or len(rule) > len(best[0]):
+                if best is None or len(rule) >= len(best[0]):  # hosts get longer up the stack
                     best = (rule, verdict)
     return best or (None, None)
 

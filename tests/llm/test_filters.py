@@ -103,7 +103,7 @@ def test_licences_keep_base_and_find_variants(make_docs, odd_docs, no_docs):
     got = [tuple(r) for r in license_scan.scan(make_docs(rows)).collect()]
     by = {(r[0], r[1]): r[2:] for r in got}
     assert by[(1, 8)][0] == 0 and by[(1, 8)][3:] == ("", "apache", 0.875)
-    assert by[(2, 188)] == (3, 90, 94, "cc-by,reserved", "cc-by,reserved", 1.0)
+    assert by[(2, 188)] == (3, 90, 95, "cc-by,reserved", "cc-by,reserved", 1.0)
     assert by[(3, 195)][4] == "mit"
     assert by[(4, 185)][3:] == ("", "mit", 0.8)  # four of the five words
     assert by[(5, 0)] == (0, None, None, "", "", 0.0)
