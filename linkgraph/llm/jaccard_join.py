@@ -8,9 +8,10 @@ linked pair stands at place a(s) + j or before in either set.
 *First join.*  Tokens are ordered by their hash.  Each class lists its first
 a(s) + k(s) tokens, k(s) = a(s) + ``SLACK``: prefixes extended far enough that a
 linked pair shares many listed tokens, not one.  Listed tokens are counted;
-those of at most ``RARE`` classes are indexed one by one.  A linked pair that
-shares no rare token shares only frequent ones, k of them; so both classes list at
-least so many frequent tokens.  Such classes are *heavy*, and few: most of
+those of at most ``RARE`` classes are indexed one by one, and a pair is a
+candidate if it shares k less the frequent tokens that it may share as well.
+A linked pair without a rare token shares k frequent ones; so both classes list at
+least so many.  Such classes are *heavy*, and few: most of
 their text stands in many others.
 
 *Second join*, of the heavy classes among themselves, with whole sets and
@@ -169,28 +170,32 @@ def _sizes_fit(n: Column, m: Column, percent: int) -> Column:
 
 
 def _pairs(members: Column) -> Column:
-    """All pairs (u, v) of an array of (n, cid), in its order."""
+    """All pairs (u, v) of an array of (cid, n, h), in its order."""
     return F.flatten(
         F.transform(
             members,
             lambda x, i: F.transform(
                 F.slice(members, i + 2, F.size(members)),
-                lambda y: F.struct(x["cid"].alias("u"), y["cid"].alias("v"), x["n"].alias("nu"), y["n"].alias("nv")),
+                lambda y: F.struct(
+                    x["cid"].alias("u"), y["cid"].alias("v"), x["n"].alias("nu"), y["n"].alias("nv"),
+                    x["h"].alias("hu"), y["h"].alias("hv"),
+                ),
             ),
         )
     )
 
 
 def _bucket_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(u, v, block): pairs of the classes under one key; ``rows``: (key, cid, n), at most ``RARE`` a key.
+    """(u, v, block, shared, nu, nv, hu, hv): pairs of the classes under one key; ``rows``: (key, cid, n, h).
 
-    Keys with the same classes are one.  The smallest class under the key is the pairs' block.
+    A key has at most ``RARE`` classes.  Keys with the same classes are one, with a
+    weight; ``shared`` is how many keys a pair has in common.  The smallest class under a key is the pair's block.
     """
-    members = F.array_sort(F.collect_set(F.struct("cid", "n")))
-    lists = rows.groupBy("key").agg(members.alias("m")).where(F.size("m") > 1).select("m").distinct()
-    pairs = lists.select(F.col("m")[0]["cid"].alias("block"), F.inline(_pairs(F.col("m"))))
+    members = F.array_sort(F.collect_set(F.struct("cid", "n", "h")))
+    lists = rows.groupBy("key").agg(members.alias("m")).where(F.size("m") > 1).groupBy("m").agg(F.count(F.lit(1)).alias("w"))
+    pairs = lists.select("w", F.col("m")[0]["cid"].alias("block"), F.inline(_pairs(F.col("m"))))
     fit = pairs.where(_sizes_fit(F.col("nu"), F.col("nv"), percent))
-    return fit.groupBy("u", "v").agg(F.min("block").alias("block"))
+    return fit.groupBy("u", "v", "nu", "nv", "hu", "hv").agg(F.min("block").alias("block"), F.sum("w").alias("shared"))
 
 
 def _comparer(percent: int):
@@ -302,17 +307,23 @@ def linked(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> Data
     scratch.drop()
     shared = scratch.write(listed.join(counts, "token"), "shared")
     scratch.drop("listing", "counts")
-    sized = classes.select("cid", "n")
+    # h: how many frequent tokens a class lists.
+    hot = shared.where(F.col("c") > RARE).groupBy("cid").agg(F.count(F.lit(1)).alias("h"))
+    sized = scratch.write(
+        classes.select("cid", "n").join(hot, "cid", "left").withColumn("h", F.coalesce("h", F.lit(0))), "sized"
+    )
     rare = shared.where(F.col("c") <= RARE).select(F.col("token").alias("key"), "cid").join(sized, "cid")
-    first = scratch.write(_bucket_pairs(rare, percent), "first")
+
+    def k(n: Column) -> Column:
+        """So many common tokens are listed by both classes of a linked pair whose smaller one has ``n``."""
+        return F.least(_a(n, percent) + SLACK, F.ceil(n * percent / F.lit(100)).cast("long"))
+
+    nu, nv = F.col("nu"), F.col("nv")
+    enough = F.col("shared") >= F.least(k(nu), k(nv)) - F.least("hu", "hv")
+    first = scratch.write(_bucket_pairs(rare, percent).where(enough).select("u", "v", "block"), "first")
     fewest = F.ceil(F.col("n") * percent / F.lit(100)).cast("long")
-    heavy = (
-        shared.where(F.col("c") > RARE)
-        .groupBy("cid")
-        .agg(F.count(F.lit(1)).alias("h"))
-        .join(sized, "cid")
-        .where(F.col("h") >= F.least(_a(fewest, percent) + SLACK, fewest))
-        .select("cid", F.lit(True).alias("heavy"))
+    heavy = sized.where(F.col("h") >= F.least(_a(fewest, percent) + SLACK, fewest)).select(
+        "cid", F.lit(True).alias("heavy")
     )
     needed = (
         first.select(F.col("u").alias("cid"), F.lit(False).alias("heavy"))
@@ -335,7 +346,8 @@ def linked(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> Data
     scratch.drop("wanted")
 
     keys = scratch.write(_heavy_keys(whole.where("heavy").select("cid", "n", "tokens"), percent), "keys")
-    second = _bucket_pairs(keys.where("kind = 'rare'").select("key", "cid", "n"), percent)
+    lone = keys.where("kind = 'rare'").select("key", "cid", "n", F.lit(0).alias("h"))
+    second = _bucket_pairs(lone, percent).select("u", "v", "block")
     many = keys.where("kind != 'rare'").drop("kind")
     centres = many.groupBy("key").agg(
         F.min_by(F.struct("cid", "n", "own"), F.struct("own", "cid")).alias("x"), F.count(F.lit(1)).alias("c")
