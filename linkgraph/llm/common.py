@@ -50,9 +50,9 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.label, self.paths = spark, label, {}
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         path = scratch_path(self.spark, f"{self.label}-{name}")
-        df.write.parquet(path)
+        df.write.parquet(path, **options)
         self.paths.setdefault(name, []).append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

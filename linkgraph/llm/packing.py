@@ -11,8 +11,8 @@ its place in the whole order, are prefix sums in two steps (inside a range, and
 over the ranges' totals), so no queue is ever in one task.
 
 The order is cut every ``WINDOW`` tokens.  The last window is cut into powers
-of two, so nothing is padded.  Texts are tokenized once to be counted and once
-more to be cut: that is cheaper than to keep their ids.
+of two, so nothing is padded.  Texts are tokenized once; their ids are kept in a
+table, two bytes each where the vocabulary allows it, and meet their pieces there.
 
 Defined cases: a null text is empty and has the end token alone; a null source
 is a queue; rows alike in id, source and text are packed each; an empty table
@@ -22,9 +22,13 @@ gives none; other columns are left out.
 from __future__ import annotations
 
 import hashlib
+import json
+import re
+import unicodedata
 import zlib
+from array import array
 from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,56 +37,132 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from linkgraph.llm.common import Scratch, text_key
+from linkgraph.llm.token_counts import byte_letters
 
 WINDOW = 4096
 GRAIN = 512  # tokens of a segment
 END = 2
 SEED = 2
 COPIES_AT_ONCE = 64
-CACHED_CHUNKS, CACHED_BYTES = 300_000, 48
+CACHED_CHUNKS, CACHED_PARTS, CACHED_LENGTH = 100_000, 400_000, 48
 
 
-class _ChunkIds(dict):
-    """Little-endian 32-bit ids of a chunk between ASCII white space.
+def _class(*kinds: str) -> str:
+    """The characters below U+0250 of the general categories ``kinds``, as the inside of a bracket."""
+    return "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] in kinds)
+
+
+#: The tokenizer's own split, for lower-cased text of PLAIN characters: Latin letters without combining marks.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PARTS = re.compile(SPLIT.replace(r"\p{L}", _class("L")).replace(r"\p{N}", _class("N")))
+PLAIN = re.compile("[\t-\r -~\u00a1-\u012f\u0131-\u024f]*")
+
+
+class _Bounded(dict):
+    """A table that forgets what was not asked for lately: it holds at most two generations of ``most`` entries."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.older = most, {}
+
+    def __missing__(self, key) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.made(key)
+        if len(key) <= CACHED_LENGTH:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+class _PartIds(_Bounded):
+    """Ids of one part of plain text, straight from the model: there is nothing to normalise or split."""
+
+    def __init__(self, tokenizer, code: str):
+        super().__init__(CACHED_PARTS)
+        self.model, self.code = tokenizer.model, code
+        self.letters = {byte: letter for letter, byte in byte_letters().items()}
+
+    def made(self, key: str) -> bytes:
+        spelled = key if key.isascii() else "".join(map(self.letters.__getitem__, key.encode()))
+        return array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
+
+
+class _ChunkIds(_Bounded):
+    """Ids of a chunk between ASCII white space.
 
     The tokenizer drops white space and never joins what it separates, so a
     text's ids are those of its chunks.
     """
 
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
+    def __init__(self, tokenizer, code: str):
+        super().__init__(CACHED_CHUNKS)
+        self.tokenizer, self.code = tokenizer, code
 
-    def __missing__(self, chunk: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(chunk) <= CACHED_BYTES:
-            if len(self) >= CACHED_CHUNKS:
-                self.clear()
-            self[chunk] = ids
-        return ids
+    def made(self, key: bytes) -> bytes:
+        return array(self.code, self.tokenizer.encode(key.decode(), add_special_tokens=False).ids).tobytes()
 
 
-_workers: dict[str, _ChunkIds] = {}
+class _Encoder:
+    """Ids of texts as bytes of ``width`` each, from tables of what was met before.
 
+    Plain texts without special tokens are lower-cased and split here, for their
+    parts repeat more than their chunks do; others go to the tokenizer by chunks.
+    """
 
-def _encoder(described: str, end: int) -> Callable[[str | None], bytes]:
-    """The ids of a text as bytes, with the end token."""
-    name = hashlib.md5(described.encode()).hexdigest()
-    if name not in _workers:
+    def __init__(self, described: str):
         from tokenizers import Tokenizer
 
-        _workers[name] = _ChunkIds(Tokenizer.from_str(described))
-    chunks, last = _workers[name], np.array([end], "<u4").tobytes()
-    return lambda text: b"".join(map(chunks.__getitem__, (text or "").encode().split())) + last
+        tokenizer = Tokenizer.from_str(described)
+        self.width = 2 if tokenizer.get_vocab_size() <= 2**16 else 4
+        code = {2: "H", 4: "I"}[self.width]
+        self.chunks, self.parts = _ChunkIds(tokenizer, code), _PartIds(tokenizer, code)
+        self.plain = splits_plainly(described)
+        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+
+    def __call__(self, text: str | None) -> bytes:
+        text = text or ""
+        if self.plain and PLAIN.fullmatch(text) and not any(s in text for s in self.special):
+            return b"".join(map(self.parts.__getitem__, PARTS.findall(text.lower())))
+        return b"".join(map(self.chunks.__getitem__, text.encode().split()))
+
+
+def splits_plainly(described: str) -> bool:
+    """Whether the tokenizer normalises and splits as ``PARTS`` does; if not, it gets every chunk."""
+    rules = json.loads(described)
+    steps = [x.get("type") for x in (rules.get("normalizer") or {}).get("normalizers", [])]
+    splits = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    pattern = splits[0].get("pattern", {}).get("Regex") if splits else None
+    return (
+        steps == ["NFC", "Replace", "Lowercase"]
+        and pattern == SPLIT
+        and [x.get("type") for x in splits[1:]] == ["ByteLevel"]
+        and not splits[1].get("add_prefix_space")
+    )
+
+
+_workers: dict[str, _Encoder] = {}
+
+
+def _encoder(described: str) -> _Encoder:
+    name = hashlib.md5(described.encode()).hexdigest()
+    if name not in _workers:
+        _workers[name] = _Encoder(described)
+    return _workers[name]
 
 
-def _counter(described, end: int):
+def _tokenized(described, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(described.value, end)
+        encode = _encoder(described.value)
+        last = end.to_bytes(encode.width, "little")
         for batch in batches:
-            n = pa.array([len(encode(t)) // 4 for t in batch["text"].to_pylist()], pa.int64())
+            ids = [encode(t) + last for t in batch["text"].to_pylist()]
+            n = pa.array([len(x) // encode.width for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["source"], batch["_key"], n], names=["doc_id", "source", "_key", "n"]
+                [batch["doc_id"], batch["source"], batch["_key"], n, pa.array(ids, pa.binary())],
+                names=["doc_id", "source", "_key", "n", "ids"],
             )
 
     return run
@@ -131,21 +211,19 @@ PIECE = pa.schema(
 )
 
 
-def _cutter(described, end: int, total: int, window: int, with_ids: bool):
+def _cutter(total: int, window: int, with_ids: bool):
     schema = PIECE.append(pa.field("ids", pa.list_(pa.int32()))) if with_ids else PIECE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, windows = _encoder(described.value, end), _Windows(total, window)
+        windows = _Windows(total, window)
         for batch in batches:
             rows: list[tuple] = []
-            for doc, source, text, sent in zip(
-                *(batch[c].to_pylist() for c in ("doc_id", "source", "text", "sent"))
-            ):
-                ids = encode(text)
-                for start, n, sequence, offset in _pieces(sent, windows):
-                    cut = ids[4 * start : 4 * (start + n)]
-                    row = (doc, source, start, n, zlib.crc32(cut), len(ids) // 4, sequence, offset)
-                    rows.append((*row, np.frombuffer(cut, "<u4").astype("i4")) if with_ids else row)
+            for doc, source, n, packed, sent in zip(*(batch[c].to_pylist() for c in ("doc_id", "source", "n", "ids", "sent"))):
+                ids = np.frombuffer(packed, f"<u{len(packed) // n}").astype("<u4")
+                for start, length, sequence, offset in _pieces(sent, windows):
+                    cut = ids[start : start + length]
+                    row = (doc, source, start, length, zlib.crc32(cut.tobytes()), n, sequence, offset)
+                    rows.append((*row, cut.astype("i4")) if with_ids else row)
                 if len(rows) >= 20_000:
                     yield _batch(rows, schema)
                     rows = []
@@ -201,10 +279,12 @@ def pack(
     with open(tokenizer_path, encoding="utf-8") as file:
         described = spark.sparkContext.broadcast(file.read())
     keyed = docs.select("doc_id", "source", text_key(F.col("text")).alias("_key"), "text")
-    counted = scratch.write(
-        keyed.mapInArrow(_counter(described, end), "doc_id long, source string, _key long, n long"), "counted"
+    encoded = scratch.write(
+        keyed.mapInArrow(_tokenized(described, end), "doc_id long, source string, _key long, n long, ids binary"),
+        "encoded",
+        compression="zstd",
     )
-    alike = counted.groupBy("doc_id", "source", "_key").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+    alike = encoded.groupBy("doc_id", "source", "_key").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
     alike = scratch.write(alike, "alike")
     whole = alike.agg(F.sum(F.col("n") * F.col("copies")).alias("tokens"), F.max("copies").alias("copies")).first()
     total = int(whole["tokens"] or 0)
@@ -252,14 +332,14 @@ def pack(
         ).alias("sent")
     )
     sent = sent.select(*(F.col(c).alias(f"_p{c}") for c in ("doc_id", "source", "_key")), "sent")
-    texts = keyed if (whole["copies"] or 1) == 1 else keyed.dropDuplicates(["doc_id", "source", "_key"])
-    joined = texts.join(
+    once = encoded if (whole["copies"] or 1) == 1 else encoded.dropDuplicates(["doc_id", "source", "_key"])
+    joined = once.join(
         sent,
         F.col("doc_id").eqNullSafe(F.col("_pdoc_id"))
         & F.col("source").eqNullSafe(F.col("_psource"))
         & (F.col("_key") == F.col("_p_key")),
-    ).select("doc_id", "source", "text", "sent")
+    ).select("doc_id", "source", "n", "ids", "sent")
     schema = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return joined.mapInArrow(
-        _cutter(described, end, total, window, with_ids), schema + (", ids array<int>" if with_ids else "")
+        _cutter(total, window, with_ids), schema + (", ids array<int>" if with_ids else "")
     )
