@@ -41,7 +41,8 @@ def _key_hashes(text: Column, min_chars: int) -> Column:
 def dropped_positions(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(_id, _key, dropped): positions of the lines that go, per document and text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = Scratch(docs.sparkSession, "lines").write(
+    scratch = Scratch(docs.sparkSession, "lines")
+    lines = scratch.write(
         docs.select(
             F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"),
             text_key(F.col("text")).alias("_key"),
@@ -55,6 +56,8 @@ def dropped_positions(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
         .where(F.col("n_docs") >= min_docs)
         .select("h1", "h2", "keeper")
     )
+    # Written, so that the join deals both sides itself and may split a line that most documents have.
+    common = scratch.write(common, "common")
     gone = lines.join(common, ["h1", "h2"]).where(F.col("_id") != F.col("keeper"))
     return gone.groupBy("_id", "_key").agg(F.collect_set("pos").alias("dropped"))
 
