@@ -98,14 +98,16 @@ def test_licences_keep_base_and_find_variants(make_docs, odd_docs, no_docs):
         (4, f"released {filler} under {filler} the mit license"),
         (5, None),
         (6, "gnu general public licence"),
+        (7, "Released under the BSD license"),
         (1, "general Public\n\nLicense"),
     ]
     got = [tuple(r) for r in license_scan.scan(make_docs(rows)).collect()]
     by = {(r[0], r[1]): r[2:] for r in got}
     assert by[(1, 8)][0] == 0 and by[(1, 8)][3:] == ("", "apache", 0.875)
     assert by[(2, 188)] == (3, 90, 95, "cc-by,reserved", "cc-by,reserved", 1.0)
-    assert by[(3, 195)][4] == "mit"
-    assert by[(4, 185)][3:] == ("", "mit", 0.8)  # four of the five words
+    assert by[(3, 196)][4] == "mit"
+    assert by[(4, 185)][3:] == ("", "", 0.0)  # no block has four of the five words
+    assert by[(7, 5)][3:] == ("", "mit", 0.8)
     assert by[(5, 0)] == (0, None, None, "", "", 0.0)
     assert by[(6, 4)][3:] == ("", "", 0.0)
     assert by[(1, 3)] == (1, 0, 0, "gpl", "gpl", 1.0)
