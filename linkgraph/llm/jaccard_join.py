@@ -23,7 +23,7 @@ frequent tokens one by one.  A key may still have thousands of classes, all
 near copies of one text.  They are compared with one of them, the one with the
 fewest tokens of its own; classes that this joins to the same component need no further
 comparison, and the rest of a key is compared with all of it that is not in its
-component yet.
+component yet, each pair under the first key that it shares.
 
 Every candidate is verified on whole sets.  Result: components, not pairs.
 
@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkgraph.llm.common import NO_ID, Scratch, text_key
+from linkgraph.llm.common import NO_ID, Scratch, let, text_key
 from linkgraph.llm.components import components
 
 PERCENT = 90
@@ -53,7 +53,7 @@ SLACK = 8
 RARE = 32
 PAIR_PREFIX = 48  # the longest a(s) for which frequent tokens are paired
 BATCH_BYTES = 1 << 20  # of text hashed at once
-CHUNK = 256  # classes whose sets are compared in one group, on either side
+CHUNK = 1024  # classes whose sets are compared in one group, on either side
 
 #: Random but fixed: a 64-bit number for each byte, A-Z having those of a-z, and an odd base.
 _rng = np.random.default_rng(7)
@@ -238,9 +238,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch)
 
 
 def _heavy_keys(sets: DataFrame, percent: int) -> DataFrame:
-    """(key, kind, cid, n, own): the keys of the second join; ``sets``: (cid, n, tokens) of heavy classes.
+    """(cid, n, own, frequent, keys): what the second join looks for; ``sets``: (cid, n, tokens) of heavy classes.
 
-    ``own`` counts the tokens that no other heavy class has.
+    ``own`` counts the tokens that no other heavy class has; ``frequent`` are the
+    frequent tokens of the prefix, in order.
     """
     tokens = sets.select("cid", "n", F.explode("tokens").alias("token"))
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -276,7 +277,18 @@ def _heavy_keys(sets: DataFrame, percent: int) -> DataFrame:
         F.when(F.col("a") <= PAIR_PREFIX, paired).otherwise(none),
         F.when(largest > PAIR_PREFIX, alone).otherwise(none),
     )
-    return cut.select("cid", "n", "own", F.inline(keys))
+    return cut.select("cid", "n", "own", F.transform("often", lambda x: x["token"]).alias("frequent"), keys.alias("keys"))
+
+
+def _is_first_key(kind: Column, key: Column, often: Column, other: Column) -> Column:
+    """Whether ``key`` is made of the first frequent tokens that two prefixes share: so for one key of a pair."""
+
+    def same(common: Column) -> Column:
+        return F.when(kind == "one", F.get(common, F.lit(0))).otherwise(
+            F.xxhash64(F.get(common, F.lit(0)), F.get(common, F.lit(1)))
+        ) == key
+
+    return let(F.array_intersect(often, other), same)
 
 
 def linked(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
@@ -345,10 +357,11 @@ def linked(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> Data
     whole = scratch.write(_sets(texts.select("cid", "heavy", "text"), percent, size, whole=True), "whole")
     scratch.drop("wanted")
 
-    keys = scratch.write(_heavy_keys(whole.where("heavy").select("cid", "n", "tokens"), percent), "keys")
+    prefixes = scratch.write(_heavy_keys(whole.where("heavy").select("cid", "n", "tokens"), percent), "prefixes")
+    keys = prefixes.select("cid", "n", "own", F.inline("keys"))
     lone = keys.where("kind = 'rare'").select("key", "cid", "n", F.lit(0).alias("h"))
     second = _bucket_pairs(lone, percent).select("u", "v", "block")
-    many = keys.where("kind != 'rare'").drop("kind")
+    many = keys.where("kind != 'rare'")
     centres = many.groupBy("key").agg(
         F.min_by(F.struct("cid", "n", "own"), F.struct("own", "cid")).alias("x"), F.count(F.lit(1)).alias("c")
     )
@@ -383,10 +396,14 @@ def linked(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> Data
     centre_root = centres.select(F.col("u").alias("node")).distinct().join(roots, "node", "left")
     centre_root = centre_root.select(F.col("node").alias("u"), F.coalesce("root", "node").alias("centre"))
     placed = scratch.write(with_root.join(centre_root, "u").drop("u"), "placed")
+    scratch.drop()
     outside = placed.where(F.col("root") != F.col("centre"))
-    other = placed.select(
+    frequent = prefixes.select("cid", "frequent")
+    open_keys = placed.join(outside.select("key").distinct(), "key", "left_semi").join(frequent, "cid")
+    outside = outside.join(frequent, "cid")
+    other = open_keys.select(
         "key", F.col("cid").alias("v"), F.col("n").alias("nv"), F.col("own").alias("ov"),
-        F.col("root").alias("other_root"), F.col("centre").alias("other_centre"),
+        F.col("root").alias("other_root"), F.col("centre").alias("other_centre"), F.col("frequent").alias("other_frequent"),
     )
     rest = (
         outside.join(other, "key")
@@ -394,11 +411,12 @@ def linked(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> Data
             (F.col("root") != F.col("other_root"))
             & ((F.col("cid") < F.col("v")) | (F.col("other_root") == F.col("other_centre")))
             & may_link("n", "own", "nv", "ov")
+            & _is_first_key(F.col("kind"), F.col("key"), F.col("frequent"), F.col("other_frequent"))
         )
         .select(F.least("cid", "v").alias("u"), F.greatest("cid", "v").alias("v"), F.col("centre").alias("block"))
     )
     more = scratch.write(_verified(rest, plain, percent, scratch), "more")
-    scratch.drop("keys", "placed", "whole")
+    scratch.drop("prefixes", "placed", "whole")
     if not more.isEmpty():
         roots = scratch.write(components(links.unionByName(more), scratch), "roots_again")
     of_class = classes.select("cid", "n", "s1", "s2", "rep").join(
