@@ -194,11 +194,13 @@ def edge_first_match(requests: DataFrame, titles: DataFrame, previews: DataFrame
 
 
 def mark_checked(titles: DataFrame, previews: DataFrame) -> DataFrame:
-    """Record the winning source, or "none", on titles not checked before."""
-    won = previews.select("song_id", F.col("source").alias("won"))
+    """Record the winning source, or "none", on titles that were looked up for the first time.
+
+    ``previews`` has a row for each attempt; a title without one stays as it was.
+    """
+    won = previews.groupBy("song_id").agg(F.coalesce(F.min("source"), F.lit(NO_MATCH)).alias("won"))
     return titles.join(won, "song_id", "left").withColumn(
-        "preview_source",
-        F.coalesce("preview_source", "won", F.lit(NO_MATCH)),
+        "preview_source", F.coalesce("preview_source", "won")
     ).drop("won")
 
 

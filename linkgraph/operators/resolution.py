@@ -137,7 +137,7 @@ def resolve(
         counts = hits.groupBy("query").agg(F.count(F.lit(1)).alias("hits"))
         thin = (
             wanted.join(counts, "query", "left")
-            .filter(F.coalesce("hits", F.lit(0)) < FUZZY_MIN_RESULTS)
+            .filter(F.coalesce("hits", F.lit(0)) < min(FUZZY_MIN_RESULTS, limit))
             .drop("hits")
         )
         extra = fuzzy_candidates(thin, ranked_entities, limit, scorer).select(

@@ -11,8 +11,7 @@ from linkgraph.functions._columns import ColumnLike, as_column
 from linkgraph.functions.text import base_title, is_variant_title
 from linkgraph.operators.projection import shared_groups
 
-# Raw titles looked at per key, and versions kept per key.
-RAW_TITLES = 40
+# Fixed value: versions kept per key.
 KEPT_TITLES = 5
 
 
@@ -26,8 +25,8 @@ def first_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[ColumnLike]
     return rows.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
 
 
-def bounded_titles(items: DataFrame, key: str, order: Sequence[ColumnLike], cap: int = RAW_TITLES) -> DataFrame:
-    """The first raw titles of each key in item order."""
+def bounded_titles(items: DataFrame, key: str, order: Sequence[ColumnLike], cap: int) -> DataFrame:
+    """The first ``cap`` raw titles of each key in item order."""
     return first_rows(items, [key], order, cap).select(key, "title", "rank")
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkgraph.functions._columns import union_all
@@ -90,12 +90,15 @@ def distances(
     waiting = targets.select("root", "node").distinct() if targets is not None else None
     depth = 0
     while max_depth is None or depth < max_depth:
+        frontier = levels[-1]
         if waiting is not None:
             left = write_counted(waiting.join(levels[-1], ["root", "node"], "left_anti"), "waiting")
             if left.rows == 0:
                 break
             waiting = left.table
-        level = _next_level(levels[-2:], members, depth + 1)
+            # A root all of whose targets were found goes no further.
+            frontier = frontier.join(waiting.select("root").distinct(), "root", "left_semi")
+        level = _next_level([*levels[-2:-1], frontier], members, depth + 1)
         if level.rows == 0:
             break
         levels.append(level.table)
@@ -106,48 +109,75 @@ def distances(
 def resume(
     members: DataFrame, stored: DataFrame, max_depth: int | None = None
 ) -> Reached:
-    """Continue a traversal whose ``stored`` levels were saved earlier.
+    """Continue traversals whose ``stored`` levels were saved earlier.
 
-    Only nodes on the stored outer ring are expanded; everything closer has
-    been expanded before.
+    Each root goes on from its own outer ring; everything closer has been
+    expanded before.  An empty store stays empty.
     """
     stored = materialize(stored.select(*LEVEL_COLUMNS), "stored")
-    depth = stored.agg(F.max("dist").alias("outer")).first()["outer"]
-    recent = [stored.filter(F.col("dist") == depth - 1), stored.filter(F.col("dist") == depth)]
-    levels = [stored]
-    while max_depth is None or depth < max_depth:
-        level = _next_level(recent, members, depth + 1)
+    outer = stored.groupBy("root").agg(F.max("dist").alias("outer"))
+    ringed = materialize(stored.join(outer, "root").filter(F.col("dist") >= F.col("outer") - 1), "rings")
+    before = ringed.filter(F.col("dist") < F.col("outer")).select("root", "node")
+    frontier = ringed.filter(F.col("dist") == F.col("outer")).select("root", "node", "dist")
+    levels, hops = [stored], 0
+    while True:
+        if max_depth is not None:
+            frontier = frontier.filter(F.col("dist") < max_depth)
+        recent = before.unionByName(frontier.select("root", "node"))
+        reach = frontier.groupBy("root").agg((F.max("dist") + 1).alias("dist"))
+        fresh = _expand(frontier.select("root", "node"), members).join(recent, ["root", "node"], "left_anti")
+        level = write_counted(fresh.join(reach, "root").select(*LEVEL_COLUMNS), "level")
         if level.rows == 0:
             break
         levels.append(level.table)
-        recent = [recent[-1], level.table]
-        depth += 1
-    return Reached(union_all(levels), depth)
-
-
-def beam(members: DataFrame, degrees: DataFrame, seeds: DataFrame, depth: int, width: int) -> DataFrame:
-    """Traversal that expands only the ``width`` best-connected nodes per level.
-
-    The seed level is expanded whole; of each later level the nodes with the
-    highest degree go on (smallest id on ties).  All discovered nodes count.
+        before, frontier = frontier.select("root", "node"), level.table.select("root", "node", "dist")
+        hops += 1
+    everything = union_all(levels)
+    farthest = everything.agg(F.coalesce(F.max("dist"), F.lit(0)).alias("far")).first()["far"]
+    return Reached(everything, int(farthest))
+
+
+def beam(
+    members: DataFrame, seeds: DataFrame, depth: int, width: int, capped: tuple[int, ...] = (1,)
+) -> DataFrame:
+    """``(root, node, dist)`` of a traversal that looks up few nodes of its wide levels.
+
+    Looking a node up shows all groups it is in.  Of a ``capped`` level each
+    root looks up the ``width`` nodes with the most neighbours in the groups
+    it has seen (smallest id on ties), of other levels all; the last level is
+    not looked up.  Distances are those in the seen groups.
     """
-    ranked = degrees.select(F.col("id").alias("node"), "degree")
-    levels = [
-        materialize(seeds.select("root", "node", F.lit(0).cast("bigint").alias("dist")), "beam")
-    ]
-    frontier = levels[0]
-    for hop in range(1, depth + 1):
-        visited = union_all([level.select("root", "node") for level in levels])
-        fresh = _expand(frontier.select("root", "node"), members).join(
-            visited, ["root", "node"], "left_anti"
-        )
-        levels.append(
-            materialize(fresh.select("root", "node", F.lit(hop).cast("bigint").alias("dist")), "beam")
-        )
-        frontier = (
-            levels[-1].join(ranked, "node").orderBy(F.desc("degree"), "node").limit(width)
-        )
-    return union_all(levels)
+    entity = members.withColumnRenamed("entity_id", "node")
+    known = materialize(seeds.select("root", "node").distinct(), "beam-known")
+    chosen = known
+    seen = materialize(chosen.join(entity, "node").select("root", "group_id").distinct(), "beam-seen")
+    for level in range(1, depth):
+        shown = seen.join(entity, "group_id")
+        near = _rooted_neighbours(chosen, shown).join(known, ["root", "node"], "left_anti")
+        found = materialize(near, "beam-found")
+        known = materialize(known.unionByName(found), "beam-known")
+        if level in capped:
+            pairs = found.join(shown, ["root", "node"]).select("root", "node", "group_id").join(
+                shown.withColumnRenamed("node", "other"), ["root", "group_id"]
+            )
+            counted = pairs.filter("other <> node").groupBy("root", "node").agg(F.count_distinct("other").alias("degree"))
+            best = Window.partitionBy("root").orderBy(F.desc("degree"), "node")
+            found = counted.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= width)
+        chosen = materialize(found.select("root", "node"), "beam-chosen")
+        more = chosen.join(entity, "node").select("root", "group_id")
+        seen = materialize(seen.unionByName(more).distinct(), "beam-seen")
+    shown = materialize(seen.join(entity, "group_id"), "beam-shown")
+    levels = [materialize(seeds.select("root", "node").distinct(), "beam")]
+    for _ in range(depth):
+        visited = union_all(levels)
+        levels.append(materialize(_rooted_neighbours(levels[-1], shown).join(visited, ["root", "node"], "left_anti"), "beam"))
+    return union_all([t.select("root", "node", F.lit(i).cast("bigint").alias("dist")) for i, t in enumerate(levels)])
+
+
+def _rooted_neighbours(nodes: DataFrame, shown: DataFrame) -> DataFrame:
+    """Nodes that share one of their root's ``shown(root, group_id, node)`` groups."""
+    groups = nodes.join(shown, ["root", "node"]).select("root", "group_id").distinct()
+    return groups.join(shown, ["root", "group_id"]).select("root", "node").distinct()
 
 
 def ball_edges(members: DataFrame, reached: DataFrame, depth: int) -> DataFrame:
@@ -185,20 +215,26 @@ def walk_back(requests: DataFrame, reached: Reached, keep: tuple[str, ...] = ())
     """The path from each requested node to its root, as an id array.
 
     ``requests(root, node, *keep)``.  Requests that were not reached are
-    absent.  A step looks up the parent of the current tip; finished paths
-    pass through.
+    absent.  Paths grow level by level, the outermost first: at distance d the
+    requested nodes of d join the paths that came from d + 1, and their parents
+    are looked up among the nodes of d alone.  A finished path is not touched again.
     """
-    tree = reached.table.select("root", F.col("node").alias("tip"), F.col("parent").alias("next"))
     carried = [*keep, "root", "node"]
-    paths = requests.select(*carried).join(
-        reached.table.select("root", "node", "parent"), ["root", "node"]
-    ).select(*carried, F.array("node").alias("path"), F.col("parent").alias("tip"))
-    for hop in range(reached.hops):
+    asked = materialize(
+        requests.select(*carried).join(reached.table.select("root", "node", "dist"), ["root", "node"]), "asked-paths"
+    )
+    begun = asked.select("*", F.array("node").alias("path"), F.col("node").alias("tip"))
+    columns = [*carried, "path", "tip"]
+    open_paths = None
+    for hop, dist in enumerate(range(reached.hops, 0, -1)):
+        here = begun.filter(F.col("dist") == dist).select(*columns)
+        open_paths = here if open_paths is None else open_paths.unionByName(here)
         if hop and hop % HOPS_PER_PLAN == 0:
-            paths = materialize(paths, "paths")
-        paths = paths.join(tree, ["root", "tip"], "left").select(
-            *carried,
-            F.when(F.col("tip").isNotNull(), F.concat("path", F.array("tip"))).otherwise(F.col("path")).alias("path"),
-            F.col("next").alias("tip"),
+            open_paths = materialize(open_paths, "paths")
+        level = reached.table.filter(F.col("dist") == dist).select("root", F.col("node").alias("tip"), "parent")
+        open_paths = open_paths.join(level, ["root", "tip"]).select(
+            *carried, F.concat("path", F.array("parent")).alias("path"), F.col("parent").alias("tip")
         )
-    return paths.drop("tip")
+    roots = begun.filter("dist = 0").select(*columns)
+    finished = roots if open_paths is None else open_paths.unionByName(roots)
+    return finished.drop("tip")

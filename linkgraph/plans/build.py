@@ -21,9 +21,13 @@ from linkgraph.sources.graph_store import Graph
 DEFAULT_DEPTH = 3
 
 
-def credited_titles(items: DataFrame, order: Sequence[ColumnLike]) -> DataFrame:
-    """Kept titles per group; groups without an eligible item are absent."""
-    return dedup_titles(bounded_titles(items, "group_id", order), ["group_id"])
+def credited_titles(items: DataFrame, order: Sequence[ColumnLike], cap: int | None = None) -> DataFrame:
+    """Kept titles per group; groups without an eligible item are absent.
+
+    All items of a group are looked at, or with ``cap`` the first ones in ``order``.
+    """
+    raw = items if cap is None else bounded_titles(items, "group_id", order, cap)
+    return dedup_titles(raw, ["group_id"])
 
 
 def credited_members(members: DataFrame, group_titles: DataFrame, entities: DataFrame) -> DataFrame:

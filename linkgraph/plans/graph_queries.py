@@ -162,23 +162,17 @@ SELECT l_suppkey AS key, p_name AS title, CAST(rank AS INTEGER) AS rank FROM (
 def bounded_titles(spark, sf):
     parts = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("title"))
     lines = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("key"), "l_orderkey", "l_linenumber", "l_partkey")
-    return ti.bounded_titles(lines.join(parts, "l_partkey"), "key", ["l_orderkey", "l_linenumber", "l_partkey"])
+    return ti.bounded_titles(lines.join(parts, "l_partkey"), "key", ["l_orderkey", "l_linenumber", "l_partkey"], cap=40)
 
 
 @query("dedup_titles", f"""
 WITH {ro.SQL_ITEMS},{ro.SQL_DEDUP_GROUP} SELECT group_id, title, CAST(rank AS INTEGER) AS rank FROM group_titles""")
 def dedup_titles(spark, sf):
-    raw = ti.bounded_titles(ro.items(spark, sf), "group_id", ro.ITEM_ORDER)
-    return ti.dedup_titles(raw, ["group_id"])
+    return _group_titles(spark, sf)
 
 
 def _group_titles(spark, sf):
-    return ti.dedup_titles(ti.bounded_titles(ro.items(spark, sf), "group_id", ro.ITEM_ORDER), ["group_id"])
-
-
-def _hub_pairs(spark, sf, credited):
-    spokes = pr.star_edges(credited, ro.hub(credited).withColumnRenamed("id", "entity_id"))
-    return spokes.select(*pr.canonical_pair("center", "neighbor"))
+    return ti.dedup_titles(ro.items(spark, sf), ["group_id"])
 
 
 _HUB_PAIRS = """
@@ -195,12 +189,16 @@ def edge_titles(spark, sf):
     return ti.dedup_titles(ti.pair_titles(pairs, credited, _group_titles(spark, sf)), ["src", "dst"])
 
 
+_ALL_PAIR_TITLES = f"""{ro.SQL_EDGES},{ro.SQL_ITEMS},{ro.SQL_DEDUP_GROUP}, pairs AS (SELECT src, dst FROM edges),
+{ro.SQL_PAIR_TITLES}"""
+
+
 @query("topk_titles", f"""
-WITH RECURSIVE {ro.SQL_HUB},{ro.SQL_ITEMS},{ro.SQL_DEDUP_GROUP},{_HUB_PAIRS},{ro.SQL_PAIR_TITLES}
+WITH {_ALL_PAIR_TITLES}
 SELECT src, dst, title, CAST(rank AS INTEGER) AS rank FROM pair_titles WHERE rank <= 3""")
 def topk_titles(spark, sf):
     credited = ro.written_members(spark, sf)
-    titles = ti.pair_titles(_hub_pairs(spark, sf, credited), credited, _group_titles(spark, sf))
+    titles = ti.pair_titles(pr.co_members(credited), credited, _group_titles(spark, sf))
     return ti.dedup_titles(titles, ["src", "dst"], cap=3)
 
 
@@ -215,18 +213,18 @@ def topk_overflow(spark, sf):
 
 
 @query("title_lineup", f"""
-WITH RECURSIVE {ro.SQL_HUB},{ro.SQL_ITEMS},{ro.SQL_DEDUP_GROUP},{_HUB_PAIRS},{ro.SQL_PAIR_TITLES}
+WITH {_ALL_PAIR_TITLES}
 SELECT DISTINCT t.src, t.dst, t.title, m.entity_id, p_name AS name
 FROM pair_titles t JOIN multi a ON a.entity_id = t.src JOIN multi b ON b.entity_id = t.dst AND b.group_id = a.group_id
 JOIN group_titles g ON g.group_id = a.group_id AND g.title = t.title
 JOIN multi m ON m.group_id = a.group_id JOIN part ON p_partkey = m.entity_id""")
 def title_lineup(spark, sf):
-    return _hub_lineup(spark, sf)
+    credited = ro.written_members(spark, sf)
+    return _lineup(spark, sf, credited, pr.co_members(credited))
 
 
-def _hub_lineup(spark, sf):
-    credited = ro.written_members(spark, sf)
-    titled = ti.pair_titles(_hub_pairs(spark, sf, credited), credited, _group_titles(spark, sf))
+def _lineup(spark, sf, credited, pairs):
+    titled = ti.pair_titles(pairs, credited, _group_titles(spark, sf))
     kept = titled.join(ti.dedup_titles(titled, ["src", "dst"]), ["src", "dst", "title"], "left_semi")
     lineup = ti.title_lineup(kept, credited)
     return with_name(lineup, ro.entities(spark, sf), "entity_id", "name").select(
@@ -274,18 +272,26 @@ def collaborators(spark, sf):
     return named.join(listed, ["src", "dst"]).select("id", "name", "titles")
 
 
-@query("min_degree_titles", f"""
-WITH RECURSIVE {ro.SQL_HUB},{ro.SQL_ITEMS},{ro.SQL_DEDUP_GROUP},{_HUB_PAIRS},{ro.SQL_PAIR_TITLES}
+_MIN_DEGREE_TITLES = f"""
+WITH {_ALL_PAIR_TITLES}
 SELECT t.src, t.dst, title, greatest(a.degree, b.degree) AS best_degree
 FROM pair_titles t JOIN degrees a ON a.id = t.src JOIN degrees b ON b.id = t.dst
-WHERE greatest(a.degree, b.degree) >= 8 ORDER BY t.src, t.dst, title LIMIT 50""")
+WHERE greatest(a.degree, b.degree) >= 100"""
+
+
+@query("min_degree_titles", _MIN_DEGREE_TITLES)
 def min_degree_titles(spark, sf):
     credited = ro.written_members(spark, sf)
     titles = ti.dedup_titles(
-        ti.pair_titles(_hub_pairs(spark, sf, credited), credited, _group_titles(spark, sf)), ["src", "dst"]
+        ti.pair_titles(pr.co_members(credited), credited, _group_titles(spark, sf)), ["src", "dst"]
     ).drop("rank")
-    # The batch size is the operator's own work limit.
-    return el.min_endpoint_degree(titles, pr.degrees(credited), 8).orderBy("src", "dst", "title").limit(50)
+    return el.min_endpoint_degree(titles, pr.degrees(credited), 100)
+
+
+@query("work_batch", _MIN_DEGREE_TITLES + " ORDER BY t.src, t.dst, title LIMIT 50")
+def work_batch(spark, sf):
+    """The next titles to look up: a batch of a stated size."""
+    return min_degree_titles(spark, sf).orderBy("src", "dst", "title").limit(50)
 
 
 # --- stored graph --------------------------------------------------------------
@@ -319,7 +325,7 @@ items AS (
 {ro.SQL_DEDUP_GROUP},
 members AS (
   SELECT DISTINCT l_orderkey AS group_id, l_partkey AS entity_id FROM lineitem
-  WHERE l_quantity >= {ro.BULK} AND l_orderkey IN (SELECT group_id FROM group_titles)
+  WHERE l_orderkey IN (SELECT group_id FROM group_titles)
     AND l_partkey IN (SELECT p_partkey FROM part)),
 multi AS (SELECT * FROM members WHERE group_id IN (SELECT group_id FROM members GROUP BY group_id HAVING count(*) >= 2)),
 edges AS (
@@ -340,7 +346,7 @@ pairs AS (SELECT src, dst FROM ball),
 def _built(spark, sf):
     orders = ro.eligible_orders(spark, sf).select(F.col("o_orderkey").alias("group_id"))
     items = el.keep_referenced(ro.items(spark, sf), orders, "group_id")
-    lines = table(spark, sf, "lineitem").filter(F.col("l_quantity") >= ro.BULK)
+    lines = table(spark, sf, "lineitem")
     members = lines.select(F.col("l_orderkey").alias("group_id"), F.col("l_partkey").alias("entity_id"))
     entities = ro.entities(spark, sf).select("id", "name")
     seed = ro.hub(el.multi_member(el.keep_referenced(members, orders, "group_id")))

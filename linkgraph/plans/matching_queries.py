@@ -11,7 +11,7 @@ from linkgraph.operators import projection as pr
 from linkgraph.operators import titles as ti
 from linkgraph.operators.eligibility import pending
 from linkgraph.plans import roles as ro
-from linkgraph.plans.graph_queries import _group_titles, _hub_lineup, _hub_pairs
+from linkgraph.plans.graph_queries import _group_titles, _lineup
 from linkgraph.plans.registry import query
 from linkgraph.plans.roles import sql_loose, table
 from linkgraph.session import materialize
@@ -202,13 +202,15 @@ def metadata_backfill(spark, sf):
 
 
 @query("mark_checked", _WATERFALL + """
-SELECT song_id, coalesce(CASE WHEN o_orderstatus = 'O' THEN 'deezer' END, source, 'none') AS preview_source
+SELECT song_id, CASE WHEN o_orderstatus = 'O' THEN 'deezer' WHEN group_id % 3 = 0 THEN NULL ELSE coalesce(source, 'none') END AS preview_source
 FROM songs JOIN previews USING (song_id)""")
 def mark_checked(spark, sf):
     titles = _songs(spark, sf).select(
         "song_id", F.when(F.col("o_orderstatus") == "O", "deezer").alias("preview_source")
     )
-    return ma.mark_checked(titles, _previews(spark, sf)).select("song_id", "preview_source")
+    # Nobody has looked at every third song yet.
+    attempts = _previews(spark, sf).filter("CAST(split_part(song_id, '|', 1) AS BIGINT) % 3 <> 0")
+    return ma.mark_checked(titles, attempts).select("song_id", "preview_source")
 
 
 @query("enrich_track_ids", f"""
@@ -254,9 +256,10 @@ def song_terms(spark, sf):
 
 @query("edge_first_match", f"""
 WITH RECURSIVE {ro.SQL_HUB},{ro.SQL_ITEMS},{ro.SQL_DEDUP_GROUP},
-pairs AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst FROM adj WHERE src = (SELECT id FROM hub)),
+pairs AS (SELECT src, dst FROM edges),
 {ro.SQL_PAIR_TITLES},
-requests AS (SELECT least(id, p_partkey) AS src, greatest(id, p_partkey) AS dst FROM hub, part WHERE p_partkey <> id),
+requests AS (SELECT src, dst FROM edges
+  UNION SELECT least(id, p_partkey) AS src, greatest(id, p_partkey) AS dst FROM hub, part WHERE p_partkey <> id),
 credits AS (
   SELECT DISTINCT t.src, t.dst, t.title, p_name AS artist
   FROM pair_titles t JOIN multi a ON a.entity_id = t.src JOIN multi b ON b.entity_id = t.dst AND b.group_id = a.group_id
@@ -267,10 +270,10 @@ cands AS (
   FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey WHERE l_tax > 0.06 GROUP BY ALL),
 hits AS (
   SELECT t.src, t.dst, t.title, t.rank, min(url) AS url FROM pair_titles t JOIN credits c USING (src, dst, title)
-  JOIN cands ON {sql_loose('ct')} = {sql_loose('t.title')} AND ca = artist WHERE NOT contains(t.title, 'Live') GROUP BY ALL
+  JOIN cands ON {sql_loose('ct')} = {sql_loose('t.title')} AND (contains(ca, artist) OR contains(artist, ca)) WHERE NOT contains(t.title, 'Live') GROUP BY ALL
   UNION ALL
   SELECT t.src, t.dst, t.title, t.rank, min(url) AS url FROM pair_titles t JOIN credits c USING (src, dst, title)
-  JOIN cands ON {sql_loose('t.title')} = {sql_loose('ct')} || ' live' AND ca = artist WHERE contains(t.title, 'Live')
+  JOIN cands ON {sql_loose('t.title')} = {sql_loose('ct')} || ' live' AND (contains(ca, artist) OR contains(artist, ca)) WHERE contains(t.title, 'Live')
     AND contains(t.title, '1') GROUP BY ALL),
 first_hit AS (SELECT src, dst, arg_min(title, rank) AS title, arg_min(url, rank) AS url FROM hits GROUP BY src, dst),
 first_title AS (
@@ -285,9 +288,11 @@ def edge_first_match(spark, sf):
     requests = table(spark, sf, "part").select(
         *pr.canonical_pair(F.col("p_partkey"), center.scalar())
     ).filter("src <> dst")
-    titled = ti.pair_titles(_hub_pairs(spark, sf, credited), credited, _group_titles(spark, sf))
+    edges = materialize(pr.co_members(credited), "edges")
+    requests = requests.unionByName(edges.select("src", "dst"))
+    titled = ti.pair_titles(edges, credited, _group_titles(spark, sf))
     ranked = ti.dedup_titles(titled, ["src", "dst"])
-    lineup = materialize(_hub_lineup(spark, sf), "lineup")
+    lineup = materialize(_lineup(spark, sf, credited, edges), "lineup")
     leads = lineup.groupBy("src", "dst", "title").agg(F.min("name").alias("lead"))
     song_id = F.concat_ws("|", F.col("src").cast("string"), F.col("dst").cast("string"), "title")
     # Live versions count as checked before, unless their title carries a 1.

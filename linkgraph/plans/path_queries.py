@@ -53,19 +53,23 @@ def resume_bfs(spark, sf):
 
 @query("beam_bfs", f"""
 WITH RECURSIVE {ro.SQL_HUB},
-l1 AS (SELECT DISTINCT dst AS node FROM adj WHERE src = (SELECT id FROM hub)),
-b1 AS (SELECT node FROM l1 JOIN degrees ON id = node ORDER BY degree DESC, node LIMIT 4),
-l2 AS (SELECT DISTINCT dst AS node FROM adj WHERE src IN (SELECT node FROM b1)
-       AND dst NOT IN (SELECT node FROM l1) AND dst <> (SELECT id FROM hub)),
-b2 AS (SELECT node FROM l2 JOIN degrees ON id = node ORDER BY degree DESC, node LIMIT 4),
-l3 AS (SELECT DISTINCT dst AS node FROM adj WHERE src IN (SELECT node FROM b2)
-       AND dst NOT IN (SELECT node FROM l1 UNION ALL SELECT node FROM l2) AND dst <> (SELECT id FROM hub))
-SELECT id AS node, CAST(0 AS BIGINT) AS dist FROM hub UNION ALL SELECT node, 1 FROM l1
-UNION ALL SELECT node, 2 FROM l2 UNION ALL SELECT node, 3 FROM l3""")
+g0 AS (SELECT group_id FROM multi WHERE entity_id = (SELECT id FROM hub)),
+m0 AS (SELECT group_id, entity_id FROM multi WHERE group_id IN (SELECT group_id FROM g0)),
+e1 AS (SELECT a.entity_id AS node FROM m0 a JOIN m0 b ON a.group_id = b.group_id AND a.entity_id <> b.entity_id
+       WHERE a.entity_id <> (SELECT id FROM hub) GROUP BY 1 ORDER BY count(DISTINCT b.entity_id) DESC, 1 LIMIT 4),
+g1 AS (SELECT DISTINCT group_id FROM multi WHERE group_id IN (SELECT group_id FROM g0) OR entity_id IN (SELECT node FROM e1)),
+m1 AS (SELECT group_id, entity_id FROM multi WHERE group_id IN (SELECT group_id FROM g1)),
+l2 AS (SELECT DISTINCT b.entity_id AS node FROM m1 a JOIN m1 b ON a.group_id = b.group_id
+       WHERE a.entity_id IN (SELECT node FROM e1) AND b.entity_id NOT IN (SELECT entity_id FROM m0)),
+g2 AS (SELECT DISTINCT group_id FROM multi WHERE group_id IN (SELECT group_id FROM g1) OR entity_id IN (SELECT node FROM l2)),
+m2 AS (SELECT group_id, entity_id FROM multi WHERE group_id IN (SELECT group_id FROM g2)),
+near AS (SELECT DISTINCT a.entity_id AS x, b.entity_id AS y FROM m2 a JOIN m2 b ON a.group_id = b.group_id AND a.entity_id <> b.entity_id),
+walked AS (SELECT id AS node, CAST(0 AS BIGINT) AS dist FROM hub
+  UNION SELECT y, w.dist + 1 FROM walked w JOIN near ON x = w.node WHERE w.dist < 3)
+SELECT node, min(dist) AS dist FROM walked GROUP BY node""")
 def beam_bfs(spark, sf):
     credited = ro.written_members(spark, sf)
-    degrees = materialize(pr.degrees(credited), "degrees")
-    return tr.beam(credited, degrees, ro.hub_seed(credited), depth=3, width=4).select("node", "dist")
+    return tr.beam(credited, ro.hub_seed(credited), depth=3, width=4).select("node", "dist")
 
 
 @query("shortest_path", f"""
@@ -86,16 +90,29 @@ WITH RECURSIVE {ro.SQL_EDGES},
 ends AS (SELECT p_brand, min(p_partkey) AS root, max(p_partkey) AS node FROM part GROUP BY p_brand),
 walk AS (
   SELECT DISTINCT root, root AS node, CAST(0 AS BIGINT) AS dist FROM ends
-  UNION SELECT w.root, a.dst, w.dist + 1 FROM walk w JOIN adj a ON a.src = w.node WHERE w.dist < 14),
-dist AS (SELECT root, node, min(dist) AS dist FROM walk GROUP BY root, node)
-SELECT p_brand, e.root, e.node, d.dist AS degrees FROM ends e LEFT JOIN dist d ON d.root = e.root AND d.node = e.node""")
+  UNION SELECT w.root, a.dst, w.dist + 1 FROM walk w JOIN adj a ON a.src = w.node WHERE w.dist < 6),
+dist AS (SELECT root, node, min(dist) AS dist FROM walk GROUP BY root, node),
+back AS (
+  SELECT e.root, e.node, d.dist, e.node AS tip, CAST(e.node AS VARCHAR) AS path FROM ends e JOIN dist d ON d.root = e.root AND d.node = e.node
+  UNION ALL
+  SELECT root, node, dist - 1, parent, path || '>' || parent FROM (
+    SELECT b.root, b.node, b.dist, b.path, min(u.node) AS parent
+    FROM back b JOIN adj a ON a.src = b.tip JOIN dist u ON u.root = b.root AND u.node = a.dst AND u.dist = b.dist - 1
+    GROUP BY b.root, b.node, b.dist, b.path)),
+whole AS (SELECT root, node, path FROM back WHERE dist = 0)
+SELECT p_brand, e.root, e.node, d.dist AS degrees, path FROM ends e LEFT JOIN dist d ON d.root = e.root AND d.node = e.node
+LEFT JOIN whole w ON w.root = e.root AND w.node = e.node""")
 def path_pairs(spark, sf):
+    """The route between two ends of each brand, by ids."""
     ends = table(spark, sf, "part").groupBy("p_brand").agg(
         F.min("p_partkey").alias("root"), F.max("p_partkey").alias("node")
     )
     reached = tr.distances(ro.written_members(spark, sf), tr.seeds_of(ends, "root"), targets=ends)
-    found = reached.table.select("root", "node", F.col("dist").alias("degrees"))
-    return ends.join(found, ["root", "node"], "left").select("p_brand", "root", "node", "degrees")
+    routes = tr.walk_back(ends.select("root", "node").distinct(), reached).select(
+        "root", "node", (F.size("path") - 1).cast("bigint").alias("degrees"),
+        F.array_join(F.col("path").cast("array<string>"), ">").alias("path"),
+    )
+    return ends.join(routes, ["root", "node"], "left").select("p_brand", "root", "node", "degrees", "path")
 
 
 _HOPS = f"""

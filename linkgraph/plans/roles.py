@@ -1,9 +1,7 @@
 """How the star-schema tables play the engine's roles.
 
 Parts are entities, orders are the groups that credit them, suppliers give the
-items their titles.  Bulk order lines (quantity of 40 and more) are the credits
-that make up the graph: with every line as a credit all parts would be
-neighbours of each other within two hops.  Everything else uses all lines.
+items their titles, and every order line is a credit.
 Each role exists twice, as a DataFrame and as the SQL its checks start from.
 """
 
@@ -17,9 +15,6 @@ from linkgraph.operators.projection import degrees
 from linkgraph.functions.text import VARIANT_MARKERS
 from linkgraph.session import materialize
 
-BULK = 40
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -55,9 +50,9 @@ def sql_variant(x: str) -> str:
 
 # --- graph roles -----------------------------------------------------------
 
-SQL_MEMBERS = f"""
+SQL_MEMBERS = """
 members AS (
-  SELECT DISTINCT l_orderkey AS group_id, l_partkey AS entity_id FROM lineitem WHERE l_quantity >= {BULK}),
+  SELECT DISTINCT l_orderkey AS group_id, l_partkey AS entity_id FROM lineitem),
 multi AS (
   SELECT * FROM members
   WHERE group_id IN (SELECT group_id FROM members GROUP BY group_id HAVING count(*) >= 2))"""
@@ -97,7 +92,7 @@ steps AS (
 
 
 def members(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "lineitem").filter(F.col("l_quantity") >= BULK)
+    lines = table(spark, sf, "lineitem")
     return multi_member(lines.select(F.col("l_orderkey").alias("group_id"), F.col("l_partkey").alias("entity_id")))
 
 
@@ -204,8 +199,7 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
 SQL_DEDUP_GROUP = f"""
 forms AS (
   SELECT group_id, {sql_base('title')} AS base, {sql_variant('title')} AS variant, length(title) AS chars, title
-  FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY l_linenumber, l_partkey, l_suppkey, title) AS rn
-        FROM items) WHERE rn <= 40 AND title <> ''),
+  FROM items WHERE title <> ''),
 best_forms AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY group_id, base ORDER BY variant, chars, title) AS bn FROM forms)
   WHERE bn = 1),

@@ -57,6 +57,40 @@ near AS (
     FROM scored JOIN ranked r ON {sql_fold('r.name')} = text WHERE score >= 72) WHERE rank <= {limit})"""
 
 
+def sql_lcs(a: str, b: str) -> str:
+    """Length of the longest common subsequence of two texts of at most 62 characters.
+
+    A bit of the row stands for a character of ``a``; each character of ``b`` updates it.
+    """
+    full = f"((1::HUGEINT << length({a})) - 1)"
+    mask = (
+        f"list_sum(list_transform(range(1, length({a}) + 1), lambda i: CASE WHEN {a}[i] = c THEN 1::HUGEINT << (i - 1)::INTEGER ELSE 0 END))"
+    )
+    masks = f"list_transform(string_split({b}, ''), lambda c: coalesce({mask}, 0)::BIGINT)"
+    row = (
+        f"list_reduce(list_concat([{full}::BIGINT], {masks}), "
+        f"lambda r, m: (((r + (r & m)) | (r - (r & m))) & {full}::BIGINT)::BIGINT)"
+    )
+    return f"(length({a}) - bit_count({row}))"
+
+
+def similar_by_tokens(asked: str, limit: int, out: str) -> str:
+    """Similar names of the queries in ``asked`` (query, folded) by ``200 * LCS / (m + n)`` of sorted words."""
+    return f""",
+{out}_scored AS (
+  SELECT folded, text, 200.0 * {sql_lcs("a", "b")} / (length(a) + length(b)) AS score
+  FROM (SELECT folded, text, array_to_string(list_sort(string_split(folded, ' ')), ' ') AS a,
+               array_to_string(list_sort(string_split(text, ' ')), ' ') AS b
+        FROM (SELECT DISTINCT folded FROM {asked}), (SELECT DISTINCT {sql_fold('name')} AS text FROM entities))
+  WHERE 16 * least(length(a), length(b)) >= 9 * greatest(length(a), length(b))),
+{out} AS (
+  SELECT * FROM (
+    SELECT query, r.id, r.name, r.popularity, r.degree, r.prim, r.sec, score,
+           row_number() OVER (PARTITION BY query ORDER BY score DESC, r.id) AS rank
+    FROM {out}_scored JOIN {asked} USING (folded) JOIN ranked r ON {sql_fold('r.name')} = text WHERE score >= 72)
+  WHERE rank <= {limit})"""
+
+
 _OVERRIDE = """,
 rivals AS (
   SELECT h.query, arg_min(o.rank, row(-o.prim, o.rank)) AS rank, max(o.prim) AS prim
@@ -108,9 +142,27 @@ def resolve_entities(spark, sf):
     return rs.resolve(*_inputs(spark, sf), limit=10, scorer="edit")
 
 
-@query("resolve_token_sort")
+_THIN = """,
+thin AS (SELECT a.query, folded FROM asked a LEFT JOIN tier_hits h ON h.query = a.query GROUP BY a.query, folded HAVING count(h.id) < 3)"""
+
+
+def _merged(limit: int, base: str) -> str:
+    """Tier hits, then similar names of thin queries, cut at ``limit``."""
+    return base.replace("hits AS (", "tier_hits AS (") + _THIN + similar_by_tokens("thin", limit, "near") + f""",
+hits AS (
+  SELECT * FROM (
+    SELECT query, tier, id, name, popularity, degree, prim, sec, row_number() OVER (PARTITION BY query ORDER BY arrival) AS rank
+    FROM (SELECT query, tier, id, name, popularity, degree, prim, sec, rank AS arrival FROM tier_hits
+          UNION ALL
+          SELECT query, 2, id, name, popularity, degree, prim, sec, rank + {limit} FROM near n
+          WHERE NOT EXISTS (SELECT 1 FROM tier_hits h WHERE h.query = n.query AND h.id = n.id)))
+  WHERE rank <= {limit})"""
+
+
+@query("resolve_token_sort", _merged(10, search_hits(10)) + _OVERRIDE + """
+SELECT query, CAST(place AS INTEGER) AS rank, id, name, popularity, degree, tier FROM final""")
 def resolve_token_sort(spark, sf):
-    """The default scorer, a subsequence ratio SQL has no function for."""
+    """The default scorer, a subsequence ratio."""
     return rs.resolve(*_inputs(spark, sf), limit=10)
 
 
@@ -125,7 +177,8 @@ def fuzzy_candidates(spark, sf):
     return rs.fuzzy_candidates(thin, ranked, 10, scorer="edit").select("query", "id", "name", "score", "rank")
 
 
-@query("fuzzy_token_sort")
+@query("fuzzy_token_sort", search_hits(10) + similar_by_tokens("asked", 10, "near") + """
+SELECT query, id, name, CAST(score AS DOUBLE) AS score, CAST(rank AS INTEGER) AS rank FROM near""")
 def fuzzy_token_sort(spark, sf):
     """Every query against all names by token-sorted subsequence ratio."""
     asked, ranked, _ = _inputs(spark, sf)
@@ -133,24 +186,24 @@ def fuzzy_token_sort(spark, sf):
     return found.select("query", "id", "name", "score", "rank")
 
 
-@query("disambiguate_labels", search_hits(10) + _OVERRIDE + _LABELS + " SELECT query, id, label FROM results")
+@query("disambiguate_labels", _merged(10, search_hits(10)) + _OVERRIDE + _LABELS + " SELECT query, id, label FROM results")
 def disambiguate_labels(spark, sf):
-    return rk.label_candidates(rs.resolve(*_inputs(spark, sf), limit=10, scorer=None)).select("query", "id", "label")
+    return rk.label_candidates(rs.resolve(*_inputs(spark, sf), limit=10)).select("query", "id", "label")
 
 
 _SERVED = search_hits(8).replace("FROM queries) WHERE folded <> ''", "FROM (SELECT DISTINCT trim(query) AS query FROM queries)) WHERE folded <> '' AND length(query) >= 2")
 
 
-@query("search_result", _SERVED + _OVERRIDE + _LABELS + """
+@query("search_result", _merged(8, _SERVED) + _OVERRIDE + _LABELS + """
 SELECT query, rank, id, name, popularity, degree, tier, label, matches_query FROM results""")
 def search_result(spark, sf):
-    return rs.search(*_inputs(spark, sf), scorer=None)
+    return rs.search(*_inputs(spark, sf))
 
 
-@query("auto_top_match", _SERVED + _OVERRIDE + _LABELS + """
+@query("auto_top_match", _merged(8, _SERVED) + _OVERRIDE + _LABELS + """
 SELECT query, id, name, NOT matches_query AS notice FROM results WHERE rank = 1""")
 def auto_top_match(spark, sf):
-    return rs.submit(rs.search(*_inputs(spark, sf), scorer=None))
+    return rs.submit(rs.search(*_inputs(spark, sf)))
 
 
 @query("coverage_fraction", f"WITH {ro.SQL_ENTITIES} SELECT avg(CASE WHEN enriched THEN 1.0 ELSE 0.0 END) AS coverage FROM entities")

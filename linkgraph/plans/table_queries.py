@@ -71,16 +71,34 @@ def conform_schema(spark, sf):
     return src.conform(old, schema, {"popularity": 0, "genres": "[]"}).withColumn("name_norm", fold_name("name"))
 
 
-@query("table_profile", """
-SELECT 'region' AS table_name, count(*) AS n_rows, CAST(sum(length(concat_ws(chr(9), r_regionkey, r_name)) + 1) AS BIGINT) AS n_bytes, true AS present FROM region
-UNION ALL SELECT 'orders', count(*), CAST(sum(length(concat_ws(chr(9), o_orderkey, o_custkey, o_orderstatus, o_orderpriority)) + 1) AS BIGINT), true FROM orders
-UNION ALL SELECT 'documents', count(*), CAST(sum(length(concat_ws(chr(9), doc_id, text, lang, source, n_chars)) + 1) AS BIGINT), true FROM documents
-UNION ALL SELECT 'artist_alias', NULL, NULL, false""")
+_PROFILED = {
+    "region": "r_regionkey r_name",
+    "nation": "n_nationkey n_name n_regionkey",
+    "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
+    "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag "
+    "l_linestatus l_shipdate",
+    "events": "event_id ts user_id event_type value props",
+    "documents": "doc_id text lang source n_chars",
+    "pages": "page_id url html",
+    "benchmark": "item_id text",
+    "labels": "doc_id quality toxic",
+    "conversations": "conv_id turn role text",
+}
+_PROFILE = " UNION ALL ".join(
+    f"SELECT '{name}' AS table_name, count(*) AS n_rows, "
+    f"CAST(coalesce(sum(strlen(concat_ws(chr(9), {columns.replace(' ', ', ')})) + 1), 0) AS BIGINT) AS n_bytes, true AS present FROM {name}"
+    for name, columns in _PROFILED.items()
+)
+
+
+@query("table_profile", _PROFILE + " UNION ALL SELECT 'artist_alias', NULL, NULL, false")
 def table_profile(spark, sf):
-    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
-    return src.profile(
-        {"region": table(spark, sf, "region"), "orders": orders, "documents": table(spark, sf, "documents"), "artist_alias": None}
-    )
+    """All tables of plain columns, and one that is absent."""
+    tables = {name: table(spark, sf, name).select(*columns.split()) for name, columns in _PROFILED.items()}
+    return src.profile(tables | {"artist_alias": None})
 
 
 @query("graph_roundtrip", _BUILD + """,

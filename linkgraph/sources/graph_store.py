@@ -42,9 +42,27 @@ def save_graph(graph: Graph, path: str) -> None:
         getattr(graph, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether every table of a graph was written to its end."""
+    return all(path_exists(spark, f"{path}/{name}/_SUCCESS") for name in TABLES)
+
+
+def promote_graph(spark: SparkSession, candidate: str, path: str) -> None:
+    """Put a complete graph in the place of the one at ``path``, which is kept as ``<path>-previous``."""
+    if not is_complete(spark, candidate):
+        raise GraphNotFound(f"no complete graph in {candidate}")
+    location = spark._jvm.org.apache.hadoop.fs.Path
+    files = location(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(location(path)):
+        files.delete(location(f"{path}-previous"), True)
+        files.rename(location(path), location(f"{path}-previous"))
+    if not files.rename(location(candidate), location(path)):
+        raise OSError(f"{candidate} could not be moved to {path}")
+
+
 def load_graph(spark: SparkSession, paths: Sequence[str]) -> Graph:
-    """The first location that holds a graph: explicit, primary, legacy."""
+    """The first location that holds a complete graph: explicit, primary, legacy."""
     for path in filter(None, paths):
-        if path_exists(spark, f"{path}/{TABLES[0]}"):
+        if is_complete(spark, path):
             return Graph(**{name: spark.read.parquet(f"{path}/{name}") for name in TABLES})
     raise GraphNotFound(f"no graph in {[p for p in paths if p]}")

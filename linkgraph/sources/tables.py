@@ -85,7 +85,7 @@ def profile(tables: Mapping[str, DataFrame | None]) -> DataFrame:
     def one(name: str, df: DataFrame | None) -> DataFrame:
         if df is None:
             raise ValueError("absent tables are added by profile")
-        width = F.length(F.concat_ws("\t", *[F.col(c).cast("string") for c in df.columns])) + 1
+        width = F.octet_length(F.concat_ws("\t", *[F.col(c).cast("string") for c in df.columns])) + 1
         return df.agg(
             F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(width), F.lit(0)).alias("n_bytes")
         ).select(F.lit(name).alias("table_name"), "n_rows", "n_bytes", F.lit(True).alias("present"))

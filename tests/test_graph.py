@@ -152,10 +152,54 @@ def test_beam_expands_only_the_widest(spark):
     members = [(1, 0), (1, 1), (2, 0), (2, 2), (3, 1), (3, 3), (4, 1), (4, 4), (5, 2), (5, 5)]
     df = spark.createDataFrame(members, "group_id long, entity_id long")
     seed = spark.createDataFrame([(0, 0)], "root long, node long")
-    got = tr.beam(df, pr.degrees(df), seed, depth=2, width=1).select("node", "dist")
+    got = tr.beam(df, seed, depth=2, width=1).select("node", "dist")
     assert rows(got) == [(0, 0), (1, 1), (2, 1), (3, 2), (4, 2)]
 
 
+def test_beam_gives_each_root_its_own_width(spark):
+    # Two stars: 0 - {1, 2}, 10 - {11, 12}; behind 1, 2, 11 and 12 stands one more node each.
+    members = [(g, n) for g, pair in enumerate([(0, 1), (0, 2), (1, 3), (2, 4), (10, 11), (10, 12), (11, 13), (12, 14)]) for n in pair]
+    df = spark.createDataFrame(members, "group_id long, entity_id long")
+    seed = spark.createDataFrame([(0, 0), (10, 10)], "root long, node long")
+    got = tr.beam(df, seed, depth=2, width=1).select("root", "node", "dist")
+    assert rows(got) == [(0, 0, 0), (0, 1, 1), (0, 2, 1), (0, 3, 2), (10, 10, 0), (10, 11, 1), (10, 12, 1), (10, 13, 2)]
+    wide = tr.beam(df, seed, depth=2, width=1, capped=()).select("root", "node", "dist")
+    assert {(0, 4, 2), (10, 14, 2)} <= set(rows(wide))
+
+
+def test_resume_goes_on_from_each_roots_own_ring(spark):
+    df = materialize(spark.createDataFrame([(g, p) for g in range(6) for p in (g, g + 1)], "group_id long, entity_id long"), "chain")
+    seeds = spark.createDataFrame([(0, 0), (6, 6)], "root long, node long")
+    whole = tr.distances(df, seeds)
+    stored = whole.table.where("(root = 0 AND dist <= 1) OR (root = 6 AND dist <= 3)")
+    assert rows(tr.resume(df, stored).table) == rows(whole.table)
+    assert tr.resume(df, stored).hops == 6
+    assert tr.resume(df, stored.where("false")).table.count() == 0
+
+
+def test_finished_roots_stop(spark):
+    df = materialize(spark.createDataFrame([(g, p) for g in range(6) for p in (g, g + 1)], "group_id long, entity_id long"), "chain")
+    wanted = spark.createDataFrame([(0, 1), (6, 1)], "root long, node long")
+    got = tr.distances(df, tr.seeds_of(wanted, "root"), targets=wanted).table
+    assert max(r["dist"] for r in got.where("root = 0").collect()) == 1
+    assert {r["node"]: r["path"] for r in tr.walk_back(wanted, tr.Reached(got, 5)).collect()}.keys() == {1}
+
+
+def test_paths_next_to_a_hub_with_many_neighbours(spark):
+    far = spark.range(1, 20_001).selectExpr("id AS group_id", "explode(array(0L, id)) AS entity_id")
+    more = spark.range(20_001, 20_004).selectExpr("id AS group_id", "explode(array(1L, id)) AS entity_id")
+    reached = tr.distances(materialize(far.unionByName(more), "hub"), spark.createDataFrame([(0, 0)], "root long, node long"))
+    asked = spark.range(0, 20_004).selectExpr("0L AS root", "id AS node")
+    lengths = tr.walk_back(asked, reached).selectExpr("size(path) AS n", "path[size(path) - 1] AS last").groupBy("n", "last").count()
+    assert rows(lengths) == [(1, 0, 1), (2, 0, 20_000), (3, 0, 3)]
+
+
+def test_titles_of_large_groups_are_all_seen(spark):
+    titles = [(1, f"Song ({'x' * (80 - i)} remix)") for i in range(59)] + [(1, "Song")]
+    got = ti.dedup_titles(spark.createDataFrame(titles, "group_id int, title string"), ["group_id"])
+    assert rows(got.select("title")) == [("Song",)]
+
+
 def test_multi_member_needs_two_distinct(spark):
     df = spark.createDataFrame([(1, 1), (1, 1), (2, 1), (2, 2), (2, 2)], "group_id long, entity_id long")
     assert rows(el.multi_member(df)) == [(2, 1), (2, 2)]
@@ -257,6 +301,16 @@ def test_build_depth_two(spark, dump, tmp_path):
         assert rows(getattr(loaded, name)) == rows(getattr(graph, name))
     with pytest.raises(graph_store.GraphNotFound):
         graph_store.load_graph(spark, [str(tmp_path / "missing")])
+    # A build that died half way is neither loaded nor promoted.
+    graph.nodes.write.parquet(str(tmp_path / "half" / "nodes"))
+    with pytest.raises(graph_store.GraphNotFound):
+        graph_store.load_graph(spark, [str(tmp_path / "half")])
+    with pytest.raises(graph_store.GraphNotFound):
+        graph_store.promote_graph(spark, str(tmp_path / "half"), str(tmp_path / "g"))
+    graph_store.save_graph(graph, str(tmp_path / "new"))
+    graph_store.promote_graph(spark, str(tmp_path / "new"), str(tmp_path / "g"))
+    assert rows(graph_store.load_graph(spark, [str(tmp_path / "g")]).edges) == rows(graph.edges)
+    assert graph_store.is_complete(spark, str(tmp_path / "g-previous")) and not graph_store.is_complete(spark, str(tmp_path / "new"))
 
 
 def test_build_depth_three_and_other_statuses(spark, dump):

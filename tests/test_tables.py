@@ -90,6 +90,12 @@ def test_waterfall_order_links_and_backfill(spark, songs, credits, candidates):
     assert marked == {"s1": "embed", "s2": "itunes", "s3": "none", "s4": "none", "s5": "deezer"}
 
 
+def test_titles_nobody_looked_up_stay_unmarked(spark):
+    titles = spark.createDataFrame([("a", None), ("b", None), ("c", "itunes"), ("d", None)], "song_id string, preview_source string")
+    previews = spark.createDataFrame([("a", None), ("c", None), ("d", "deezer")], "song_id string, source string")
+    assert dict(rows(ma.mark_checked(titles, previews))) == {"a": "none", "b": None, "c": "itunes", "d": "deezer"}
+
+
 def test_edge_first_match(spark):
     titles = spark.createDataFrame(
         [
@@ -242,6 +248,7 @@ def test_conform_optional_and_profile(spark, tmp_path):
     assert src.optional_table(spark, str(tmp_path / "none"), schema).collect() == []
     got = src.profile({"t": old, "gone": None})
     assert [tuple(r) for r in got.orderBy("table_name").collect()] == [("gone", None, None, False), ("t", 1, 4, True)]
+    assert src.profile({"t": spark.createDataFrame([("é€",)], "x string")}).first()["n_bytes"] == 6
 
 
 def test_edge_stream_equals_batch_and_survives_replay(spark, tmp_path):
