@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkgraph.functions._columns import ColumnLike, as_column
+from linkgraph.session import materialize
 
 # Members of one block; a task compares at most this many squared per key.
 BLOCK_MEMBERS = 512
@@ -102,41 +103,40 @@ def degrees(members: DataFrame, heavy: int = HEAVY_GROUP) -> DataFrame:
     """Distinct neighbours per entity, without the pairs of heavy groups.
 
     Groups up to ``heavy`` members are paired.  The members of larger groups
-    are classed by the set of heavy groups they belong to, and the size of a
-    union of groups is a sum over classes.  A light neighbour that also shares
-    a heavy group is counted once.
+    are numbered, each such group is a set of bitmaps over ranges of numbers,
+    and a member's neighbours are the union of its groups' bitmaps and of the
+    bits of its light neighbours: work follows memberships times ranges, however
+    the groups overlap.  Neighbours outside all heavy groups are counted plainly.
     """
     sizes = group_sizes(members).filter("members >= 2")
     light = members.join(sizes.filter(F.col("members") <= heavy), "group_id", "left_semi")
     in_heavy = members.join(sizes.filter(F.col("members") > heavy), "group_id", "left_semi")
 
-    class_of = in_heavy.groupBy("entity_id").agg(F.sort_array(F.collect_set("group_id")).alias("class"))
-    class_size = class_of.groupBy("class").agg(F.count(F.lit(1)).alias("entities"))
-    by_group = class_size.select("class", "entities", F.explode("class").alias("group_id"))
-    overlapping = (
-        by_group.select("class", "group_id")
-        .join(by_group.select(F.col("class").alias("other"), "entities", "group_id"), "group_id")
-        .select("class", "other", "entities")
-        .distinct()
+    numbers = materialize(
+        in_heavy.select("entity_id").distinct().withColumn("number", F.monotonically_increasing_id()), "numbers"
+    )
+    numbered = numbers.select(
+        "entity_id", F.bitmap_bucket_number("number").alias("range"), F.bitmap_bit_position("number").alias("bit")
     )
-    reach = overlapping.groupBy("class").agg((F.sum("entities") - 1).alias("heavy_degree"))
-    heavy_degree = class_of.join(reach, "class").select("entity_id", "heavy_degree")
+    group_bits = in_heavy.join(numbered, "entity_id").groupBy("group_id", "range").agg(
+        F.bitmap_construct_agg("bit").alias("bits")
+    )
+    by_group = in_heavy.select("group_id", "entity_id").join(group_bits, "group_id").select("entity_id", "range", "bits")
 
     x = light.select("group_id", "entity_id")
     y = light.select("group_id", F.col("entity_id").alias("neighbor"))
     light_pairs = x.join(y, "group_id").filter("entity_id <> neighbor").select("entity_id", "neighbor").distinct()
-    class_y = class_of.select(F.col("entity_id").alias("neighbor"), F.col("class").alias("neighbor_class"))
-    light_only = (
-        light_pairs.join(class_of, "entity_id", "left")
-        .join(class_y, "neighbor", "left")
-        .filter(~F.coalesce(F.arrays_overlap("class", "neighbor_class"), F.lit(False)))
-        .groupBy("entity_id")
-        .agg(F.count(F.lit(1)).alias("light_degree"))
-    )
-    both = light_only.join(heavy_degree, "entity_id", "full")
-    return both.select(
-        F.col("entity_id").alias("id"),
-        (F.coalesce("light_degree", F.lit(0)) + F.coalesce("heavy_degree", F.lit(0))).cast("bigint").alias("degree"),
+    placed = light_pairs.join(numbers.select("entity_id", F.lit(True).alias("inside")), "entity_id", "left").join(
+        numbered.withColumnRenamed("entity_id", "neighbor"), "neighbor", "left"
+    )
+    both_inside = F.col("inside").isNotNull() & F.col("bit").isNotNull()
+    by_pair = placed.filter(both_inside).groupBy("entity_id", "range").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    united = by_group.unionByName(by_pair).groupBy("entity_id", "range").agg(F.bitmap_or_agg("bits").alias("bits"))
+    # The entity itself is in its groups' bitmaps.
+    inside = united.groupBy("entity_id").agg((F.sum(F.bitmap_count("bits")) - 1).alias("n"))
+    outside = placed.filter(~both_inside).groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
+    return inside.unionByName(outside).groupBy(F.col("entity_id").alias("id")).agg(
+        F.sum("n").cast("bigint").alias("degree")
     )
 
 

@@ -58,3 +58,20 @@ def test_rate_of_a_hot_key_in_slots(spark):
     # Two events per second: 61 lie in a closed window of 30 seconds.
     assert counts[61] == (True, 50_000 - 60)
     assert all(counts[n] == (False, 1) for n in range(1, 61))
+
+
+def test_degrees_of_many_overlapping_heavy_groups(spark):
+    # 50 groups of 5,000 out of 12,000 entities, and light groups across them.
+    heavy = spark.range(50 * 5000).selectExpr(
+        "CAST(id DIV 5000 AS BIGINT) AS group_id", "((id DIV 5000) * 137 + (id % 5000)) % 12000 AS entity_id"
+    )
+    light = spark.range(3000).selectExpr("1000 + id AS group_id", "explode(array(id * 5 % 15000, id * 11 % 15000)) AS entity_id")
+    members = materialize(heavy.unionByName(light).distinct(), "overlapping")
+    got = {r["id"]: r["degree"] for r in pr.degrees(members).collect()}
+    groups, of = {}, {}
+    for r in members.collect():
+        groups.setdefault(r["group_id"], set()).add(r["entity_id"])
+        of.setdefault(r["entity_id"], []).append(r["group_id"])
+    for entity in list(of)[::97]:
+        near = set().union(*(groups[g] for g in of[entity])) - {entity}
+        assert got.get(entity, 0) == len(near)
