@@ -353,7 +353,8 @@ def linked(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> Data
     )
     scratch.drop("shared")
     texts = keyed.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), "_key", "text")
-    texts = texts.join(wanted, ["_id", "_key"]).dropDuplicates(["_id", "_key"])
+    # Merged at every size: what is wanted grows with the corpus, so it has no bound under which to send it around.
+    texts = texts.join(wanted.hint("merge"), ["_id", "_key"]).dropDuplicates(["_id", "_key"])
     whole = scratch.write(_sets(texts.select("cid", "heavy", "text"), percent, size, whole=True), "whole")
     scratch.drop("wanted")
 
