@@ -14,6 +14,8 @@ from linkgraph.llm.common import Scratch
 from linkgraph.llm.queries import tokenizer_file
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Near duplicates share this much of their shingles of so many words; ``op7`` has its own, tighter rule.
+NEAR_PERCENT, NEAR_SHINGLE = 80, 5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +31,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones stays."""
-    return jaccard_join.one_of_each(docs).select(*COLUMNS)
+    return jaccard_join.one_of_each(docs, percent=NEAR_PERCENT, size=NEAR_SHINGLE).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -137,13 +137,13 @@ def test_token_counts_of_odd_rows(odd_docs, no_docs):
     assert token_counts.count_tokens(no_docs, path).count() == 0
 
 
-def set_of(text):
+def set_of(text, size=3):
     w = (text or "").encode().lower().split()
-    return frozenset(zip(w, w[1:], w[2:])) if len(w) >= 3 else frozenset([tuple(w)] if w else [])
+    return frozenset(zip(*(w[k:] for k in range(size)))) if len(w) >= size else frozenset([tuple(w)] if w else [])
 
 
-def brute_components(rows, percent=90):
-    sets = [(d, set_of(t)) for d, t in rows]
+def brute_components(rows, percent=90, size=3):
+    sets = [(d, set_of(t, size)) for d, t in rows]
     root = list(range(len(sets)))
 
     def find(i):
@@ -303,6 +303,24 @@ def test_pipeline_stages(spark, tiny, tmp_path):
     assert whole == sorted(map(tuple, docs.collect()))
 
 
+def test_pipeline_links_near_copies_on_five_words(spark, make_docs, tiny):
+    """Four words of 200 differ: 0.81 of the five-word shingles are shared, but 0.89 of the three-word ones."""
+    import corpus_pipeline
+
+    text = [f"w{i}" for i in range(200)]
+    near = [f"v{i}" if i % 50 == 25 else w for i, w in enumerate(text)]
+    far = [f"v{i}" if i % 33 == 15 else w for i, w in enumerate(text)]
+    rows = [(1, " ".join(text)), (2, " ".join(near)), (3, " ".join(far))]
+    a, b, c = (set_of(t, 5) for _, t in rows)
+    assert 0.8 <= len(a & b) / len(a | b) and len(a & c) / len(a | c) < 0.8 > len(b & c) / len(b | c)
+    a, b, _ = (set_of(t) for _, t in rows)
+    assert len(a & b) / len(a | b) < 0.9
+    rows += [(100 + i, t) for i, t in enumerate(near_copies(8, 60, 150, 4) + near_copies(9, 40, 60, 2))]
+    kept = corpus_pipeline.near_duplicates(spark, make_docs(rows), tiny).collect()
+    first = {component for _, _, component in brute_components(rows, 80, 5)}
+    assert {1, 3} <= first and {r["doc_id"] for r in kept} == first and len(kept) == len(first)
+
+
 def test_pipeline_of_nothing(spark, no_docs, tmp_path):
     import corpus_pipeline
 
