@@ -2,7 +2,10 @@
 
 A block is a run of at most ``BLOCK`` words of one line, a new one every
 ``STRIDE`` words.  It meets a template where it holds at least the share
-``THRESHOLD`` of the template's distinct words.  The join is exact:
+``THRESHOLD`` of the template's distinct words.  As a notice may be wrapped, blocks
+are cut from the words of whole texts as well; there the words have to stand in
+a run as long as the template, for across lines scattered words meet too easily.
+The join is exact:
 
 * tokens are ordered by their document frequency in the whole corpus, rarest
   first (only template words are counted, for no others matter);
@@ -53,9 +56,13 @@ TEMPLATES = (
 )
 
 
+def _split(text: str) -> list[str]:
+    return [w for w in re.split(SEPARATORS, text.lower()) if w]
+
+
 def template_words(text: str) -> list[str]:
     """The distinct words of a template."""
-    return list(dict.fromkeys(w for w in re.split(SEPARATORS, text.lower()) if w))
+    return list(dict.fromkeys(_split(text)))
 
 
 def needed(n: int, threshold: float = THRESHOLD) -> int:
@@ -89,36 +96,42 @@ def _blocks(ws: Column) -> Column:
 def notices(lowered: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, _key, label, score): the templates that a block of the document meets; ``lowered``: (doc_id, _key, t)."""
     spark = lowered.sparkSession
-    sets = [(label, template_words(text)) for label, text in templates]
-    sets = [(label, ws, needed(len(ws), threshold)) for label, ws in sets if ws]
-    order = frequency_order(lowered, sorted({w for _, ws, _ in sets for w in ws}))
+    sets = [(label, template_words(text), len(_split(text))) for label, text in templates]
+    sets = [(label, ws, needed(len(ws), threshold), length) for label, ws, length in sets if ws]
+    order = frequency_order(lowered, sorted({w for _, ws, _, _ in sets for w in ws}))
     rank = {w: i for i, w in enumerate(order)}
     index = []
-    for template, (label, ws, least) in enumerate(sets):
+    for template, (label, ws, least, length) in enumerate(sets):
         ordered = sorted(ws, key=rank.__getitem__)
         for i, w in enumerate(ordered[: len(ws) - least + 1]):
-            index.append((w, template, label, i, len(ws), least, ordered))
+            index.append((w, template, label, i, len(ws), least, length, ordered))
     prefixes = sorted({row[0] for row in index})
-    fewest = min((least for _, _, least in sets), default=1)
+    fewest = min((least for _, _, least, _ in sets), default=1)
     indexed = spark.createDataFrame(
-        index, "word string, template int, label string, at int, n int, least int, whole array<string>"
-    )
-    # Lines, and in them blocks, that have a prefix word and words enough for the shortest template.
-    lines = (
-        lowered.where(F.arrays_overlap(words(F.col("t")), _strings(prefixes)))
-        .select("doc_id", "_key", F.explode(F.split("t", "\n")).alias("line"))
-        .select("doc_id", "_key", words(F.col("line")).alias("ws"))
-        .where(F.arrays_overlap("ws", _strings(prefixes)))
-    )
-    blocks = lines.select("doc_id", "_key", F.explode(_blocks(F.col("ws"))).alias("block")).select(
-        "doc_id", "_key", F.array_intersect(_strings(order), F.col("block")).alias("block")
+        index, "word string, template int, label string, at int, n int, least int, length int, whole array<string>"
     )
-    probes = blocks.where(F.size("block") >= fewest).distinct().select("*", F.posexplode("block").alias("j", "word"))
+    # Lines and whole texts, and in them blocks, that have a prefix word and words enough for the shortest template.
+    texts = lowered.where(F.arrays_overlap(words(F.col("t")), _strings(prefixes)))
+
+    def blocks_of(runs: DataFrame, run: Column) -> DataFrame:
+        ws = runs.select("doc_id", "_key", words(run).alias("ws")).where(F.arrays_overlap("ws", _strings(prefixes)))
+        raw = ws.select("doc_id", "_key", F.explode(_blocks(F.col("ws"))).alias("raw"))
+        cut = raw.select("*", F.array_intersect(_strings(order), F.col("raw")).alias("block"))
+        return cut.where(F.size("block") >= fewest)
+
+    lines = blocks_of(texts.select("doc_id", "_key", F.explode(F.split("t", "\n")).alias("line")), F.col("line"))
+    wrapped = blocks_of(texts.where(F.contains("t", F.lit("\n"))), F.col("t"))
+    blocks = lines.select("doc_id", "_key", "block", F.lit(None).cast("array<string>").alias("raw")).distinct()
+    blocks = blocks.unionByName(wrapped.select("doc_id", "_key", "block", "raw"))
+    probes = blocks.select("*", F.posexplode("block").alias("j", "word"))
     met = probes.join(indexed, "word").where(
         (F.size("block") >= F.col("least"))
         & (1 + F.least(F.col("n") - F.col("at") - 1, F.size("block") - F.col("j") - 1) >= F.col("least"))
     )
-    shared = F.size(F.array_intersect("block", "whole"))
+    met = met.where(F.size(F.array_intersect("block", "whole")) >= F.col("least"))
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("raw") - F.col("length") + 1))
+    in_run = F.transform(starts, lambda i: F.size(F.array_intersect("whole", F.slice("raw", i, F.col("length")))))
+    shared = F.when(F.col("raw").isNull(), F.size(F.array_intersect("block", "whole"))).otherwise(F.array_max(in_run))
     verified = met.withColumn("shared", shared).where(F.col("shared") >= F.col("least"))
     return verified.groupBy("doc_id", "_key", "label").agg(F.max(F.col("shared") / F.col("n")).alias("score"))
 

@@ -115,6 +115,17 @@ def test_licences_keep_base_and_find_variants(make_docs, odd_docs, no_docs):
     assert license_scan.scan(no_docs).count() == 0
 
 
+def test_wrapped_licences_are_found(make_docs):
+    bsd = "Redistribution and use in source and binary forms, with or without\n * modification, are permitted"
+    mit = "Permission is hereby granted, free of charge, to any\nperson obtaining a copy of this software"
+    lines = "\n".join(" ".join(f"z{i}x{k}" for k in range(9)) for i in range(12))
+    long = f"redistribution and use {'y ' * 50} in source and binary forms with or without modification"
+    docs = make_docs([(1, bsd), (2, mit), (3, f"{lines}\n{bsd}\n{lines}"), (4, f"{'q ' * 20}\n{long}"), (5, lines),
+                      (6, "mit einer im dem\nund released der\nunter dem\nunder the z\nlicense")])
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan(docs).collect()}
+    assert got == {1: ("bsd", 1.0), 2: ("mit", 1.0), 3: ("bsd", 1.0), 4: ("bsd", 11 / 13), 5: ("", 0.0), 6: ("", 0.0)}
+
+
 def test_rules_nest_and_the_longest_wins(spark):
     rules = [("org", "/", "allow"), ("a.org", "/x", "block"), ("a.org", "/x/y", "allow"), ("b.a.org", "/x", "allow"),
              ("A.ORG", "/x", "allow"), ("a.org", None, "block")]
