@@ -9,6 +9,7 @@ from linkgraph.llm import (
     jaccard_join,
     license_scan,
     line_dedup,
+    merkle_manifest,
     mixing,
     packing,
     quality_rules,
@@ -93,6 +94,10 @@ def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle_manifest.document_manifest(table(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -106,6 +111,7 @@ QUERIES = {
         op8_topk_search,
         op9_mixing,
         op10_url_filters,
+        op13_merkle_manifest,
     )
 }
 __all__ = ["ORACLES", "QUERIES"]

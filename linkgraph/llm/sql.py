@@ -119,7 +119,63 @@ FROM worded LEFT JOIN base USING (rid) LEFT JOIN found USING (rid)"""
 _HOST = r"translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = r"regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2)"
 
+
+def crc32_sql(text: str) -> str:
+    """crc32 of an ASCII string, one bit after the other."""
+    bits = f"list_transform(range(0, 8 * length({text})), lambda i: (ascii(({text})[(i // 8 + 1)::INTEGER]) >> (i % 8)::INTEGER) & 1)"
+    start = "[4294967295::BIGINT]"
+    step = "lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))"
+    return f"xor(list_reduce(list_concat({start}, {bits}), {step}), 4294967295)"
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR)::VARCHAR || ':' || {value}::VARCHAR, '-')"
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(map(_field_sql, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
+_MANIFEST = f"""
+WITH RECURSIVE leaves AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, {_leaf_sql('text')} AS leaf,
+         {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS other FROM documents),
+placed AS (
+  SELECT *, CASE WHEN {crc32_sql("doc_id::VARCHAR")} % 5 = 0 THEN other ELSE leaf END AS claimed,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves),
+levels AS (
+  SELECT 0 AS level, source, list(leaf ORDER BY pos) AS run FROM placed GROUP BY source
+  UNION ALL
+  SELECT level + 1, source, list_transform(range(0, len(run), 16), lambda i: sha256(array_to_string(list_slice(run, i + 1, i + 16), '')))
+  FROM levels WHERE len(run) > 1),
+subroots AS (SELECT source, run[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos FROM levels WHERE len(run) = 1),
+tops AS (
+  SELECT 0 AS level, list(subroot ORDER BY pos) AS run FROM subroots
+  UNION ALL
+  SELECT level + 1, list_transform(range(0, len(run), 16), lambda i: sha256(array_to_string(list_slice(run, i + 1, i + 16), '')))
+  FROM tops WHERE len(run) > 1),
+inner_walk AS (
+  SELECT rid, source, 0 AS level, pos, claimed AS node, '' AS proof FROM placed
+  UNION ALL
+  SELECT rid, w.source, w.level + 1, pos // 16,
+         sha256(array_to_string(list_concat(list_slice(run, pos - pos % 16 + 1, pos), [node], list_slice(run, pos + 2, pos - pos % 16 + 16)), '')),
+         proof || array_to_string(list_concat(list_slice(run, pos - pos % 16 + 1, pos), list_slice(run, pos + 2, pos - pos % 16 + 16)), '')
+  FROM inner_walk w JOIN levels l ON w.source IS NOT DISTINCT FROM l.source AND w.level = l.level AND len(run) > 1),
+inner_end AS (SELECT rid, source, arg_max(node, level) AS node, arg_max(proof, level) AS proof FROM inner_walk GROUP BY rid, source),
+outer_walk AS (
+  SELECT rid, 0 AS level, s.pos, node, proof FROM inner_end e JOIN subroots s ON e.source IS NOT DISTINCT FROM s.source
+  UNION ALL
+  SELECT rid, w.level + 1, pos // 16,
+         sha256(array_to_string(list_concat(list_slice(run, pos - pos % 16 + 1, pos), [node], list_slice(run, pos + 2, pos - pos % 16 + 16)), '')),
+         proof || array_to_string(list_concat(list_slice(run, pos - pos % 16 + 1, pos), list_slice(run, pos + 2, pos - pos % 16 + 16)), '')
+  FROM outer_walk w JOIN tops t ON w.level = t.level AND len(run) > 1),
+outer_end AS (SELECT rid, arg_max(node, level) AS node, arg_max(proof, level) AS proof FROM outer_walk GROUP BY rid)
+SELECT doc_id, leaf, subroot, (SELECT run[1] FROM tops WHERE len(run) = 1) AS root, sha256(proof) AS proof_sha256,
+       node AS folded_root, node = (SELECT run[1] FROM tops WHERE len(run) = 1) AS verified
+FROM placed p JOIN outer_end USING (rid) JOIN subroots s ON p.source IS NOT DISTINCT FROM s.source"""
+
 ORACLES = {
+    "op13_merkle_manifest": _MANIFEST,
     "op1_quality_rules": f"""WITH {quality_sql()}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND len(failed_rates) = 0 AS kept, array_to_string(failed_rates, ',') AS failed_rates FROM judged""",
