@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkgraph.llm import (
+    conversation_repair,
     jaccard_join,
     license_scan,
     line_dedup,
@@ -94,6 +95,10 @@ def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_repair.repair_digests(table(spark, folder, "conversations"))
+
+
 def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle_manifest.document_manifest(table(spark, folder, "documents"))
 
@@ -111,6 +116,7 @@ QUERIES = {
         op8_topk_search,
         op9_mixing,
         op10_url_filters,
+        op11_conversation_repair,
         op13_merkle_manifest,
     )
 }

@@ -174,7 +174,97 @@ SELECT doc_id, leaf, subroot, (SELECT run[1] FROM tops WHERE len(run) = 1) AS ro
        node AS folded_root, node = (SELECT run[1] FROM tops WHERE len(run) = 1) AS verified
 FROM placed p JOIN outer_end USING (rid) JOIN subroots s ON p.source IS NOT DISTINCT FROM s.source"""
 
+_KEY = "coalesce(conv_id::VARCHAR, ' ')"
+_CRC_OF_TURN = crc32_sql(f"({_KEY} || ':' || coalesce(turn::VARCHAR, ' '))")
+
+
+def _least(choices: list[str]) -> str:
+    return f"least({', '.join(choices)})"
+
+
+# Costs from turn n on, by phase (0 nothing yet, 1 after s, 2 after u, 3 after a): w without, v with turns added first.
+_FAR = 1_000_000_000
+_KEPT = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}
+
+
+def _step(phase: int) -> str:
+    ways = [f"v{phase} + 4"]
+    for letter, to in _KEPT[phase].items():
+        ways.append(f"CASE WHEN NOT gone AND letter = '{letter}' THEN v{to} + extra ELSE {_FAR} END")
+        if letter != "s":
+            ways.append(f"CASE WHEN NOT gone AND letter <> '{letter}' THEN v{to} + extra + 3 ELSE {_FAR} END")
+    return _least(ways)
+
+
+_ADDED = {0: 2, 1: 2, 2: 3, 3: 2}
+
+
+def _closed(phase: int) -> str:
+    to = _ADDED[phase]
+    return _least([f"w{phase}", f"w{to} + 3", f"w{_ADDED[to]} + 6"])
+
+
+def _of(name: str, phase: str) -> str:
+    return f"CASE {phase} " + " ".join(f"WHEN {p} THEN {name}{p}" for p in range(4)) + " END"
+
+
+_V = ", ".join(f"{_closed(p)} AS v{p}" for p in range(4))
+_TO = "CASE phase WHEN 2 THEN 3 ELSE 2 END"
+_WANTED = "CASE phase WHEN 2 THEN 'a' ELSE 'u' END"
+_REPAIRS = f"""
+WITH RECURSIVE numbered AS (
+  SELECT {_KEY} AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC_OF_TURN} % 20 AS kind FROM conversations),
+broken AS (
+  SELECT conv, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM numbered WHERE kind <> 0),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, md5(text)) AS n,
+         count(*) OVER (PARTITION BY conv) AS total FROM broken),
+seen AS (
+  SELECT *, row_number() OVER (PARTITION BY conv, role, text ORDER BY n) > 1 AS again,
+         NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+         left(role, 1) AS letter, coalesce(lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY n) || left(role, 1), 'su') AS pair FROM ordered),
+judged AS (
+  SELECT *, NOT blank AND again AS duplicate, blank OR again AS gone,
+         NOT blank AND NOT again AND NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS truncated FROM seen),
+turns AS (SELECT *, CASE WHEN truncated THEN 3 ELSE 0 END AS extra FROM judged),
+costs AS (
+  SELECT conv, total + 1 AS n, 0 AS w0, {_FAR} AS w1, {_FAR} AS w2, 0 AS w3, 0 AS v0, 6 AS v1, 3 AS v2, 0 AS v3
+  FROM (SELECT DISTINCT conv, total FROM turns)
+  UNION ALL
+  SELECT conv, n, w0, w1, w2, w3, {_V}
+  FROM (SELECT t.conv, t.n, {", ".join(f"{_step(p)} AS w{p}" for p in range(4))} FROM costs c JOIN turns t ON c.conv = t.conv AND c.n = t.n + 1)),
+walked AS (
+  SELECT conv, 1::BIGINT AS n, 0 AS phase, '' AS audit, []::VARCHAR[] AS said FROM costs WHERE n = 1
+  UNION ALL
+  SELECT conv, CASE letter WHEN 'I' THEN n ELSE n + 1 END,
+         CASE letter WHEN 'D' THEN phase WHEN 'K' THEN CASE own WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END ELSE {_TO} END,
+         audit || letter,
+         CASE letter WHEN 'D' THEN said WHEN 'K' THEN list_append(said, role || ':' || text)
+                     ELSE list_append(said, CASE phase WHEN 2 THEN 'assistant:' ELSE 'user:' END || CASE letter WHEN 'R' THEN text ELSE '' END) END
+  FROM (
+    SELECT w.*, t.role, t.text, t.letter AS own,
+           CASE WHEN t.n IS NOT NULL AND {_of("c.v", "phase")} = {_of("d.v", "phase")} + 4 THEN 'D'
+                WHEN {_of("c.v", "phase")} = {_of("c.v", _TO)} + 3 THEN 'I'
+                WHEN t.letter = {_WANTED} OR (phase = 0 AND t.letter = 's' AND {_of("c.v", "phase")} = d.v1 + extra) THEN 'K' ELSE 'R' END AS letter
+    FROM walked w JOIN costs c ON w.conv = c.conv AND w.n = c.n
+    LEFT JOIN turns t ON w.conv = t.conv AND w.n = t.n LEFT JOIN costs d ON w.conv = d.conv AND w.n + 1 = d.n
+    WHERE t.n IS NOT NULL OR phase IN (1, 2))),
+ends AS (SELECT conv, arg_max(audit, length(audit)) AS audit, array_to_string(arg_max(said, length(audit)), chr(10)) AS said FROM walked GROUP BY conv),
+told AS (
+  SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+         count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM turns GROUP BY conv)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(v0, 0)::BIGINT AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, {_KEY} AS conv FROM conversations) a LEFT JOIN told USING (conv) LEFT JOIN ends USING (conv)
+LEFT JOIN (SELECT conv, v0 FROM costs WHERE n = 1) USING (conv)"""
+
 ORACLES = {
+    "op11_conversation_repair": _REPAIRS,
     "op13_merkle_manifest": _MANIFEST,
     "op1_quality_rules": f"""WITH {quality_sql()}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
