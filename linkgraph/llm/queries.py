@@ -13,6 +13,7 @@ from linkgraph.llm import (
     merkle_manifest,
     mixing,
     packing,
+    pii,
     quality_rules,
     sharding,
     token_counts,
@@ -99,6 +100,10 @@ def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return conversation_repair.repair_digests(table(spark, folder, "conversations"))
 
 
+def op12_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.digests(table(spark, folder, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle_manifest.document_manifest(table(spark, folder, "documents"))
 
@@ -117,6 +122,7 @@ QUERIES = {
         op9_mixing,
         op10_url_filters,
         op11_conversation_repair,
+        op12_pii,
         op13_merkle_manifest,
     )
 }
