@@ -3,19 +3,7 @@
 from __future__ import annotations
 
 from linkgraph.llm.license_scan import BLOCK, PHRASES, SEPARATORS, STRIDE, TEMPLATES, needed, template_words
-from linkgraph.llm.quality_rules import MAX_REPEATED, MIN_WORDS, SLACK, SPREAD
-
-_RATE_SQL = {
-    "symbols": ("n_symbols", "n_words"), "shouts": ("n_shouts", "n_words"),
-    "dup_lines": ("n_dup_lines", "n_lines"), "capitals": ("n_capitals", "n_words"),
-}
-_RATES = " UNION ALL ".join(
-    f"SELECT lang, source, rid, '{name}' AS rate, {a} * 1000 // greatest({b}, 1) AS v FROM counts"
-    for name, (a, b) in _RATE_SQL.items()
-)
-_SLACKS = " ".join(f"WHEN '{name}' THEN {slack}" for name, slack in SLACK.items())
-_ORDER = " ".join(f"WHEN '{name}' THEN {i}" for i, name in enumerate(SLACK))
-
+from linkgraph.llm.quality_rules import MAX_REPEATED, MIN_WORDS, SMALL, SPREAD
 
 def quality_sql(source: str = "documents") -> str:
     """WITH-list that ends in ``judged``: (rid, the columns of op1)."""
@@ -36,28 +24,40 @@ counts AS (
          length(array_to_string(ws, ''))::BIGINT AS word_chars,
          length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
          (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
-         len(ls)::BIGINT AS n_lines, length(regexp_replace(t, '[^!]', '', 'g'))::BIGINT AS n_shouts,
-         length(regexp_replace(t, '[^A-Z]', '', 'g'))::BIGINT AS n_capitals
+         length(regexp_replace(t, '[^\x00-\x08\x0E-\x1F\x21-\x40\x5B-\x60\x7B-\x7F]', '', 'g')) AS n_marks,
+         length(regexp_replace(t, '[^.,;:!?]', '', 'g')) AS n_points, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_capitals,
+         len(list_distinct(ws)) AS n_distinct
   FROM parts LEFT JOIN repeated USING (rid)),
-rates AS ({_RATES}),
-binned AS (
-  SELECT lang, source, rate, (v >> s) << s AS bin, count(*) AS n
-  FROM (SELECT *, greatest(length(bin(v)) - 6, 0)::INTEGER AS s FROM rates) GROUP BY ALL),
-upto AS (
-  SELECT *, sum(n) OVER (PARTITION BY lang, source, rate ORDER BY bin) AS u,
-         sum(n) OVER (PARTITION BY lang, source, rate) AS total FROM binned),
+based AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words AS base_failed FROM counts),
+rates AS (
+  SELECT lang, source, rid, base_failed, unnest(['marks', 'length', 'points', 'capitals', 'distinct']) AS rate,
+         unnest([n_marks * 1000 // greatest(word_chars, 1), word_chars * 100 // greatest(n_words, 1), n_points * 1000 // greatest(n_words, 1),
+                 n_capitals * 1000 // greatest(n_words, 1), n_distinct * 1000 // greatest(n_words, 1)]) AS v FROM based),
+sized AS (SELECT lang, source, count(*) AS docs FROM based WHERE NOT base_failed GROUP BY lang, source),
+pooled AS (
+  SELECT *, CASE WHEN docs >= {SMALL} THEN 'own' WHEN sum(CASE WHEN docs < {SMALL} THEN docs END) OVER (PARTITION BY lang) >= {SMALL}
+                 THEN 'language' ELSE 'all' END AS level FROM sized),
+passing AS (
+  SELECT rate, r.lang, level, CASE level WHEN 'own' THEN r.source END AS pool, (v >> s) << s AS bin
+  FROM (SELECT *, greatest(length(bin(v)) - 8, 0)::INTEGER AS s FROM rates WHERE NOT base_failed) r
+  JOIN pooled p ON r.lang IS NOT DISTINCT FROM p.lang AND r.source IS NOT DISTINCT FROM p.source),
 edges AS (
-  SELECT lang, source, rate, min(bin) FILTER (u * 4 >= total) AS low, min(bin) FILTER (u * 4 >= total * 3) AS high
-  FROM upto GROUP BY ALL),
-limits AS (SELECT *, high + {SPREAD} * (high - low) + CASE rate {_SLACKS} END AS most FROM edges),
+  SELECT rate, lang, level, pool, quantile_disc(bin, 0.25) AS low, quantile_disc(bin, 0.75) AS high FROM passing GROUP BY ALL),
+widths AS (SELECT rate, lang, quantile_disc(bin, 0.75) - quantile_disc(bin, 0.25) AS width FROM passing GROUP BY ALL),
+totals AS (SELECT rate, quantile_disc(bin, 0.25) AS low, quantile_disc(bin, 0.75) AS high FROM passing GROUP BY ALL),
+limits AS (
+  SELECT lang, source, rate, low - reach AS least, high + reach AS most
+  FROM (
+    SELECT p.lang, p.source, w.rate, coalesce(e.low, t.low) AS low, coalesce(e.high, t.high) AS high,
+           {SPREAD} * greatest(coalesce(e.high, t.high) - coalesce(e.low, t.low), width) + greatest(1, coalesce(e.high, t.high) >> 7) AS reach
+    FROM pooled p JOIN widths w ON p.lang IS NOT DISTINCT FROM w.lang JOIN totals t ON w.rate = t.rate
+    LEFT JOIN edges e ON p.level <> 'all' AND p.level = e.level AND p.lang IS NOT DISTINCT FROM e.lang AND w.rate = e.rate
+      AND e.pool IS NOT DISTINCT FROM CASE p.level WHEN 'own' THEN p.source END)),
 failed AS (
-  SELECT rid, list(r.rate ORDER BY CASE r.rate {_ORDER} END) AS failed_rates
+  SELECT rid, list(r.rate ORDER BY list_position(['marks', 'length', 'points', 'capitals', 'distinct'], r.rate)) AS failed_rates
   FROM rates r JOIN limits l ON r.lang IS NOT DISTINCT FROM l.lang AND r.source IS NOT DISTINCT FROM l.source
-    AND r.rate = l.rate AND r.v > l.most GROUP BY rid),
-judged AS (
-  SELECT counts.*, coalesce(failed_rates, []) AS failed_rates,
-         n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words AS base_failed
-  FROM counts LEFT JOIN failed USING (rid))"""
+    AND r.rate = l.rate AND (r.v > l.most OR r.v < l.least) GROUP BY rid),
+judged AS (SELECT based.*, coalesce(failed_rates, []) AS failed_rates FROM based LEFT JOIN failed USING (rid))"""
 
 
 def line_sql(source: str = "documents") -> str:

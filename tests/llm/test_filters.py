@@ -29,20 +29,78 @@ def test_counts_match_brute_force(spark, odd_docs, tiny):
         assert row["c"]["n_repeat_words"] == len(places)
 
 
-def test_thresholds_follow_the_source(spark, make_docs):
-    plain = " ".join(f"w{i}" for i in range(60))
-    marked = " ".join(f"w{i} |" for i in range(60))
-    rows = [(i, f"{plain} {i}", "prose") for i in range(20)] + [(100, marked, "prose")]
-    rows += [(200 + i, f"{marked} {i}", "tables") for i in range(20)]
-    kept = {r["doc_id"]: r["kept"] for r in quality_rules.quality_verdicts(make_docs(rows)).collect()}
-    assert not kept[100] and all(v for k, v in kept.items() if k != 100)
+def prose(i, marks=0, letters=5):
+    """Sixty words of about ``letters`` letters, with some more or less by ``i``, of which ``marks`` carry a mark."""
+    words = [f"{chr(97 + (i + k) % 26)}{chr(97 + (i * k) % 26)}" * (letters // 2) + "x" * ((i + k) % 3) for k in range(60)]
+    return " ".join(w + ("|" if k < marks + i % 4 else "") for k, w in enumerate(words))
+
+
+def brute_verdicts(rows):
+    """{position: failed rates} of (lang, source, text) rows that all pass the base rules."""
+    rates = []
+    for _, _, text in rows:
+        ws = text.split()
+        chars = sum(map(len, ws))
+        marks = sum(ord(c) < 128 and not c.isalpha() for w in ws for c in w)
+        points, capitals = sum(text.count(c) for c in ".,;:!?"), sum("A" <= c <= "Z" for c in text)
+        n = len(ws)
+        rates.append((marks * 1000 // chars, chars * 100 // n, points * 1000 // n, capitals * 1000 // n, len(set(ws)) * 1000 // n))
+    size, small = Counter((a, b) for a, b, _ in rows), Counter()
+    for (lang, source), n in size.items():
+        small[lang] += n if n < quality_rules.SMALL else 0
+
+    def pool(lang, source):
+        if size[lang, source] >= quality_rules.SMALL:
+            return lang, source
+        return (lang, "*") if small[lang] >= quality_rules.SMALL else None
+
+    def quartiles(values):
+        ordered = sorted(v if v < 256 else v >> (v.bit_length() - 8) << (v.bit_length() - 8) for v in values)
+        return ordered[-(-len(ordered) // 4) - 1], ordered[-(-3 * len(ordered) // 4) - 1]
+
+    found = {}
+    for i, (lang, source, _) in enumerate(rows):
+        failed = []
+        for k, name in enumerate(quality_rules.RATES):
+            home = pool(lang, source)
+            low, high = quartiles([r[k] for r, (a, b, _) in zip(rates, rows) if home in (None, pool(a, b))])
+            q1, q3 = quartiles([r[k] for r, (a, _, _) in zip(rates, rows) if a == lang])
+            reach = quality_rules.SPREAD * max(high - low, q3 - q1) + max(1, high >> 7)
+            if not low - reach <= rates[i][k] <= high + reach:
+                failed.append(name)
+        found[i] = failed
+    return found
+
+
+def test_thresholds_follow_the_source(spark):
+    rows = [("en", "prose", prose(3, 30)), ("en", "tables", prose(3, 30)), ("de", None, prose(5, letters=12)), ("en", "prose", prose(5, letters=12))]
+    rows += [("en", "prose", prose(i)) for i in range(300)] + [("en", "tables", prose(i, 30)) for i in range(60)]
+    rows += [("de", None, prose(i, letters=12)) for i in range(60)] + [("en", "prose", prose(3, 12)), ("de", None, prose(5))]
+    rows += [("de", f"few{i % 9}", prose(i, 4)) for i in range(70)] + [("xx", "one", prose(i, 9)) for i in range(5)] + [(None, "y", prose(9))]
+    df = spark.createDataFrame([(i, a, b, t) for i, (a, b, t) in enumerate(rows)], "doc_id long, lang string, source string, text string")
+    got = {r["doc_id"]: r["failed_rates"] for r in quality_rules.quality_verdicts(df).collect()}
+    assert got == brute_verdicts(rows)
+    assert "marks" in got[0] and got[1] == []  # one text, two sources
+    assert got[2] == [] and "length" in got[3]
+    rated = quality_rules.rate_documents(df).where("not base_failed")
+    limits = {(r["lang"], r["source"]): r for r in quality_rules.thresholds(quality_rules.sketches(rated)).collect()}
+    for name in ("marks", "length"):
+        assert len({r[f"high_{name}"] for r in limits.values()}) > 2
+
+
+def test_copies_do_not_narrow_a_source(spark):
+    rows = [(i, "en", f"s{i % 3}", prose(i)) for i in range(300)] + [(1000 + i, "en", "s0", prose(7)) for i in range(250)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")
+    assert quality_rules.quality_verdicts(df).where("not kept").count() == 0
 
 
 def test_sketches_merge_and_bound_the_error(spark):
-    values = spark.range(5000).selectExpr("'en' AS lang", "'s' AS source", *(f"id * 7 AS r_{n}" for n in quality_rules.SLACK))
-    bins = quality_rules.sketches(values).where("rate = 'symbols'").collect()
-    assert sum(r["n"] for r in bins) == 5000 and len(bins) < 64 * 11
-    assert all(r["bin"] < 64 or r["bin"] % 2 ** (r["bin"].bit_length() - 6) == 0 for r in bins)
+    values = spark.range(5000).selectExpr("'en' AS lang", "'s' AS source", *(f"id * 7 AS r_{n}" for n in quality_rules.RATES))
+    bins = quality_rules.sketches(values).where("rate = 'marks'").collect()
+    assert sum(r["n"] for r in bins) == 5000 and len(bins) < 256 + 128 * 8
+    assert all(r["bin"] < 256 or r["bin"] % 2 ** (r["bin"].bit_length() - 8) == 0 for r in bins)
+    halves = quality_rules.sketches(values.where("r_marks % 2 = 0")).unionByName(quality_rules.sketches(values.where("r_marks % 2 = 1")))
+    assert quality_rules.thresholds(halves).collect() == quality_rules.thresholds(quality_rules.sketches(values)).collect()
 
 
 def test_keep_good_returns_whole_rows(make_docs, odd_docs, no_docs):
