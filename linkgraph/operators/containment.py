@@ -4,6 +4,8 @@ A needle occurs in a text only if each of its character trigrams does.  Each
 needle is therefore looked up under its rarest trigram (the whole needle when
 it is shorter), which is an equi-join; the containment test then runs on the
 few texts that share it.  Both sides are reduced to distinct strings first.
+Postings hold a hash for the text; the texts themselves join only the pairs
+that are left, where the test also tells texts of one hash apart.
 """
 
 from __future__ import annotations
@@ -38,7 +40,8 @@ def substring_pairs(needles: DataFrame, needle: str, texts: DataFrame, text: str
     # Only grams some needle asks about leave the map side of the texts.
     asked = anchors.select("gram").distinct()
     every = F.concat(*[_grams(F.col("text"), n) for n in range(1, GRAM + 1)])
-    postings = stored.select("text", F.explode(F.array_distinct(every)).alias("gram")).join(
+    hashed = stored.select(F.xxhash64("text").alias("text_id"), "text")
+    postings = hashed.select("text_id", F.explode(F.array_distinct(every)).alias("gram")).join(
         asked, "gram", "left_semi"
     )
     frequency = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
@@ -48,4 +51,5 @@ def substring_pairs(needles: DataFrame, needle: str, texts: DataFrame, text: str
         .groupBy("needle")
         .agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), F.col("gram")))["gram"].alias("gram"))
     )
-    return rarest.join(postings, "gram").filter(F.contains("text", "needle")).select("needle", "text")
+    met = rarest.join(postings, "gram").select("needle", "text_id")
+    return met.join(hashed, "text_id").filter(F.contains("text", "needle")).select("needle", "text")

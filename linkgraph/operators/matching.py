@@ -5,15 +5,19 @@ accepted only if its title and its artist both match, where matching means
 containment of loose keys in either direction.  Both containments are found by
 substring joins over distinct keys, and both sides are reduced to distinct
 (title, artist) keys before they meet, so repeated songs or candidates cost
-nothing extra.
+nothing extra.  A catalog is keyed and written once, its keys numbered;
+matching moves key numbers and order columns, and the winner's row is fetched last.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkgraph.functions.text import MIN_ARTIST_KEY, loose_text, search_term, search_url, year_from
+from linkgraph.functions._columns import union_all
+from linkgraph.functions.text import MIN_ARTIST_KEY, larger_artwork, loose_text, search_term, search_url, year_from
 from linkgraph.operators.containment import substring_pairs
 from linkgraph.operators.titles import first_rows
 from linkgraph.session import materialize
@@ -21,7 +25,8 @@ from linkgraph.session import materialize
 # Fixed value: "looked, found nothing", as opposed to NULL, "not looked yet".
 NO_MATCH = "none"
 
-PROVIDERS = ("embed", "itunes", "deezer")
+# Providers in the order in which they are tried; the first is looked up by track id.
+PROVIDERS = ("spotify", "itunes", "deezer")
 
 STORE_SEARCH = "https://music.apple.com/us/search?term="
 TRACK_PAGE = "https://open.spotify.com/track/"
@@ -34,22 +39,23 @@ def _either_way(asked: DataFrame, a: str, stored: DataFrame, s: str) -> DataFram
     return inside.union(around).distinct()
 
 
-def best_candidates(
-    credits: DataFrame, candidates: DataFrame, order: list[Column], by: tuple[str, ...] = ()
-) -> DataFrame:
-    """The first accepted candidate of each song that has one.
+class Catalog(NamedTuple):
+    """Candidates by (``by``, title key, artist key): the first of each, numbered by ``key``."""
 
-    ``credits(song_id, title, artist)``, one row per credited name, so a song
-    may have any number of them; ``candidates(cand_title, cand_artist, ...)``; ``order`` ranks candidates.  With ``by``, the first one per song
-    and ``by`` value (for example per provider).  The candidate's columns come
-    back as the struct ``best``.
-    """
+    keys: DataFrame
+    by: tuple[str, ...]
+    order: tuple[str, ...]
+
+
+def prepare_catalog(candidates: DataFrame, order: list[Column], by: tuple[str, ...] = ()) -> Catalog:
+    """``candidates(cand_title, cand_artist, ...)``, ranked by ``order``, separately for each value of ``by``."""
+    names = tuple(f"o{i}" for i in range(len(order)))
     ranked = candidates.select(
         *by,
         "cand_title",
         "cand_artist",
         F.struct(
-            *[o.alias(f"o{i}") for i, o in enumerate(order)],
+            *[o.alias(name) for o, name in zip(order, names)],
             F.struct(*[F.col(c) for c in candidates.columns]).alias("row"),
         ).alias("cand"),
     )
@@ -57,42 +63,51 @@ def best_candidates(
     by_text = ranked.groupBy(*by, "cand_title", "cand_artist").agg(F.min("cand").alias("cand"))
     keyed = by_text.select(
         *by, loose_text("cand_title").alias("ck_title"), loose_text("cand_artist").alias("ck_artist"), "cand"
-    )
-    credited = credits.select("song_id", "title", "artist")
+    ).filter("ck_title <> '' AND ck_artist <> ''")
+    best = keyed.groupBy(*by, "ck_title", "ck_artist").agg(F.min("cand").alias("cand"))
+    return Catalog(materialize(best.withColumn("key", F.monotonically_increasing_id()), "catalog"), by, names)
+
+
+def best_of(credits: DataFrame, catalog: Catalog) -> DataFrame:
+    """The first accepted candidate of each song that has one, per value of the catalog's ``by``.
+
+    ``credits(song_id, title, artist)``, one row per credited name, so a song
+    may have any number of them.  The candidate's columns come back as the struct ``best``.
+    """
+    by, keys = catalog.by, catalog.keys
+    credited = materialize(credits.select("song_id", "title", "artist"), "song-credits")
     texts = credited.select("title", "artist").distinct()
     song_keys = texts.withColumn("sk_title", loose_text("title")).withColumn("sk_artist", loose_text("artist"))
-
-    # Both key tables are read several times below.
-    best_per_key = materialize(
-        keyed.groupBy(*by, "ck_title", "ck_artist").agg(F.min("cand").alias("cand")), "candidate-keys"
-    )
-    song_keys = materialize(song_keys.filter(F.length("sk_artist") >= MIN_ARTIST_KEY), "song-keys")
+    song_keys = materialize(song_keys.filter((F.length("sk_artist") >= MIN_ARTIST_KEY) & (F.col("sk_title") != "")), "song-keys")
     wanted = song_keys.select("sk_title", "sk_artist").distinct()
 
-    title_pairs = _either_way(wanted, "sk_title", best_per_key, "ck_title")
-    artist_pairs = _either_way(wanted, "sk_artist", best_per_key, "ck_artist")
-    per_wanted = (
-        wanted.join(title_pairs, "sk_title")
-        .join(artist_pairs, "sk_artist")
-        .join(best_per_key, ["ck_title", "ck_artist"])
-        .groupBy(*by, "sk_title", "sk_artist")
-        .agg(F.min("cand").alias("cand"))
-    )
-    per_text = materialize(
-        song_keys.join(per_wanted, ["sk_title", "sk_artist"]).select("title", "artist", *by, "cand"), "accepted"
-    )
-    # Songs are compared by the candidates' order alone; the winner's columns
-    # are fetched once per song.
-    order_keys = [f"o{i}" for i in range(len(order))]
-    ranks = per_text.select("title", "artist", *by, *[F.col(f"cand.{o}").alias(o) for o in order_keys])
-    winners = (
-        credited.join(ranks, ["title", "artist"])
-        .groupBy("song_id", "title", *by)
-        .agg(F.min(F.struct(*order_keys, "artist"))["artist"].alias("artist"))
-    )
-    return winners.join(per_text, ["title", "artist", *by]).select(
-        "song_id", *by, F.col("cand.row").alias("best")
+    title_pairs = _either_way(wanted, "sk_title", keys, "ck_title")
+    artist_pairs = _either_way(wanted, "sk_artist", keys, "ck_artist")
+    # Titles meet artists only where the catalog has both in one candidate.
+    rank = F.struct(*[F.col(f"cand.{o}").alias(o) for o in catalog.order], "ck_title", "ck_artist", "key")
+    met = (
+        keys.select(*by, "ck_title", "ck_artist", rank.alias("rank"))
+        .join(title_pairs, "ck_title")
+        .join(artist_pairs, "ck_artist")
+        .join(wanted, ["sk_title", "sk_artist"], "left_semi")
     )
+    accepted = met.groupBy(*by, "sk_title", "sk_artist").agg(F.min("rank").alias("rank"))
+    per_text = song_keys.join(accepted, ["sk_title", "sk_artist"]).select("title", "artist", *by, "rank")
+    winners = credited.join(per_text, ["title", "artist"]).groupBy("song_id", *by).agg(F.min("rank")["key"].alias("key"))
+    return winners.join(keys.select("key", F.col("cand.row").alias("best")), "key").select("song_id", *by, "best")
+
+
+def best_candidates(
+    credits: DataFrame, candidates: DataFrame, order: list[Column], by: tuple[str, ...] = ()
+) -> DataFrame:
+    """``best_of`` a catalog that is used once."""
+    return best_of(credits, prepare_catalog(candidates, order, by))
+
+
+def playable_catalog(candidates: DataFrame, order: list[Column]) -> Catalog:
+    """The catalog of each provider; candidates without an audio link never win."""
+    playable = candidates.filter(F.col("audio_url").isNotNull() & (F.col("audio_url") != ""))
+    return prepare_catalog(playable, order, by=("provider",))
 
 
 def resolve_first_accepted(
@@ -107,21 +122,17 @@ def resolve_first_accepted(
     )
 
 
-def provider_waterfall(
-    songs: DataFrame, credits: DataFrame, embeds: DataFrame, candidates: DataFrame, order: list[Column]
-) -> DataFrame:
+def provider_waterfall(songs: DataFrame, credits: DataFrame, embeds: DataFrame, catalog: Catalog) -> DataFrame:
     """The first provider with a playable preview for each song.
 
     ``songs(song_id, title, lead, track_id)`` with the first credited name as
     ``lead``; ``credits(song_id, title, artist)``; ``embeds(track_id,
     audio_url, artwork_url, embed_year)`` is looked up by track id;
-    ``candidates(provider, cand_title, cand_artist, audio_url, store_url,
-    artwork_url, album, release_date)`` are matched.  Candidates without an
-    audio link never win.  An embed winner takes its album, and a missing
-    year, from the second provider.
+    the ``catalog`` of ``(provider, cand_title, cand_artist, audio_url, store_url,
+    artwork_url, album, release_date)`` is matched.  A winner by track id takes its album,
+    and a missing year, from the second provider, whose thumbnails are asked for in a larger size.
     """
-    playable = candidates.filter(F.col("audio_url").isNotNull() & (F.col("audio_url") != ""))
-    matched = best_candidates(credits, playable, order, by=("provider",))
+    matched = best_of(credits, catalog)
     per_song = matched.groupBy("song_id").agg(
         *[
             F.min(F.when(F.col("provider") == p, F.col("best"))).alias(p)
@@ -146,12 +157,15 @@ def provider_waterfall(
 
     return joined.select(
         "song_id",
-        F.when(F.col("embed").isNotNull(), "embed")
+        F.when(F.col("embed").isNotNull(), PROVIDERS[0])
         .when(itunes.isNotNull(), "itunes")
         .when(deezer.isNotNull(), "deezer")
         .alias("source"),
         pick(F.col("embed.audio_url"), "audio_url").alias("audio_url"),
-        pick(F.col("embed.artwork_url"), "artwork_url").alias("artwork_url"),
+        F.when(F.col("embed").isNotNull(), F.col("embed.artwork_url"))
+        .when(itunes.isNotNull(), larger_artwork(itunes["artwork_url"]))
+        .when(deezer.isNotNull(), deezer["artwork_url"])
+        .alias("artwork_url"),
         pick(F.col("title"), "cand_title").alias("matched_title"),
         pick(F.col("lead"), "cand_artist").alias("matched_artist"),
         pick(F.concat(F.lit(TRACK_PAGE), F.col("track_id").cast("string")), "store_url").alias("store_url"),
@@ -162,43 +176,68 @@ def provider_waterfall(
     )
 
 
-def edge_first_match(requests: DataFrame, titles: DataFrame, previews: DataFrame) -> DataFrame:
-    """First playable title of each requested edge, else a search link.
+PREVIEW = ("source", "audio_url", "artwork_url", "matched_title", "matched_artist", "store_url", "album", "year")
+
+
+def credited_names(references: DataFrame, names: DataFrame, songs: DataFrame) -> DataFrame:
+    """``(song_id, artist)`` of ``songs``, expanded from ``references(song_id, group_id)`` and ``names(group_id, artist)``."""
+    behind = references.join(songs.select("song_id"), "song_id", "left_semi")
+    return behind.join(names, "group_id").select("song_id", "artist").distinct()
 
-    ``requests(src, dst)``; ``titles(src, dst, song_id, title, lead, rank,
-    preview_source)``; ``previews(song_id, source, audio_url)``.  Titles
-    already marked "none" are skipped; a pair without titles yields NULLs.
+
+def walk_edges(
+    requests: DataFrame, titles: DataFrame, references: DataFrame, names: DataFrame, embeds: DataFrame, catalog: Catalog
+) -> DataFrame:
+    """Try the titles of each requested edge by rank, until one has a preview.
+
+    ``requests(src, dst)``; ``titles(src, dst, song_id, title, lead, track_id, rank, preview_source)``;
+    line-ups by reference, expanded for what is tried.  One row per title that was tried,
+    with its preview (``source`` is null where there was none).  One round a rank: an
+    edge that has its hit leaves, so nothing is looked up for titles behind
+    a hit.  Titles that are known to have none are passed over.
     """
-    by_rank = titles.join(requests.distinct(), ["src", "dst"], "left_semi")
-    first = by_rank.groupBy("src", "dst").agg(
-        F.min(F.struct("rank", "title", "lead")).alias("first")
-    )
-    tried = by_rank.filter(F.coalesce("preview_source", F.lit("")) != NO_MATCH)
-    hits = (
-        tried.join(previews.filter("source IS NOT NULL"), "song_id")
-        .groupBy("src", "dst")
-        .agg(F.min(F.struct("rank", "title", "source", "audio_url")).alias("hit"))
-    )
-    joined = requests.distinct().join(first, ["src", "dst"], "left").join(hits, ["src", "dst"], "left")
+    asked = materialize(titles.join(requests.select("src", "dst").distinct(), ["src", "dst"], "left_semi"), "asked-titles")
+    last = asked.agg(F.max("rank")).first()[0] or 0
+    rounds = []
+    for rank in range(1, max(last, 1) + 1):
+        here = asked.filter((F.col("rank") == rank) & ~F.col("preview_source").eqNullSafe(NO_MATCH))
+        for earlier in rounds:
+            here = here.join(earlier.filter("source IS NOT NULL"), ["src", "dst"], "left_anti")
+        songs = materialize(here, "round")
+        lookups = songs.select("song_id", "title", "lead", "track_id")
+        named = credited_names(references, names, songs).join(songs.select("song_id", "title"), "song_id")
+        previews = provider_waterfall(lookups, named, embeds, catalog)
+        rounds.append(materialize(songs.drop("track_id").join(previews, "song_id"), "tried"))
+    return union_all(rounds)
+
+
+def edge_first_match(requests: DataFrame, titles: DataFrame, tried: DataFrame) -> DataFrame:
+    """The first playable title of each requested edge, else a search link for its first title.
+
+    ``tried`` comes from ``walk_edges``.  ``song_id`` tells whose line-up to show; a pair without titles yields NULLs.
+    """
+    asked = requests.select("src", "dst").distinct()
+    first = titles.groupBy("src", "dst").agg(F.min_by(F.struct("song_id", "title", "lead"), "rank").alias("first"))
+    values = [c for c in PREVIEW if not c.startswith("matched_")]
+    hit = tried.filter("source IS NOT NULL").select("src", "dst", F.struct("song_id", "title", *values).alias("hit"))
+    joined = asked.join(first, ["src", "dst"], "left").join(hit, ["src", "dst"], "left")
     term = F.trim(F.concat_ws(" ", "first.title", "first.lead"))
     return joined.select(
         "src",
         "dst",
+        F.coalesce("hit.song_id", "first.song_id").alias("song_id"),
         F.coalesce("hit.title", "first.title").alias("song"),
-        F.col("hit.source").alias("source"),
-        F.col("hit.audio_url").alias("audio_url"),
-        F.when(F.col("hit").isNull() & F.col("first").isNotNull(), search_url(STORE_SEARCH, term)).alias(
-            "fallback_url"
-        ),
+        *[F.col(f"hit.{c}").alias(c) for c in values],
+        F.when(F.col("hit").isNull() & F.col("first").isNotNull(), search_url(STORE_SEARCH, term)).alias("fallback_url"),
     )
 
 
-def mark_checked(titles: DataFrame, previews: DataFrame) -> DataFrame:
+def mark_checked(titles: DataFrame, tried: DataFrame) -> DataFrame:
     """Record the winning source, or "none", on titles that were looked up for the first time.
 
-    ``previews`` has a row for each attempt; a title without one stays as it was.
+    ``tried`` has a row for each attempt; a title without one stays as it was.
     """
-    won = previews.groupBy("song_id").agg(F.coalesce(F.min("source"), F.lit(NO_MATCH)).alias("won"))
+    won = tried.groupBy("song_id").agg(F.coalesce(F.min("source"), F.lit(NO_MATCH)).alias("won"))
     return titles.join(won, "song_id", "left").withColumn(
         "preview_source", F.coalesce("preview_source", "won")
     ).drop("won")

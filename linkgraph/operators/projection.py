@@ -34,26 +34,27 @@ def group_sizes(members: DataFrame) -> DataFrame:
     return members.groupBy("group_id").agg(F.count(F.lit(1)).alias("members"))
 
 
-def co_members(members: DataFrame, block: int = BLOCK_MEMBERS) -> DataFrame:
-    """The edge table: every pair of entities that share a group, once.
+def _in_blocks(members: DataFrame, block: int) -> DataFrame:
+    """Members of groups of two or more, with the hash block they fall into (``own``) of ``last + 1``."""
+    sized = members.join(group_sizes(members).filter("members >= 2"), "group_id")
+    last = (F.ceil(F.col("members") / block) - 1).cast("int")
+    own = F.pmod(F.xxhash64("entity_id"), (last + 1).cast("bigint")).cast("int")
+    return sized.withColumn("last", last).withColumn("own", own)
+
+
+def pair_groups(members: DataFrame, carry: tuple[str, ...] = (), block: int = BLOCK_MEMBERS) -> DataFrame:
+    """Every pair of members of each group: ``(src, dst, group_id)``, once a group, with the group's ``carry`` columns.
 
     A large group is cut into blocks by hash and each pair of blocks becomes
     its own join key, so no task ever holds a whole group.
     """
-    sized = members.join(group_sizes(members).filter("members >= 2"), "group_id")
-    last = (F.ceil(F.col("members") / block) - 1).cast("int")
-    placed = sized.select(
-        "group_id",
-        "entity_id",
-        last.alias("last"),
-        F.pmod(F.xxhash64("entity_id"), (last + 1).cast("bigint")).cast("int").alias("own"),
-    )
+    placed = _in_blocks(members, block)
     left = placed.select(
-        "group_id",
+        "group_id", *carry,
         F.col("entity_id").alias("x"),
         F.col("own").alias("lo"),
         F.explode(F.sequence(F.col("own"), F.col("last"))).alias("hi"),
-    )
+    )
     right = placed.select(
         "group_id",
         F.col("entity_id").alias("y"),
@@ -63,24 +64,34 @@ def co_members(members: DataFrame, block: int = BLOCK_MEMBERS) -> DataFrame:
     pairs = left.join(right, ["group_id", "lo", "hi"]).filter(
         (F.col("lo") < F.col("hi")) | (F.col("x") < F.col("y"))
     )
-    return pairs.select(*canonical_pair("x", "y")).distinct()
+    return pairs.select(*canonical_pair("x", "y"), "group_id", *carry)
 
 
-def star_edges(members: DataFrame, centers: DataFrame) -> DataFrame:
-    """Directed (center, neighbor) pairs of the given nodes only.
+def co_members(members: DataFrame, block: int = BLOCK_MEMBERS) -> DataFrame:
+    """The edge table: every pair of entities that share a group, once."""
+    return pair_groups(members, block=block).select("src", "dst").distinct()
+
 
-    ``centers(entity_id)``.  Costs the membership of the centers' groups, not
-    all pairs of a group.
+def faced_groups(
+    members: DataFrame, chosen: DataFrame, carry: tuple[str, ...] = (), block: int = BLOCK_MEMBERS
+) -> DataFrame:
+    """Directed ``(x, y, group_id)`` rows of the given nodes ``chosen(entity_id)`` and all they share a group with.
+
+    Costs the chosen members times the size of their groups, not all pairs of
+    a group.  Both sides lie in blocks, so no task holds a whole group.
     """
-    spokes = members.join(centers.select("entity_id").distinct(), "entity_id", "left_semi").select(
-        "group_id", F.col("entity_id").alias("center")
-    )
-    return (
-        spokes.join(members, "group_id")
-        .filter(F.col("center") != F.col("entity_id"))
-        .select("center", F.col("entity_id").alias("neighbor"))
-        .distinct()
+    placed = _in_blocks(members, block)
+    every = F.explode(F.sequence(F.lit(0), F.col("last")))
+    x = placed.join(chosen.select("entity_id").distinct(), "entity_id", "left_semi").select(
+        "group_id", *carry, F.col("entity_id").alias("x"), F.col("own").alias("lo"), every.alias("hi")
     )
+    y = placed.select("group_id", F.col("entity_id").alias("y"), every.alias("lo"), F.col("own").alias("hi"))
+    return x.join(y, ["group_id", "lo", "hi"]).filter("x <> y").select("x", "y", "group_id", *carry)
+
+
+def star_edges(members: DataFrame, centers: DataFrame) -> DataFrame:
+    """Directed (center, neighbor) pairs of the given nodes ``centers(entity_id)`` only."""
+    return faced_groups(members, centers).select(F.col("x").alias("center"), F.col("y").alias("neighbor")).distinct()
 
 
 def symmetric(edges: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from linkgraph.functions._columns import ColumnLike, as_column
 from linkgraph.functions.text import base_title, is_variant_title
-from linkgraph.operators.projection import shared_groups
+from linkgraph.operators.projection import pair_groups, shared_groups
 
 # Fixed value: versions kept per key.
 KEPT_TITLES = 5
@@ -30,14 +30,12 @@ def bounded_titles(items: DataFrame, key: str, order: Sequence[ColumnLike], cap:
     return first_rows(items, [key], order, cap).select(key, "title", "rank")
 
 
-def dedup_titles(
-    rows: DataFrame, keys: Sequence[str], cap: int = KEPT_TITLES, unicode_fallback: bool = False
-) -> DataFrame:
-    """One title per base title, cleanest form first, at most ``cap`` per key.
+def title_forms(rows: DataFrame, keys: Sequence[str], unicode_fallback: bool = False) -> DataFrame:
+    """``(keys, base, form)``: the base title, and the title with what it is ranked by.
 
-    Cleanest means: not a version, then shortest, then alphabetical.
+    Cleanest first: not a version, then shortest, then alphabetical.
     """
-    titled = rows.filter(F.col("title") != "").select(
+    return rows.filter(F.col("title") != "").select(
         *keys,
         base_title("title", unicode_fallback).alias("base"),
         F.struct(
@@ -46,23 +44,68 @@ def dedup_titles(
             F.col("title"),
         ).alias("form"),
     )
-    best = titled.groupBy(*keys, "base").agg(F.min("form").alias("form"))
+
+
+def best_titles(forms: DataFrame, keys: Sequence[str], cap: int = KEPT_TITLES) -> DataFrame:
+    """One title per base title of ``forms``, cleanest form first, at most ``cap`` per key."""
+    best = forms.groupBy(*keys, "base").agg(F.min("form").alias("form"))
     ranked = first_rows(best, keys, ["form"], cap)
     return ranked.select(*keys, F.col("form.title").alias("title"), "rank")
 
 
+def dedup_titles(
+    rows: DataFrame, keys: Sequence[str], cap: int = KEPT_TITLES, unicode_fallback: bool = False
+) -> DataFrame:
+    """One title per base title, cleanest form first, at most ``cap`` per key."""
+    return best_titles(title_forms(rows, keys, unicode_fallback), keys, cap)
+
+
+def with_forms(members: DataFrame, group_titles: DataFrame) -> DataFrame:
+    """``members`` of titled groups with the forms of their group's kept titles, few a group, as ``forms``."""
+    listed = title_forms(group_titles, ["group_id"]).groupBy("group_id").agg(
+        F.collect_list(F.struct("base", "form")).alias("forms")
+    )
+    return members.join(listed, "group_id")
+
+
+def group_title_pairs(members: DataFrame, group_titles: DataFrame) -> DataFrame:
+    """``(src, dst, group_id, base, form)`` of all pairs: titles ride along with their group when it is paired."""
+    return pair_groups(with_forms(members, group_titles), ("forms",)).select("src", "dst", "group_id", F.inline("forms"))
+
+
 def pair_titles(pairs: DataFrame, members: DataFrame, group_titles: DataFrame) -> DataFrame:
     """Titles of the given ``(src, dst)`` pairs with the groups they come from."""
     return shared_groups(pairs, members).join(group_titles.select("group_id", "title"), "group_id")
 
 
-def title_lineup(titled_groups: DataFrame, members: DataFrame) -> DataFrame:
-    """Everyone credited on any group behind an edge's title, one row each.
+def title_references(titled: DataFrame, kept: DataFrame) -> DataFrame:
+    """``(src, dst, title, group_id)``: each kept title of an edge and the groups behind it.
 
-    ``titled_groups(src, dst, title, group_id)``.  The line-up stays in rows,
-    because the size of a group has no bound.
+    This and the groups' members are the line-ups in factorised form; its size
+    is that of the pairs, not of pairs times members.
     """
-    return titled_groups.join(members, "group_id").select("src", "dst", "title", "entity_id").distinct()
+    return titled.select("src", "dst", F.col("form.title").alias("title"), "group_id").join(
+        kept.select("src", "dst", "title"), ["src", "dst", "title"], "left_semi"
+    )
+
+
+def title_lineup(references: DataFrame, credits: DataFrame) -> DataFrame:
+    """Everyone credited on any group behind an edge's title, one row each, for the edges in ``references``.
+
+    ``references(src, dst, title, group_id)``, ``credits(group_id, entity_id, ...)``.
+    The line-up stays in rows, because the size of a group has no bound.  A title
+    from one group needs no de-duplication, so only the others are shuffled by member.
+    """
+    titles = ["src", "dst", "title"]
+    counted = references.groupBy(*titles).agg(F.count(F.lit(1)).alias("groups"), F.min("group_id").alias("group_id"))
+    alone = counted.filter("groups = 1").drop("groups")
+    several = references.join(counted.filter("groups > 1").select(*titles), titles, "left_semi")
+    names = [c for c in credits.columns if c != "group_id"]
+
+    def expanded(refs: DataFrame) -> DataFrame:
+        return refs.join(credits, "group_id").select(*titles, *names)
+
+    return expanded(alone).unionByName(expanded(several).distinct())
 
 
 def topk_with_overflow(rows: DataFrame, keys: Sequence[str], order: Sequence[ColumnLike], k: int) -> DataFrame:

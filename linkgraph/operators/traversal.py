@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkgraph.functions._columns import union_all
-from linkgraph.operators.projection import canonical_pair
+from linkgraph.operators.projection import canonical_pair, faced_groups
 from linkgraph.session import Written, materialize, write_counted
 
 LEVEL_COLUMNS = ("root", "node", "dist", "parent")
@@ -190,17 +190,14 @@ def ball_edges(members: DataFrame, reached: DataFrame, depth: int) -> DataFrame:
     return ball_groups(members, expanded).select("src", "dst").distinct()
 
 
-def ball_groups(members: DataFrame, expanded: DataFrame) -> DataFrame:
-    """Canonical (src, dst, group) rows with at least one expanded endpoint."""
-    spokes = members.join(expanded.select("entity_id").distinct(), "entity_id", "left_semi").select(
-        "group_id", F.col("entity_id").alias("x")
-    )
-    return (
-        spokes.join(members.select("group_id", F.col("entity_id").alias("y")), "group_id")
-        .filter("x <> y")
-        .select(*canonical_pair("x", "y"), "group_id")
-        .distinct()
-    )
+def ball_groups(members: DataFrame, expanded: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Canonical (src, dst, group) rows with at least one expanded endpoint ``expanded(entity_id)``, once each."""
+    chosen = expanded.select("entity_id").distinct()
+    faced = faced_groups(members, chosen, carry)
+    # between two expanded nodes both directions are there
+    both = chosen.select(F.col("entity_id").alias("y"), F.lit(True).alias("twice"))
+    once = faced.join(both, "y", "left").filter("twice IS NULL OR x < y")
+    return once.select(*canonical_pair("x", "y"), "group_id", *carry)
 
 
 def induced_edges(edges: DataFrame, reached: DataFrame) -> DataFrame:

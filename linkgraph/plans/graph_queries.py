@@ -13,6 +13,7 @@ from linkgraph.plans import roles as ro
 from linkgraph.plans.build import build_graph
 from linkgraph.plans.registry import query
 from linkgraph.plans.roles import table
+from linkgraph.session import materialize
 
 # --- eligibility -------------------------------------------------------------
 
@@ -108,9 +109,7 @@ def neighbors(spark, sf):
 
 @query("edge_nodes", f"WITH {ro.SQL_EDGES} SELECT DISTINCT src AS id FROM adj")
 def edge_nodes(spark, sf):
-    # Every member of a group of two or more has an edge, so the projection
-    # itself is not needed to know its nodes.
-    return ro.members(spark, sf).select(F.col("entity_id").alias("id")).distinct()
+    return pr.edge_nodes(pr.co_members(ro.members(spark, sf)))
 
 
 @query("node_degree", f"WITH {ro.SQL_EDGES} SELECT id, degree FROM degrees")
@@ -184,9 +183,11 @@ WITH RECURSIVE {ro.SQL_EDGES},{ro.SQL_ITEMS},{ro.SQL_DEDUP_GROUP}, pairs AS (SEL
 {ro.SQL_PAIR_TITLES}
 SELECT src, dst, title, CAST(rank AS INTEGER) AS rank FROM pair_titles""")
 def edge_titles(spark, sf):
-    credited = ro.written_members(spark, sf)
-    pairs = pr.co_members(credited)
-    return ti.dedup_titles(ti.pair_titles(pairs, credited, _group_titles(spark, sf)), ["src", "dst"])
+    return _edge_titles(spark, sf)
+
+
+def _edge_titles(spark, sf, cap=ti.KEPT_TITLES):
+    return ti.best_titles(ti.group_title_pairs(ro.members(spark, sf), _group_titles(spark, sf)), ["src", "dst"], cap)
 
 
 _ALL_PAIR_TITLES = f"""{ro.SQL_EDGES},{ro.SQL_ITEMS},{ro.SQL_DEDUP_GROUP}, pairs AS (SELECT src, dst FROM edges),
@@ -197,9 +198,7 @@ _ALL_PAIR_TITLES = f"""{ro.SQL_EDGES},{ro.SQL_ITEMS},{ro.SQL_DEDUP_GROUP}, pairs
 WITH {_ALL_PAIR_TITLES}
 SELECT src, dst, title, CAST(rank AS INTEGER) AS rank FROM pair_titles WHERE rank <= 3""")
 def topk_titles(spark, sf):
-    credited = ro.written_members(spark, sf)
-    titles = ti.pair_titles(pr.co_members(credited), credited, _group_titles(spark, sf))
-    return ti.dedup_titles(titles, ["src", "dst"], cap=3)
+    return _edge_titles(spark, sf, cap=3)
 
 
 @query("topk_overflow", f"""
@@ -220,16 +219,19 @@ JOIN group_titles g ON g.group_id = a.group_id AND g.title = t.title
 JOIN multi m ON m.group_id = a.group_id JOIN part ON p_partkey = m.entity_id""")
 def title_lineup(spark, sf):
     credited = ro.written_members(spark, sf)
-    return _lineup(spark, sf, credited, pr.co_members(credited))
+    references, _ = _references(spark, sf, credited)
+    return ti.title_lineup(references, _credits(spark, sf, credited))
 
 
-def _lineup(spark, sf, credited, pairs):
-    titled = ti.pair_titles(pairs, credited, _group_titles(spark, sf))
-    kept = titled.join(ti.dedup_titles(titled, ["src", "dst"]), ["src", "dst", "title"], "left_semi")
-    lineup = ti.title_lineup(kept, credited)
-    return with_name(lineup, ro.entities(spark, sf), "entity_id", "name").select(
-        "src", "dst", "title", "entity_id", "name"
-    )
+def _references(spark, sf, credited):
+    """Line-ups of all edges by reference, and the titles that were kept."""
+    titled = materialize(ti.group_title_pairs(credited, _group_titles(spark, sf)), "pair-forms")
+    kept = materialize(ti.best_titles(titled, ["src", "dst"]), "edge-titles")
+    return materialize(ti.title_references(titled, kept), "references"), kept
+
+
+def _credits(spark, sf, credited):
+    return with_name(credited, ro.entities(spark, sf), "entity_id", "name").select("group_id", "entity_id", "name")
 
 
 @query("lineup_others", """
@@ -282,9 +284,7 @@ WHERE greatest(a.degree, b.degree) >= 100"""
 @query("min_degree_titles", _MIN_DEGREE_TITLES)
 def min_degree_titles(spark, sf):
     credited = ro.written_members(spark, sf)
-    titles = ti.dedup_titles(
-        ti.pair_titles(pr.co_members(credited), credited, _group_titles(spark, sf)), ["src", "dst"]
-    ).drop("rank")
+    titles = _edge_titles(spark, sf).drop("rank")
     return el.min_endpoint_degree(titles, pr.degrees(credited), 100)
 
 
@@ -312,9 +312,7 @@ SELECT src, dst FROM edges WHERE src IN (SELECT node FROM reached) AND dst IN (S
 def induced_edges(spark, sf):
     credited = ro.written_members(spark, sf)
     reached = tr.distances(credited, ro.hub_seed(credited), max_depth=3).table
-    # Restricting the membership first keeps the projection to reached nodes.
-    inside = credited.join(reached.select(F.col("node").alias("entity_id")), "entity_id", "left_semi")
-    return pr.co_members(inside)
+    return tr.induced_edges(pr.co_members(credited), reached)
 
 
 _BUILD = f"""
@@ -363,7 +361,7 @@ JOIN group_titles g ON g.group_id = a.group_id AND g.title = t.title
 JOIN multi m ON m.group_id = a.group_id JOIN part ON p_partkey = m.entity_id""")
 def build(spark, sf):
     graph = _built(spark, sf)
-    return graph.titles.join(graph.lineups, ["src", "dst", "title"]).select(
+    return graph.titles.join(graph.lineups(), ["src", "dst", "title"]).select(
         "src", "dst", "title", "rank", "entity_id", "name"
     )
 

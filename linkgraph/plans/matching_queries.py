@@ -11,7 +11,8 @@ from linkgraph.operators import projection as pr
 from linkgraph.operators import titles as ti
 from linkgraph.operators.eligibility import pending
 from linkgraph.plans import roles as ro
-from linkgraph.plans.graph_queries import _group_titles, _lineup
+from linkgraph.plans.graph_queries import _credits as _member_names
+from linkgraph.plans.graph_queries import _references
 from linkgraph.plans.registry import query
 from linkgraph.plans.roles import sql_loose, table
 from linkgraph.session import materialize
@@ -22,17 +23,22 @@ _SONGS = f"""
 {ro.SQL_ITEMS},
 credits AS (SELECT DISTINCT l_orderkey AS group_id, p_name AS artist FROM lineitem JOIN part ON p_partkey = l_partkey),
 songs AS (
-  SELECT i.group_id || '|' || i.title AS song_id, i.group_id, i.title,
+  SELECT i.group_id || '|' || i.title AS song_id, i.group_id, i.title, lead,
          CASE o_orderpriority WHEN '1-URGENT' THEN 'T' || o_orderkey WHEN '2-HIGH' THEN 'none' END AS track_id, o_orderpriority, o_orderstatus
-  FROM (SELECT DISTINCT group_id, title FROM items) i JOIN orders ON o_orderkey = i.group_id),
+  FROM (SELECT DISTINCT group_id, title FROM items) i JOIN orders ON o_orderkey = i.group_id
+  JOIN (SELECT group_id, min(artist) AS lead FROM credits GROUP BY group_id) USING (group_id)),
 song_keys AS (
   SELECT s.song_id, {sql_loose('s.title')} AS sk_title, {sql_loose('c.artist')} AS sk_artist
-  FROM songs s JOIN credits c USING (group_id) WHERE length({sql_loose('c.artist')}) >= 3),
+  FROM songs s JOIN credits c USING (group_id) WHERE length({sql_loose('c.artist')}) >= 3)"""
+
+# Suppliers whose account is in the red have withdrawn their audio.
+_MATCHES = f"""
 raw_candidates AS (
   SELECT CASE WHEN l_linestatus = 'F' THEN 'deezer' ELSE 'itunes' END AS provider,
          s_name || CASE l_returnflag WHEN 'R' THEN ' (Radio)' WHEN 'A' THEN ' Deluxe' ELSE '' END AS cand_title,
          p_name || ' feat. ' || p_type AS cand_artist,
-         CASE WHEN l_tax > 0.01 THEN 'https://audio.example/' || l_orderkey || '-' || l_linenumber || '-' || l_partkey END AS audio_url,
+         CASE WHEN l_tax > 0.01 AND s_acctbal >= 0 THEN 'https://audio.example/' || l_orderkey || '-' || l_linenumber || '-' || l_partkey END AS audio_url,
+         'https://store.example/' || l_orderkey AS store_url, 'https://art.example/' || l_partkey || '/100x100.jpg' AS artwork_url,
          CASE WHEN l_linestatus = 'O' THEN p_brand END AS album, strftime(l_shipdate, '%Y-%m-%d') AS release_date,
          l_orderkey, l_linenumber, l_partkey, l_suppkey
   FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey),
@@ -56,6 +62,8 @@ accepted AS (
 per_provider AS (
   SELECT song_id, provider, min(place) AS place FROM song_keys JOIN accepted USING (sk_title, sk_artist) GROUP BY ALL)"""
 
+_MATCHED = f"{_SONGS},{_MATCHES}"
+
 _CAND_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cand_title"]
 
 
@@ -95,7 +103,7 @@ def _candidates(spark, sf):
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_tax", "l_shipdate"
     )
     parts = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand", "p_type")
-    suppliers = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
+    suppliers = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name", "s_acctbal")
     suffix = F.when(F.col("l_returnflag") == "R", " (Radio)").when(F.col("l_returnflag") == "A", " Deluxe").otherwise("")
     audio = F.concat(
         F.lit("https://audio.example/"),
@@ -105,9 +113,9 @@ def _candidates(spark, sf):
         F.when(F.col("l_linestatus") == "F", "deezer").otherwise("itunes").alias("provider"),
         F.concat("s_name", suffix).alias("cand_title"),
         F.concat("p_name", F.lit(" feat. "), "p_type").alias("cand_artist"),
-        F.when(F.col("l_tax") > 0.01, audio).alias("audio_url"),
-        F.lit(None).cast("string").alias("store_url"),
-        F.lit(None).cast("string").alias("artwork_url"),
+        F.when((F.col("l_tax") > 0.01) & (F.col("s_acctbal") >= 0), audio).alias("audio_url"),
+        F.concat(F.lit("https://store.example/"), F.col("l_orderkey").cast("string")).alias("store_url"),
+        F.concat(F.lit("https://art.example/"), F.col("l_partkey").cast("string"), F.lit("/100x100.jpg")).alias("artwork_url"),
         F.when(F.col("l_linestatus") == "O", F.col("p_brand")).alias("album"),
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("release_date"),
         "l_orderkey",
@@ -122,7 +130,7 @@ def _order():
 
 
 @query("catalog_match", f"""
-WITH {_SONGS}
+WITH {_MATCHED}
 SELECT song_id, audio_url AS best_url FROM (SELECT song_id, min(place) AS place FROM per_provider GROUP BY song_id)
 JOIN candidates USING (place)""")
 def catalog_match(spark, sf):
@@ -132,7 +140,7 @@ def catalog_match(spark, sf):
 
 
 @query("resolve_first_accepted", f"""
-WITH {_SONGS}
+WITH {_MATCHED}
 SELECT s.song_id, coalesce(audio_url, 'none') AS track_id
 FROM songs s LEFT JOIN (SELECT song_id, min(place) AS place FROM per_provider WHERE provider = 'deezer' GROUP BY song_id) m USING (song_id)
 LEFT JOIN candidates USING (place)""")
@@ -145,7 +153,8 @@ def resolve_first_accepted(spark, sf):
 _EMBED_PAGES = """
 embeds AS (
   SELECT 'T' || o_orderkey AS track_id, 'https://embed.example/' || o_orderkey AS audio_url,
-         CASE WHEN o_orderstatus = 'F' THEN 2000 + CAST(o_orderpriority[1] AS INTEGER) END AS embed_year
+         CASE WHEN o_orderstatus = 'F' THEN 2000 + CAST(o_orderpriority[1] AS INTEGER) END AS embed_year,
+         'https://i.scdn.co/image/ab00001e02' || o_orderkey AS artwork_url
   FROM orders WHERE o_orderstatus <> 'P')"""
 
 
@@ -157,7 +166,8 @@ def _embeds(spark, sf):
         F.when(F.col("o_orderstatus") == "P", "null").otherwise(F.concat(F.lit("https://embed.example/"), key)),
         F.lit('"},"releaseDate":{"isoString":"'),
         F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("200"), F.substring("o_orderpriority", 1, 1))).otherwise("soon"),
-        F.lit('"}}'),
+        F.lit('"},"images":["https://i.scdn.co/image/ab0000b273'), key, F.lit('","https://i.scdn.co/image/ab00001e02'), key,
+        F.lit('"]}'),
     )
     fields = embed_fields("html")
     return (
@@ -167,54 +177,49 @@ def _embeds(spark, sf):
     )
 
 
-_WATERFALL = f"""
-WITH {_SONGS},{_EMBED_PAGES},
+# Previews of songs(song_id, title, lead, track_id).
+_PREVIEWS = """
 won AS (
-  SELECT s.song_id, e.audio_url AS e_url, e.embed_year, i.audio_url AS i_url, i.album AS i_album, i.release_date AS i_date,
-         d.audio_url AS d_url, d.album AS d_album
+  SELECT s.song_id, s.title, s.lead, s.track_id, e.audio_url AS e_url, e.embed_year, e.artwork_url AS e_art,
+         i.audio_url AS i_url, i.album AS i_album, i.release_date AS i_date, i.store_url AS i_store,
+         replace(i.artwork_url, '100x100', '300x300') AS i_art, i.cand_title AS i_title, i.cand_artist AS i_artist,
+         d.audio_url AS d_url, d.album AS d_album, d.store_url AS d_store, d.artwork_url AS d_art, d.cand_title AS d_title, d.cand_artist AS d_artist
   FROM songs s LEFT JOIN embeds e ON e.track_id = s.track_id AND s.track_id <> 'none'
   LEFT JOIN per_provider pi ON pi.song_id = s.song_id AND pi.provider = 'itunes' LEFT JOIN candidates i ON i.place = pi.place
   LEFT JOIN per_provider pd ON pd.song_id = s.song_id AND pd.provider = 'deezer' LEFT JOIN candidates d ON d.place = pd.place),
 previews AS (
-  SELECT song_id, CASE WHEN e_url IS NOT NULL THEN 'embed' WHEN i_url IS NOT NULL THEN 'itunes' WHEN d_url IS NOT NULL THEN 'deezer' END AS source,
+  SELECT song_id, CASE WHEN e_url IS NOT NULL THEN 'spotify' WHEN i_url IS NOT NULL THEN 'itunes' WHEN d_url IS NOT NULL THEN 'deezer' END AS source,
     coalesce(e_url, i_url, d_url) AS audio_url,
+    CASE WHEN e_url IS NOT NULL THEN e_art WHEN i_url IS NOT NULL THEN i_art ELSE d_art END AS artwork_url,
+    CASE WHEN e_url IS NOT NULL THEN title WHEN i_url IS NOT NULL THEN i_title ELSE d_title END AS matched_title,
+    CASE WHEN e_url IS NOT NULL THEN lead WHEN i_url IS NOT NULL THEN i_artist ELSE d_artist END AS matched_artist,
+    CASE WHEN e_url IS NOT NULL THEN 'https://open.spotify.com/track/' || track_id WHEN i_url IS NOT NULL THEN i_store ELSE d_store END AS store_url,
     CASE WHEN e_url IS NOT NULL OR i_url IS NOT NULL THEN i_album ELSE d_album END AS album,
     CASE WHEN e_url IS NOT NULL THEN coalesce(embed_year, CAST(substr(i_date, 1, 4) AS INTEGER))
          WHEN i_url IS NOT NULL THEN CAST(substr(i_date, 1, 4) AS INTEGER) END AS year
   FROM won)"""
 
+_WATERFALL = f"WITH {_MATCHED},{_EMBED_PAGES},{_PREVIEWS}"
+
 
 def _previews(spark, sf):
     songs = _songs(spark, sf)
-    return ma.provider_waterfall(
-        songs, _credits(spark, sf, songs), _embeds(spark, sf), _candidates(spark, sf), _order()
-    )
+    catalog = ma.playable_catalog(_candidates(spark, sf), _order())
+    return ma.provider_waterfall(songs, _credits(spark, sf, songs), _embeds(spark, sf), catalog)
 
 
-@query("provider_waterfall", _WATERFALL + " SELECT song_id, source, audio_url FROM previews")
+@query("provider_waterfall", _WATERFALL + " SELECT * FROM previews")
 def provider_waterfall(spark, sf):
-    return _previews(spark, sf).select("song_id", "source", "audio_url")
+    return _previews(spark, sf)
 
 
-@query("metadata_backfill", _WATERFALL + " SELECT song_id, source, album, year FROM previews WHERE source = 'embed'")
+@query("metadata_backfill", _WATERFALL + " SELECT song_id, source, album, year FROM previews WHERE source = 'spotify'")
 def metadata_backfill(spark, sf):
-    return _previews(spark, sf).filter("source = 'embed'").select("song_id", "source", "album", "year")
-
-
-@query("mark_checked", _WATERFALL + """
-SELECT song_id, CASE WHEN o_orderstatus = 'O' THEN 'deezer' WHEN group_id % 3 = 0 THEN NULL ELSE coalesce(source, 'none') END AS preview_source
-FROM songs JOIN previews USING (song_id)""")
-def mark_checked(spark, sf):
-    titles = _songs(spark, sf).select(
-        "song_id", F.when(F.col("o_orderstatus") == "O", "deezer").alias("preview_source")
-    )
-    # Nobody has looked at every third song yet.
-    attempts = _previews(spark, sf).filter("CAST(split_part(song_id, '|', 1) AS BIGINT) % 3 <> 0")
-    return ma.mark_checked(titles, attempts).select("song_id", "preview_source")
+    return _previews(spark, sf).filter("source = 'spotify'").select("song_id", "source", "album", "year")
 
 
 @query("enrich_track_ids", f"""
-WITH {_SONGS},
+WITH {_MATCHED},
 found AS (SELECT song_id, min(place) AS place FROM per_provider GROUP BY song_id)
 SELECT s.song_id,
   CASE WHEN track_id IS NOT NULL THEN track_id WHEN o_orderstatus = 'O' THEN coalesce(audio_url, 'none') END AS track_id,
@@ -254,71 +259,99 @@ def song_terms(spark, sf):
     return ma.song_terms(_songs(spark, sf).join(names, "group_id"))
 
 
-@query("edge_first_match", f"""
+# --- titles of edges, tried one after the other ---------------------------------
+
+_EDGE_WALK = f"""
 WITH RECURSIVE {ro.SQL_HUB},{ro.SQL_ITEMS},{ro.SQL_DEDUP_GROUP},
 pairs AS (SELECT src, dst FROM edges),
 {ro.SQL_PAIR_TITLES},
 requests AS (SELECT src, dst FROM edges
   UNION SELECT least(id, p_partkey) AS src, greatest(id, p_partkey) AS dst FROM hub, part WHERE p_partkey <> id),
-credits AS (
-  SELECT DISTINCT t.src, t.dst, t.title, p_name AS artist
+refs AS (
+  SELECT t.src, t.dst, t.title, t.rank, a.group_id
   FROM pair_titles t JOIN multi a ON a.entity_id = t.src JOIN multi b ON b.entity_id = t.dst AND b.group_id = a.group_id
-  JOIN group_titles g ON g.group_id = a.group_id AND g.title = t.title
-  JOIN multi m ON m.group_id = a.group_id JOIN part ON p_partkey = m.entity_id),
-cands AS (
-  SELECT s_name AS ct, p_name AS ca, min('https://audio.example/' || l_orderkey || '-' || l_linenumber || '-' || l_partkey) AS url
-  FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey WHERE l_tax > 0.06 GROUP BY ALL),
-hits AS (
-  SELECT t.src, t.dst, t.title, t.rank, min(url) AS url FROM pair_titles t JOIN credits c USING (src, dst, title)
-  JOIN cands ON {sql_loose('ct')} = {sql_loose('t.title')} AND (contains(ca, artist) OR contains(artist, ca)) WHERE NOT contains(t.title, 'Live') GROUP BY ALL
-  UNION ALL
-  SELECT t.src, t.dst, t.title, t.rank, min(url) AS url FROM pair_titles t JOIN credits c USING (src, dst, title)
-  JOIN cands ON {sql_loose('t.title')} = {sql_loose('ct')} || ' live' AND (contains(ca, artist) OR contains(artist, ca)) WHERE contains(t.title, 'Live')
-    AND contains(t.title, '1') GROUP BY ALL),
-first_hit AS (SELECT src, dst, arg_min(title, rank) AS title, arg_min(url, rank) AS url FROM hits GROUP BY src, dst),
-first_title AS (
-  SELECT t.src, t.dst, t.title, min(artist) AS lead FROM pair_titles t JOIN credits USING (src, dst, title) WHERE rank = 1 GROUP BY ALL)
-SELECT r.src, r.dst, coalesce(h.title, f.title) AS song, CASE WHEN h.url IS NOT NULL THEN 'deezer' END AS source, h.url AS audio_url,
-  CASE WHEN h.url IS NULL AND f.title IS NOT NULL THEN
-    'https://music.apple.com/us/search?term=' || replace(replace(replace(replace(f.title || ' ' || lead, '#', '%23'), '(', '%28'), ')', '%29'), ' ', '+') END AS fallback_url
-FROM requests r LEFT JOIN first_hit h ON h.src = r.src AND h.dst = r.dst LEFT JOIN first_title f ON f.src = r.src AND f.dst = r.dst""")
-def edge_first_match(spark, sf):
+  JOIN group_titles g ON g.group_id = a.group_id AND g.title = t.title),
+names AS (SELECT group_id, p_name AS artist FROM multi JOIN part ON p_partkey = entity_id),
+leads AS (SELECT group_id, min(artist) AS lead FROM names GROUP BY group_id),
+songs AS (
+  SELECT src || '|' || dst || '|' || title AS song_id, src, dst, title, rank, lead,
+         CASE o_orderpriority WHEN '1-URGENT' THEN 'T' || o_orderkey WHEN '2-HIGH' THEN 'none' END AS track_id,
+         CASE WHEN contains(title, 'Live') AND NOT contains(title, '1') THEN 'none' END AS checked
+  FROM (SELECT src, dst, title, rank, min(group_id) AS g, min(lead) AS lead FROM refs JOIN leads USING (group_id) GROUP BY ALL)
+  JOIN orders ON o_orderkey = g),
+credits AS (SELECT DISTINCT src || '|' || dst || '|' || title AS song_id, title, artist FROM refs JOIN names USING (group_id)),
+loose_titles AS (SELECT title, {sql_loose('title')} AS sk_title FROM (SELECT DISTINCT title FROM group_titles)),
+loose_names AS (SELECT artist, {sql_loose('artist')} AS sk_artist FROM (SELECT DISTINCT artist FROM names)),
+song_keys AS (
+  SELECT song_id, sk_title, sk_artist FROM credits JOIN loose_titles USING (title) JOIN loose_names USING (artist) WHERE length(sk_artist) >= 3),
+{_MATCHES},{_EMBED_PAGES},{_PREVIEWS},
+judged AS (SELECT * FROM songs JOIN previews USING (song_id)),
+first_hit AS (SELECT src, dst, min(rank) AS rank FROM judged WHERE checked IS NULL AND source IS NOT NULL GROUP BY src, dst)"""
+
+
+def _edge_walk(spark, sf):
+    """Requests, titles of all edges, their line-ups by reference, names of groups, and the titles that were tried."""
     credited = ro.written_members(spark, sf)
-    center = ro.hub(credited)
-    requests = table(spark, sf, "part").select(
-        *pr.canonical_pair(F.col("p_partkey"), center.scalar())
-    ).filter("src <> dst")
-    edges = materialize(pr.co_members(credited), "edges")
-    requests = requests.unionByName(edges.select("src", "dst"))
-    titled = ti.pair_titles(edges, credited, _group_titles(spark, sf))
-    ranked = ti.dedup_titles(titled, ["src", "dst"])
-    lineup = materialize(_lineup(spark, sf, credited, edges), "lineup")
-    leads = lineup.groupBy("src", "dst", "title").agg(F.min("name").alias("lead"))
-    song_id = F.concat_ws("|", F.col("src").cast("string"), F.col("dst").cast("string"), "title")
+    references, kept = _references(spark, sf, credited)
+    song_id = F.concat_ws("|", F.col("src").cast("string"), F.col("dst").cast("string"), "title").alias("song_id")
+    names = materialize(_member_names(spark, sf, credited).select("group_id", F.col("name").alias("artist")), "names")
+    leads = names.groupBy("group_id").agg(F.min("artist").alias("lead"))
+    about = references.join(leads, "group_id").groupBy("src", "dst", "title").agg(
+        F.min("group_id").alias("o_orderkey"), F.min("lead").alias("lead")
+    )
+    key = F.col("o_orderkey").cast("string")
+    track = F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(F.lit("T"), key)).when(
+        F.col("o_orderpriority") == "2-HIGH", ma.NO_MATCH
+    )
     # Live versions count as checked before, unless their title carries a 1.
     checked = F.contains("title", F.lit("Live")) & ~F.contains("title", F.lit("1"))
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
     titles = materialize(
-        ranked.join(leads, ["src", "dst", "title"]).select(
-            "src", "dst", "title", "rank", "lead", song_id.alias("song_id"),
-            F.when(checked, ma.NO_MATCH).alias("preview_source"),
+        kept.join(about, ["src", "dst", "title"]).join(orders, "o_orderkey").select(
+            "src", "dst", song_id, "title", "rank", "lead", track.alias("track_id"), F.when(checked, ma.NO_MATCH).alias("preview_source")
         ),
         "titles",
     )
-    raw = (
-        table(spark, sf, "lineitem").filter("l_tax > 0.06")
-        .select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_suppkey").alias("s_suppkey"))
-        .join(table(spark, sf, "supplier").select("s_suppkey", "s_name"), "s_suppkey")
-        .join(table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
-    )
-    link = F.concat(
-        F.lit("https://audio.example/"),
-        F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey")]),
+    center = ro.hub(credited)
+    near = table(spark, sf, "part").select(*pr.canonical_pair(F.col("p_partkey"), center.scalar())).filter("src <> dst")
+    requests = near.unionByName(titles.filter("rank = 1").select("src", "dst"))
+    references = references.select(song_id, "group_id")
+    catalog = ma.playable_catalog(_candidates(spark, sf), _order())
+    tried = ma.walk_edges(requests, titles, references, names, _embeds(spark, sf), catalog)
+    return requests, titles, references, names, tried
+
+
+@query("edge_first_match", _EDGE_WALK + """,
+shown AS (
+  SELECT src, dst, song_id FROM judged JOIN first_hit USING (src, dst, rank)
+  UNION ALL SELECT src, dst, song_id FROM songs WHERE rank = 1 AND (src, dst) NOT IN (SELECT (src, dst) FROM first_hit)),
+listed AS (SELECT song_id, string_agg(artist, ', ' ORDER BY artist) AS artists FROM credits WHERE song_id IN (SELECT song_id FROM shown) GROUP BY song_id),
+found AS (
+  SELECT src, dst, song_id, title, artists, j.rank AS title_rank, h.rank AS hit_rank, lead, source, audio_url, artwork_url, store_url, album, year
+  FROM shown JOIN judged j USING (src, dst, song_id) JOIN listed USING (song_id) LEFT JOIN first_hit h USING (src, dst))
+SELECT r.src, r.dst, title AS song, artists,
+  CASE WHEN hit_rank IS NOT NULL THEN source END AS source, CASE WHEN hit_rank IS NOT NULL THEN audio_url END AS audio_url,
+  CASE WHEN hit_rank IS NOT NULL THEN artwork_url END AS artwork_url, CASE WHEN hit_rank IS NOT NULL THEN store_url END AS store_url,
+  CASE WHEN hit_rank IS NOT NULL THEN album END AS album, CASE WHEN hit_rank IS NOT NULL THEN year END AS year,
+  CASE WHEN hit_rank IS NULL AND title IS NOT NULL THEN
+    'https://music.apple.com/us/search?term=' || replace(replace(replace(replace(title || ' ' || lead, '#', '%23'), '(', '%28'), ')', '%29'), ' ', '+') END AS fallback_url
+FROM requests r LEFT JOIN found USING (src, dst)""")
+def edge_first_match(spark, sf):
+    requests, titles, references, names, tried = _edge_walk(spark, sf)
+    found = materialize(ma.edge_first_match(requests, titles, tried), "first-match")
+    # One row of a page: all names of the one title it shows.
+    listed = ma.credited_names(references, names, found).groupBy("song_id").agg(
+        F.array_join(F.sort_array(F.collect_list("artist")), ", ").alias("artists")
     )
-    candidates = raw.select(F.col("s_name").alias("cand_title"), F.col("p_name").alias("cand_artist"), link.alias("audio_url"))
-    credits = lineup.select(song_id.alias("song_id"), "title", F.col("name").alias("artist"))
-    best = ma.best_candidates(credits, candidates, [F.col("audio_url")])
-    previews = best.select("song_id", F.lit("deezer").alias("source"), F.col("best.audio_url").alias("audio_url"))
-    return ma.edge_first_match(requests, titles, previews)
+    return found.join(listed, "song_id", "left").drop("song_id")
+
+
+@query("mark_checked", _EDGE_WALK + """
+SELECT song_id, CASE WHEN checked IS NOT NULL THEN checked WHEN h.rank IS NULL OR j.rank <= h.rank THEN coalesce(source, 'none') END AS preview_source
+FROM judged j LEFT JOIN first_hit h USING (src, dst)""")
+def mark_checked(spark, sf):
+    _, titles, _, _, tried = _edge_walk(spark, sf)
+    return ma.mark_checked(titles, tried).select("song_id", "preview_source")
 
 
 @query("any_hit_coverage", f"""

@@ -297,7 +297,7 @@ def displayed_titles(spark, sf):
     hops = pa.path_hops(paths, ["node"]).select("src", "dst").distinct()
     titled = materialize(ti.pair_titles(hops, credited, _group_titles(spark, sf)), "titled")
     shown = ti.dedup_titles(titled, ["src", "dst"]).filter("rank <= 3").drop("rank")
-    lineup = ti.title_lineup(titled.join(shown, ["src", "dst", "title"], "left_semi"), credited)
+    lineup = ti.title_lineup(titled.join(shown, ["src", "dst", "title"], "left_semi").select("src", "dst", "title", "group_id"), credited)
     named = pa.with_name(lineup, ro.entities(spark, sf), "entity_id", "name")
     per_title = named.groupBy("src", "dst", "title").agg(
         F.array_join(F.sort_array(F.collect_set(F.lower("name"))), ", ").alias("lineup")
@@ -312,11 +312,18 @@ pairs AS (SELECT src, dst FROM edges JOIN reached a ON a.node = src JOIN reached
 SELECT (SELECT count(*) FROM reached) AS nodes, (SELECT count(*) FROM pairs) AS edges, (SELECT count(*) FROM pair_titles) AS titles""")
 def graph_stats(spark, sf):
     credited, reached = _from_hub(spark, sf, max_depth=3)
-    edges = materialize(tr.ball_edges(credited, reached.table, 3), "edges")
-    titles = ti.dedup_titles(ti.pair_titles(edges, credited, _group_titles(spark, sf)), ["src", "dst"])
+    edges, titles = _ball(spark, sf, credited, reached)
     return rp.graph_stats(reached.table, edges, titles)
 
 
+def _ball(spark, sf, credited, reached):
+    """Edges within three hops, and their titles."""
+    expanded = reached.table.filter("dist < 3").select(F.col("node").alias("entity_id"))
+    pairs = tr.ball_groups(ti.with_forms(credited, _group_titles(spark, sf)), expanded, ("forms",))
+    titles = materialize(ti.best_titles(pairs.select("src", "dst", F.inline("forms")), ["src", "dst"]), "titles")
+    return materialize(tr.ball_edges(credited, reached.table, 3), "edges"), titles
+
+
 @query("graph_invariants", f"""
 WITH RECURSIVE {ro.sql_dist(3)},
 pairs AS (SELECT src, dst FROM edges JOIN reached a ON a.node = src JOIN reached b ON b.node = dst WHERE least(a.dist, b.dist) < 3),
@@ -330,9 +337,6 @@ UNION ALL SELECT 'repeated_title', count(*) FROM (SELECT 1 FROM pair_titles GROU
 UNION ALL SELECT 'hop_without_title', count(*) FROM hops WHERE (src, dst) NOT IN (SELECT (src, dst) FROM pair_titles)""")
 def graph_invariants(spark, sf):
     credited, reached = _from_hub(spark, sf, max_depth=3)
-    edges = materialize(tr.ball_edges(credited, reached.table, 3), "edges")
-    titles = materialize(
-        ti.dedup_titles(ti.pair_titles(edges, credited, _group_titles(spark, sf)), ["src", "dst"]), "titles"
-    )
+    edges, titles = _ball(spark, sf, credited, reached)
     hops = reached.table.filter("parent IS NOT NULL").select(*pr.canonical_pair("node", "parent"))
     return rp.graph_invariants(edges, titles, hops)

@@ -7,9 +7,10 @@ from typing import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from linkgraph.operators.titles import title_lineup
 from linkgraph.session import path_exists
 
-TABLES = ("nodes", "aliases", "edges", "titles", "lineups")
+TABLES = ("nodes", "aliases", "edges", "titles", "references", "credits")
 
 
 @dataclass(frozen=True)
@@ -18,14 +19,23 @@ class Graph:
 
     nodes(id, name, degree) · aliases(entity_id, alias, alias_norm) ·
     edges(src, dst) with src < dst · titles(src, dst, title, rank) ·
-    lineups(src, dst, title, entity_id, name), one row per credited member.
+    references(src, dst, title, group_id), the groups behind a title ·
+    credits(group_id, entity_id, name), their members.
+
+    Line-ups are kept by reference and expanded for the edges that are asked for.
     """
 
     nodes: DataFrame
     aliases: DataFrame
     edges: DataFrame
     titles: DataFrame
-    lineups: DataFrame
+    references: DataFrame
+    credits: DataFrame
+
+    def lineups(self, edges: DataFrame | None = None) -> DataFrame:
+        """``(src, dst, title, entity_id, name)``, one row per credited member, of ``edges(src, dst)`` or of all."""
+        asked = self.references if edges is None else self.references.join(edges, ["src", "dst"], "left_semi")
+        return title_lineup(asked, self.credits)
 
 
 class GraphNotFound(FileNotFoundError):

@@ -287,7 +287,9 @@ def test_build_depth_two(spark, dump, tmp_path):
     assert titles == {
         ("1", "2", "High Water"), ("1", "2", "Trio"), ("1", "3", "Late Train"), ("1", "3", "Trio"), ("2", "3", "Trio"), ("3", "4", "All Week"),
     }
-    trio = graph.lineups.filter("src = '1' AND dst = '2' AND title = 'Trio'")
+    asked = graph.edges.filter("src = '1' AND dst = '2'")
+    trio = graph.lineups(asked).filter("title = 'Trio'")
+    assert graph.lineups(asked).select("src", "dst").distinct().count() == 1
     assert {r["name"] for r in trio.collect()} == {"Mira", "Tove", "Idris"}
     assert {(r["entity_id"], r["alias"], r["alias_norm"]) for r in graph.aliases.collect()} == {
         ("3", "Idris the Great", "idris the great"), ("3", "Izzy", "izzy"), ("1", "M-Star", "m star"), ("2", "Tóve Lind", "tove lind"),

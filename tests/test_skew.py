@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from linkgraph.operators import incremental as inc
 from linkgraph.operators import projection as pr
+from linkgraph.operators import titles as ti
 from linkgraph.operators import traversal as tr
 from linkgraph.session import materialize
 
@@ -75,3 +76,29 @@ def test_degrees_of_many_overlapping_heavy_groups(spark):
     for entity in list(of)[::97]:
         near = set().union(*(groups[g] for g in of[entity])) - {entity}
         assert got.get(entity, 0) == len(near)
+
+
+def test_lineups_of_a_large_group_stay_by_reference(spark):
+    # one group of 2,000 and many small ones that overlap it
+    big = spark.range(2000).select(F.lit(-1).cast("bigint").alias("group_id"), F.col("id").alias("entity_id"))
+    small = spark.range(300).selectExpr("id AS group_id", "explode(array(id, id + 1)) AS entity_id")
+    members = materialize(big.unionByName(small), "big")
+    titles = members.select("group_id").distinct().select(
+        "group_id", F.when(F.col("group_id") < 0, "Everyone").otherwise(F.concat(F.lit("Duo "), F.col("group_id").cast("string"))).alias("title")
+    )
+    titled = materialize(ti.group_title_pairs(members, titles), "forms")
+    kept = ti.best_titles(titled, ["src", "dst"])
+    references = materialize(ti.title_references(titled, kept), "references")
+    assert references.count() == 2000 * 1999 // 2 + 300  # pairs, not pairs times members
+    asked = references.filter("src = 7 AND dst = 8")
+    lineup = ti.title_lineup(asked, members)
+    assert {r["title"]: r["count"] for r in lineup.groupBy("title").count().collect()} == {"Everyone": 2000, "Duo 7": 2}
+
+
+def test_ball_of_a_large_group_in_blocks(spark):
+    members = spark.range(1300).select(F.lit(1).alias("group_id"), F.col("id").alias("entity_id"))
+    chosen = spark.createDataFrame([(0,), (5,), (1299,)], "entity_id long")
+    faced = pr.faced_groups(members, chosen, block=100)
+    assert faced.count() == faced.distinct().count() == 3 * 1299
+    ball = tr.ball_groups(members, chosen)
+    assert ball.count() == ball.distinct().count() == 3 * 1299 - 3 and ball.filter("src >= dst").count() == 0

@@ -12,6 +12,7 @@ from linkgraph.operators import enrichment as en
 from linkgraph.operators import incremental as inc
 from linkgraph.operators import matching as ma
 from linkgraph.operators import reports as rp
+from linkgraph.session import materialize
 from linkgraph.plans.catalog import REGISTRY
 from linkgraph.sources import records
 from linkgraph.sources import tables as src
@@ -78,16 +79,18 @@ def test_waterfall_order_links_and_backfill(spark, songs, credits, candidates):
         [("T1", "e1", "art", None), ("T5", None, None, None), ("none", "never", None, None)],
         "track_id string, audio_url string, artwork_url string, embed_year int",
     )
-    got = {r["song_id"]: r for r in ma.provider_waterfall(songs, credits, embeds, candidates, [F.col("pos")]).collect()}
+    catalog = ma.playable_catalog(candidates, [F.col("pos")])
+    got = {r["song_id"]: r for r in ma.provider_waterfall(songs, credits, embeds, catalog).collect()}
     first = got["s1"]
-    assert (first["source"], first["audio_url"], first["album"], first["year"]) == ("embed", "e1", "Album One", 2005)
+    assert (first["source"], first["audio_url"], first["album"], first["year"]) == ("spotify", "e1", "Album One", 2005)
+    assert first["artwork_url"] == "art"
     assert (first["matched_title"], first["matched_artist"], first["store_url"]) == ("Night Drive", "Ana Bo", ma.TRACK_PAGE + "T1")
     assert (got["s2"]["source"], got["s2"]["album"], got["s2"]["year"]) == ("deezer", "D Album", None)
     assert (got["s5"]["source"], got["s3"]["source"], got["s4"]["source"]) == ("deezer", None, None)
 
     titles = songs.select("song_id", F.when(F.col("song_id") == "s2", "itunes").alias("preview_source"))
-    marked = dict(rows(ma.mark_checked(titles, ma.provider_waterfall(songs, credits, embeds, candidates, [F.col("pos")])).select("song_id", "preview_source")))
-    assert marked == {"s1": "embed", "s2": "itunes", "s3": "none", "s4": "none", "s5": "deezer"}
+    marked = dict(rows(ma.mark_checked(titles, ma.provider_waterfall(songs, credits, embeds, catalog)).select("song_id", "preview_source")))
+    assert marked == {"s1": "spotify", "s2": "itunes", "s3": "none", "s4": "none", "s5": "deezer"}
 
 
 def test_titles_nobody_looked_up_stay_unmarked(spark):
@@ -96,25 +99,44 @@ def test_titles_nobody_looked_up_stay_unmarked(spark):
     assert dict(rows(ma.mark_checked(titles, previews))) == {"a": "none", "b": None, "c": "itunes", "d": "deezer"}
 
 
-def test_edge_first_match(spark):
+def test_edges_are_walked_to_their_first_hit(spark):
     titles = spark.createDataFrame(
         [
-            ("a", "b", "x1", "First", "Ana", 1, None), ("a", "b", "x2", "Second", "Ana", 2, None),
-            ("a", "c", "x3", "Only & One", "Bo", 1, None), ("a", "d", "x4", "Checked", "Cy", 1, "none"),
+            ("a", "b", "x1", "First", "Ana", "none", 1, None), ("a", "b", "x2", "Second", "Ana", None, 2, None), ("a", "b", "x5", "Third", "Ana", None, 3, None),
+            ("a", "c", "x3", "Only & One", "Bo", None, 1, None), ("a", "d", "x4", "Checked", "Cy", None, 1, "none"),
+            ("a", "e", "x6", "By Id", "Ana", "T6", 1, None), ("a", "e", "x7", "Second", "Ana", None, 2, "deezer"),
+            ("x", "y", "x8", "Second", "Ana", None, 1, None), ("a", "f", "x9", "Second", "Ana", None, 1, "itunes"),
         ],
-        "src string, dst string, song_id string, title string, lead string, rank int, preview_source string",
+        "src string, dst string, song_id string, title string, lead string, track_id string, rank int, preview_source string",
     )
-    previews = spark.createDataFrame(
-        [("x1", None, None), ("x2", "itunes", "u2"), ("x4", "itunes", "u4")], "song_id string, source string, audio_url string"
+    references = spark.createDataFrame(
+        [("x1", 1), ("x2", 1), ("x2", 2), ("x3", 3), ("x4", 1), ("x5", 1), ("x6", 1), ("x7", 1), ("x8", 1), ("x9", 1)], "song_id string, group_id long"
     )
-    requests = spark.createDataFrame([("a", "b"), ("a", "c"), ("a", "d"), ("b", "c")], "src string, dst string")
-    got = {(r["src"], r["dst"]): tuple(r)[2:] for r in ma.edge_first_match(requests, titles, previews).collect()}
+    names = spark.createDataFrame([(1, "Ana"), (1, "Bo Dee"), (2, "Ana"), (2, "Cleo"), (3, "Bo Dee")], "group_id long, artist string")
+    embeds = spark.createDataFrame([("T6", "e6", "art6", 1999)], "track_id string, audio_url string, artwork_url string, embed_year int")
+    candidates = spark.createDataFrame(
+        [
+            ("itunes", "Second", "Cleo", "u2", "st2", "x/100x100.jpg", "Al", "2001-02-03", 0), ("deezer", "Third", "Ana", "u5", None, None, None, None, 1),
+            ("deezer", "Checked", "Ana", "u4", None, None, None, None, 2), ("itunes", "Second", "Ana", "u9", None, "x/100x100.jpg", "Al", "soon", 3),
+        ],
+        CANDS,
+    )
+    requests = spark.createDataFrame([("a", x) for x in "bcdef"] + [("b", "c")], "src string, dst string")
+    catalog = ma.playable_catalog(candidates, [F.col("pos")])
+    tried = materialize(ma.walk_edges(requests, titles, references, names, embeds, catalog), "tried")
+    assert sorted(r["song_id"] for r in tried.collect()) == ["x1", "x2", "x3", "x6", "x9"]  # not the third, the known and the unasked one
+    got = {(r["src"], r["dst"]): tuple(r)[2:] for r in ma.edge_first_match(requests, titles, tried).collect()}
     assert got == {
-        ("a", "b"): ("Second", "itunes", "u2", None),
-        ("a", "c"): ("Only & One", None, None, ma.STORE_SEARCH + "Only+%26+One+Bo"),
-        ("a", "d"): ("Checked", None, None, ma.STORE_SEARCH + "Checked+Cy"),
-        ("b", "c"): (None, None, None, None),
+        ("a", "b"): ("x2", "Second", "itunes", "u2", "x/300x300.jpg", "st2", "Al", 2001, None),
+        ("a", "c"): ("x3", "Only & One", *[None] * 6, ma.STORE_SEARCH + "Only+%26+One+Bo"),
+        ("a", "d"): ("x4", "Checked", *[None] * 6, ma.STORE_SEARCH + "Checked+Cy"),
+        ("a", "e"): ("x6", "By Id", "spotify", "e6", "art6", ma.TRACK_PAGE + "T6", None, 1999, None),
+        ("a", "f"): ("x9", "Second", "itunes", "u9", "x/300x300.jpg", None, "Al", None, None),
+        ("b", "c"): (None,) * 9,
     }
+    marks = dict(rows(ma.mark_checked(titles, tried).select("song_id", "preview_source")))
+    assert marks == {"x1": "none", "x2": "itunes", "x3": "none", "x4": "none", "x5": None, "x6": "spotify", "x7": "deezer", "x8": None, "x9": "itunes"}
+    assert ma.walk_edges(requests, titles.limit(0), references, names, embeds, catalog).count() == 0
 
 
 def test_coverage_and_tally(spark, songs, credits):
