@@ -358,9 +358,12 @@ def mark_checked(spark, sf):
 WITH {_SONGS},
 probes AS (
   SELECT song_id, s.title, unnest(names[1:4]) AS artist
-  FROM songs s JOIN (SELECT group_id, list(artist ORDER BY artist) AS names FROM credits GROUP BY group_id) USING (group_id)),
+  FROM songs s JOIN (
+    SELECT group_id, list(artist ORDER BY pos, artist) AS names
+    FROM (SELECT l_orderkey AS group_id, p_name AS artist, min(l_linenumber) AS pos FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL)
+    GROUP BY group_id) USING (group_id)),
 known AS (SELECT DISTINCT p_name AS artist, s_name AS title FROM lineitem JOIN part ON p_partkey = l_partkey
-          JOIN supplier ON s_suppkey = l_suppkey WHERE l_discount > 0.05),
+          JOIN supplier ON s_suppkey = l_suppkey WHERE s_acctbal >= 0),
 hits AS (SELECT song_id, max(CASE WHEN k.artist IS NULL THEN 0 ELSE 1 END) AS hit, count(*) AS n
          FROM probes p LEFT JOIN known k ON k.artist = p.artist AND k.title = p.title GROUP BY song_id),
 t AS (SELECT (SELECT count(*) FROM songs) AS songs, CAST(sum(hit) AS BIGINT) AS songs_hit, CAST(sum(n) AS BIGINT) AS rows_sent FROM hits)
@@ -368,12 +371,14 @@ SELECT *, CAST(100.0 * songs_hit AS DOUBLE) / songs AS percent,
   CASE WHEN 100.0 * songs_hit / songs >= 60 THEN 'offline' WHEN 100.0 * songs_hit / songs < 40 THEN 'lazy' ELSE 'judgment' END AS band FROM t""")
 def any_hit_coverage(spark, sf):
     known = (
-        table(spark, sf, "lineitem").filter("l_discount > 0.05").select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("s_suppkey"))
+        table(spark, sf, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("s_suppkey"))
         .join(table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("artist")), "p_partkey")
-        .join(table(spark, sf, "supplier").select("s_suppkey", F.col("s_name").alias("title")), "s_suppkey")
+        .join(table(spark, sf, "supplier").filter("s_acctbal >= 0").select("s_suppkey", F.col("s_name").alias("title")), "s_suppkey")
     )
     songs = _songs(spark, sf)
-    credits = _credits(spark, sf, songs).withColumn("pos", F.lit(0))
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("artist"))
+    credited = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("group_id"), "l_partkey", F.col("l_linenumber").alias("pos")).join(parts, "l_partkey")
+    credits = songs.select("song_id", "group_id", "title").join(credited, "group_id").drop("group_id")
     return ma.any_hit_coverage(songs, credits, known)
 
 

@@ -316,37 +316,47 @@ def stream_upsert(spark, sf):
 # --- discography -------------------------------------------------------------------
 
 # Suppliers are artists, orders are albums; the lines of one return flag are a
-# track.  The first supplier of an order is its primary artist.
+# track.  The first supplier of an order is its primary artist.  Every supplier is a hub.
 _DISCO = """
 WITH lines AS (
   SELECT l_orderkey AS album_id, l_returnflag AS track_id, l_suppkey AS artist_id, s_name AS artist_name, l_linenumber, l_partkey
   FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
-hub AS (SELECT artist_id AS id, artist_name AS name FROM lines GROUP BY ALL ORDER BY count(*) DESC, artist_id LIMIT 1),
-albums AS (
-  SELECT album_id, min_by(artist_id, row(l_linenumber, l_partkey, artist_id)) = (SELECT id FROM hub) AS is_primary,
+hubs AS (SELECT s_suppkey AS hub_id, s_name AS hub_name FROM supplier),
+about AS (
+  SELECT album_id, min_by(artist_id, row(l_linenumber, l_partkey, artist_id)) AS primary_id,
     CASE o_orderpriority WHEN '1-URGENT' THEN 'album' WHEN '2-HIGH' THEN 'single' WHEN '3-MEDIUM' THEN 'compilation' ELSE 'other' END AS album_type,
     o_orderdate AS release_date
-  FROM lines JOIN orders ON o_orderkey = album_id GROUP BY album_id, o_orderpriority, o_orderdate
-  HAVING bool_or(artist_id = (SELECT id FROM hub))),
-credits AS (SELECT DISTINCT album_id, track_id, artist_id, artist_name FROM lines WHERE album_id IN (SELECT album_id FROM albums)),
+  FROM lines JOIN orders ON o_orderkey = album_id GROUP BY album_id, o_orderpriority, o_orderdate),
+albums AS (
+  SELECT hub_id, about.*, primary_id = hub_id AS is_primary
+  FROM (SELECT DISTINCT artist_id AS hub_id, album_id FROM lines) JOIN about USING (album_id)),
+credits AS (SELECT DISTINCT album_id, track_id, artist_id, artist_name FROM lines),
 names AS (
   SELECT album_id, track_id, 'Flag ' || track_id || ' (feat. ' || min(artist_name) || ' & Guest ' || track_id || ')' AS track_name
-  FROM credits GROUP BY album_id, track_id),
+  FROM credits GROUP BY album_id, track_id)"""
+
+
+def _sql_kept(albums: str) -> str:
+    return f"""
 kept AS (
-  SELECT c.*, track_name FROM credits c JOIN names USING (album_id, track_id) JOIN albums USING (album_id)
-  WHERE is_primary OR EXISTS (SELECT 1 FROM credits h WHERE h.album_id = c.album_id AND h.track_id = c.track_id AND h.artist_id = (SELECT id FROM hub)))"""
+  SELECT hub_id, c.*, track_name FROM credits c JOIN names USING (album_id, track_id) JOIN {albums} USING (album_id)
+  WHERE is_primary OR (hub_id, c.album_id, c.track_id) IN (SELECT (artist_id, album_id, track_id) FROM credits))"""
+
+
+_PREFERRED = """
+preferred AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY hub_id, is_primary ORDER BY CASE album_type WHEN 'album' THEN 0 WHEN 'single' THEN 1
+      WHEN 'compilation' THEN 2 ELSE 3 END, release_date, album_id) AS rn FROM albums)
+  WHERE NOT is_primary OR rn <= 20)"""
 
 
 def _disco(spark, sf):
+    """Flagged albums by hub, tracks, and the hubs."""
     suppliers = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("artist_id"), F.col("s_name").alias("artist_name"))
     lines = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("album_id"), F.col("l_returnflag").alias("track_id"), F.col("l_suppkey").alias("artist_id"), "l_linenumber", "l_partkey"
     ).join(suppliers, "artist_id")
-    counts = lines.groupBy("artist_id", "artist_name").agg(F.count(F.lit(1)).alias("n"))
-    hub = materialize(counts.orderBy(F.desc("n"), "artist_id").limit(1).select("artist_id", "artist_name"), "hub")
-    hub_id, hub_name = di.hub_value(hub, "artist_id"), di.hub_value(hub, "artist_name")
-    mine = lines.join(hub.select("artist_id"), "artist_id", "left_semi").select("album_id").distinct()
-    inside = lines.join(mine, "album_id", "left_semi")
     kinds = (
         F.when(F.col("o_orderpriority") == "1-URGENT", "album")
         .when(F.col("o_orderpriority") == "2-HIGH", "single")
@@ -354,7 +364,7 @@ def _disco(spark, sf):
         .otherwise("other")
     )
     albums = (
-        inside.groupBy("album_id")
+        lines.groupBy("album_id")
         .agg(F.min(F.struct("l_linenumber", "l_partkey", "artist_id"))["artist_id"].alias("primary_id"))
         .join(
             table(spark, sf, "orders").select(
@@ -363,74 +373,74 @@ def _disco(spark, sf):
             "album_id",
         )
     )
-    credits = inside.select("album_id", "track_id", "artist_id", "artist_name").distinct()
+    credits = materialize(lines.select("album_id", "track_id", "artist_id", "artist_name").distinct(), "track-credits")
     names = credits.groupBy("album_id", "track_id").agg(F.min("artist_name").alias("lead")).select(
         "album_id",
         "track_id",
         F.concat(F.lit("Flag "), "track_id", F.lit(" (feat. "), "lead", F.lit(" & Guest "), "track_id", F.lit(")")).alias("track_name"),
     )
     tracks = credits.join(names, ["album_id", "track_id"]).withColumn("pos", F.col("artist_id"))
-    return albums, tracks, hub_id, hub_name
+    hubs = suppliers.withColumnsRenamed({"artist_id": "hub_id", "artist_name": "hub_name"})
+    return di.hub_albums(credits, albums, hubs), tracks, hubs
 
 
-@query("own_vs_guest", _DISCO + " SELECT album_id, album_type, is_primary FROM albums")
+@query("own_vs_guest", _DISCO + " SELECT hub_id, album_id, album_type, is_primary FROM albums")
 def own_vs_guest(spark, sf):
-    albums, _, hub_id, _ = _disco(spark, sf)
-    return di.own_vs_guest(albums, hub_id).select("album_id", "album_type", "is_primary")
+    albums, _, _ = _disco(spark, sf)
+    return di.own_vs_guest(albums).select("hub_id", "album_id", "album_type", "is_primary")
 
 
-@query("own_albums_capped", _DISCO + " SELECT album_id, album_type FROM albums WHERE is_primary ORDER BY album_id LIMIT 100")
+@query("own_albums_capped", _DISCO + """
+SELECT hub_id, album_id, album_type FROM (
+  SELECT *, row_number() OVER (PARTITION BY hub_id ORDER BY album_id) AS rn FROM albums WHERE is_primary) WHERE rn <= 100""")
 def own_albums_capped(spark, sf):
-    albums, _, hub_id, _ = _disco(spark, sf)
-    return di.own_vs_guest(albums, hub_id, own_only=True, max_total=100).select("album_id", "album_type")
+    albums, _, _ = _disco(spark, sf)
+    return di.own_vs_guest(albums, own_only=True, max_total=100).select("hub_id", "album_id", "album_type")
 
 
-@query("guest_track_filter", _DISCO + " SELECT album_id, track_id, artist_id, track_name FROM kept")
+@query("guest_track_filter", _DISCO + "," + _sql_kept("albums") + " SELECT hub_id, album_id, track_id, artist_id, track_name FROM kept")
 def guest_track_filter(spark, sf):
-    albums, tracks, hub_id, _ = _disco(spark, sf)
-    return di.guest_tracks(tracks, di.own_vs_guest(albums, hub_id), hub_id).select("album_id", "track_id", "artist_id", "track_name")
+    albums, tracks, _ = _disco(spark, sf)
+    return di.guest_tracks(tracks, di.own_vs_guest(albums)).select("hub_id", "album_id", "track_id", "artist_id", "track_name")
 
 
-@query("priority_topn", _DISCO + """
-SELECT album_id, is_primary FROM (
-  SELECT *, row_number() OVER (PARTITION BY is_primary ORDER BY CASE album_type WHEN 'album' THEN 0 WHEN 'single' THEN 1 WHEN 'compilation' THEN 2 ELSE 3 END,
-    release_date, album_id) AS rn FROM albums) WHERE NOT is_primary OR rn <= 20""")
+@query("priority_topn", f"{_DISCO},{_PREFERRED} SELECT hub_id, album_id, is_primary FROM preferred")
 def priority_topn(spark, sf):
-    albums, _, hub_id, _ = _disco(spark, sf)
-    return di.prioritised(di.own_vs_guest(albums, hub_id), 20).select("album_id", "is_primary")
+    albums, _, _ = _disco(spark, sf)
+    return di.prioritised(di.own_vs_guest(albums), 20).select("hub_id", "album_id", "is_primary")
 
 
-_COUNTS = _DISCO + """,
+_COUNTS = f"""{_DISCO},{_PREFERRED},{_sql_kept("preferred")},
 mentions AS (
-  SELECT lower(artist_name) AS key, artist_name AS name, artist_id AS id, track_name, album_id, track_id FROM kept
-  WHERE artist_id <> (SELECT id FROM hub)
+  SELECT hub_id, lower(artist_name) AS key, artist_name AS name, artist_id AS id, track_name, album_id, track_id FROM kept
+  WHERE artist_id <> hub_id
   UNION ALL
-  SELECT lower(n), n, NULL, track_name, album_id, track_id FROM (
-    SELECT DISTINCT album_id, track_id, track_name, unnest(list_value(trim(split_part(split_part(track_name, '(feat. ', 2), ' & ', 1)), 'Guest ' || track_id)) AS n FROM kept)
-  WHERE lower(n) <> lower((SELECT name FROM hub))),
-counts AS (SELECT key, min(name) AS name, min(id) AS id, count(*) AS appearances, count(DISTINCT track_name) AS tracks FROM mentions GROUP BY key)"""
+  SELECT hub_id, lower(n), n, NULL, track_name, album_id, track_id FROM (
+    SELECT DISTINCT hub_id, album_id, track_id, track_name, unnest(list_value(trim(split_part(split_part(track_name, '(feat. ', 2), ' & ', 1)), 'Guest ' || track_id)) AS n FROM kept)
+  JOIN hubs USING (hub_id) WHERE lower(n) <> lower(hub_name)),
+counts AS (
+  SELECT hub_id, key, min(name) AS name, min(id) AS id, count(*) AS appearances, count(DISTINCT track_name) AS tracks FROM mentions GROUP BY hub_id, key)"""
 
 
 def _counted(spark, sf):
-    albums, tracks, hub_id, hub_name = _disco(spark, sf)
-    kept = materialize(di.guest_tracks(tracks, di.own_vs_guest(albums, hub_id), hub_id), "tracks")
-    return kept, hub_id, hub_name
+    """Tracks of the preferred own albums and of guest albums."""
+    albums, tracks, hubs = _disco(spark, sf)
+    chosen = di.prioritised(di.own_vs_guest(albums), 20)
+    return materialize(di.guest_tracks(tracks, chosen), "tracks"), hubs
 
 
-@query("collaborator_counts", _COUNTS + " SELECT key, name, id, appearances, tracks FROM counts")
+@query("collaborator_counts", _COUNTS + " SELECT hub_id, key, name, id, appearances, tracks FROM counts")
 def collaborator_counts(spark, sf):
     return di.collaborator_counts(*_counted(spark, sf))
 
 
 @query("top_collaborators", _COUNTS + """,
-top AS (SELECT * FROM counts ORDER BY appearances DESC, key LIMIT 15),
-named AS (SELECT DISTINCT key, track_name FROM mentions),
-sampled AS (SELECT key, string_agg(track_name, '; ' ORDER BY track_name) AS sample_tracks FROM (
-  SELECT *, row_number() OVER (PARTITION BY key ORDER BY track_name) AS rn FROM named) WHERE rn <= 2 GROUP BY key)
-SELECT key, name, appearances, sample_tracks FROM top JOIN sampled USING (key)""")
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hub_id ORDER BY appearances DESC, key) AS place FROM counts) WHERE place <= 15),
+named AS (SELECT DISTINCT hub_id, key, track_name FROM mentions),
+sampled AS (SELECT hub_id, key, string_agg(track_name, '; ' ORDER BY track_name) AS sample_tracks FROM (
+  SELECT *, row_number() OVER (PARTITION BY hub_id, key ORDER BY track_name) AS rn FROM named) WHERE rn <= 2 GROUP BY hub_id, key)
+SELECT hub_id, key, name, appearances, sample_tracks FROM top JOIN sampled USING (hub_id, key)""")
 def top_collaborators(spark, sf):
-    kept, hub_id, hub_name = _counted(spark, sf)
-    top = di.top_collaborators(
-        di.collaborator_counts(kept, hub_id, hub_name), di.collaborator_tracks(kept, hub_id, hub_name)
-    )
+    kept, hubs = _counted(spark, sf)
+    top = di.top_collaborators(di.collaborator_counts(kept, hubs), di.collaborator_tracks(kept, hubs))
     return top.withColumn("sample_tracks", F.array_join("sample_tracks", "; "))

@@ -247,14 +247,19 @@ def test_collaborators_count_credits_and_guests_twice(spark):
         ],
         "album_id int, track_id string, track_name string, pos int, artist_id string, artist_name string",
     )
-    hub, name = F.lit("h"), F.lit("hub")
-    flagged = di.own_vs_guest(albums, hub)
-    kept = di.guest_tracks(tracks, flagged, hub)
-    assert {r["track_id"] for r in kept.collect()} == {"t1", "t2", "t4"}
-    counts = {r["key"]: (r["name"], r["id"], r["appearances"], r["tracks"]) for r in di.collaborator_counts(kept, hub, name).collect()}
-    assert counts == {"ana": ("Ana", "a", 2, 1), "xen": ("Xen", "x", 1, 1), "bo": ("Bo", None, 1, 1)}
-    assert [r["album_id"] for r in di.prioritised(flagged, 1).orderBy("album_id").collect()] == [2, 3]
-    assert [r["album_id"] for r in di.own_vs_guest(albums, hub, own_only=True, max_total=1).collect()] == [1]
+    hubs = spark.createDataFrame([("h", "hub"), ("x", "Xen"), ("q", "Nobody")], "hub_id string, hub_name string")
+    flagged = di.own_vs_guest(di.hub_albums(tracks, albums, hubs))
+    assert rows(flagged.select("hub_id", "album_id", "is_primary")) == [("h", 1, True), ("h", 2, True), ("h", 3, False), ("x", 3, True)]
+    kept = di.guest_tracks(tracks, flagged)
+    assert {(r["hub_id"], r["track_id"]) for r in kept.collect()} == {("h", "t1"), ("h", "t2"), ("h", "t4"), ("x", "t2"), ("x", "t3")}
+    counts = {tuple(r)[:2]: tuple(r)[2:] for r in di.collaborator_counts(kept, hubs).collect()}
+    assert counts == {
+        ("h", "ana"): ("Ana", "a", 2, 1), ("h", "xen"): ("Xen", "x", 1, 1), ("h", "bo"): ("Bo", None, 1, 1), ("x", "hub"): ("Hub", "h", 1, 1),
+    }
+    top = di.top_collaborators(di.collaborator_counts(kept, hubs), di.collaborator_tracks(kept, hubs), n=1)
+    assert {(r["hub_id"], r["key"]) for r in top.collect()} == {("h", "ana"), ("x", "hub")}
+    assert rows(di.prioritised(flagged, 1).select("hub_id", "album_id")) == [("h", 2), ("h", 3), ("x", 3)]
+    assert rows(di.own_vs_guest(di.hub_albums(tracks, albums, hubs), own_only=True, max_total=1).select("hub_id", "album_id")) == [("h", 1), ("x", 3)]
 
 
 def test_nested_records(spark):
