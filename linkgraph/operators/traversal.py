@@ -137,6 +137,67 @@ def resume(
     return Reached(everything, int(farthest))
 
 
+class Meeting(NamedTuple):
+    """What ``walk_back`` needs for the paths of pairs (``root`` is the pair), and how far either side went."""
+
+    reached: Reached
+    ahead: int
+    behind: int
+
+
+def _met(level: Written, other: Written, ahead: int, behind: int) -> Written:
+    both = level.table.select("root", "node").join(other.table.select("root", "node"), ["root", "node"])
+    return write_counted(both.select("root", "node", F.lit(ahead).alias("ahead"), F.lit(behind).alias("behind")), "met")
+
+
+def meet_in_the_middle(members: DataFrame, pairs: DataFrame) -> Meeting:
+    """Shortest paths between two nodes each, searched from both ends.
+
+    ``pairs(pair, root, node)`` with a name for each pair.  The side that is behind goes
+    next, and of two that are even the one with the smaller frontier, so no side
+    passes half the distance (rounded up).  A pair whose sides meet, or one of whose sides
+    is exhausted, goes no further.  Nodes of the far half that lie on a
+    shortest path are then found from the meeting points back to the end, with their smallest
+    link, so the path is the same one that a search from the root finds.
+    """
+    node_type = members.schema["entity_id"].dataType
+    asked = materialize(pairs.select("pair", "root", "node").distinct(), "pairs")
+
+    def first_level(column: str) -> Written:
+        seeds = asked.select(F.col("pair").alias("root"), F.col(column).cast(node_type).alias("node"))
+        start = seeds.select("*", F.lit(0).cast("bigint").alias("dist"), F.lit(None).cast(node_type).alias("parent"))
+        return write_counted(start, "level")
+
+    ahead, behind = [first_level("root")], [first_level("node")]
+    met = [_met(ahead[0], behind[0], 0, 0)]
+    waiting = write_counted(ahead[0].table.select("root").join(met[0].table, "root", "left_anti"), "waiting")
+    while waiting.rows:
+        even = len(ahead) == len(behind)
+        forward = ahead[-1].rows <= behind[-1].rows if even else len(ahead) < len(behind)
+        side, other = (ahead, behind) if forward else (behind, ahead)
+        frontier = side[-1].table.join(waiting.table, "root", "left_semi")
+        level = _next_level([*[x.table for x in side[-2:-1]], frontier], members, len(side))
+        side.append(level)
+        met.append(_met(level, other[-1], len(ahead) - 1, len(behind) - 1))
+        still = level.table.select("root").distinct().join(met[-1].table, "root", "left_anti")
+        waiting = write_counted(still, "waiting")
+
+    points = materialize(union_all([m.table for m in met]), "meetings")
+    totals = points.groupBy("root").agg(F.max(F.col("ahead") + F.col("behind")).cast("bigint").alias("total"))
+    levels = [x.table.select(*LEVEL_COLUMNS) for x in ahead]
+    known = None
+    for back in range(len(behind) - 1, 0, -1):
+        tips = points.filter(F.col("behind") == back).select("root", "node")
+        tips = tips if known is None else tips.unionByName(known.select("root", "node"))
+        near = _expand(tips, members).join(behind[back - 1].table.select("root", "node"), ["root", "node"], "left_semi")
+        known = materialize(
+            near.join(totals, "root").select("root", "node", (F.col("total") - (back - 1)).alias("dist"), "parent"), "way-back"
+        )
+        levels.append(known)
+    hops = points.agg(F.coalesce(F.max(F.col("ahead") + F.col("behind")), F.lit(0)).alias("n")).first()["n"]
+    return Meeting(Reached(union_all(levels), int(hops)), len(ahead) - 1, len(behind) - 1)
+
+
 def beam(
     members: DataFrame, seeds: DataFrame, depth: int, width: int, capped: tuple[int, ...] = (1,)
 ) -> DataFrame:

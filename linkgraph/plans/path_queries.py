@@ -107,12 +107,13 @@ def path_pairs(spark, sf):
     ends = table(spark, sf, "part").groupBy("p_brand").agg(
         F.min("p_partkey").alias("root"), F.max("p_partkey").alias("node")
     )
-    reached = tr.distances(ro.written_members(spark, sf), tr.seeds_of(ends, "root"), targets=ends)
-    routes = tr.walk_back(ends.select("root", "node").distinct(), reached).select(
-        "root", "node", (F.size("path") - 1).cast("bigint").alias("degrees"),
+    met = tr.meet_in_the_middle(ro.written_members(spark, sf), ends.withColumnRenamed("p_brand", "pair"))
+    asked = ends.select(F.col("p_brand").alias("root"), "node")
+    routes = tr.walk_back(asked, met.reached).select(
+        F.col("root").alias("p_brand"), (F.size("path") - 1).cast("bigint").alias("degrees"),
         F.array_join(F.col("path").cast("array<string>"), ">").alias("path"),
     )
-    return ends.join(routes, ["root", "node"], "left").select("p_brand", "root", "node", "degrees", "path")
+    return ends.join(routes, "p_brand", "left").select("p_brand", "root", "node", "degrees", "path")
 
 
 _HOPS = f"""

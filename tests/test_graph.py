@@ -346,6 +346,25 @@ def test_scan_tsv_keeps_quotes_and_nulls(spark, tmp_path):
     assert rows(got.fillna("<null>")) == [("1", '"quoted', "<null>"), ("2", "short", "<null>")]
 
 
+def test_paths_from_both_ends_are_those_from_the_root(spark):
+    import random
+
+    draw = random.Random(11)
+    groups = [(g, e) for g in range(60) for e in draw.sample(range(70), draw.choice([2, 2, 2, 3, 4]))]
+    groups += [(100 + i, 200 + i + k) for i in range(11) for k in (0, 1)]  # a chain of its own
+    members = materialize(spark.createDataFrame(groups, "group_id long, entity_id long"), "m")
+    ends = {(draw.randrange(75), draw.randrange(75)) for _ in range(60)} | {(200, 211), (211, 203), (5, 5), (3, 205), (999, 3), (999, 999)}
+    asked = spark.createDataFrame([(f"{a}-{b}", a, b) for a, b in ends], "pair string, root long, node long")
+    met = tr.meet_in_the_middle(members, asked)
+    got = {r["root"]: r["path"] for r in tr.walk_back(asked.select(F.col("pair").alias("root"), "node"), met.reached).collect()}
+    whole = tr.distances(members, tr.seeds_of(asked, "root"))
+    want = {f"{r['root']}-{r['node']}": r["path"] for r in tr.walk_back(asked.select("root", "node"), whole).collect()}
+    assert got == want and len(got["200-211"]) == 12 and got["5-5"] == [5] and "3-205" not in got
+    near = tr.meet_in_the_middle(members, asked.filter("pair IN ('200-211', '211-203', '5-5')"))
+    assert (near.ahead, near.behind) == (6, 5) or (near.ahead, near.behind) == (5, 6)  # of eleven hops
+    assert tr.walk_back(asked.limit(0).select(F.col("pair").alias("root"), "node"), tr.meet_in_the_middle(members, asked.limit(0)).reached).count() == 0
+
+
 def test_lineup_others_caps_and_flags(spark):
     lineup = spark.createDataFrame([(1, i, n, "Ana", "Bo") for i, n in enumerate(["ana", "Bo", "c", "d", "e"])], "k int, entity_id int, name string, a string, b string")
     row = ti.other_members(lineup, ["k"], ["a", "b"], shown=2).first()
