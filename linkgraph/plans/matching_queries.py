@@ -218,14 +218,17 @@ def metadata_backfill(spark, sf):
     return _previews(spark, sf).filter("source = 'spotify'").select("song_id", "source", "album", "year")
 
 
-@query("enrich_track_ids", f"""
+_TRACK_IDS = f"""
 WITH {_MATCHED},
 found AS (SELECT song_id, min(place) AS place FROM per_provider GROUP BY song_id)
 SELECT s.song_id,
   CASE WHEN track_id IS NOT NULL THEN track_id WHEN o_orderstatus = 'O' THEN coalesce(audio_url, 'none') END AS track_id,
   CASE WHEN track_id IS NOT NULL THEN 'kept' WHEN o_orderstatus = 'O' AND audio_url IS NOT NULL THEN 'resolved'
        WHEN o_orderstatus = 'O' THEN 'sentinel' WHEN o_orderstatus = 'F' THEN 'error' ELSE 'pending' END AS outcome
-FROM songs s LEFT JOIN found USING (song_id) LEFT JOIN candidates USING (place)""")
+FROM songs s LEFT JOIN found USING (song_id) LEFT JOIN candidates USING (place)"""
+
+
+@query("enrich_track_ids", _TRACK_IDS)
 def enrich_track_ids(spark, sf):
     songs = _songs(spark, sf)
     outcomes = songs.select(
@@ -239,6 +242,14 @@ def enrich_track_ids(spark, sf):
     return en.enrich_track_ids(songs, outcomes, matches)
 
 
+@query("track_id_counters", f"""
+SELECT count(*) FILTER (outcome IN ('resolved', 'sentinel')) AS processed, count(*) FILTER (outcome = 'resolved') AS resolved,
+  count(*) FILTER (outcome = 'sentinel') AS sentinel, count(*) FILTER (outcome = 'error') AS errors,
+  count(*) FILTER (outcome = 'pending') > 0 AS aborted FROM ({_TRACK_IDS})""")
+def track_id_counters(spark, sf):
+    return en.written_with_counters(enrich_track_ids(spark, sf))[1]
+
+
 @query("pending_rows", f"WITH {_SONGS} SELECT song_id, title FROM songs WHERE track_id IS NULL")
 def pending_rows(spark, sf):
     return pending(_songs(spark, sf), "track_id").select("song_id", "title")

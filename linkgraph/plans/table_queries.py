@@ -146,6 +146,18 @@ def parse_nested_credits(spark, sf):
     return records.parse_credits(documents, "record", "document")
 
 
+@query("first_names", f"""
+WITH lines AS (SELECT DISTINCT {_LINE_ID} AS record, l_partkey, l_suppkey, p_name, s_name
+  FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey),
+credits AS (
+  SELECT record, 'P' || l_partkey AS entity_id, p_name AS name, 0 AS pos FROM lines WHERE p_name NOT LIKE 'cold%'
+  UNION ALL SELECT record, 'S' || l_suppkey, s_name, 1 FROM lines)
+SELECT entity_id, arg_min(name, row(record, pos, name)) AS name FROM credits GROUP BY entity_id""")
+def first_names(spark, sf):
+    """The name under which an entity was first credited, records in the order of their ids."""
+    return records.first_names(parse_nested_credits(spark, sf), "record")
+
+
 @query("flatten_nested", """
 SELECT CAST(l_orderkey AS VARCHAR) AS album_id, CAST(l_linenumber AS VARCHAR) || t AS track_id, p_name AS track_name, pos,
   CASE WHEN pos = 0 THEN s_name ELSE p_name END AS artist_name
