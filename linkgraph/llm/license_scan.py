@@ -1,23 +1,24 @@
 """Find licence notices: an exact set-similarity join of text blocks with templates.
 
-A block is a run of at most ``BLOCK`` words of one line, a new one every
-``STRIDE`` words.  It meets a template where it holds at least the share
-``THRESHOLD`` of the template's distinct words.  As a notice may be wrapped, blocks
-are cut from the words of whole texts as well; there the words have to stand in
-a run as long as the template, for across lines scattered words meet too easily.
-The join is exact:
+A block is a run of words of the whole text, as long as the template; lines play
+no part, for notices are wrapped anywhere.  It meets a template where it holds at
+least the share ``THRESHOLD`` of the template's distinct words, so of a template of
+up to four words it holds all.  The join finds every block that does:
 
+* windows of twice a ``SPAN``, one every span, hold every block of up to a span;
+  a longer template has a longer span (``span_of``);
 * tokens are ordered by their document frequency in the whole corpus, rarest
   first (only template words are counted, for no others matter);
 * prefix filter: of a template of n words that needs m, the first n - m + 1 in
-  that order are indexed, and a block that meets it has one of them;
-* length filter: a block has at least m template words;
+  that order are indexed, and a window that meets it has one of them; the rarest
+  one they share stands for the pair;
+* length filter: a window has at least m template words;
 * positional filter: where a shared word stands at place i of the template and
-  j of the block, at most the shorter rest can follow;
-* what is left is verified by intersection.
+  j of the window, at most the shorter rest can follow;
+* what is left is verified: the intersection with each of the window's blocks.
 
-Templates are a parameter, so all that is made of them (the order, the index)
-is of a size that no data changes.
+Templates (``license_texts``) are a parameter, so all that is made of them (the
+order, the index) is of a size that no data changes.
 
 Besides, phrases are looked up word by word (``PHRASES``).
 
@@ -36,24 +37,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkgraph.llm.common import Scratch, ascii_lower, let, text_key
+from linkgraph.llm.license_texts import TEMPLATES
 
 THRESHOLD = 0.8
-BLOCK, STRIDE = 64, 32
+SPAN, LONGER = 32, 8  # words of the shortest span; how many times as long the next one is
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # of words, once A-Z are lower-cased
 PHRASES = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
-#: The opening words of well-known public notices, by label.
-TEMPLATES = (
-    ("apache", "Licensed under the Apache License, Version 2.0"),
-    ("apache", "you may not use this file except in compliance with the License"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
-    ("mit", "Released under the MIT License"),
-    ("mpl", "subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("public-domain", "This is free and unencumbered software released into the public domain"),
-)
 
 
 def _split(text: str) -> list[str]:
@@ -88,9 +77,20 @@ def frequency_order(lowered: DataFrame, vocabulary: list[str]) -> list[str]:
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 
-def _blocks(ws: Column) -> Column:
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size(ws) - BLOCK) / STRIDE).cast("int")))
-    return F.transform(starts, lambda k: F.slice(ws, k * STRIDE + 1, BLOCK))
+def span_of(length: int) -> int:
+    """The span of windows for a template of ``length`` words."""
+    span = SPAN
+    while span < length:
+        span *= LONGER
+    return span
+
+
+def _windows(ws: Column, span: int) -> Column:
+    """Runs of ``2 * span`` words: a run of up to ``span`` words lies in one of them."""
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(ws) / span - 2).cast("int")))
+    return F.transform(
+        starts, lambda k: F.struct(F.lit(span).alias("span"), F.slice(ws, k * span + 1, 2 * span).alias("raw"))
+    )
 
 
 def notices(lowered: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -100,39 +100,38 @@ def notices(lowered: DataFrame, templates=TEMPLATES, threshold: float = THRESHOL
     sets = [(label, ws, needed(len(ws), threshold), length) for label, ws, length in sets if ws]
     order = frequency_order(lowered, sorted({w for _, ws, _, _ in sets for w in ws}))
     rank = {w: i for i, w in enumerate(order)}
-    index = []
+    index, prefixes = [], {}
     for template, (label, ws, least, length) in enumerate(sets):
-        ordered = sorted(ws, key=rank.__getitem__)
+        ordered, span = sorted(ws, key=rank.__getitem__), span_of(length)
         for i, w in enumerate(ordered[: len(ws) - least + 1]):
-            index.append((w, template, label, i, len(ws), least, length, ordered))
-    prefixes = sorted({row[0] for row in index})
-    fewest = min((least for _, _, least, _ in sets), default=1)
+            index.append((w, span, template, label, i, len(ws), least, length, ordered))
+            prefixes.setdefault(span, set()).add(w)
     indexed = spark.createDataFrame(
-        index, "word string, template int, label string, at int, n int, least int, length int, whole array<string>"
+        index,
+        "word string, span int, template int, label string, at int, n int, least int, length int, whole array<string>",
     )
-    # Lines and whole texts, and in them blocks, that have a prefix word and words enough for the shortest template.
-    texts = lowered.where(F.arrays_overlap(words(F.col("t")), _strings(prefixes)))
-
-    def blocks_of(runs: DataFrame, run: Column) -> DataFrame:
-        ws = runs.select("doc_id", "_key", words(run).alias("ws")).where(F.arrays_overlap("ws", _strings(prefixes)))
-        raw = ws.select("doc_id", "_key", F.explode(_blocks(F.col("ws"))).alias("raw"))
-        cut = raw.select("*", F.array_intersect(_strings(order), F.col("raw")).alias("block"))
-        return cut.where(F.size("block") >= fewest)
-
-    lines = blocks_of(texts.select("doc_id", "_key", F.explode(F.split("t", "\n")).alias("line")), F.col("line"))
-    wrapped = blocks_of(texts.where(F.contains("t", F.lit("\n"))), F.col("t"))
-    blocks = lines.select("doc_id", "_key", "block", F.lit(None).cast("array<string>").alias("raw")).distinct()
-    blocks = blocks.unionByName(wrapped.select("doc_id", "_key", "block", "raw"))
-    probes = blocks.select("*", F.posexplode("block").alias("j", "word"))
-    met = probes.join(indexed, "word").where(
+    # Texts, and in them windows, that have a prefix word.
+    ws = lowered.select("doc_id", "_key", words(F.col("t")).alias("ws"))
+    ws = ws.where(F.arrays_overlap("ws", _strings(sorted(set().union(*prefixes.values())))))
+
+    def with_prefix(span: int) -> Column:
+        rare = _strings(sorted(prefixes[span]))
+        return F.filter(_windows(F.col("ws"), span), lambda b: F.arrays_overlap(b["raw"], rare))
+
+    kept = F.concat(*(with_prefix(span) for span in prefixes)) if prefixes else _windows(F.col("ws"), SPAN)
+    windows = ws.select("doc_id", "_key", F.explode(kept).alias("w")).select("doc_id", "_key", "w.*")
+    windows = windows.withColumn("block", F.array_intersect(_strings(order), F.col("raw")))
+    probes = windows.select("*", F.posexplode("block").alias("j", "word"))
+    met = probes.join(indexed, ["span", "word"]).where(
         (F.size("block") >= F.col("least"))
         & (1 + F.least(F.col("n") - F.col("at") - 1, F.size("block") - F.col("j") - 1) >= F.col("least"))
     )
-    met = met.where(F.size(F.array_intersect("block", "whole")) >= F.col("least"))
+    shared = F.array_intersect("whole", "block")  # rarest first
+    met = met.where((F.size(shared) >= F.col("least")) & (F.get(shared, F.lit(0)) == F.col("word")))
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("raw") - F.col("length") + 1))
-    in_run = F.transform(starts, lambda i: F.size(F.array_intersect("whole", F.slice("raw", i, F.col("length")))))
-    shared = F.when(F.col("raw").isNull(), F.size(F.array_intersect("block", "whole"))).otherwise(F.array_max(in_run))
-    verified = met.withColumn("shared", shared).where(F.col("shared") >= F.col("least"))
+    in_blocks = F.transform(starts, lambda i: F.size(F.array_intersect("whole", F.slice("raw", i, F.col("length")))))
+    best = met.groupBy("doc_id", "_key", "label", "template", "n", "least").agg(F.max(F.array_max(in_blocks)).alias("shared"))
+    verified = best.where(F.col("shared") >= F.col("least"))
     return verified.groupBy("doc_id", "_key", "label").agg(F.max(F.col("shared") / F.col("n")).alias("score"))
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from linkgraph.llm.license_scan import BLOCK, PHRASES, SEPARATORS, STRIDE, TEMPLATES, needed, template_words
+from linkgraph.llm.license_scan import PHRASES, SEPARATORS, _split, needed, template_words
+from linkgraph.llm.license_texts import TEMPLATES
 from linkgraph.llm.quality_rules import MAX_REPEATED, MIN_WORDS, SMALL, SPREAD
 
 def quality_sql(source: str = "documents") -> str:
@@ -83,13 +84,13 @@ def _list(values) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
-_SETS = [(label, template_words(text)) for label, text in TEMPLATES]
+_SETS = [(label, template_words(text), len(_split(text))) for label, text in TEMPLATES]
 _TEMPLATE_ROWS = ", ".join(
-    f"({i}, '{label}', {_list(ws)}, {len(ws)}, {needed(len(ws))})" for i, (label, ws) in enumerate(_SETS)
+    f"({i}, '{label}', {_list(ws)}, {len(ws)}, {needed(len(ws))}, {length})" for i, (label, ws, length) in enumerate(_SETS)
 )
 _PHRASE_ROWS = ", ".join(f"('{label}', {_list(phrase.split())})" for label, phrase in PHRASES.items())
 _LICENSES = rf"""
-WITH templates(template, label, ws, n, least) AS (VALUES {_TEMPLATE_ROWS}),
+WITH templates(template, label, ws, n, least, length) AS (VALUES {_TEMPLATE_ROWS}),
 phrases(label, ps) AS (VALUES {_PHRASE_ROWS}),
 docs AS (
   SELECT row_number() OVER () AS rid, doc_id,
@@ -101,14 +102,19 @@ placed AS (
 base AS (
   SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list(DISTINCT label)) AS ls
   FROM placed WHERE fits GROUP BY rid),
-lines AS (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM docs),
-line_words AS (SELECT rid, list_filter(string_split_regex(line, '{SEPARATORS}'), lambda x: x <> '') AS ws FROM lines),
-blocks AS (
-  SELECT rid, list_distinct(list_slice(ws, k * {STRIDE} + 1, k * {STRIDE} + {BLOCK})) AS b FROM (
-    SELECT rid, ws, unnest(range(0, greatest(0, ceil((len(ws) - {BLOCK}) / {STRIDE}))::BIGINT + 1)) AS k FROM line_words)),
-met AS (
-  SELECT rid, label, len(list_intersect(b, templates.ws))::DOUBLE / n AS score
-  FROM blocks, templates WHERE len(list_intersect(b, templates.ws)) >= least),
+template_words AS (SELECT template, label, n, least, length, unnest(ws) AS word FROM templates),
+text_words AS (SELECT rid, unnest(ws) AS word, unnest(range(0, len(ws))) AS i FROM worded),
+likely AS (
+  SELECT rid, template FROM (SELECT DISTINCT rid, word FROM text_words) JOIN template_words USING (word)
+  GROUP BY rid, template, least HAVING count(*) >= least),
+hits AS (
+  SELECT rid, template, label, n, least, length, word, i
+  FROM likely JOIN text_words USING (rid) JOIN template_words USING (template, word)),
+runs AS (
+  SELECT rid, label, n, least, count(DISTINCT b.word) AS shared
+  FROM hits a JOIN hits b USING (rid, template, label, n, least, length)
+  WHERE b.i BETWEEN a.i AND a.i + length - 1 GROUP BY rid, template, label, n, least, a.i),
+met AS (SELECT rid, label, shared::DOUBLE / n AS score FROM runs WHERE shared >= least),
 found AS (SELECT rid, list(DISTINCT label) AS fs, max(score) AS score FROM met GROUP BY rid)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,
        coalesce(array_to_string(ls, ','), '') AS base_labels,

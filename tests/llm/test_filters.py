@@ -1,12 +1,15 @@
 """Quality rules, licence scan, line dedup, url filters."""
 
 import hashlib
+import re
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from linkgraph.llm import license_scan, line_dedup, quality_rules, url_filters
+from linkgraph.llm.common import LOWER, UPPER
+from linkgraph.llm.license_texts import TEMPLATES
 
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -147,13 +150,29 @@ def test_lines_of_nothing(no_docs):
     assert line_dedup.clean_lines(no_docs).count() == 0
 
 
+def brute_notices(text):
+    """(labels of templates, best share) by looking at each run of words as long as a template."""
+    ws = [w for w in re.split(license_scan.SEPARATORS, (text or "").translate(str.maketrans(UPPER, LOWER))) if w]
+    found = {}
+    for label, template in TEMPLATES:
+        wanted = set(license_scan.template_words(template))
+        length = len([w for w in re.split(license_scan.SEPARATORS, template.lower()) if w])
+        best = max(len(wanted & set(ws[i : i + length])) for i in range(max(1, len(ws) - length + 1)))
+        if 5 * best >= 4 * len(wanted):
+            found[label] = max(best / len(wanted), found.get(label, 0.0))
+    return ",".join(sorted(found)), max(found.values(), default=0.0)
+
+
+FILLER = " ".join(f"z{i}" for i in range(90))
+MIT = "permission is hereby granted to any person obtaining a copy of this software and associated documentation files free of charge to deal in the software without restriction"
+
+
 def test_licences_keep_base_and_find_variants(make_docs, odd_docs, no_docs):
-    filler = " ".join(f"z{i}" for i in range(90))
     rows = [
         (1, "Licensed under  the APACHE license; version 2 only."),
-        (2, f"{filler} cc-by and CC BY\nall rights, reserved {filler}"),
-        (3, f"{filler} permission is hereby granted to any person obtaining a copy of this software free of charge {filler}"),
-        (4, f"released {filler} under {filler} the mit license"),
+        (2, f"{FILLER} cc-by and CC BY\nall rights, reserved {FILLER}"),
+        (3, f"{FILLER} {MIT} {FILLER}"),
+        (4, f"released {FILLER} under {FILLER} the mit license"),
         (5, None),
         (6, "gnu general public licence"),
         (7, "Released under the BSD license"),
@@ -161,11 +180,11 @@ def test_licences_keep_base_and_find_variants(make_docs, odd_docs, no_docs):
     ]
     got = [tuple(r) for r in license_scan.scan(make_docs(rows)).collect()]
     by = {(r[0], r[1]): r[2:] for r in got}
-    assert by[(1, 8)][0] == 0 and by[(1, 8)][3:] == ("", "apache", 0.875)
+    assert by[(1, 8)][0] == 0 and by[(1, 8)][3:] == ("", "apache", 1.0)
     assert by[(2, 188)] == (3, 90, 95, "cc-by,reserved", "cc-by,reserved", 1.0)
-    assert by[(3, 196)][4] == "mit"
-    assert by[(4, 185)][3:] == ("", "", 0.0)  # no block has four of the five words
-    assert by[(7, 5)][3:] == ("", "mit", 0.8)
+    assert by[(3, 207)][4] == "mit"
+    assert by[(4, 185)][3:] == ("", "mit", 1.0)
+    assert by[(7, 5)][3:] == ("", "bsd", 1.0)
     assert by[(5, 0)] == (0, None, None, "", "", 0.0)
     assert by[(6, 4)][3:] == ("", "", 0.0)
     assert by[(1, 3)] == (1, 0, 0, "gpl", "gpl", 1.0)
@@ -173,15 +192,55 @@ def test_licences_keep_base_and_find_variants(make_docs, odd_docs, no_docs):
     assert license_scan.scan(no_docs).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text, base, labels",
+    [
+        ("Released under the Apache License", "", "apache"),
+        ("Released under the ISC License", "", "isc"),
+        ("Licensed under the Mozilla Public License, Version 2.0", "", "mpl"),
+        ("Licensed under CC BY 4.0", "cc-by", "cc-by"),
+        ("Licensed under CC BY-NC 4.0", "cc-by", "cc-by,cc-by-nc"),
+        ("Released under the GNU General Public License", "gpl", "gpl"),
+        ("The film was released in spring; under the old license it ran.", "", ""),
+        ("Redistribution and use in source and binary forms are permitted provided that the above copyright notice and\n"
+         "this paragraph are duplicated in all such forms", "", "bsd"),
+        ("Creative Commons Attribution-NonCommercial 4.0 International", "", "cc-by-nc"),
+        ("It may be used without any license, by any person and for any purpose, and copies are free of charge.", "", ""),
+    ],
+)
+def test_a_licence_gets_its_own_label(make_docs, text, base, labels):
+    row = license_scan.scan(make_docs([(1, text)])).first()
+    assert (row["base_labels"], row["labels"]) == (base, labels)
+
+
 def test_wrapped_licences_are_found(make_docs):
     bsd = "Redistribution and use in source and binary forms, with or without\n * modification, are permitted"
-    mit = "Permission is hereby granted, free of charge, to any\nperson obtaining a copy of this software"
+    mit = MIT.replace("to any person", "to any\nperson")
     lines = "\n".join(" ".join(f"z{i}x{k}" for k in range(9)) for i in range(12))
     long = f"redistribution and use {'y ' * 50} in source and binary forms with or without modification"
     docs = make_docs([(1, bsd), (2, mit), (3, f"{lines}\n{bsd}\n{lines}"), (4, f"{'q ' * 20}\n{long}"), (5, lines),
                       (6, "mit einer im dem\nund released der\nunter dem\nunder the z\nlicense")])
     got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan(docs).collect()}
-    assert got == {1: ("bsd", 1.0), 2: ("mit", 1.0), 3: ("bsd", 1.0), 4: ("bsd", 11 / 13), 5: ("", 0.0), 6: ("", 0.0)}
+    assert got == {1: ("bsd", 1.0), 2: ("mit", 1.0), 3: ("bsd", 1.0), 4: ("", 0.0), 5: ("", 0.0), 6: ("", 0.0)}
+
+
+def test_notices_match_brute_force(make_docs):
+    """Every template whole, wrapped and with every eleventh or fifth word changed, at places around the windows' borders."""
+    rows = []
+    for k, (_, template) in enumerate(TEMPLATES):
+        ws = template.split()
+        rows.append((len(rows), "\n".join(ws)))
+        for step in (11, 5):
+            changed = " ".join(f"x{i}" if i % step == 2 else w for i, w in enumerate(ws))
+            rows.append((len(rows), f"{'z ' * (17 * k)} {changed} {'q ' * (13 * k)}"))
+        rows.append((len(rows), " ".join(ws[: len(ws) // 2] + ["z"] * (len(ws) // 3) + ws[len(ws) // 2 :])))
+    got = {r["doc_id"]: (r["label"], r["score"]) for r in license_scan.notices(lowered(make_docs(rows))).groupBy("doc_id").agg(
+        F.array_join(F.sort_array(F.collect_set("label")), ",").alias("label"), F.max("score").alias("score")).collect()}
+    assert {i: got.get(i, ("", 0.0)) for i, _ in rows} == {i: brute_notices(text) for i, text in rows}
+
+
+def lowered(docs):
+    return docs.select("doc_id", F.lit(0).alias("_key"), F.lower("text").alias("t"))
 
 
 def test_rules_nest_and_the_longest_wins(spark):
