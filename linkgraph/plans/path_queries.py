@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from linkgraph.operators import paths as pa
 from linkgraph.operators import projection as pr
 from linkgraph.operators import reports as rp
+from linkgraph.operators import routes as rt
 from linkgraph.operators import titles as ti
 from linkgraph.operators import traversal as tr
 from linkgraph.operators.ranking import exact_lookup
@@ -239,23 +240,94 @@ _EXACT = _NAMED.split(ro.SQL_QUERIES)[1]
 _REACHED = ro.sql_dist(ro.FAR).split(ro.SQL_EDGES)[1]
 
 
-@query("connect_by_name", search_hits(1) + similar_hits(1) + _REACHED + _EXACT + """,
-parents AS (
-  SELECT v.node, v.dist, min(u.node) AS parent FROM reached v LEFT JOIN adj a ON a.src = v.node
-  LEFT JOIN reached u ON u.node = a.dst AND u.dist = v.dist - 1 GROUP BY v.node, v.dist),
+_CHOSEN = search_hits(1) + similar_hits(1) + _REACHED + _EXACT + """,
 chosen AS (
   SELECT x.query, coalesce(x.id, h.id, n.id) AS id,
          CASE WHEN x.id IS NOT NULL THEN matched_by ELSE 'search' END AS matched_by
-  FROM exact x LEFT JOIN hits h ON h.query = x.query LEFT JOIN near n ON n.query = x.query)
-SELECT query, id, matched_by, dist AS degrees, parent AS first_step FROM chosen LEFT JOIN parents ON node = id WHERE id IS NOT NULL""")
+  FROM exact x LEFT JOIN hits h ON h.query = x.query LEFT JOIN near n ON n.query = x.query
+  WHERE coalesce(x.id, h.id, n.id) IS NOT NULL)"""
+
+
+def _identified(spark, sf):
+    """One part per query that finds any."""
+    ranked = materialize(ro.ranked_entities(spark, sf), "entities")
+    return identify(ro.search_queries(spark, sf), ranked, ro.aliases(spark, sf), scorer="edit")
+
+
+@query("connect_by_name", _CHOSEN + """,
+parents AS (
+  SELECT v.node, v.dist, min(u.node) AS parent FROM reached v LEFT JOIN adj a ON a.src = v.node
+  LEFT JOIN reached u ON u.node = a.dst AND u.dist = v.dist - 1 GROUP BY v.node, v.dist)
+SELECT query, id, matched_by, dist AS degrees, parent AS first_step FROM chosen LEFT JOIN parents ON node = id""")
 def connect_by_name(spark, sf):
     _, reached = _from_hub(spark, sf)
-    ranked = materialize(ro.ranked_entities(spark, sf), "entities")
-    found = identify(ro.search_queries(spark, sf), ranked, ro.aliases(spark, sf), scorer="edit")
     tree = reached.table.select(
         F.col("node").alias("id"), F.col("dist").alias("degrees"), F.col("parent").alias("first_step")
     )
-    return found.join(tree, "id", "left").select("query", "id", "matched_by", "degrees", "first_step")
+    return _identified(spark, sf).join(tree, "id", "left").select("query", "id", "matched_by", "degrees", "first_step")
+
+
+# Line-ups were not recorded for open orders; tracks are known of finished ones.
+_SONGS = _CHOSEN + ro.SQL_TREE.removeprefix(ro.sql_dist(ro.FAR)) + f""",
+hops AS (
+  SELECT node, pos AS hop, id AS from_id, parent AS to_id FROM steps
+  WHERE parent IS NOT NULL AND node IN (SELECT id FROM chosen)),
+pairs AS (SELECT DISTINCT least(from_id, to_id) AS src, greatest(from_id, to_id) AS dst FROM hops),
+{ro.SQL_ITEMS},{ro.SQL_DEDUP_GROUP},{ro.SQL_PAIR_TITLES},
+sources AS (
+  SELECT DISTINCT t.src, t.dst, t.title, t.rank, a.group_id
+  FROM pair_titles t JOIN multi a ON a.entity_id = t.src JOIN multi b ON b.entity_id = t.dst AND b.group_id = a.group_id
+  JOIN group_titles g ON g.group_id = a.group_id AND g.title = t.title WHERE t.rank <= 3),
+songs AS (SELECT src, dst, title, rank, min(group_id) AS song_id FROM sources GROUP BY ALL),
+recorded AS (
+  SELECT DISTINCT src, dst, title, m.entity_id FROM sources s JOIN orders ON o_orderkey = s.group_id AND o_orderstatus <> 'O'
+  JOIN multi m ON m.group_id = s.group_id),
+lineup AS (
+  SELECT src, dst, title, entity_id, p_name AS name FROM (
+    SELECT * FROM recorded
+    UNION ALL SELECT src, dst, title, unnest([src, dst]) FROM songs WHERE (src, dst, title) NOT IN (SELECT (src, dst, title) FROM recorded))
+  JOIN part ON p_partkey = entity_id)"""
+
+
+def _named_songs(spark, sf):
+    """Names with what they resolve to, the hops from there to the hub, their songs and line-ups."""
+    credited, reached = _from_hub(spark, sf)
+    root = reached.table.filter("dist = 0").select("root")
+    found = materialize(_identified(spark, sf).withColumn("root", root.scalar()), "found")
+    entities = ro.entities(spark, sf)
+    hops = materialize(rt.route_hops(found, reached, entities), "route-hops")
+    songs, references = rt.shown_songs(hops, credited, _group_titles(spark, sf))
+    recorded = table(spark, sf, "orders").filter("o_orderstatus <> 'O'").select(F.col("o_orderkey").alias("group_id"))
+    credits = pa.with_name(credited.join(recorded, "group_id", "left_semi"), entities, "entity_id", "name")
+    lineup = rt.lineup_or_ends(references, credits.select("group_id", "entity_id", "name"), entities)
+    return found, hops, songs, lineup
+
+
+@query("named_routes", _SONGS + """
+SELECT query, c.id, matched_by, CAST(hop AS INTEGER) AS hop, from_id, f.p_name AS from_name, to_id, t.p_name AS to_name, CAST(s.rank AS INTEGER) AS rank, s.title,
+  song_id, CAST(o_custkey AS VARCHAR) AS track_id, entity_id, l.name
+FROM chosen c LEFT JOIN hops h ON h.node = c.id LEFT JOIN part f ON f.p_partkey = from_id LEFT JOIN part t ON t.p_partkey = to_id
+LEFT JOIN songs s ON s.src = least(from_id, to_id) AND s.dst = greatest(from_id, to_id)
+LEFT JOIN lineup l ON l.src = s.src AND l.dst = s.dst AND l.title = s.title
+LEFT JOIN orders ON o_orderkey = song_id AND o_orderstatus = 'F'""")
+def named_routes(spark, sf):
+    """Every hop of every name's connection, with its songs, track ids and line-ups."""
+    found, hops, songs, lineup = _named_songs(spark, sf)
+    tracks = table(spark, sf, "orders").filter("o_orderstatus = 'F'").select(
+        F.col("o_orderkey").alias("song_id"), F.col("o_custkey").cast("string").alias("track_id")
+    )
+    return rt.named_routes(found.select("query", "root", "id", "matched_by"), hops, songs, lineup, tracks).drop("root")
+
+
+@query("basket_titles", _SONGS + """,
+sets AS (
+  SELECT src, dst, title, list_sort(list(DISTINCT lower(name))) AS names FROM lineup GROUP BY src, dst, title),
+firsts AS (SELECT lower(title) AS title_key, names, min(row(src, dst, title)) AS edge FROM sets GROUP BY lower(title), names)
+SELECT title_key, edge[1] AS src, edge[2] AS dst, unnest(names) AS name FROM firsts""")
+def basket_titles(spark, sf):
+    """The songs that the connections of all names show, each with its line-up once."""
+    *_, lineup = _named_songs(spark, sf)
+    return rt.distinct_lineups(lineup)
 
 
 @query("watchlist_flags", _HOPS + """,
