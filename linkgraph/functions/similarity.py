@@ -19,6 +19,8 @@ from linkgraph.functions._columns import ColumnLike, as_column
 
 # Fixed value: lowest accepted score.
 SCORE_CUTOFF = 72
+# Characters whose places fit the bits of one long, with room for a carry.
+MAX_BITS = 62
 
 # Letters from rare to common; only the selectivity of the signature depends
 # on it, never its completeness.
@@ -51,11 +53,43 @@ def _scores(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-def sequence_score(left: ColumnLike, right: ColumnLike) -> Column:
-    """Arrow-batched ``200 * LCS / (m + n)`` of two token-sorted texts."""
+def long_sequence_score(left: ColumnLike, right: ColumnLike) -> Column:
+    """Arrow-batched ``200 * LCS / (m + n)`` of two token-sorted texts of any length."""
     return F.pandas_udf(_scores, "double")(as_column(left), as_column(right))
 
 
+def char_bits(text: ColumnLike) -> Column:
+    """For each character of ``text`` a long with a bit per place where it stands; null beyond ``MAX_BITS``."""
+    t = as_column(text)
+    chars = F.split(t, "")
+    distinct = F.array_distinct(chars)
+
+    def bits(char: Column) -> Column:
+        at = F.transform(chars, lambda x, i: F.when(x == char, F.expr("1L")).otherwise(F.expr("0L")) * F.pow(F.lit(2), i).cast("long"))
+        return F.aggregate(at, F.expr("0L"), lambda a, x: a.bitwiseOR(x))
+
+    return F.when(F.length(t) <= MAX_BITS, F.map_from_arrays(distinct, F.transform(distinct, bits)))
+
+
+def _lcs(size: Column, bits: Column, other: Column) -> Column:
+    """LCS of a text of ``size`` characters with ``char_bits`` and of ``other``: the row of the
+    dynamic program is one long, and each character of ``other`` updates it."""
+    full = F.pow(F.lit(2), size).cast("long") - F.expr("1L")
+    masks = F.transform(F.split(other, ""), lambda c: F.coalesce(F.try_element_at(bits, c), F.expr("0L")))
+    row = F.aggregate(
+        masks, full, lambda r, m: (r + r.bitwiseAND(m)).bitwiseOR(r.bitwiseAND(F.bitwise_not(m))).bitwiseAND(full)
+    )
+    return size - F.bit_count(row)
+
+
+def sequence_score(left: ColumnLike, right: ColumnLike, left_bits: ColumnLike, right_bits: ColumnLike) -> Column:
+    """``200 * LCS / (m + n)`` of two token-sorted texts, one of which has ``char_bits``; in the JVM."""
+    a, b, bits_a, bits_b = map(as_column, (left, right, left_bits, right_bits))
+    m, n = F.length(a), F.length(b)
+    lcs = F.when(bits_a.isNotNull(), _lcs(m, bits_a, b)).otherwise(_lcs(n, bits_b, a))
+    return F.when(m + n == 0, F.lit(100.0)).otherwise(F.lit(200.0) * lcs / (m + n))
+
+
 def edit_score(left: ColumnLike, right: ColumnLike) -> Column:
     """``100 * (1 - levenshtein / longer length)``, evaluated in the JVM."""
     a, b = as_column(left), as_column(right)
@@ -93,15 +127,15 @@ def with_char_tokens(df: DataFrame, text: str, tokens: str) -> DataFrame:
     )
 
 
-def with_signature(df: DataFrame, text: str, key: str) -> DataFrame:
-    """One row per signature key; any two texts scoring at least the cutoff
-    share a key.
+def with_signature(df: DataFrame, bag: str, key: str) -> DataFrame:
+    """One row per signature key of the bag of characters ``bag``; any two texts scoring at least the
+    cutoff share a key.
 
     A partner of a text of length m shares at least ``9m/16`` tokens, so pairs
     of the first ``m - ceil(9m/16) + 2`` tokens suffice.  One-letter texts can
     only match themselves.
     """
-    size = F.size("_bag")
+    size = F.size(bag)
     needed = F.floor((size * 9 + 15) / 16).cast("int")
     pairs = F.flatten(
         F.transform(
@@ -112,16 +146,19 @@ def with_signature(df: DataFrame, text: str, key: str) -> DataFrame:
         )
     )
     return (
-        with_char_tokens(df, text, "_bag")
-        .withColumn("_prefix", F.slice("_bag", F.lit(1), F.least(size, size - needed + 2)))
-        .withColumn(key, F.explode(F.when(size <= 1, F.col("_bag")).otherwise(pairs)))
-        .drop("_bag", "_prefix")
+        df.withColumn("_prefix", F.slice(bag, F.lit(1), F.least(size, size - needed + 2)))
+        .withColumn(key, F.explode(F.when(size <= 1, F.col(bag)).otherwise(pairs)))
+        .drop("_prefix")
     )
 
 
-def may_score(pairs: DataFrame, left: str, right: str) -> DataFrame:
-    """Keep pairs with enough common character tokens for the cutoff."""
-    bagged = with_char_tokens(with_char_tokens(pairs, left, "_left"), right, "_right")
-    shared = F.size(F.array_intersect("_left", "_right"))
-    enough = shared * 100 >= (F.size("_left") + F.size("_right")) * (SCORE_CUTOFF // 2)
-    return bagged.filter(enough).drop("_left", "_right")
+def lengths_fit(m: ColumnLike, n: ColumnLike) -> Column:
+    """Whether texts of these lengths can reach the cutoff: at most the shorter one is common."""
+    a, b = as_column(m), as_column(n)
+    return F.least(a, b) * 200 >= (a + b) * SCORE_CUTOFF
+
+
+def enough_shared(left: ColumnLike, right: ColumnLike) -> Column:
+    """Whether two bags of characters have enough in common for the cutoff."""
+    a, b = as_column(left), as_column(right)
+    return F.size(F.array_intersect(a, b)) * 100 >= (F.size(a) + F.size(b)) * (SCORE_CUTOFF // 2)

@@ -9,15 +9,21 @@ a third of all entities small.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkgraph.functions.similarity import (
     SCORE_CUTOFF,
+    char_bits,
     edit_score,
-    may_score,
+    enough_shared,
+    lengths_fit,
+    long_sequence_score,
     sequence_score,
     sorted_tokens,
+    with_char_tokens,
     with_signature,
 )
 from linkgraph.functions.text import fold_name, same_name
@@ -37,8 +43,8 @@ SERVICE_LIMIT = 8
 FUZZY_MIN_RESULTS = 3
 MIN_QUERY_CHARS = 2
 
-# Scores of token-sorted texts: subsequence ratio (default) or edit distance.
-SCORERS = {"token_sort": sequence_score, "edit": edit_score}
+# A scorer by name, or a function of two token-sorted text columns.
+Scorer = str | Callable[[Column, Column], Column]
 
 _ENTITY = ["id", "name", "popularity", "degree", "primary", "secondary"]
 
@@ -80,28 +86,65 @@ def tier_hits(queries: DataFrame, entities: DataFrame, aliases: DataFrame, limit
     return queries.join(top, "folded").select("query", *_ENTITY, "tier", "rank")
 
 
-def similar_texts(needles: DataFrame, texts: DataFrame, scorer: str = "token_sort") -> DataFrame:
+def _compared(texts: DataFrame, label: str) -> DataFrame:
+    """Distinct ``text`` values numbered, with what they are compared by, computed once each."""
+    made = texts.select("text").distinct().withColumn("sorted", sorted_tokens("text"))
+    made = with_char_tokens(made, "sorted", "bag").withColumn("bits", char_bits("sorted"))
+    return materialize(made.withColumn("no", F.monotonically_increasing_id()), label)
+
+
+def _by_tokens(pairs: DataFrame) -> DataFrame:
+    """Score pairs in the JVM; only pairs of two texts too long for a row of bits need Python."""
+    fits = F.col("left_bits").isNotNull() | F.col("right_bits").isNotNull()
+    short = pairs.filter(fits).withColumn("score", sequence_score("left", "right", "left_bits", "right_bits"))
+    return short.unionByName(pairs.filter(~fits).withColumn("score", long_sequence_score("left", "right")))
+
+
+def similar_texts(needles: DataFrame, texts: DataFrame, scorer: Scorer = "token_sort") -> DataFrame:
     """``(folded, text, score)`` of all pairs that score at least the cutoff.
 
-    An equi-join on the signature finds every qualifying pair; the bag bound
-    removes most others before the score is computed.
+    An equi-join on the signature finds every qualifying pair by number; lengths are
+    compared in the join and bags of characters before the score is computed.
+    ``scorer`` is ``token_sort`` (subsequence ratio), ``edit``, or a function of two
+    token-sorted columns that gives no pair more than ``200 * common characters / (m + n)``.
     """
-    if scorer not in SCORERS:
+    if isinstance(scorer, str) and scorer not in ("token_sort", "edit"):
         raise ValueError(f"unknown scorer {scorer!r}")
-    asked_for = needles.select("folded", sorted_tokens("folded").alias("left"))
-    stored = texts.select("text", sorted_tokens("text").alias("right"))
+    asked_for = _compared(needles.select(F.col("folded").alias("text")), "asked-texts")
+    stored = _compared(texts, "stored-texts")
+
+    def keyed(side: DataFrame, name: str) -> DataFrame:
+        sized = side.select(F.col("no").alias(name), F.size("bag").alias(f"{name}_size"), "bag")
+        return with_signature(sized, "bag", "key").drop("bag")
+
     near = (
-        with_signature(asked_for, "left", "key")
-        .join(with_signature(stored, "right", "key"), "key")
-        .select("folded", "text", "left", "right")
+        keyed(asked_for, "asked")
+        .join(keyed(stored, "stored"), "key")
+        .filter(lengths_fit("asked_size", "stored_size"))
+        .select("asked", "stored")
         .distinct()
     )
-    scored = may_score(near, "left", "right").withColumn("score", SCORERS[scorer]("left", "right"))
+
+    def side(table: DataFrame, number: str, text: str, name: str) -> DataFrame:
+        return table.select(
+            F.col("no").alias(number), F.col("text").alias(text), F.col("sorted").alias(name),
+            F.col("bag").alias(f"{name}_bag"), F.col("bits").alias(f"{name}_bits"),
+        )
+
+    pairs = near.join(side(asked_for, "asked", "folded", "left"), "asked").join(side(stored, "stored", "text", "right"), "stored")
+    likely = pairs.filter(enough_shared("left_bag", "right_bag"))
+    if scorer == "token_sort":
+        # Read for short and for long texts.
+        kept = ["folded", "text", "left", "right", "left_bits", "right_bits"]
+        scored = _by_tokens(materialize(likely.select(*kept), "near-texts"))
+    else:
+        score = edit_score if scorer == "edit" else scorer
+        scored = likely.withColumn("score", score(F.col("left"), F.col("right")))
     return scored.filter(F.col("score") >= SCORE_CUTOFF).select("folded", "text", "score")
 
 
 def fuzzy_candidates(
-    queries: DataFrame, entities: DataFrame, limit: int = DEFAULT_LIMIT, scorer: str = "token_sort"
+    queries: DataFrame, entities: DataFrame, limit: int = DEFAULT_LIMIT, scorer: Scorer = "token_sort"
 ) -> DataFrame:
     """Similar canonical names per query, best score first, id on ties.
 
@@ -121,7 +164,7 @@ def resolve(
     entities: DataFrame,
     aliases: DataFrame,
     limit: int = DEFAULT_LIMIT,
-    scorer: str | None = "token_sort",
+    scorer: Scorer | None = "token_sort",
 ) -> DataFrame:
     """Ranked candidates per query: tiers, similar names when thin, override.
 
@@ -154,7 +197,7 @@ def search(
     entities: DataFrame,
     aliases: DataFrame,
     limit: int = SERVICE_LIMIT,
-    scorer: str | None = "token_sort",
+    scorer: Scorer | None = "token_sort",
 ) -> DataFrame:
     """Search rows for display: labels and whether the name is the query.
 
@@ -166,7 +209,7 @@ def search(
 
 
 def identify(
-    queries: DataFrame, entities: DataFrame, aliases: DataFrame, scorer: str | None = "token_sort"
+    queries: DataFrame, entities: DataFrame, aliases: DataFrame, scorer: Scorer | None = "token_sort"
 ) -> DataFrame:
     """One entity per query: the exact name, else the exact alias, else the
     first search hit.  Queries that find nothing are absent."""

@@ -145,6 +145,27 @@ def test_similar_texts_misses_no_pair(spark, names, queries):
     assert got == pytest.approx(wanted)
 
 
+@pytest.mark.parametrize("long", [58, 62, 63, 80])
+def test_scores_of_long_texts(spark, long):
+    """One row of bits holds 62 characters; of longer pairs one side may still fit."""
+    base = ("abcdefghij\U0001f600é" * 7)[:long]
+    texts = [base, base[::-1], base[:50] + "x" * (long - 50), base[3:] + "zzz", "y" + base, base[:45], "\U0001f600" * long]
+    left = spark.createDataFrame([(t,) for t in texts[:4]], "folded string")
+    right = spark.createDataFrame([(t,) for t in texts] * 2, "text string")
+    got = {(r["folded"], r["text"]): r["score"] for r in rs.similar_texts(left, right).collect()}
+    wanted = {(a, b): 200.0 * lcs_length(a, b) / (len(a) + len(b)) for a in texts[:4] for b in texts}
+    assert got == pytest.approx({k: v for k, v in wanted.items() if v >= 72})
+
+
+def test_own_scorer(spark):
+    left = spark.createDataFrame([("abcd",), ("wxyz",)], "folded string")
+    right = spark.createDataFrame([("abcd",), ("abce",)], "text string")
+    same = rs.similar_texts(left, right, lambda a, b: F.when(a == b, 100.0).otherwise(0.0))
+    assert [tuple(r) for r in same.collect()] == [("abcd", "abcd", 100.0)]
+    with pytest.raises(ValueError):
+        rs.similar_texts(left, right, "none")
+
+
 @settings(max_examples=6, deadline=None)
 @given(st.lists(st.text(alphabet="abé ", max_size=4), min_size=5, max_size=20), st.lists(st.text(alphabet="abé ", max_size=12), min_size=5, max_size=20))
 def test_substring_pairs_misses_no_pair(spark, needles, texts):
