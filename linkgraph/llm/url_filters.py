@@ -8,9 +8,10 @@ the stack of rule hosts whose interval is open, and looks up the url's path in
 the rules of each.
 
 Urls are dealt by the hash of their last two labels, and by a salt of their own
-so that one host may hold most of them; a rule goes wherever urls of its host
-may be (those of a single label to every place).  Nothing is broadcast and the
-sweep holds open rules only.
+so that one host may hold most of them.  The urls of each hash are counted first, and a
+hash gets as many salts as it needs for ``ROWS`` urls a place (at least ``SALTS``).  A rule
+goes wherever urls of its host may be (those of a single label to every place).  One count for
+each of the ``GROUPS`` hashes comes to the driver, nothing is broadcast and the sweep holds open rules only.
 
 Defined cases: a null url or one without ``://`` has an empty host and path,
 fits no rule and gets the default verdict; empty labels are labels; repeated
@@ -21,6 +22,7 @@ empty table gives none; other columns are carried along.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 from linkgraph.llm.common import LOWER, UPPER
 
 GROUPS, SALTS = 64, 16
+ROWS = 250_000
 DEFAULT = "allow"
 #: The rules in force: (host, path, verdict).
 RULES = (
@@ -105,8 +108,20 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def places(keys: DataFrame, groups: int, salts: int, rows: int) -> tuple[list[int], list[int]]:
+    """The first bucket and the number of buckets of each hash; ``keys``: a row (_key) for each url."""
+    counts = {r["g"]: r["n"] for r in keys.groupBy(_group_of(F.col("_key"), groups).alias("g")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    widths = [max(salts, -(-counts.get(g, 0) // rows)) for g in range(groups)]
+    return [0, *accumulate(widths)][:-1], widths
+
+
 def judge_urls(
-    pages: DataFrame, rules: DataFrame, default: str = DEFAULT, groups: int = GROUPS, salts: int = SALTS
+    pages: DataFrame,
+    rules: DataFrame,
+    default: str = DEFAULT,
+    groups: int = GROUPS,
+    salts: int = SALTS,
+    rows: int = ROWS,
 ) -> DataFrame:
     """``pages`` without other columns of these names, with ``host``, ``path``, ``rule`` and ``verdict``.
 
@@ -116,17 +131,19 @@ def judge_urls(
     made = ("host", "path", "rule", "verdict")
     carried = [c for c in pages.columns if c not in made and not c.startswith("_")]
     hosts = pages.select(*carried, host.alias("host"), path.alias("path")).withColumn("_key", host_key(F.col("host")))
-    salt = F.pmod(F.xxhash64("url", *(c for c in ("page_id",) if c in carried)), F.lit(salts)).cast("int")
+    starts, widths = places(hosts.select("_key"), groups, salts, rows)
+    of = lambda values: F.get(F.array(*map(F.lit, values)), _group_of(F.col("_key"), groups))
+    salt = F.pmod(F.xxhash64("url", *(c for c in ("page_id",) if c in carried)), of(widths)).cast("int")
     urls = hosts.select(
-        *carried, "host", "path", "_key", (_group_of(F.col("_key"), groups) * salts + salt).alias("_bucket"),
+        *carried, "host", "path", "_key", (of(starts) + salt).alias("_bucket"),
         F.lit(1).alias("_kind"), F.col("path").alias("_path"), F.lit(None).cast("string").alias("_rule_verdict"),
     )
     rule_key = host_key(F.translate("host", UPPER, LOWER))
     keyed = rules.select(rule_key.alias("_key"), F.col("path").alias("_path"), F.col("verdict").alias("_rule_verdict"))
     keyed = keyed.where((F.col("_key") != "") & F.col("_path").isNotNull())
     labels = F.size(F.split("_key", r"\.")) - 1
-    of_group = F.sequence(_group_of(F.col("_key"), groups) * salts, _group_of(F.col("_key"), groups) * salts + salts - 1)
-    everywhere = F.sequence(F.lit(0), F.lit(groups * salts - 1))
+    of_group = F.sequence(of(starts), of(starts) + of(widths) - 1)
+    everywhere = F.sequence(F.lit(0), F.lit(sum(widths) - 1))
     sent = keyed.select(
         "_key", "_path", "_rule_verdict", F.lit(0).alias("_kind"),
         F.explode(F.when(labels > 1, of_group).otherwise(everywhere)).alias("_bucket"),

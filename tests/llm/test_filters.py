@@ -260,6 +260,21 @@ def test_rules_nest_and_the_longest_wins(spark):
     assert url_filters.judge_urls(pages, url_filters.rule_table(spark).where("false")).where("rule IS NOT NULL").count() == 0
 
 
+def test_a_hot_host_gets_more_places(spark):
+    urls = [(i, f"http://a.org/{i % 7}/{'p' * (i % 900)}") for i in range(400)] + [(i, f"http://h{i}.com/x") for i in range(400, 440)]
+    pages = spark.createDataFrame([*urls, (500, None)], "page_id long, url string")
+    rules = url_filters.rule_table(spark, [("org", "/3", "block"), ("a.org", "/5/p", "block"), ("com", "/", "block")])
+    keys = pages.select(url_filters.host_key(url_filters.host_and_path(F.col("url"))[0]).alias("_key"))
+    starts, widths = url_filters.places(keys, 8, 2, 10)
+    assert max(widths) >= 40 and starts == [sum(widths[:g]) for g in range(8)]
+    few = {tuple(r) for r in url_filters.judge_urls(pages, rules, groups=8, salts=1, rows=10**9).collect()}
+    many = {tuple(r) for r in url_filters.judge_urls(pages, rules, groups=8, salts=2, rows=10).collect()}
+    assert few == many and len(few) == 441
+    assert {r[0] for r in few if r[-1] == "block"} == {
+        i for i, u in urls if u.startswith(("http://a.org/3", "http://a.org/5/p")) or ".com" in u
+    }
+
+
 @pytest.mark.parametrize("text", ["", "a", "x\ny"])
 def test_hash_of_cleaned_text(make_docs, text):
     row = line_dedup.clean_lines(make_docs([(1, text)])).select(F.sha2(F.encode("text", "UTF-8"), 256)).first()
