@@ -18,8 +18,12 @@ their text stands in many others.
 tokens in order of frequency.  The prefix is a(s) + 2 long.  Its tokens of one
 class are dropped (a class whose prefix has no other has no partner), rare
 ones are indexed one by one, and frequent ones by pairs of them: the first two
-common tokens are in both prefixes.  Prefixes too long for pairs index their
-frequent tokens one by one.  A key may still have thousands of classes, all
+common tokens are in both prefixes.  Long prefixes would have too many pairs, so a
+longer set is cut into parts by its tokens' hashes, and the parts are indexed like
+sets: if no part of a linked pair had their threshold, neither would the whole, as
+common tokens and all tokens add up over the parts.  The number of parts
+doubles with the size of the set; a set whose partners may have another number
+is indexed under both.  A key may still have thousands of classes, all
 near copies of one text.  They are compared with one of them, the one with the
 fewest tokens of its own; classes that this joins to the same component need no further
 comparison, and the rest of a key is compared with all of it that is not in its
@@ -43,6 +47,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from linkgraph.llm.common import NO_ID, Scratch, let, text_key
 from linkgraph.llm.components import components
@@ -51,7 +56,8 @@ PERCENT = 90
 SHINGLE = 3
 SLACK = 8
 RARE = 32
-PAIR_PREFIX = 48  # the longest a(s) for which frequent tokens are paired
+PAIR_PREFIX = 48  # a set of which more tokens may be missing is cut into parts
+PART_LEVELS = 2  # a set just above that size has 2 ** (1 + PART_LEVELS) parts, one of twice the size twice as many
 BATCH_BYTES = 1 << 20  # of text hashed at once
 CHUNK = 1024  # classes whose sets are compared in one group, on either side
 
@@ -237,26 +243,42 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch)
     )
 
 
+def _levels(n: Column, percent: int) -> Column:
+    """The numbers of parts under which a set of ``n`` is indexed: its own, and that of the largest set it may be linked with."""
+    if percent >= 100:
+        return F.array(F.lit(1).cast("long"))
+    whole = F.lit(float(max(1, PAIR_PREFIX * 100 // (100 - percent))))
+
+    def level(size: Column) -> Column:
+        return F.greatest(F.lit(0), F.ceil(F.log2(size / whole))).cast("int")
+
+    levels = F.sequence(level(n), level(F.floor(n * 100 / F.lit(percent))))
+    return F.transform(levels, lambda x: F.when(x == 0, F.lit(1)).otherwise(F.pow(F.lit(2.0), x + PART_LEVELS)).cast("long"))
+
+
 def _heavy_keys(sets: DataFrame, percent: int) -> DataFrame:
-    """(cid, n, own, frequent, keys): what the second join looks for; ``sets``: (cid, n, tokens) of heavy classes.
+    """(cid, n, own, part, frequent, keys): what the second join looks for; ``sets``: (cid, n, tokens) of heavy classes.
 
     ``own`` counts the tokens that no other heavy class has; ``frequent`` are the
-    frequent tokens of the prefix, in order.
+    frequent tokens of the part's prefix, in order.  Part j of m has the number m + j.
     """
     tokens = sets.select("cid", "n", F.explode("tokens").alias("token"))
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    # Tokens of one class are not joined: they are the first in the order, as many as the join leaves out.
-    shared = tokens.join(often, "token").groupBy("cid", "n").agg(
-        F.array_sort(F.collect_list(F.struct("c", "token"))).alias("shared")
+    # Tokens of one class have no count: they are the first in the order, as many as are counted without.
+    placed = tokens.join(often, "token", "left").withColumn("m", F.explode(_levels(F.col("n"), percent)))
+    parts = placed.groupBy("cid", "n", "m", (F.col("m") + F.pmod("token", "m")).alias("part")).agg(
+        F.count(F.lit(1)).alias("size"),
+        F.array_sort(F.collect_list(F.when(F.col("c").isNotNull(), F.struct("c", "token")))).alias("shared"),
+    )
+    lone = F.col("size") - F.size("shared")
+    own = F.sum(lone).over(Window.partitionBy("cid", "m"))
+    prefix = F.slice(
+        "shared", F.lit(1), F.greatest(F.lit(0).cast("long"), _a(F.col("size"), percent) + 2 - lone).cast("int")
     )
-    a = _a(F.col("n"), percent)
-    own = F.col("n") - F.size("shared")
-    prefix = F.slice("shared", F.lit(1), F.greatest(F.lit(0).cast("long"), a + 2 - own).cast("int"))
-    cut = shared.select("cid", "n", own.alias("own"), a.alias("a"), prefix.alias("p")).where(F.size("p") > 0)
+    cut = parts.select("cid", "n", "part", "size", own.alias("own"), prefix.alias("p")).where(F.size("p") > 0)
     cut = cut.select(
         "*", F.filter("p", lambda x: x["c"] <= RARE).alias("rare"), F.filter("p", lambda x: x["c"] > RARE).alias("often")
     )
-    largest = F.floor(F.ceil(F.col("n") * 100 / F.lit(percent)) * (100 - percent) / 100)
     none = F.array().cast("array<struct<kind:string,key:bigint>>")
 
     def keyed(kind: str, key: Column) -> Column:
@@ -267,25 +289,25 @@ def _heavy_keys(sets: DataFrame, percent: int) -> DataFrame:
         F.transform(
             "often",
             lambda x, i: F.transform(
-                F.slice("often", i + 2, F.size("often")), lambda y: keyed("pair", F.xxhash64(x["token"], y["token"]))
+                F.slice("often", i + 2, F.size("often")),
+                lambda y: keyed("pair", F.xxhash64(F.col("part"), x["token"], y["token"])),
             ),
         )
     )
-    alone = F.transform("often", lambda x: keyed("one", x["token"]))
-    keys = F.concat(
-        single,
-        F.when(F.col("a") <= PAIR_PREFIX, paired).otherwise(none),
-        F.when(largest > PAIR_PREFIX, alone).otherwise(none),
+    # A part so small that one common token is enough for it.
+    alone = F.transform("often", lambda x: keyed("one", F.xxhash64(F.col("part"), x["token"])))
+    keys = F.concat(single, paired, F.when(F.col("size") * percent <= 100, alone).otherwise(none))
+    return cut.select(
+        "cid", "n", "own", "part", F.transform("often", lambda x: x["token"]).alias("frequent"), keys.alias("keys")
     )
-    return cut.select("cid", "n", "own", F.transform("often", lambda x: x["token"]).alias("frequent"), keys.alias("keys"))
 
 
-def _is_first_key(kind: Column, key: Column, often: Column, other: Column) -> Column:
-    """Whether ``key`` is made of the first frequent tokens that two prefixes share: so for one key of a pair."""
+def _is_first_key(kind: Column, part: Column, key: Column, often: Column, other: Column) -> Column:
+    """Whether ``key`` is made of the first frequent tokens that two prefixes of a part share: so for one key of a pair and part."""
 
     def same(common: Column) -> Column:
-        return F.when(kind == "one", F.get(common, F.lit(0))).otherwise(
-            F.xxhash64(F.get(common, F.lit(0)), F.get(common, F.lit(1)))
+        return F.when(kind == "one", F.xxhash64(part, F.get(common, F.lit(0)))).otherwise(
+            F.xxhash64(part, F.get(common, F.lit(0)), F.get(common, F.lit(1)))
         ) == key
 
     return let(F.array_intersect(often, other), same)
@@ -359,8 +381,8 @@ def linked(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> Data
     scratch.drop("wanted")
 
     prefixes = scratch.write(_heavy_keys(whole.where("heavy").select("cid", "n", "tokens"), percent), "prefixes")
-    keys = prefixes.select("cid", "n", "own", F.inline("keys"))
-    lone = keys.where("kind = 'rare'").select("key", "cid", "n", F.lit(0).alias("h"))
+    keys = prefixes.select("cid", "n", "own", "part", F.inline("keys"))
+    lone = keys.where("kind = 'rare'").select("key", "cid", "n", F.lit(0).alias("h")).distinct()
     second = _bucket_pairs(lone, percent).select("u", "v", "block")
     many = keys.where("kind != 'rare'")
     centres = many.groupBy("key").agg(
@@ -382,6 +404,7 @@ def linked(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> Data
         many.join(centres, "key")
         .where((F.col("cid") != F.col("u")) & may_link("nu", "ou", "n", "own"))
         .select("u", F.col("cid").alias("v"))
+        .distinct()
     )
     plain = whole.select("cid", "tokens")
     candidates = first.unionByName(second).unionByName(stars.withColumn("block", F.col("u")))
@@ -399,9 +422,9 @@ def linked(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> Data
     placed = scratch.write(with_root.join(centre_root, "u").drop("u"), "placed")
     scratch.drop()
     outside = placed.where(F.col("root") != F.col("centre"))
-    frequent = prefixes.select("cid", "frequent")
-    open_keys = placed.join(outside.select("key").distinct(), "key", "left_semi").join(frequent, "cid")
-    outside = outside.join(frequent, "cid")
+    frequent = prefixes.select("cid", "part", "frequent")
+    open_keys = placed.join(outside.select("key").distinct(), "key", "left_semi").join(frequent, ["cid", "part"])
+    outside = outside.join(frequent, ["cid", "part"])
     other = open_keys.select(
         "key", F.col("cid").alias("v"), F.col("n").alias("nv"), F.col("own").alias("ov"),
         F.col("root").alias("other_root"), F.col("centre").alias("other_centre"), F.col("frequent").alias("other_frequent"),
@@ -412,7 +435,7 @@ def linked(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> Data
             (F.col("root") != F.col("other_root"))
             & ((F.col("cid") < F.col("v")) | (F.col("other_root") == F.col("other_centre")))
             & may_link("n", "own", "nv", "ov")
-            & _is_first_key(F.col("kind"), F.col("key"), F.col("frequent"), F.col("other_frequent"))
+            & _is_first_key(F.col("kind"), F.col("part"), F.col("key"), F.col("frequent"), F.col("other_frequent"))
         )
         .select(F.least("cid", "v").alias("u"), F.greatest("cid", "v").alias("v"), F.col("centre").alias("block"))
     )

@@ -195,6 +195,29 @@ def test_long_heavy_sets_match_brute_force(make_docs, monkeypatch):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(rows)
 
 
+@pytest.mark.parametrize("percent, size", [(90, 3), (80, 5)])
+def test_sets_in_parts_match_brute_force(make_docs, monkeypatch, percent, size):
+    """Sets on both sides of the sizes at which the number of parts doubles, near the threshold."""
+    monkeypatch.setattr(jaccard_join, "PAIR_PREFIX", 4)
+    monkeypatch.setattr(jaccard_join, "RARE", 2)
+    monkeypatch.setattr(jaccard_join, "PART_LEVELS", 1)
+    rng = random.Random(8)
+    texts = []
+    for n in (38, 80, 160, 320):
+        base = [f"v{rng.randrange(4000)}" for _ in range(n)]
+        for _ in range(40):
+            cut = rng.randint(0, n // 8)
+            words = base[cut:] + [f"v{rng.randrange(4000)}" for _ in range(rng.randint(0, n // 16))]
+            for _ in range(rng.randint(0, 2)):
+                words[rng.randrange(len(words))] = f"v{rng.randrange(4000)}"
+            texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    got = jaccard_join.linked(make_docs(rows), percent, size).collect()
+    expected = brute_components(rows, percent, size)
+    assert len({c for _, _, c in expected}) > 8
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == expected
+
+
 def test_one_of_each_group(make_docs, no_docs):
     text = " ".join(f"w{i}" for i in range(80))
     docs = make_docs([(5, text), (3, text + " end"), (3, text + " end"), (4, "other words here"), (6, None), (7, ""), (None, text)])
@@ -217,6 +240,7 @@ def brute_top(rows, k):
 
 def test_search_matches_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk_search, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(topk_search, "PIVOT_ROWS", 40)
     monkeypatch.setattr(topk_search, "BLOCK_QUERIES", 2)
     rng = np.random.default_rng(0)
     vectors = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(300, 6)).astype("f4"))]
@@ -230,6 +254,38 @@ def test_search_matches_brute_force(spark, monkeypatch):
     assert topk_search.top_k(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_search_among_clusters(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(topk_search, "PIVOT_ROWS", 30)
+    monkeypatch.setattr(topk_search, "PAIRS_AT_ONCE", 64)
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(8, 16))
+    points = centres[rng.integers(0, 8, 400)] + 0.05 * rng.normal(size=(400, 16))
+    points[100:230] = points[100]  # one vector a third of the table
+    points[300] *= -1.0  # a query whose scores are mostly below 0
+    vectors = [(i, [float(x) for x in v]) for i, v in enumerate(points)]
+    vectors += [(1000, [2.0**30] * 3), (1001, [2.0**29] * 3), (1002, [-1.0] * 3)]  # sums beyond a double
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = {tuple(r) for r in topk_search.top_k(df, F.col("vec_id") % 50 == 0).collect()}
+    wide = {r for r in brute_top(vectors, 5) if r[0] != 1000}
+    assert {r for r in got if r[0] != 1000} == wide and sum(r[0] == 1000 for r in got) == 2
+
+
+def test_a_cutoff_leaves_lists_out():
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(6, 16)) * 200
+    blocks = [np.floor(c + rng.normal(size=(50, 16))) for c in centres]
+    wanted = blocks[0][:10]
+    cutoffs = np.sort(wanted @ blocks[0].T, axis=1)[:, -5]
+    shares = -((-cutoffs) // topk_search.PARTS)
+    opened = [topk_search.open_lists(wanted, b, shares) for b in blocks]
+    assert opened[0].any() and np.mean(opened[1:]) < 0.5
+    for b, o in zip(blocks, opened):
+        for s, part in enumerate(topk_search._segments(16)):
+            reach = (wanted[:, part] @ b[:, part].T >= shares[:, None]).any(axis=1)
+            assert not (reach & ~o[:, s]).any()
+
+
 def test_mix_meets_targets(spark, make_docs, monkeypatch):
     monkeypatch.setattr(mixing, "GROUP_ROWS", 50)
     monkeypatch.setattr(mixing, "FAN_IN", 2)
