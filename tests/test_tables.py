@@ -11,6 +11,7 @@ from linkgraph.operators import discography as di
 from linkgraph.operators import enrichment as en
 from linkgraph.operators import incremental as inc
 from linkgraph.operators import matching as ma
+from linkgraph.plans import matching_queries as mq
 from linkgraph.operators import reports as rp
 from linkgraph.session import materialize
 from linkgraph.plans.catalog import REGISTRY
@@ -74,6 +75,30 @@ def test_first_accepted_or_sentinel(songs, credits, candidates):
     assert rows(got) == [("s1", "u1"), ("s2", "u3"), ("s3", "none"), ("s4", "none"), ("s5", "u5")]
 
 
+@pytest.fixture
+def star(spark, tmp_path):
+    """Two orders of one supplier in the red; the second order's part has no name on record."""
+    made = {
+        "part": [("p_partkey long, p_name string, p_brand string, p_type string"), [(1, "hot bolt", "B", "SMALL")]],
+        "supplier": [("s_suppkey long, s_name string, s_acctbal double"), [(7, "Acme", -5.0)]],
+        "orders": [("o_orderkey long, o_orderpriority string, o_orderstatus string"), [(10, "5-LOW", "O"), (11, "5-LOW", "O")]],
+        "lineitem": [
+            "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string, l_tax double, l_shipdate timestamp_ntz",
+            [(10, 1, 1, 7, "N", "F", 0.05, None), (11, 1, 2, 7, "N", "F", 0.05, None)],
+        ],
+    }
+    for name, (schema, data) in made.items():
+        spark.createDataFrame(data, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def test_audio_of_every_supplier_and_songs_without_names_take_part(spark, star):
+    url = "https://audio.example/10-1-1"
+    assert rows(mq.catalog_match(spark, star)) == [("10|Acme", url)]
+    assert rows(mq.resolve_first_accepted(spark, star)) == [("10|Acme", url), ("11|Acme", "none")]
+    assert rows(mq.enrich_track_ids(spark, star)) == [("10|Acme", url, "resolved"), ("11|Acme", "none", "sentinel")]
+
+
 def test_waterfall_order_links_and_backfill(spark, songs, credits, candidates):
     embeds = spark.createDataFrame(
         [("T1", "e1", "art", None), ("T5", None, None, None), ("none", "never", None, None)],
