@@ -12,7 +12,7 @@ from linkgraph.functions.text import fold_name
 from linkgraph.operators.eligibility import alias_table, keep_referenced, multi_member
 from linkgraph.operators.paths import with_name
 from linkgraph.operators.projection import edge_degrees, edge_nodes, refresh_degrees
-from linkgraph.operators.titles import best_titles, bounded_titles, dedup_titles, title_references, with_forms
+from linkgraph.operators.titles import bounded_titles, dedup_titles, edge_references, referenced_titles
 from linkgraph.operators.traversal import ball_groups, distances
 from linkgraph.session import materialize
 from linkgraph.sources.graph_store import Graph
@@ -60,15 +60,13 @@ def build_graph(
     reached = distances(credited, seeds, max_depth=depth).table
 
     expanded = reached.filter(F.col("dist") < depth).select(F.col("node").alias("entity_id"))
-    titled = materialize(
-        ball_groups(with_forms(credited, group_titles), expanded, ("forms",)).select("src", "dst", "group_id", F.inline("forms")),
-        "edge-forms",
-    )
-    titles = materialize(best_titles(titled, ["src", "dst"]), "edge-titles")
+    pairs = materialize(ball_groups(credited, expanded), "edge-groups")
+    referenced = materialize(edge_references(pairs, group_titles), "references")
+    titles = materialize(referenced_titles(referenced), "edge-titles")
     # every edge has a title: its groups were kept for having one
     edges = titles.filter("rank = 1").select("src", "dst")
-    references = title_references(titled, titles)
-    behind = keep_referenced(credited, titled.select("group_id"), "group_id")
+    references = referenced.drop("rank")
+    behind = keep_referenced(credited, pairs.select("group_id"), "group_id")
     credits = with_name(behind, entities, "entity_id", "name").select("group_id", "entity_id", "name")
 
     named = with_name(edge_nodes(edges), entities, "id", "name")

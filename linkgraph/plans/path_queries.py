@@ -392,8 +392,8 @@ def graph_stats(spark, sf):
 def _ball(spark, sf, credited, reached):
     """Edges within three hops, and their titles."""
     expanded = reached.table.filter("dist < 3").select(F.col("node").alias("entity_id"))
-    pairs = tr.ball_groups(ti.with_forms(credited, _group_titles(spark, sf)), expanded, ("forms",))
-    titles = materialize(ti.best_titles(pairs.select("src", "dst", F.inline("forms")), ["src", "dst"]), "titles")
+    group_titles = materialize(_group_titles(spark, sf), "group-titles")
+    titles = materialize(ti.edge_titles(tr.ball_groups(credited, expanded), group_titles), "titles")
     return materialize(tr.ball_edges(credited, reached.table, 3), "edges"), titles
 
 

@@ -19,7 +19,7 @@ class Graph:
 
     nodes(id, name, degree) · aliases(entity_id, alias, alias_norm) ·
     edges(src, dst) with src < dst · titles(src, dst, title, rank) ·
-    references(src, dst, title, group_id), the groups behind a title ·
+    references(src, dst, title, group_id, groups), the groups behind a title and their number ·
     credits(group_id, entity_id, name), their members.
 
     Line-ups are kept by reference and expanded for the edges that are asked for.

@@ -95,6 +95,48 @@ def test_lineups_of_a_large_group_stay_by_reference(spark):
     assert {r["title"]: r["count"] for r in lineup.groupBy("title").count().collect()} == {"Everyone": 2000, "Duo 7": 2}
 
 
+def test_pairs_of_one_group_keep_its_titles_and_others_rank_anew(spark):
+    members = spark.createDataFrame(
+        [(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (3, 1), (3, 2), (4, 8), (4, 9), (5, 8)], "group_id long, entity_id long"
+    )
+    raw = spark.createDataFrame(
+        [(1, "Bee - Live"), (1, "Aa"), (1, "Aa (Remix)"), (2, "Bee"), (2, "Aa (Remix)"), (3, "Zed"), (3, "Aa"), (4, ""), (5, "Solo")],
+        "group_id long, title string",
+    )
+    titles = materialize(ti.dedup_titles(raw, ["group_id"]), "titles")
+    pairs = pr.pair_groups(members)
+
+    def got(df, *columns):
+        return sorted(tuple(r) for r in df.select(*columns).collect())
+
+    assert got(ti.edge_titles(pairs, titles), "src", "dst", "title", "rank") == [
+        (1, 2, "Aa", 1), (1, 2, "Bee", 2), (1, 2, "Zed", 3), (1, 3, "Aa", 1), (1, 3, "Bee - Live", 2), (2, 3, "Aa", 1), (2, 3, "Bee - Live", 2),
+    ]
+    titled = ti.group_title_pairs(members, titles)
+    for cap in (1, 2, 5):
+        plain = ti.best_titles(titled, ["src", "dst"], cap)
+        assert got(ti.edge_titles(pairs, titles, cap), *plain.columns) == got(plain, *plain.columns)
+    kept = ti.best_titles(titled, ["src", "dst"])
+    references = materialize(ti.edge_references(pairs, titles), "references")
+    plain = ti.title_references(titled, kept)
+    assert got(references, *plain.columns) == got(plain, *plain.columns)
+    assert got(ti.referenced_titles(references), *kept.columns) == got(kept, *kept.columns)
+    assert {r["title"]: r["groups"] for r in references.filter("dst = 2").collect()} == {"Aa": 2, "Bee": 1, "Zed": 1}
+    assert got(ti.title_lineup(references, members), "src", "dst", "title", "entity_id") == got(
+        ti.title_lineup(plain, members), "src", "dst", "title", "entity_id"
+    )
+
+
+def test_texts_stay_out_of_the_shuffle_of_pairs(spark):
+    members = materialize(spark.range(4000).selectExpr("id DIV 20 AS group_id", "id % 1000 AS entity_id"), "members")
+    titles = materialize(spark.range(200).selectExpr("id AS group_id", "repeat('x', 500) AS title", "1 AS rank"), "titles")
+    # Every pair shares one group: only its ids are brought together, and the texts join by group.
+    alone, _ = ti._by_shared_groups(pr.pair_groups(members), titles, ["src", "dst"])
+    plan = alone._jdf.queryExecution().executedPlan().toString()
+    by_pair = [line for line in plan.splitlines() if "hashpartitioning(src" in line]
+    assert len(by_pair) == 1 and "title" not in plan.split(by_pair[0])[1].split("FileScan")[0]
+
+
 def test_ball_of_a_large_group_in_blocks(spark):
     members = spark.range(1300).select(F.lit(1).alias("group_id"), F.col("id").alias("entity_id"))
     chosen = spark.createDataFrame([(0,), (5,), (1299,)], "entity_id long")
