@@ -70,6 +70,31 @@ def test_best_candidates_agrees_with_the_predicate(songs, credits, candidates):
     assert got == {"s1": 1, "s2": 2, "s5": 5}
 
 
+def test_catalog_is_numbered_in_its_order_and_keeps_the_columns_asked_for(spark, candidates):
+    keys = ma.prepare_catalog(candidates.repartition(3), [F.col("pos")], keep=["audio_url"]).keys
+    assert keys.schema["cand"].dataType.names == ["audio_url"]
+    # one row a key; "Really Now" by Ana Bo is first without a link
+    assert [r["cand"]["audio_url"] for r in keys.orderBy("key").collect()] == ["u0", "u1", None, "u4", "u5"]
+    texts = spark.createDataFrame([("ab", "c"), ("a", "bc"), ("", "abc"), ("c", "ab")], "title string, artist string")
+    assert texts.select(ma.text_ids(texts).alias("n")).distinct().count() == 4
+
+
+def test_matching_moves_songs_as_numbers(spark, star):
+    best = ma.best_candidates(mq._numbered_credits(spark, star, mq._numbered(mq._songs(spark, star))), mq._candidates(spark, star, "false"), mq._order(), keep=["audio_url"])
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(song_id" in plan and "title#" not in plan.split("hashpartitioning(song_id")[1].split("\n")[0]
+    assert best.schema["song_id"].dataType.typeName() == "long"
+
+
+def test_repeated_orders_name_a_song_once(spark, star):
+    again = spark.read.parquet(f"{star}/orders.parquet")
+    again.union(again).coalesce(1).write.parquet(f"{star}/twice")
+    orders = materialize(spark.read.parquet(f"{star}/twice"), "twice")
+    orders.write.mode("overwrite").parquet(f"{star}/orders.parquet")
+    assert rows(mq.catalog_match(spark, star)) == [("10|Acme", "https://audio.example/10-1-1")]
+    assert len(rows(mq.resolve_first_accepted(spark, star))) == 4
+
+
 def test_first_accepted_or_sentinel(songs, credits, candidates):
     got = ma.resolve_first_accepted(songs, credits, candidates, [F.col("pos")], "audio_url")
     assert rows(got) == [("s1", "u1"), ("s2", "u3"), ("s3", "none"), ("s4", "none"), ("s5", "u5")]
