@@ -189,6 +189,26 @@ def test_edges_are_walked_to_their_first_hit(spark):
     assert ma.walk_edges(requests, titles.limit(0), references, names, embeds, catalog).count() == 0
 
 
+def test_a_walk_writes_no_more_tables_for_more_ranks(spark, candidates, monkeypatch):
+    def written(ranks):
+        labels = []
+        monkeypatch.setattr(ma, "materialize", lambda df, label: labels.append(label) or materialize(df, label))
+        titles = spark.createDataFrame(
+            [("a", "b", f"x{r}", f"Unknown {r}", "Ana", None, r, None) for r in range(1, ranks + 1)],
+            "src string, dst string, song_id string, title string, lead string, track_id string, rank int, preview_source string",
+        )
+        references = titles.select("song_id", F.lit(1).cast("bigint").alias("group_id"))
+        names = spark.createDataFrame([(1, "Ana Bo")], "group_id long, artist string")
+        embeds = spark.createDataFrame([], "track_id string, audio_url string, artwork_url string, embed_year int")
+        catalog = ma.playable_catalog(candidates, [F.col("pos")])
+        labels.clear()
+        tried = ma.walk_edges(titles.select("src", "dst"), titles, references, names, embeds, catalog)
+        assert tried.count() == ranks
+        return labels
+
+    assert written(1) == written(4)
+
+
 def test_coverage_and_tally(spark, songs, credits):
     known = spark.createDataFrame([("Cee Dee", "Night Drive"), ("Cee Dee", "Deep Cut")], "artist string, title string")
     assert tuple(ma.any_hit_coverage(songs, credits, known).first()) == (5, 2, 6, 40.0, "judgment")
