@@ -346,6 +346,23 @@ def test_collaborators_count_credits_and_guests_twice(spark):
     assert rows(di.own_vs_guest(di.hub_albums(tracks, albums, hubs), own_only=True, max_total=1).select("hub_id", "album_id")) == [("h", 1), ("x", 3)]
 
 
+def test_shared_track_names_are_searched_for_guests_once(spark, monkeypatch):
+    searched = []
+    monkeypatch.setattr(di, "materialize", lambda df, label: searched.append((label, df.count())) or materialize(df, label))
+    tracks = spark.createDataFrame(
+        [
+            (h, a, "t", name, 0, artist, text)
+            for h in ("h", "x") for a in (1, 2) for name in ("Go (feat. Ana)", None) for artist, text in (("h", "Hub"), ("x", "Xen"), ("y", "XEN"))
+        ],
+        "hub_id string, album_id int, track_id string, track_name string, pos int, artist_id string, artist_name string",
+    )
+    hubs = spark.createDataFrame([("h", "Hub"), ("x", "xen")], "hub_id string, hub_name string")
+    counts = {tuple(r)[:2]: tuple(r)[2:] for r in di.collaborator_counts(tracks, hubs).collect()}
+    # The track without a name counts as an appearance, not as a track.
+    assert counts == {("h", "xen"): ("Xen", "x", 8, 1), ("h", "ana"): ("Ana", None, 2, 1), ("x", "hub"): ("Hub", "h", 4, 1), ("x", "ana"): ("Ana", None, 2, 1)}
+    assert dict(searched)["guests"] == 1
+
+
 def test_nested_records(spark):
     text = '{"title":"T","artist-credit":[{"artist":{"id":"1","name":"A"}},{"artist":{"id":"2"}},{"artist":{"id":"1","name":"B"}},{"artist":{"id":"3","name":"C"}},{}]}'
     df = spark.createDataFrame([("r", text), ("s", "{}")], "key string, document string")
