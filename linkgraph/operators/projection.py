@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkgraph.functions._columns import ColumnLike, as_column
-from linkgraph.session import materialize
+from linkgraph.session import Written, materialize, write_counted
 
 # Members of one block; a task compares at most this many squared per key.
 BLOCK_MEMBERS = 512
@@ -110,18 +110,31 @@ def edge_degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
 
 
+def _pairs_of_light(members: DataFrame, heavy_ids: Written) -> DataFrame:
+    """Each pair ``x < y`` that shares one of the other groups, once."""
+    light = members.join(heavy_ids.table, "group_id", "left_anti") if heavy_ids.rows else members
+    x = light.select("group_id", F.col("entity_id").alias("x"))
+    y = light.select("group_id", F.col("entity_id").alias("y"))
+    return x.join(y, "group_id").filter("x < y").select("x", "y").distinct()
+
+
 def degrees(members: DataFrame, heavy: int = HEAVY_GROUP) -> DataFrame:
     """Distinct neighbours per entity, without the pairs of heavy groups.
 
-    Groups up to ``heavy`` members are paired.  The members of larger groups
+    ``members`` is scanned several times, so pass a written table.  Groups up to
+    ``heavy`` members are paired, a pair moves once for its two ends.  The members of larger groups
     are numbered, each such group is a set of bitmaps over ranges of numbers,
     and a member's neighbours are the union of its groups' bitmaps and of the
     bits of its light neighbours: work follows memberships times ranges, however
     the groups overlap.  Neighbours outside all heavy groups are counted plainly.
     """
-    sizes = group_sizes(members).filter("members >= 2")
-    light = members.join(sizes.filter(F.col("members") <= heavy), "group_id", "left_semi")
-    in_heavy = members.join(sizes.filter(F.col("members") > heavy), "group_id", "left_semi")
+    sizes = group_sizes(members).filter(F.col("members") > max(heavy, 1))
+    heavy_ids = write_counted(sizes.select("group_id"), "heavy-groups")
+    pairs = _pairs_of_light(members, heavy_ids)
+    if not heavy_ids.rows:
+        ends = pairs.select(F.explode(F.array("x", "y")).alias("id"))
+        return ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    in_heavy = members.join(heavy_ids.table, "group_id", "left_semi")
 
     numbers = materialize(
         in_heavy.select("entity_id").distinct().withColumn("number", F.monotonically_increasing_id()), "numbers"
@@ -134,18 +147,22 @@ def degrees(members: DataFrame, heavy: int = HEAVY_GROUP) -> DataFrame:
     )
     by_group = in_heavy.select("group_id", "entity_id").join(group_bits, "group_id").select("entity_id", "range", "bits")
 
-    x = light.select("group_id", "entity_id")
-    y = light.select("group_id", F.col("entity_id").alias("neighbor"))
-    light_pairs = x.join(y, "group_id").filter("entity_id <> neighbor").select("entity_id", "neighbor").distinct()
-    placed = light_pairs.join(numbers.select("entity_id", F.lit(True).alias("inside")), "entity_id", "left").join(
-        numbered.withColumnRenamed("entity_id", "neighbor"), "neighbor", "left"
-    )
-    both_inside = F.col("inside").isNotNull() & F.col("bit").isNotNull()
-    by_pair = placed.filter(both_inside).groupBy("entity_id", "range").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    def place(end: str) -> DataFrame:
+        return numbered.select(F.col("entity_id").alias(end), F.struct("range", "bit").alias(f"{end}_at"))
+
+    placed = pairs.join(place("x"), "x", "left").join(place("y"), "y", "left")
+    both_inside = F.col("x_at").isNotNull() & F.col("y_at").isNotNull()
+
+    def seen(end: str, other: str) -> Column:
+        return F.struct(F.col(end).alias("entity_id"), F.col(f"{other}_at.range"), F.col(f"{other}_at.bit"))
+
+    faced = placed.filter(both_inside).select(F.inline(F.array(seen("x", "y"), seen("y", "x"))))
+    by_pair = faced.groupBy("entity_id", "range").agg(F.bitmap_construct_agg("bit").alias("bits"))
     united = by_group.unionByName(by_pair).groupBy("entity_id", "range").agg(F.bitmap_or_agg("bits").alias("bits"))
     # The entity itself is in its groups' bitmaps.
     inside = united.groupBy("entity_id").agg((F.sum(F.bitmap_count("bits")) - 1).alias("n"))
-    outside = placed.filter(~both_inside).groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
+    ends = placed.filter(~both_inside).select(F.explode(F.array("x", "y")).alias("entity_id"))
+    outside = ends.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
     return inside.unionByName(outside).groupBy(F.col("entity_id").alias("id")).agg(
         F.sum("n").cast("bigint").alias("degree")
     )

@@ -114,7 +114,7 @@ def edge_nodes(spark, sf):
 
 @query("node_degree", f"WITH {ro.SQL_EDGES} SELECT id, degree FROM degrees")
 def node_degree(spark, sf):
-    return pr.degrees(ro.members(spark, sf))
+    return pr.degrees(ro.written_members(spark, sf))
 
 
 @query("edge_degree", f"WITH {ro.SQL_EDGES} SELECT id, degree FROM degrees")
@@ -127,7 +127,7 @@ WITH {ro.SQL_EDGES} SELECT p_partkey AS id, p_name AS name, coalesce(degree, 0)
 FROM part LEFT JOIN degrees ON id = p_partkey""")
 def refresh_degree(spark, sf):
     nodes = ro.entities(spark, sf).select("id", "name", F.lit(-1).alias("degree"))
-    return pr.refresh_degrees(nodes, pr.degrees(ro.members(spark, sf)))
+    return pr.refresh_degrees(nodes, pr.degrees(ro.written_members(spark, sf)))
 
 
 @query("adjacency", f"""
@@ -147,7 +147,7 @@ def all_ids(spark, sf):
 WITH {ro.SQL_EDGES} SELECT p_partkey AS id, coalesce(degree, 0) AS degree
 FROM part LEFT JOIN degrees ON id = p_partkey WHERE coalesce(degree, 0) >= 6""")
 def min_degree_nodes(spark, sf):
-    counted = pr.degrees(ro.members(spark, sf))
+    counted = pr.degrees(ro.written_members(spark, sf))
     return el.min_degree(ro.entities(spark, sf).select("id"), counted, "id", 6)
 
 

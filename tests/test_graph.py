@@ -369,3 +369,10 @@ def test_lineup_others_caps_and_flags(spark):
     lineup = spark.createDataFrame([(1, i, n, "Ana", "Bo") for i, n in enumerate(["ana", "Bo", "c", "d", "e"])], "k int, entity_id int, name string, a string, b string")
     row = ti.other_members(lineup, ["k"], ["a", "b"], shown=2).first()
     assert (row["others"], row["truncated"]) == (["c", "d"], True)
+
+
+def test_degrees_pair_light_groups_once(spark):
+    members = materialize(spark.range(300).selectExpr("id DIV 3 AS group_id", "id * 11 % 70 AS entity_id").distinct(), "m")
+    plan = pr.degrees(members)._jdf.queryExecution().executedPlan().toString()
+    # One self-join, whose pairs are neither doubled before the shuffle nor looked up afterwards.
+    assert plan.count("FileScan") == 2 and "bitmap" not in plan
