@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkgraph.operators.paths import path_hops, with_name
-from linkgraph.operators.titles import dedup_titles, pair_titles, title_lineup
+from linkgraph.operators.titles import GroupTitles, dedup_titles, pair_titles, title_lineup
 from linkgraph.operators.traversal import Reached, walk_back
 from linkgraph.session import materialize
 
@@ -30,7 +30,7 @@ def route_hops(asked: DataFrame, reached: Reached, entities: DataFrame) -> DataF
 
 
 def shown_songs(
-    hops: DataFrame, members: DataFrame, group_titles: DataFrame, shown: int = SHOWN_TITLES
+    hops: DataFrame, members: DataFrame, group_titles: GroupTitles, shown: int = SHOWN_TITLES
 ) -> tuple[DataFrame, DataFrame]:
     """The first titles of the edges in ``hops``, and the groups behind them.
 

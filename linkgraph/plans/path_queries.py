@@ -13,7 +13,7 @@ from linkgraph.operators import traversal as tr
 from linkgraph.operators.ranking import exact_lookup
 from linkgraph.operators.resolution import identify
 from linkgraph.plans import roles as ro
-from linkgraph.plans.graph_queries import _group_titles
+from linkgraph.plans.graph_queries import _group_titles, _titles_of
 from linkgraph.plans.registry import query
 from linkgraph.plans.roles import table
 from linkgraph.plans.search_queries import search_hits, similar_hits
@@ -132,7 +132,7 @@ JOIN listed ON src = least(from_id, to_id) AND dst = greatest(from_id, to_id)"""
 def path_details(spark, sf):
     credited, reached = _from_hub(spark, sf)
     details = pa.path_details(
-        _requests(spark, sf, reached), reached, ro.entities(spark, sf), credited, _group_titles(spark, sf)
+        _requests(spark, sf, reached), reached, ro.entities(spark, sf), credited, _titles_of(spark, sf)
     )
     return details.withColumn("titles", F.array_join("titles", "; ")).drop("root")
 
@@ -154,7 +154,7 @@ FROM names n LEFT JOIN lines l ON l.node = n.node""")
 def path_text(spark, sf):
     credited, reached = _from_hub(spark, sf)
     return pa.path_text(
-        _requests(spark, sf, reached), reached, ro.entities(spark, sf), credited, _group_titles(spark, sf)
+        _requests(spark, sf, reached), reached, ro.entities(spark, sf), credited, _titles_of(spark, sf)
     ).drop("root")
 
 
@@ -296,7 +296,7 @@ def _named_songs(spark, sf):
     found = materialize(_identified(spark, sf).withColumn("root", root.scalar()), "found")
     entities = ro.entities(spark, sf)
     hops = materialize(rt.route_hops(found, reached, entities), "route-hops")
-    songs, references = rt.shown_songs(hops, credited, _group_titles(spark, sf))
+    songs, references = rt.shown_songs(hops, credited, _titles_of(spark, sf))
     recorded = table(spark, sf, "orders").filter("o_orderstatus <> 'O'").select(F.col("o_orderkey").alias("group_id"))
     credits = pa.with_name(credited.join(recorded, "group_id", "left_semi"), entities, "entity_id", "name")
     lineup = rt.lineup_or_ends(references, credits.select("group_id", "entity_id", "name"), entities)
@@ -344,7 +344,7 @@ def watchlist_flags(spark, sf):
     paths = materialize(tr.walk_back(_requests(spark, sf, reached), reached), "paths")
     nodes = pa.with_name(pa.path_nodes(paths, ["node"]), ro.entities(spark, sf), "id", "name")
     hops = pa.path_hops(paths, ["node"])
-    kept = materialize(pa.hop_titles(hops, credited, _group_titles(spark, sf)), "hop-titles")
+    kept = materialize(pa.hop_titles(hops, credited, _titles_of(spark, sf)), "hop-titles")
     titles = hops.join(kept, ["src", "dst"])
     node_hints = table(spark, sf, "part").select(F.col("p_type").alias("hint"))
     title_hints = table(spark, sf, "supplier").filter("s_acctbal < 0").select(
@@ -368,7 +368,7 @@ def displayed_titles(spark, sf):
     credited, reached = _from_hub(spark, sf)
     paths = tr.walk_back(_requests(spark, sf, reached), reached)
     hops = pa.path_hops(paths, ["node"]).select("src", "dst").distinct()
-    titled = materialize(ti.pair_titles(hops, credited, _group_titles(spark, sf)), "titled")
+    titled = materialize(ti.pair_titles(hops, credited, _titles_of(spark, sf)), "titled")
     shown = ti.dedup_titles(titled, ["src", "dst"]).filter("rank <= 3").drop("rank")
     lineup = ti.title_lineup(titled.join(shown, ["src", "dst", "title"], "left_semi").select("src", "dst", "title", "group_id"), credited)
     named = pa.with_name(lineup, ro.entities(spark, sf), "entity_id", "name")

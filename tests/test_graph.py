@@ -376,3 +376,18 @@ def test_degrees_pair_light_groups_once(spark):
     plan = pr.degrees(members)._jdf.queryExecution().executedPlan().toString()
     # One self-join, whose pairs are neither doubled before the shuffle nor looked up afterwards.
     assert plan.count("FileScan") == 2 and "bitmap" not in plan
+
+
+def test_only_titles_of_shared_groups_are_made(spark):
+    members = materialize(spark.createDataFrame([(1, 10), (1, 20), (2, 20), (2, 30), (3, 10), (3, 20), (4, 30)], "group_id long, entity_id long"), "m")
+    raw = spark.createDataFrame([(g, t) for g in (1, 2, 3, 4) for t in (f"Song {g}", f"Song {g} - Live", f"B {g}")], "group_id long, title string")
+    hops = spark.createDataFrame([(10, 20)], "src long, dst long")
+    asked = []
+
+    def titles_of(groups):
+        asked.append(sorted(r["group_id"] for r in groups.collect()))
+        return ti.dedup_titles(el.keep_referenced(raw, groups, "group_id"), ["group_id"])
+
+    made = rows(pa.hop_titles(hops, members, titles_of))
+    assert asked == [[1, 3]]
+    assert made == rows(pa.hop_titles(hops, members, ti.dedup_titles(raw, ["group_id"]))) and len(made) == 4
