@@ -81,12 +81,29 @@ def faced_groups(
     a group.  Both sides lie in blocks, so no task holds a whole group.
     """
     placed = _in_blocks(members, block)
+    x = placed.join(chosen.select("entity_id").distinct(), "entity_id", "left_semi")
+    return _facing(x, placed, carry).select("x", "y", "group_id", *carry)
+
+
+def faced_once(
+    members: DataFrame, chosen: DataFrame, carry: tuple[str, ...] = (), block: int = BLOCK_MEMBERS
+) -> DataFrame:
+    """The rows of ``faced_groups``, but only ``x < y`` of two chosen nodes.
+
+    Members know whether they are chosen before they are paired, so no pair is looked up.
+    """
+    flags = chosen.select("entity_id", F.lit(True).alias("chosen")).distinct()
+    placed = _in_blocks(members, block).join(flags, "entity_id", "left")
+    pairs = _facing(placed.filter("chosen"), placed, carry, along=("chosen",))
+    return pairs.filter("chosen IS NULL OR x < y").select("x", "y", "group_id", *carry)
+
+
+def _facing(x: DataFrame, y: DataFrame, carry: tuple[str, ...], along: tuple[str, ...] = ()) -> DataFrame:
+    """Members ``x`` with all others ``y`` of their groups, which bring ``along`` columns of their own."""
     every = F.explode(F.sequence(F.lit(0), F.col("last")))
-    x = placed.join(chosen.select("entity_id").distinct(), "entity_id", "left_semi").select(
-        "group_id", *carry, F.col("entity_id").alias("x"), F.col("own").alias("lo"), every.alias("hi")
-    )
-    y = placed.select("group_id", F.col("entity_id").alias("y"), every.alias("lo"), F.col("own").alias("hi"))
-    return x.join(y, ["group_id", "lo", "hi"]).filter("x <> y").select("x", "y", "group_id", *carry)
+    left = x.select("group_id", *carry, F.col("entity_id").alias("x"), F.col("own").alias("lo"), every.alias("hi"))
+    right = y.select("group_id", F.col("entity_id").alias("y"), *along, every.alias("lo"), F.col("own").alias("hi"))
+    return left.join(right, ["group_id", "lo", "hi"]).filter("x <> y")
 
 
 def star_edges(members: DataFrame, centers: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkgraph.functions._columns import union_all
-from linkgraph.operators.projection import canonical_pair, faced_groups
+from linkgraph.operators.projection import canonical_pair, faced_once
 from linkgraph.session import Written, materialize, write_counted
 
 LEVEL_COLUMNS = ("root", "node", "dist", "parent")
@@ -241,24 +241,21 @@ def _rooted_neighbours(nodes: DataFrame, shown: DataFrame) -> DataFrame:
     return groups.join(shown, ["root", "group_id"]).select("root", "node").distinct()
 
 
-def ball_edges(members: DataFrame, reached: DataFrame, depth: int) -> DataFrame:
+def ball_edges(members: DataFrame, reached: DataFrame, depth: int, groups: DataFrame | None = None) -> DataFrame:
     """Edges a depth-bounded build stores: one endpoint was expanded.
 
     Two nodes on the outer ring may share a group, but neither was expanded,
-    so their edge is not part of the ball.
+    so their edge is not part of the ball.  ``groups`` are the ball's ``ball_groups``, if they were written.
     """
-    expanded = reached.filter(F.col("dist") < depth).select(F.col("node").alias("entity_id"))
-    return ball_groups(members, expanded).select("src", "dst").distinct()
+    if groups is None:
+        expanded = reached.filter(F.col("dist") < depth).select(F.col("node").alias("entity_id"))
+        groups = ball_groups(members, expanded)
+    return groups.select("src", "dst").distinct()
 
 
 def ball_groups(members: DataFrame, expanded: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Canonical (src, dst, group) rows with at least one expanded endpoint ``expanded(entity_id)``, once each."""
-    chosen = expanded.select("entity_id").distinct()
-    faced = faced_groups(members, chosen, carry)
-    # between two expanded nodes both directions are there
-    both = chosen.select(F.col("entity_id").alias("y"), F.lit(True).alias("twice"))
-    once = faced.join(both, "y", "left").filter("twice IS NULL OR x < y")
-    return once.select(*canonical_pair("x", "y"), "group_id", *carry)
+    return faced_once(members, expanded, carry).select(*canonical_pair("x", "y"), "group_id", *carry)
 
 
 def induced_edges(edges: DataFrame, reached: DataFrame) -> DataFrame:

@@ -393,8 +393,9 @@ def _ball(spark, sf, credited, reached):
     """Edges within three hops, and their titles."""
     expanded = reached.table.filter("dist < 3").select(F.col("node").alias("entity_id"))
     group_titles = materialize(_group_titles(spark, sf), "group-titles")
-    titles = materialize(ti.edge_titles(tr.ball_groups(credited, expanded), group_titles), "titles")
-    return materialize(tr.ball_edges(credited, reached.table, 3), "edges"), titles
+    pairs = materialize(tr.ball_groups(credited, expanded), "edge-groups")
+    titles = materialize(ti.edge_titles(pairs, group_titles), "titles")
+    return materialize(tr.ball_edges(credited, reached.table, 3, pairs), "edges"), titles
 
 
 @query("graph_invariants", f"""

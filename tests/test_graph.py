@@ -391,3 +391,19 @@ def test_only_titles_of_shared_groups_are_made(spark):
     made = rows(pa.hop_titles(hops, members, titles_of))
     assert asked == [[1, 3]]
     assert made == rows(pa.hop_titles(hops, members, ti.dedup_titles(raw, ["group_id"]))) and len(made) == 4
+
+
+def test_pairs_of_a_ball_are_not_looked_up(spark):
+    members = materialize(spark.range(400).selectExpr("id DIV 4 AS group_id", "id * 7 % 90 AS entity_id").distinct(), "m")
+    chosen = materialize(spark.range(60).selectExpr("id AS entity_id"), "chosen")
+    ball = tr.ball_groups(members, chosen)
+    # Members know whether they are chosen before they are paired.
+    assert "[y#" not in ball._jdf.queryExecution().executedPlan().toString()
+    of = {}
+    for r in members.collect():
+        of.setdefault(r["group_id"], []).append(r["entity_id"])
+    wanted = {(a, b, g) for g, m in of.items() for a in m for b in m if a < b and a < 60}
+    got = [(r["src"], r["dst"], r["group_id"]) for r in ball.select("src", "dst", "group_id").collect()]
+    assert len(got) == len(set(got)) and set(got) == wanted
+    reached = spark.createDataFrame([(i, 0) for i in range(60)], "node long, dist long")
+    assert rows(tr.ball_edges(members, reached, 1, materialize(ball, "ball"))) == rows(tr.ball_edges(members, reached, 1))

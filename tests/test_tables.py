@@ -406,3 +406,12 @@ def test_enrich_stream_processes_each_entity_once(spark, tmp_path):
 def test_registry_is_complete_and_named_columns_are_unique():
     assert len(REGISTRY) > 100
     assert sum(1 for item in REGISTRY.values() if item.check) >= len(REGISTRY) - 2
+
+
+def test_repeated_titles_are_found_by_hash_first(spark):
+    edges = spark.createDataFrame([(1, 2), (1, 3)], "src int, dst int")
+    titles = spark.createDataFrame([(1, 2, "a"), (1, 2, "b"), (1, 3, None), (1, 3, None), (1, 3, "a")], "src int, dst int, title string")
+    report = rp.graph_invariants(edges, titles, edges)
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("xxhash64") > 0
+    assert dict(rows(report)) == {"edge_order": 0, "edge_without_title": 0, "repeated_title": 1, "hop_without_title": 0}
