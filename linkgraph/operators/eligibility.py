@@ -37,11 +37,14 @@ def keep_referenced(rows: DataFrame, keys: DataFrame, on: str | list[str]) -> Da
 
 
 def multi_member(members: DataFrame) -> DataFrame:
-    """Distinct memberships of groups that have at least two members."""
+    """Distinct memberships of groups that have at least two members.
+
+    ``members`` is scanned twice, so a plan with joins of its own is better written first.
+    """
     distinct = members.select("group_id", "entity_id").distinct()
     # min <> max tells two members apart without counting distinct values.
     shared = (
-        distinct.groupBy("group_id")
+        members.groupBy("group_id")
         .agg(F.min("entity_id").alias("lo"), F.max("entity_id").alias("hi"))
         .filter("lo <> hi")
         .select("group_id")

@@ -12,7 +12,9 @@ from linkgraph.functions.text import fold_name
 from linkgraph.operators.eligibility import alias_table, keep_referenced, multi_member
 from linkgraph.operators.paths import with_name
 from linkgraph.operators.projection import edge_degrees, edge_nodes, refresh_degrees
-from linkgraph.operators.titles import bounded_titles, dedup_titles, edge_references, referenced_titles
+from linkgraph.operators.titles import (
+    best_forms, bounded_titles, edge_references, ranked_titles, referenced_titles, title_forms,
+)
 from linkgraph.operators.traversal import ball_groups, distances
 from linkgraph.session import materialize
 from linkgraph.sources.graph_store import Graph
@@ -27,14 +29,17 @@ def credited_titles(items: DataFrame, order: Sequence[ColumnLike], cap: int | No
     All items of a group are looked at, or with ``cap`` the first ones in ``order``.
     """
     raw = items if cap is None else bounded_titles(items, "group_id", order, cap)
-    return dedup_titles(raw, ["group_id"])
+    # Written between the two sorts, so that no task holds both.
+    best = materialize(best_forms(title_forms(raw, ["group_id"]), ["group_id"]), "best-forms")
+    return ranked_titles(best, ["group_id"])
 
 
 def credited_members(members: DataFrame, group_titles: DataFrame, entities: DataFrame) -> DataFrame:
     """Members of titled groups that exist as entities, in groups of two or more."""
     titled = keep_referenced(members, group_titles.select("group_id"), "group_id")
     known = keep_referenced(titled, entities.select(F.col("id").alias("entity_id")), "entity_id")
-    return multi_member(known)
+    # Written, so that no task holds the sorts of these joins and the tables of the next step together.
+    return multi_member(materialize(known.select("group_id", "entity_id"), "known-members"))
 
 
 def build_graph(

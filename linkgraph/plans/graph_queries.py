@@ -352,8 +352,10 @@ def _built(spark, sf):
     items = el.keep_referenced(ro.items(spark, sf), orders, "group_id")
     lines = table(spark, sf, "lineitem")
     members = lines.select(F.col("l_orderkey").alias("group_id"), F.col("l_partkey").alias("entity_id"))
+    # Read for the seed and for the graph.
+    members = materialize(el.keep_referenced(members, orders, "group_id"), "eligible-members")
     entities = ro.entities(spark, sf).select("id", "name")
-    seed = ro.hub(el.multi_member(el.keep_referenced(members, orders, "group_id")))
+    seed = ro.hub(el.multi_member(members))
     return build_graph(
         members, items, ro.ITEM_ORDER, entities, ro.raw_aliases(spark, sf), "type", seed, depth=3
     )

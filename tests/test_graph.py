@@ -371,13 +371,6 @@ def test_lineup_others_caps_and_flags(spark):
     assert (row["others"], row["truncated"]) == (["c", "d"], True)
 
 
-def test_degrees_pair_light_groups_once(spark):
-    members = materialize(spark.range(300).selectExpr("id DIV 3 AS group_id", "id * 11 % 70 AS entity_id").distinct(), "m")
-    plan = pr.degrees(members)._jdf.queryExecution().executedPlan().toString()
-    # One self-join, whose pairs are neither doubled before the shuffle nor looked up afterwards.
-    assert plan.count("FileScan") == 2 and "bitmap" not in plan
-
-
 def test_only_titles_of_shared_groups_are_made(spark):
     members = materialize(spark.createDataFrame([(1, 10), (1, 20), (2, 20), (2, 30), (3, 10), (3, 20), (4, 30)], "group_id long, entity_id long"), "m")
     raw = spark.createDataFrame([(g, t) for g in (1, 2, 3, 4) for t in (f"Song {g}", f"Song {g} - Live", f"B {g}")], "group_id long, title string")
@@ -407,3 +400,18 @@ def test_pairs_of_a_ball_are_not_looked_up(spark):
     assert len(got) == len(set(got)) and set(got) == wanted
     reached = spark.createDataFrame([(i, 0) for i in range(60)], "node long, dist long")
     assert rows(tr.ball_edges(members, reached, 1, materialize(ball, "ball"))) == rows(tr.ball_edges(members, reached, 1))
+
+
+def test_degrees_pair_light_groups_once(spark):
+    members = materialize(spark.range(300).selectExpr("id DIV 3 AS group_id", "id * 11 % 70 AS entity_id").distinct(), "m")
+    plan = pr.degrees(members)._jdf.queryExecution().executedPlan().toString()
+    # One self-join, whose pairs are neither doubled before the shuffle nor looked up afterwards.
+    assert plan.count("FileScan") == 2 and "bitmap" not in plan
+
+
+def test_distinct_members_are_told_once(spark):
+    raw = materialize(spark.createDataFrame([(1, 1), (1, 1), (2, 1), (2, 2), (2, 2), (3, None), (3, 4), (None, 1), (None, 2)], "group_id long, entity_id long"), "m")
+    kept = el.multi_member(raw)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert len([x for x in plan.splitlines() if "HashAggregate(keys=[group_id" in x and "entity_id" in x.split("functions")[0]]) == 2
+    assert sorted(tuple(r) for r in kept.collect()) == [(2, 1), (2, 2)]
