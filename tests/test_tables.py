@@ -346,6 +346,23 @@ def test_collaborators_count_credits_and_guests_twice(spark):
     assert rows(di.own_vs_guest(di.hub_albums(tracks, albums, hubs), own_only=True, max_total=1).select("hub_id", "album_id")) == [("h", 1), ("x", 3)]
 
 
+def test_top_collaborators_count_every_own_album(spark, tmp_path):
+    orders = list(range(1, 31))  # each of them an album of the first supplier
+    made = {
+        "supplier": ("s_suppkey long, s_name string", [(1, "Hub"), (2, "Ana"), (3, "Bo")]),
+        "orders": ("o_orderkey long, o_orderpriority string, o_orderdate string", [(k, "1-URGENT" if k <= 20 else "5-LOW", "2001") for k in orders]),
+        "lineitem": (
+            "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string",
+            [(k, 1, 1, 1, "N") for k in orders] + [(k, 2, 1, 2 if k <= 20 else 3, "N") for k in orders],
+        ),
+    }
+    for name, (schema, data) in made.items():
+        spark.createDataFrame(data, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    top = {(r["hub_id"], r["key"]): r["appearances"] for r in REGISTRY["top_collaborators"].plan(spark, str(tmp_path)).collect()}
+    assert {key: n for (hub, key), n in top.items() if hub == 1} == {"ana": 40, "bo": 20, "guest n": 30}
+    assert len([k for k in rows(REGISTRY["priority_topn"].plan(spark, str(tmp_path))) if k[0] == 1]) == 20
+
+
 def test_shared_track_names_are_searched_for_guests_once(spark, monkeypatch):
     searched = []
     monkeypatch.setattr(di, "materialize", lambda df, label: searched.append((label, df.count())) or materialize(df, label))
