@@ -127,6 +127,29 @@ def test_pairs_of_one_group_keep_its_titles_and_others_rank_anew(spark):
     )
 
 
+def test_lineups_of_pairs_and_titles_apart_agree(spark):
+    members = spark.createDataFrame(
+        [(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (3, 1), (3, 2), (4, 8), (4, 9), (5, 8)], "group_id long, entity_id long"
+    )
+    raw = spark.createDataFrame(
+        [(1, "Bee - Live"), (1, "Aa"), (1, "Aa (Remix)"), (2, "Bee"), (2, "Aa (Remix)"), (3, "Zed"), (3, "Aa"), (4, ""), (5, "Solo")],
+        "group_id long, title string",
+    )
+    titles = materialize(ti.dedup_titles(raw, ["group_id"]), "titles")
+    pairs = pr.pair_groups(members)
+
+    def got(df, *columns):
+        return sorted(tuple(r) for r in df.select(*columns).collect())
+
+    references = materialize(ti.edge_references(pairs, titles), "references")
+    apart = ti.references_apart(pairs, titles)
+    # A pair of one group is kept as its ids alone, without a row for each of the group's titles.
+    assert got(apart.alone, "src", "dst", "group_id") == [(1, 3, 1), (2, 3, 1), (8, 9, 4)]
+    assert got(apart.several, *references.columns) == got(references.filter("src = 1 AND dst = 2"), *references.columns)
+    shown = ["src", "dst", "title", "entity_id"]
+    assert got(ti.title_lineup(apart, members), *shown) == got(ti.title_lineup(references, members), *shown)
+
+
 def test_texts_stay_out_of_the_shuffle_of_pairs(spark):
     members = materialize(spark.range(4000).selectExpr("id DIV 20 AS group_id", "id % 1000 AS entity_id"), "members")
     titles = materialize(spark.range(200).selectExpr("id AS group_id", "repeat('x', 500) AS title", "1 AS rank"), "titles")
