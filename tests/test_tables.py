@@ -70,6 +70,26 @@ def test_best_candidates_agrees_with_the_predicate(songs, credits, candidates):
     assert got == {"s1": 1, "s2": 2, "s5": 5}
 
 
+@pytest.mark.parametrize("light, listed", [(0, 512), (1, 1), (512, 1)])
+def test_titles_of_many_artists_and_songs_of_many_names_are_matched_alike(songs, credits, candidates, monkeypatch, light, listed):
+    monkeypatch.setattr(ma, "LIGHT_TITLE", light)
+    monkeypatch.setattr(ma, "LISTED_ARTISTS", listed)
+    best = ma.best_candidates(credits, candidates, [F.col("pos")], by=("provider",))
+    assert {(r["song_id"], r["provider"]): r["best"]["pos"] for r in best.collect()} == {
+        ("s1", "itunes"): 1, ("s2", "itunes"): 2, ("s2", "deezer"): 3, ("s5", "deezer"): 5,
+    }
+
+
+def test_songs_of_a_group_are_matched_without_a_row_for_each_name(spark, candidates, monkeypatch):
+    written = {}
+    monkeypatch.setattr(ma, "materialize", lambda df, label: written.setdefault(label, materialize(df, label)))
+    songs = spark.range(40).selectExpr("id AS song_id", "1L AS group_id", "if(id = 7, 'Deep Cut', concat('Song ', id)) AS title")
+    names = spark.range(30).selectExpr("1L AS group_id", "if(id = 9, 'Cee Dee', concat('Name ', id)) AS artist")
+    best = ma.best_candidates(ma.GroupCredits(songs, names), candidates, [F.col("pos")])
+    assert [(r["song_id"], r["best"]["pos"]) for r in best.collect()] == [(7, 5)]
+    assert max(table.count() for table in written.values()) == 40
+
+
 def test_catalog_is_numbered_in_its_order_and_keeps_the_columns_asked_for(spark, candidates):
     keys = ma.prepare_catalog(candidates.repartition(3), [F.col("pos")], keep=["audio_url"]).keys
     assert keys.schema["cand"].dataType.names == ["audio_url"]
@@ -143,6 +163,12 @@ def test_waterfall_order_links_and_backfill(spark, songs, credits, candidates):
     assert marked == {"s1": "spotify", "s2": "itunes", "s3": "none", "s4": "none", "s5": "deezer"}
 
 
+def test_songs_of_the_first_provider_are_told_by_their_embeds(spark):
+    songs = spark.createDataFrame([(1, "T1"), (2, None), (3, "none"), (4, "T4"), (5, "T5")], "song_id long, track_id string")
+    embeds = spark.createDataFrame([("T1", "e1"), ("T1", "e1"), ("T4", None), ("none", "never")], "track_id string, audio_url string")
+    assert rows(ma.embedded_songs(songs, embeds)) == [(1, "T1")]
+
+
 def test_titles_nobody_looked_up_stay_unmarked(spark):
     titles = spark.createDataFrame([("a", None), ("b", None), ("c", "itunes"), ("d", None)], "song_id string, preview_source string")
     previews = spark.createDataFrame([("a", None), ("c", None), ("d", "deezer")], "song_id string, source string")
