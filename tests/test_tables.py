@@ -115,6 +115,14 @@ def test_repeated_orders_name_a_song_once(spark, star):
     assert len(rows(mq.resolve_first_accepted(spark, star))) == 4
 
 
+def test_rows_of_repeated_orders_meet_by_their_song(spark, star):
+    again = spark.read.parquet(f"{star}/orders.parquet")
+    orders = materialize(again.union(again), "twice")
+    orders.write.mode("overwrite").parquet(f"{star}/orders.parquet")
+    # Two rows of a song, with two outcomes and two matches each.
+    assert len(rows(mq.enrich_track_ids(spark, star))) == 2 * 8
+
+
 def test_first_accepted_or_sentinel(songs, credits, candidates):
     got = ma.resolve_first_accepted(songs, credits, candidates, [F.col("pos")], "audio_url")
     assert rows(got) == [("s1", "u1"), ("s2", "u3"), ("s3", "none"), ("s4", "none"), ("s5", "u5")]
